@@ -69,15 +69,16 @@ def numeric_named(spark, sf_dir):
 
 def _cross_sql() -> str:
     parts = [
-        f"SELECT {LINE_KEYS_SQL}, " + sql_bucket(
+        f"SELECT rid, {LINE_KEYS_SQL}, " + sql_bucket(
             f"'t' || CAST({sql_bucket(repr(name), 100)} AS VARCHAR) || {text}", 500, 1100
-        ) + f" AS feature, {col} AS value, {i * 10 + j} AS place FROM lineitem"
+        ) + f" AS feature, {col} AS value, {i * 10 + j} AS place FROM numbered"
         for i, (name, col) in enumerate(NUMERIC.items())
         for j, text in enumerate(_line_texts_sql())
     ]
     # A later feature of an example replaces an earlier one of the same id.
-    return f"""SELECT {LINE_KEYS_SQL}, feature, value FROM ({' UNION ALL '.join(parts)})
-      QUALIFY row_number() OVER (PARTITION BY {LINE_KEYS_SQL}, feature ORDER BY place DESC) = 1"""
+    return f"""WITH numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM lineitem)
+      SELECT {LINE_KEYS_SQL}, feature, value FROM ({' UNION ALL '.join(parts)})
+      QUALIFY row_number() OVER (PARTITION BY rid, feature ORDER BY place DESC) = 1"""
 
 
 @query("cross_numeric", _cross_sql())

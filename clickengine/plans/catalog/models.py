@@ -1,0 +1,490 @@
+"""Queries for scoring, training steps, metrics and scored tables."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ...functions import logistic as L
+from ...functions.hashing import Namespace
+from ...operators import features as feat
+from ...operators import metrics, state as st, steps
+from ...operators.ordering import every_k, with_dense_index
+from ...operators.shards import shard_step
+from ...session import cut_lineage, new_folder
+from ...sources.examples import score_line
+from ...sources.store import StateStore
+from .. import training
+from ..scoring import score
+from .base import RAW_SQL, events, query, r6, sql6, sql_bucket, table
+from .features import TOKENS_SQL
+
+MD5 = "md5"
+CONFIG = L.FtrlConfig(alpha=0.5, beta=1.0, l1=0.05, l2=0.01)
+GRID = [
+    L.FtrlConfig(alpha=0.5, beta=1.0, l1=0.05, l2=0.0),
+    L.FtrlConfig(alpha=0.1, beta=1.0, l1=0.5, l2=0.1),
+    L.FtrlConfig(alpha=0.3, beta=0.5, l1=0.0, l2=0.0, sigma_sign=1),
+]
+BATCHES = 5  # six days of log each
+SHARDS = 8
+
+# Feature name, text, bucket count and offset; the text is read by Spark and by SQL.
+INDICATORS = [
+    ("user", "concat('user', CAST(user_id AS {text}))", 1000000, 0),
+    ("code", "concat('code', CAST(k AS {text}))", 1000000, 1000000),
+    ("impression", "concat('imp', CAST(k AS {text}), '|', CAST(v AS {text}))", 1000000, 2000000),
+    ("hour", "concat('hour', {hour})", 1000000, 3000000),
+]
+VALUE_FEATURE = 9000000
+
+EXAMPLES_SQL = RAW_SQL + """,
+base AS (SELECT *, CAST(event_type = 'purchase' AS BIGINT) AS label,
+  CAST((day(ts) - 1) // 6 AS BIGINT) AS batch FROM raw),
+ex AS MATERIALIZED (""" + " UNION ALL ".join(
+    f"SELECT event_id AS example_id, batch, label, "
+    f"{sql_bucket(text.format(text='VARCHAR', hour=chr(39).join(['strftime(ts, ', '%H', ')'])), size, offset)} "
+    f"AS feature, 1.0::DOUBLE AS value FROM base"
+    for _, text, size, offset in INDICATORS
+) + f" UNION ALL SELECT event_id, batch, label, {VALUE_FEATURE}, value / 100 FROM base)"
+
+
+def examples(spark, sf_dir):
+    """Purchases among events: (example_id, seq, batch, label, features)."""
+    base = events(spark, sf_dir)
+    groups = [
+        feat.indicators([F.expr(text.format(text="STRING", hour="date_format(ts, 'HH')"))],
+                        Namespace(name, size, offset), MD5)
+        for name, text, size, offset in INDICATORS
+    ]
+    number = [feat.Feature(F.lit(VALUE_FEATURE).cast("bigint"), F.col("value") / 100)]
+    return base.select(
+        F.col("event_id").alias("example_id"), F.col("event_id").alias("seq"),
+        F.floor((F.dayofmonth("ts") - 1) / 6).cast("bigint").alias("batch"),
+        (F.col("event_type") == "purchase").cast("bigint").alias("label"),
+        F.col("event_type"), feat.as_map(*groups, number).alias("features"),
+    )
+
+
+# --- the same steps in SQL --------------------------------------------------------------
+
+
+def _clip(margin: str) -> str:
+    s = f"(1 / (1 + exp(-({margin}))))"
+    return f"CASE WHEN {s} = 0 THEN {L.PROB_FLOOR!r} WHEN {s} = 1 THEN {L.PROB_CEILING!r} ELSE {s} END"
+
+
+def _w(z: str, n: str, c: L.FtrlConfig) -> str:
+    return (f"CASE WHEN abs({z}) <= {c.l1} THEN 0.0 ELSE -({z} - sign({z}) * {c.l1}) / "
+            f"(({c.beta} + sqrt({n})) / {c.alpha} + {c.l2}) END")
+
+
+START_SQL = ("SELECT 0::BIGINT AS feature, 0.0::DOUBLE AS w, 0.0::DOUBLE AS z, 0.0::DOUBLE AS n, "
+             "0.0::DOUBLE AS p_count, 0.0::DOUBLE AS n_count, 0.0::DOUBLE AS g_sum WHERE false")
+
+
+def sums_sql(tag: str, rows: str, weights: str) -> str:
+    """CTE g{tag}: gradient sums per feature of ``rows`` under ``weights``."""
+    return f"""
+r{tag} AS MATERIALIZED (SELECT b.*, coalesce(w.w, 0.0) AS w FROM ({rows}) b
+  LEFT JOIN ({weights}) w USING (feature)),
+m{tag} AS (SELECT example_id, sum(w * value) AS margin FROM r{tag} GROUP BY example_id),
+p{tag} AS (SELECT example_id, {_clip('margin')} AS prob FROM m{tag}),
+g{tag} AS MATERIALIZED (SELECT feature, sum((prob - label) * value) AS g,
+  sum(((prob - label) * value) * ((prob - label) * value)) AS q,
+  CAST(sum(label) AS DOUBLE) AS p_new, CAST(sum(1 - label) AS DOUBLE) AS n_new
+  FROM r{tag} JOIN p{tag} USING (example_id) GROUP BY feature)"""
+
+
+def step_sql(tag: str, before: str, rows: str, c: L.FtrlConfig = CONFIG, counted: bool = False) -> str:
+    """CTE s{tag}: the state after one step over ``rows``, from the state ``before``."""
+    new_n = ("CASE WHEN p_count + n_count > 0 THEN p_count * n_count / (p_count + n_count) ELSE 0.0 END"
+             if counted else "n + q")
+    return sums_sql(tag, rows, f"SELECT feature, {_w('z', 'n', c)} AS w FROM ({before})") + f""",
+j{tag} AS (SELECT feature, g, q, coalesce(w, 0.0) AS w, coalesce(z, 0.0) AS z, coalesce(n, 0.0) AS n,
+  coalesce(p_count, 0.0) + coalesce(p_new, 0.0) AS p_count,
+  coalesce(n_count, 0.0) + coalesce(n_new, 0.0) AS n_count,
+  coalesce(g_sum, 0.0) + coalesce(g, 0.0) AS g_sum
+  FROM ({before}) FULL JOIN g{tag} USING (feature)),
+k{tag} AS (SELECT *, CASE WHEN g IS NULL THEN n ELSE {new_n} END AS n2 FROM j{tag}),
+z{tag} AS (SELECT *, CASE WHEN g IS NULL THEN z ELSE
+  z + g + {c.sigma_sign} * (sqrt(n2) - sqrt(n)) / {c.alpha} * ({_w('z', 'n', c)}) END AS z2 FROM k{tag}),
+s{tag} AS MATERIALIZED (SELECT feature, CASE WHEN g IS NULL THEN w ELSE {_w('z2', 'n2', c)} END AS w,
+  z2 AS z, n2 AS n, p_count, n_count, g_sum FROM z{tag})"""
+
+
+def chain_sql(batches: list[str], c: L.FtrlConfig = CONFIG, counted: bool = False, tag: str = "") -> str:
+    """CTEs s{tag}1 .. s{tag}N over row sets in order."""
+    parts, before = [], START_SQL
+    for i, rows in enumerate(batches, start=1):
+        parts.append(step_sql(f"{tag}{i}", before, rows, c, counted))
+        before = f"SELECT * FROM s{tag}{i}"
+    return ",".join(parts)
+
+
+def scored_sql(name: str, weights: str, rows: str = "SELECT * FROM ex") -> str:
+    """CTE ``name``: (example_id, label, prob, loss) of all examples under ``weights``."""
+    return f"""
+{name} AS MATERIALIZED (SELECT example_id, label, margin, 1 / (1 + exp(-margin)) AS prob,
+  -label * ln({_clip('margin')}) - (1 - label) * ln(1 - ({_clip('margin')})) AS loss
+  FROM (SELECT example_id, label, sum(coalesce(w, 0.0) * value) AS margin
+        FROM ({rows}) LEFT JOIN ({weights}) USING (feature) GROUP BY example_id, label))"""
+
+
+def batch_sql(i: int) -> str:
+    return f"SELECT * FROM ex WHERE batch = {i}"
+
+
+FIRST_HALF = "SELECT * FROM ex WHERE batch < 2"
+SECOND_HALF = "SELECT * FROM ex WHERE batch >= 2"
+WITH_EX = f"WITH {EXAMPLES_SQL},\n"
+STATE_SQL = ", ".join(["feature", *[sql6(c) for c in st.STATE_COLUMNS]])
+
+
+def state_out(state):
+    return state.select("feature", *[r6(c) for c in st.STATE_COLUMNS])
+
+
+def trained(spark, sf_dir, **how):
+    """The state after one step over the first two batches."""
+    first = examples(spark, sf_dir).where(F.col("batch") < 2)
+    return steps.ftrl_step(st.empty_state(spark), first, CONFIG, **how)
+
+
+def scored(spark, sf_dir):
+    """All events, scored and with their loss under ``trained``."""
+    return steps.validate(examples(spark, sf_dir), trained(spark, sf_dir), carry=["seq"])
+
+
+SCORED_SQL = chain_sql([FIRST_HALF]) + "," + scored_sql("scored", "SELECT feature, w FROM s1")
+
+
+# --- scoring ----------------------------------------------------------------------------
+
+
+@query("sparse_dot", WITH_EX + SCORED_SQL + f" SELECT example_id, {sql6('margin')} FROM scored")
+def sparse_dot(spark, sf_dir):
+    margins = steps.sparse_dot(examples(spark, sf_dir), trained(spark, sf_dir))
+    return margins.select("example_id", r6("margin"))
+
+
+@query("predict_label", WITH_EX + SCORED_SQL + f""" SELECT example_id, {sql6('prob')},
+  CAST(prob >= 0.2 AS BIGINT) AS predicted FROM scored""")
+def predict_label(spark, sf_dir):
+    out = steps.predict(examples(spark, sf_dir), trained(spark, sf_dir), threshold=0.2)
+    return out.select("example_id", r6("prob"), "predicted")
+
+
+@query("log_loss", WITH_EX + SCORED_SQL + f" SELECT example_id, label, {sql6('loss')} FROM scored")
+def log_loss(spark, sf_dir):
+    return scored(spark, sf_dir).select("example_id", "label", r6("loss"))
+
+
+# --- steps ------------------------------------------------------------------------------
+
+
+@query("gradient_by_feature", WITH_EX + chain_sql([FIRST_HALF]) + "," + sums_sql(
+    "x", "SELECT * FROM ex", "SELECT feature, w FROM s1") +
+    f" SELECT feature, {sql6('g')}, {sql6('q')} FROM gx")
+def gradient_by_feature(spark, sf_dir):
+    sums = steps.gradients(examples(spark, sf_dir), trained(spark, sf_dir))
+    return sums.select("feature", r6("g"), r6("q"))
+
+
+@query("ftrl_one_batch", WITH_EX + chain_sql(["SELECT * FROM ex"]) + f" SELECT {STATE_SQL} FROM s1")
+def ftrl_one_batch(spark, sf_dir):
+    return state_out(steps.ftrl_step(st.empty_state(spark), examples(spark, sf_dir), CONFIG))
+
+
+@query("ftrl_two_batches", WITH_EX + chain_sql([FIRST_HALF, SECOND_HALF]) + f" SELECT {STATE_SQL} FROM s2")
+def ftrl_two_batches(spark, sf_dir):
+    first = cut_lineage(trained(spark, sf_dir))
+    second = examples(spark, sf_dir).where(F.col("batch") >= 2)
+    return state_out(steps.ftrl_step(first, second, CONFIG, stored=True))
+
+
+@query("ftrl_approx_batch",
+       WITH_EX + chain_sql([FIRST_HALF, SECOND_HALF], counted=True) + f" SELECT {STATE_SQL} FROM s2")
+def ftrl_approx_batch(spark, sf_dir):
+    first = cut_lineage(trained(spark, sf_dir, counted=True))
+    second = examples(spark, sf_dir).where(F.col("batch") >= 2)
+    return state_out(steps.ftrl_step(first, second, CONFIG, counted=True, stored=True))
+
+
+@query("ogd_two_batches", WITH_EX + sums_sql("a", FIRST_HALF, "SELECT feature, w FROM (" + START_SQL + ")") + """,
+  w1 AS (SELECT feature, -g AS w FROM ga),""" + sums_sql("b", SECOND_HALF, "SELECT * FROM w1") + f"""
+  SELECT feature, {sql6(f'coalesce(w, 0.0) - coalesce(g, 0.0) * {1 / math.sqrt(2)!r}', 'w')}
+  FROM w1 FULL JOIN gb USING (feature)""")
+def ogd_two_batches(spark, sf_dir):
+    rows = examples(spark, sf_dir)
+    first = steps.ogd_step(st.empty_state(spark), rows.where(F.col("batch") < 2), 1)
+    second = steps.ogd_step(cut_lineage(first), rows.where(F.col("batch") >= 2), 2, stored=True)
+    return second.select("feature", r6("w"))
+
+
+COUNTS_SQL = ("SELECT feature, CAST(sum(label) AS DOUBLE) AS p_count, "
+              "CAST(sum(1 - label) AS DOUBLE) AS n_count FROM ({rows}) GROUP BY feature")
+
+
+def label_counts(rows):
+    return st.label_counts(feat.exploded(rows, ["example_id", "label"]))
+
+
+@query("pos_neg_counts", WITH_EX.rstrip(",\n") + " " + COUNTS_SQL.format(rows="SELECT * FROM ex"))
+def pos_neg_counts(spark, sf_dir):
+    return label_counts(examples(spark, sf_dir))
+
+
+@query("approx_n", WITH_EX + f"c AS ({COUNTS_SQL.format(rows='SELECT * FROM ex')}) SELECT feature, "
+       + sql6("p_count * n_count / (p_count + n_count)", "n") + " FROM c")
+def approx_n(spark, sf_dir):
+    seeded = st.seeded_state(label_counts(examples(spark, sf_dir)))
+    return seeded.select("feature", r6("n"))
+
+
+@query("count_merge", WITH_EX.rstrip(",\n") + " " + COUNTS_SQL.format(rows="SELECT * FROM ex"))
+def count_merge(spark, sf_dir):
+    rows = examples(spark, sf_dir)
+    return st.merge_counts(
+        label_counts(rows.where(F.col("batch") < 2)), label_counts(rows.where(F.col("batch") >= 2))
+    )
+
+
+@query("state_upsert", WITH_EX + chain_sql([FIRST_HALF], tag="a") + "," + chain_sql([SECOND_HALF], tag="b") + f"""
+  SELECT {STATE_SQL} FROM (SELECT * FROM sb1
+    UNION ALL SELECT * FROM sa1 WHERE feature NOT IN (SELECT feature FROM sb1))""")
+def state_upsert(spark, sf_dir):
+    later = examples(spark, sf_dir).where(F.col("batch") >= 2)
+    update = steps.ftrl_step(st.empty_state(spark), later, CONFIG)
+    return state_out(st.upsert(trained(spark, sf_dir), update))
+
+
+def _average_sql() -> str:
+    shards = ",".join(
+        chain_sql([f"{SECOND_HALF} AND example_id % {SHARDS} = {i}"], counted=True, tag=f"h{i}")
+        for i in range(SHARDS))
+    every = " UNION ALL ".join(f"SELECT * FROM sh{i}1" for i in range(SHARDS))
+    return WITH_EX + chain_sql([FIRST_HALF], counted=True) + "," + shards + f""",
+  every AS ({every}),
+  summed AS (SELECT feature, sum(w) AS w_sum, sum(z) AS z_sum, count(*) AS seen,
+    sum(p_count) AS p_new, sum(n_count) AS n_new FROM every GROUP BY feature),
+  merged AS (SELECT feature, z IS NOT NULL AS known, coalesce(w, 0.0) AS w, coalesce(z, 0.0) AS z,
+    coalesce(w_sum, 0.0) AS w_sum, coalesce(z_sum, 0.0) AS z_sum, coalesce(seen, 0) AS seen,
+    coalesce(p_count, 0.0) + coalesce(p_new, 0.0) AS p_count,
+    coalesce(n_count, 0.0) + coalesce(n_new, 0.0) AS n_count FROM s1 FULL JOIN summed USING (feature))
+  SELECT feature,
+    {sql6(f'CASE WHEN known THEN (w_sum + ({SHARDS} - seen) * w) / {SHARDS} ELSE w_sum / seen END', 'w')},
+    {sql6(f'CASE WHEN known THEN (z_sum + ({SHARDS} - seen) * z) / {SHARDS} ELSE z_sum / seen END', 'z')},
+    {sql6('p_count')}, {sql6('n_count')} FROM merged"""
+
+
+@query("shard_average", _average_sql())
+def shard_average(spark, sf_dir):
+    """Shards that each made one step of their own, averaged into an earlier state."""
+    rows = examples(spark, sf_dir)
+    later = rows.where(F.col("batch") >= 2).withColumn("shard", F.col("example_id") % SHARDS)
+    own = steps.ftrl_step(
+        st.empty_state(spark, {"shard": "bigint"}), later, CONFIG, keys=["shard"], counted=True
+    ).select("shard", "feature", "w", "z", F.col("p_count").alias("p_new"),
+             F.col("n_count").alias("n_new"), F.col("g_sum").alias("g_new"))
+    merged = st.average_shards(trained(spark, sf_dir, counted=True), own, SHARDS)
+    return merged.select("feature", r6("w"), r6("z"), r6("p_count"), r6("n_count"))
+
+
+@query("shard_train")
+def shard_train(spark, sf_dir):
+    """In-order training per shard over all events, averaged; two batches."""
+    rows = examples(spark, sf_dir)
+    first = cut_lineage(shard_step(
+        st.empty_state(spark), rows.where(F.col("batch") < 2), CONFIG, SHARDS))
+    return state_out(shard_step(first, rows.where(F.col("batch") >= 2), CONFIG, SHARDS))
+
+
+def _grid_sql() -> str:
+    chains = ",".join(chain_sql(["SELECT * FROM ex"], c, tag=f"c{i}") for i, c in enumerate(GRID))
+    return WITH_EX + chains + " " + " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS config_id, feature, {sql6('w')}, {sql6('z')}, {sql6('n')} FROM sc{i}1"
+        for i in range(len(GRID)))
+
+
+@query("config_grid", _grid_sql())
+def config_grid(spark, sf_dir):
+    rows = steps.per_config(examples(spark, sf_dir), GRID)
+    out = steps.ftrl_step(st.empty_state(spark, {"config_id": "bigint"}), rows, GRID)
+    return out.select("config_id", "feature", r6("w"), r6("z"), r6("n"))
+
+
+def _looked_up():
+    return [VALUE_FEATURE, 1]
+
+
+@query("weight_lookup", WITH_EX + chain_sql([FIRST_HALF]) + f""" SELECT feature, {sql6('w')} FROM s1
+  WHERE feature IN ({', '.join(map(str, _looked_up()))})""")
+def weight_lookup(spark, sf_dir):
+    return st.weight_of(trained(spark, sf_dir), _looked_up()).select("feature", r6("w"))
+
+
+@query("warm_start", WITH_EX + chain_sql([FIRST_HALF]) + "," + step_sql("2", """SELECT feature, 0.0::DOUBLE AS w,
+    z, CASE WHEN p_count + n_count > 0 THEN p_count * n_count / (p_count + n_count) ELSE 0.0 END AS n,
+    p_count, n_count, 0.0::DOUBLE AS g_sum FROM s1""", SECOND_HALF, counted=True) +
+    f" SELECT {STATE_SQL} FROM s2")
+def warm_start(spark, sf_dir):
+    """Train on from given z and label counts; the rates are seeded from the counts."""
+    given = trained(spark, sf_dir).select("feature", "z", "p_count", "n_count")
+    later = examples(spark, sf_dir).where(F.col("batch") >= 2)
+    return state_out(steps.ftrl_step(cut_lineage(st.seeded_state(given)), later, CONFIG,
+                                     counted=True, stored=True))
+
+
+@query("published_model", WITH_EX + chain_sql(["SELECT * FROM ex"]) +
+       f" SELECT feature, {sql6('w')} FROM s1 WHERE w <> 0")
+def published_model(spark, sf_dir):
+    state = steps.ftrl_step(st.empty_state(spark), examples(spark, sf_dir), CONFIG)
+    return st.published(state).select("feature", r6("w"))
+
+
+@query("nonzero", WITH_EX + chain_sql(["SELECT * FROM ex"]) +
+       " SELECT count(*) FILTER (w <> 0) AS nonzero FROM s1")
+def nonzero(spark, sf_dir):
+    return st.nonzero_count(steps.ftrl_step(st.empty_state(spark), examples(spark, sf_dir), CONFIG))
+
+
+# --- metrics ----------------------------------------------------------------------------
+
+
+def points_sql(source: str, by: str = "") -> str:
+    """(by, point, tpr, fpr) from rows of (label, prob)."""
+    lead = f"{by}, " if by else ""
+    return f"""SELECT {lead}point,
+    coalesce(avg(CAST(prob >= point / 10.0::DOUBLE AS INTEGER)) FILTER (label = 1), 0.0) AS tpr,
+    coalesce(avg(CAST(prob >= point / 10.0::DOUBLE AS INTEGER)) FILTER (label = 0), 0.0) AS fpr
+  FROM {source}, (SELECT unnest(range(11)) AS point) GROUP BY {lead}point"""
+
+
+def auc_sql(points: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    lead = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {lead}sum(area) AS auc FROM (SELECT {lead}
+    (lead(tpr) OVER w + tpr) / 2 * (fpr - lead(fpr) OVER w) AS area FROM {points}
+    WINDOW w AS ({part}ORDER BY point)) {group}"""
+
+
+@query("mean_loss", WITH_EX + SCORED_SQL + f" SELECT count(*) AS rows, {sql6('avg(loss)', 'loss')} FROM scored")
+def mean_loss(spark, sf_dir):
+    return metrics.evaluate(scored(spark, sf_dir)).select("rows", r6("loss"))
+
+
+@query("accuracy", WITH_EX + SCORED_SQL + f""" SELECT
+  {sql6("avg(CAST(CAST(prob >= 0.2 AS BIGINT) = label AS INTEGER))", 'accuracy')} FROM scored""")
+def accuracy(spark, sf_dir):
+    return metrics.evaluate(scored(spark, sf_dir), threshold=0.2).select(r6("accuracy"))
+
+
+@query("roc_points", WITH_EX + SCORED_SQL + f""", points AS ({points_sql('scored')})
+  SELECT point, {sql6('tpr')}, {sql6('fpr')} FROM points""")
+def roc_points(spark, sf_dir):
+    return metrics.roc_points(scored(spark, sf_dir)).select("point", r6("tpr"), r6("fpr"))
+
+
+@query("auc", WITH_EX + SCORED_SQL + f""", points AS ({points_sql('scored')}), area AS ({auc_sql('points')})
+  SELECT {sql6('auc')} FROM area""")
+def auc(spark, sf_dir):
+    return metrics.evaluate(scored(spark, sf_dir)).select(r6("auc"))
+
+
+def _rolling_sql() -> str:
+    def rate(k: int, label: int) -> str:
+        return (f"coalesce(sum(CAST(prob >= {k} / 10.0::DOUBLE AND label = {label} AS BIGINT)) OVER w "
+                f"/ nullif(sum(CAST(label = {label} AS BIGINT)) OVER w, 0), 0.0)")
+
+    rates = ", ".join(f"{rate(k, 1)} AS t{k}, {rate(k, 0)} AS f{k}" for k in range(11))
+    area = " + ".join(f"(t{k + 1} + t{k}) / 2 * (f{k} - f{k + 1})" for k in range(10))
+    return WITH_EX + SCORED_SQL + f""", rolled AS (SELECT example_id, avg(loss) OVER w AS loss,
+      avg(CAST(CAST(prob >= 0.5 AS BIGINT) = label AS INTEGER)) OVER w AS accuracy, {rates} FROM scored
+      WINDOW w AS (ORDER BY example_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
+    SELECT example_id, {sql6('loss')}, {sql6('accuracy')}, {sql6(area, 'auc')} FROM rolled"""
+
+
+@query("rolling_metrics", _rolling_sql())
+def rolling_metrics(spark, sf_dir):
+    """Metrics over the last 1000 events in order of arrival, for every event."""
+    indexed = with_dense_index(scored(spark, sf_dir), ["seq"])
+    return metrics.rolling_metrics(indexed, 1000).select(
+        "example_id", r6("loss"), r6("accuracy"), r6("auc")
+    )
+
+
+@query("every_k_report", WITH_EX + SCORED_SQL + f""", numbered AS (SELECT *,
+    (row_number() OVER (ORDER BY example_id) - 1) // 1000 AS report FROM scored),
+  points AS ({points_sql('numbered', 'report')}), area AS ({auc_sql('points', 'report')})
+  SELECT report, count(*) AS rows, {sql6('avg(loss)', 'loss')},
+    {sql6("avg(CAST(CAST(prob >= 0.5 AS BIGINT) = label AS INTEGER))", 'accuracy')}, {sql6('any_value(auc)', 'auc')}
+  FROM numbered JOIN area USING (report) GROUP BY report""")
+def every_k_report(spark, sf_dir):
+    indexed = with_dense_index(scored(spark, sf_dir), ["seq"])
+    return every_k(indexed, 1000, metrics.evaluate).select(
+        "report", "rows", r6("loss"), r6("accuracy"), r6("auc")
+    )
+
+
+def _progressive_sql() -> str:
+    chain = chain_sql([batch_sql(i) for i in range(BATCHES)])
+    scores, unions = [], []
+    for i in range(BATCHES):
+        weights = START_SQL if i == 0 else f"SELECT * FROM s{i}"
+        scores.append(scored_sql(f"v{i}", f"SELECT feature, w FROM ({weights})", batch_sql(i)))
+        unions.append(f"SELECT {i + 1} AS version, * FROM v{i}")
+    sizes = " UNION ALL ".join(
+        f"SELECT {i + 1} AS version, count(*) FILTER (w <> 0) AS nonzero FROM s{i + 1}" for i in range(BATCHES))
+    return WITH_EX + chain + "," + ",".join(scores) + f""",
+  every AS ({' UNION ALL '.join(unions)}), points AS ({points_sql('every', 'version')}),
+  area AS ({auc_sql('points', 'version')}), sizes AS ({sizes})
+  SELECT version, count(*) AS rows, {sql6('avg(loss)', 'loss')},
+    {sql6("avg(CAST(CAST(prob >= 0.5 AS BIGINT) = label AS INTEGER))", 'accuracy')},
+    {sql6('any_value(auc)', 'auc')}, any_value(nonzero) AS nonzero
+  FROM every JOIN area USING (version) JOIN sizes USING (version) GROUP BY version"""
+
+
+@query("progressive_by_batch", _progressive_sql())
+def progressive_by_batch(spark, sf_dir):
+    """Each batch scored with the model of the batches before it, then learned from."""
+    store = StateStore(spark, new_folder(spark, "progressive"))
+    training.train_series(store, examples(spark, sf_dir), "batch", CONFIG)
+    return training.summary(store).select(
+        F.col("version").cast("int").alias("version"), "rows", r6("loss"), r6("accuracy"), r6("auc"), "nonzero"
+    )
+
+
+# --- scoring a table --------------------------------------------------------------------
+
+WORD_SPACE = Namespace("word", 1 << 20)
+WORD_CONFIG = L.FtrlConfig(alpha=0.05, beta=1.0, l1=0.5, l2=1.0)
+
+
+DOC_SQL = f"""WITH {TOKENS_SQL},
+ex AS MATERIALIZED (SELECT DISTINCT doc_id AS example_id, quality::BIGINT AS label,
+  {sql_bucket('feature', 1 << 20)} AS feature, 1.0::DOUBLE AS value
+  FROM tokens LEFT JOIN labels USING (doc_id)),
+"""
+
+
+@query("score_submission", DOC_SQL + chain_sql(["SELECT * FROM ex WHERE label IS NOT NULL"], WORD_CONFIG)
+       + "," + scored_sql("scored", "SELECT feature, w FROM s1 WHERE w <> 0",
+                          "SELECT * FROM ex WHERE label IS NULL")
+       + f" SELECT CAST(example_id AS VARCHAR) || ',' || printf('%.8f', {_clip('margin')}) AS line FROM scored")
+def score_submission(spark, sf_dir):
+    """Learn quality from the labelled documents and score the others."""
+    words = F.array_distinct(F.transform(
+        F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda t: t != ""),
+        lambda t: feat.bucket(t, WORD_SPACE, MD5),
+    ))
+    features = F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0))))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("example_id"), "label", features.alias("features"))
+    state = cut_lineage(steps.ftrl_step(
+        st.empty_state(spark), docs.where(F.col("label").isNotNull()), WORD_CONFIG))
+    scores = score(docs.where(F.col("label").isNull()).drop("label"), state, stored=True)
+    return scores.select(score_line().alias("line"))
