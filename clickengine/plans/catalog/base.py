@@ -70,7 +70,11 @@ def sql_bucket(text: str, size: int, offset: int = 0) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the code ``k`` of ``props`` and the decile ``v`` of ``value``."""
-    return table(spark, sf_dir, "events").select(
+    return with_codes(table(spark, sf_dir, "events"))
+
+
+def with_codes(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.floor(F.col("value") / 10).cast("bigint").alias("v"),

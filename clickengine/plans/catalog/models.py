@@ -51,8 +51,11 @@ ex AS MATERIALIZED (""" + " UNION ALL ".join(
 
 
 def examples(spark, sf_dir):
-    """Purchases among events: (example_id, seq, batch, label, features)."""
-    base = events(spark, sf_dir)
+    """Purchases among events: (example_id, seq, batch, k, label, features)."""
+    return to_examples(events(spark, sf_dir))
+
+
+def to_examples(base):
     groups = [
         feat.indicators([F.expr(text.format(text="STRING", hour="date_format(ts, 'HH')"))],
                         Namespace(name, size, offset), MD5)
@@ -63,7 +66,7 @@ def examples(spark, sf_dir):
         F.col("event_id").alias("example_id"), F.col("event_id").alias("seq"),
         F.floor((F.dayofmonth("ts") - 1) / 6).cast("bigint").alias("batch"),
         (F.col("event_type") == "purchase").cast("bigint").alias("label"),
-        F.col("event_type"), feat.as_map(*groups, number).alias("features"),
+        "k", feat.as_map(*groups, number).alias("features"),
     )
 
 

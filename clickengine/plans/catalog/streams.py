@@ -1,0 +1,120 @@
+"""Queries that read ``events`` as a stream, run it to its end and return what it stored."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators.skew import attach
+from ...session import new_folder
+from ...sources.examples import libsvm_line
+from ...sources.store import StateStore
+from ...sources.streams import file_parquet
+from ...streaming import hourly, keyed, trainer
+from .. import training
+from .base import RAW_SQL, ORACLES, events, query, r6, sql_ts, text_ts, with_codes
+from .models import CONFIG, SHARDS, state_out, to_examples
+
+HOURS_SQL = f"""SELECT user_id, {sql_ts("date_trunc('hour', ts)", 'window_start')},
+  {sql_ts("date_trunc('hour', ts) + INTERVAL 1 HOUR", 'window_end')}, count(*) AS n
+  FROM events GROUP BY user_id, date_trunc('hour', ts)"""
+
+
+def event_stream(spark, sf_dir):
+    return with_codes(file_parquet(spark, sf_dir, "events.parquet"))
+
+
+def _hours_out(counts):
+    return counts.select("user_id", text_ts("window_start"), text_ts("window_end"), "n")
+
+
+@query("stream_hour_counts", HOURS_SQL)
+def stream_hour_counts(spark, sf_dir):
+    folder = new_folder(spark, "stream-hours")
+    hourly.start_hour_increments(
+        event_stream(spark, sf_dir), ["user_id"], "ts", f"{folder}/counts", f"{folder}/checkpoint",
+        seconds=None,
+    ).awaitTermination()
+    return _hours_out(hourly.read_hour_increments(spark, f"{folder}/counts", ["user_id"]))
+
+
+@query("stream_windowed_counts", HOURS_SQL)
+def stream_windowed_counts(spark, sf_dir):
+    """The same with running totals in the stream's state, open for a month of log."""
+    folder = new_folder(spark, "stream-windows")
+    counts = hourly.windowed_counts(event_stream(spark, sf_dir), ["user_id"], "ts", "31 days")
+    hourly.start_windowed_counts(
+        counts, f"{folder}/counts", f"{folder}/checkpoint", seconds=None
+    ).awaitTermination()
+    return _hours_out(hourly.read_windowed_counts(spark, f"{folder}/counts", ["user_id"]))
+
+
+@query("stream_previous_hour", f"""WITH {RAW_SQL}, h AS (SELECT user_id,
+    date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour, count(*) AS hour_count FROM raw GROUP BY ALL)
+  SELECT event_id, user_id, hour_count FROM (SELECT *, date_trunc('hour', ts) AS hour FROM raw)
+  LEFT JOIN h USING (user_id, hour)""")
+def stream_previous_hour(spark, sf_dir):
+    """Rows joined to the counts a stream has kept of the hour before."""
+    folder = new_folder(spark, "stream-previous")
+    hourly.start_hour_increments(
+        event_stream(spark, sf_dir), ["user_id"], "ts", f"{folder}/counts", f"{folder}/checkpoint",
+        seconds=None,
+    ).awaitTermination()
+    counts = hourly.read_hour_increments(spark, f"{folder}/counts", ["user_id"])
+    lookup = hourly.previous_hour_lookup(counts, ["user_id"], "hour", "hour_count")
+    now = counts.select("user_id", F.col("window_start").alias("hour"), "n")
+    rows = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    return attach(rows, lookup, ["user_id", "hour"], ["event_id"], counts=now).select(
+        "event_id", "user_id", "hour_count"
+    )
+
+
+@query("stream_foreach_batch", ORACLES["ftrl_one_batch"])
+def stream_foreach_batch(spark, sf_dir):
+    """Events as a stream of examples; one file is one batch, so one step."""
+    folder = new_folder(spark, "stream-train")
+    store = StateStore(spark, f"{folder}/model")
+    trainer.start_trainer(
+        to_examples(event_stream(spark, sf_dir)), store, CONFIG, f"{folder}/checkpoint", seconds=None
+    ).awaitTermination()
+    return state_out(store.load())
+
+
+@query("stream_envelopes", ORACLES["ftrl_one_batch"])
+def stream_envelopes(spark, sf_dir):
+    """The same examples sent as LIBSVM lines in JSON envelopes."""
+    folder = new_folder(spark, "stream-text")
+    lines = to_examples(event_stream(spark, sf_dir)).select(
+        "example_id", F.to_json(F.struct(libsvm_line().alias("payload"))).alias("value")
+    )
+    store = StateStore(spark, f"{folder}/model")
+    trainer.start_text_trainer(
+        lines, store, f"{folder}/rejects", CONFIG, f"{folder}/checkpoint", seconds=None
+    ).awaitTermination()
+    return state_out(store.load())
+
+
+@query("stream_shard_train")
+def stream_shard_train(spark, sf_dir):
+    """In-order training per shard on each micro-batch, averaged."""
+    folder = new_folder(spark, "stream-shards")
+    store = StateStore(spark, f"{folder}/model")
+    trainer.start_trainer(
+        to_examples(event_stream(spark, sf_dir)), store, CONFIG, f"{folder}/checkpoint",
+        step=training.sharded(SHARDS), seconds=None,
+    ).awaitTermination()
+    return state_out(store.load())
+
+
+@query("stream_keyed_state")
+def stream_keyed_state(spark, sf_dir):
+    """One model per segment of codes, held in the stream's state."""
+    folder = new_folder(spark, "stream-keyed")
+    rows = to_examples(event_stream(spark, sf_dir)).withColumn(
+        "segment", F.concat(F.lit("s"), (F.col("k") % 4).cast("string"))
+    )
+    models = keyed.keyed_models(rows, "segment", CONFIG, SHARDS)
+    keyed.start_publishing(models, f"{folder}/updates", f"{folder}/checkpoint", seconds=None).awaitTermination()
+    updates = spark.read.parquet(f"{folder}/updates")
+    merged = keyed.merged_models(updates, "segment")
+    rows = attach(merged, keyed.model_steps(updates, "segment"), ["segment"], ["feature"], "inner")
+    return rows.select("segment", "steps", "feature", r6("w"))

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.logistic import FtrlConfig
 from ..operators.inorder import Cell, advance
 from ..operators.sampling import with_shard
+from .trainer import triggered
 
 _STATE = "steps bigint, features array<bigint>, z array<double>, n array<double>"
 
@@ -61,8 +63,23 @@ def keyed_models(
     )
 
 
+def start_publishing(
+    models: DataFrame, path: str, checkpoint: str, seconds: float | None = 1
+) -> StreamingQuery:
+    """Write the weights each batch changed, and the steps behind them, under ``path/batch=<id>``."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = (
+        models.writeStream.outputMode("update").foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+    )
+    return triggered(writer, seconds).start()
+
+
 def merged_models(updates: DataFrame, key: str) -> DataFrame:
-    """(key, feature, w, steps): the last update of each shard, averaged per feature.
+    """(key, feature, w): the last update of each shard, averaged per feature.
 
     ``updates`` is the stream's output; ``steps`` only grows, so the largest is the last.
     """

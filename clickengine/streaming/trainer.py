@@ -20,9 +20,14 @@ def triggered(writer: DataStreamWriter, seconds: float | None) -> DataStreamWrit
 
 
 def parse_stream(values: DataFrame) -> DataFrame:
-    """Envelope texts to label, features and validity; ``example_id`` hashes the text."""
-    parsed = parse_libsvm(unwrap_envelope(values))
-    return parsed.withColumn("example_id", F.xxhash64("value"))
+    """Envelope texts of one micro-batch to label, features and validity.
+
+    Equal texts are different examples, so a source without ids gets the row's place in
+    the batch, which is the same when the batch is read again.
+    """
+    if "example_id" not in values.columns:
+        values = values.withColumn("example_id", F.monotonically_increasing_id())
+    return parse_libsvm(unwrap_envelope(values))
 
 
 def start_trainer(
