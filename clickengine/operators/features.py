@@ -1,7 +1,7 @@
 """Sparse features: groups of (hashed id, value) pairs built from columns.
 
 A group is a Python list of ``Feature``; only ``as_map`` turns groups into a column, so
-a whole feature set is one projection that Spark compiles.
+a whole feature set is one projection.
 """
 
 from __future__ import annotations
@@ -11,15 +11,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import Namespace, bucket
+from ..functions.hashing import Namespace, bucket, text_hash
 
 FEATURE_MAP = "map<bigint,double>"
 
 
 @dataclass(frozen=True)
 class Feature:
-    key: Column
+    """A value under the hash of ``text`` within ``space``, or under a given ``number``."""
+
     value: Column
+    text: Column | None = None
+    space: Namespace | None = None
+    method: str = "xxhash64"
+    number: Column | None = None
+
+    @property
+    def key(self) -> Column:
+        if self.number is not None:
+            return self.number
+        return bucket(self.text, self.space, self.method)
 
 
 def prefixed(columns: dict[str, str]) -> list[Column]:
@@ -29,17 +40,19 @@ def prefixed(columns: dict[str, str]) -> list[Column]:
 
 def indicators(texts: list[Column], space: Namespace, method: str = "xxhash64") -> list[Feature]:
     """Each text as a feature of value 1."""
-    return [Feature(bucket(t, space, method), F.lit(1.0)) for t in texts]
+    return [Feature(F.lit(1.0), t, space, method) for t in texts]
 
 
 def named_values(
     values: dict[str, Column], space: Namespace, method: str = "xxhash64"
 ) -> list[Feature]:
     """Numbers under the hash of their names."""
-    return [
-        Feature(bucket(F.lit(name), space, method), value.cast("double"))
-        for name, value in values.items()
-    ]
+    return [Feature(v.cast("double"), F.lit(name), space, method) for name, v in values.items()]
+
+
+def numbered(number: int, value: Column) -> Feature:
+    """A value under an id of its own."""
+    return Feature(value.cast("double"), number=F.lit(number).cast("bigint"))
 
 
 def crossed_values(
@@ -49,23 +62,20 @@ def crossed_values(
 
     The key is made of the feature id and the text, not of the value.
     """
-    return [
-        Feature(bucket(F.concat(F.lit("t"), f.key.cast("string"), t), space, method), f.value)
-        for f in group
-        for t in texts
-    ]
+    out = []
+    for f in group:
+        lead = F.concat(F.lit("t"), f.key.cast("string"))
+        out += [Feature(f.value, F.concat(lead, t), space, method) for t in texts]
+    return out
 
 
 def crossed_tag(
     group: list[Feature], tag: Column, space: Namespace, method: str = "xxhash64"
 ) -> list[Feature]:
     """Every feature of ``group`` with one tag (such as the hour), of value 1."""
+    tail = F.concat(F.lit("+"), tag.cast("string"))
     return [
-        Feature(
-            bucket(F.concat(f.key.cast("string"), F.lit("+"), tag.cast("string")), space, method),
-            F.lit(1.0),
-        )
-        for f in group
+        Feature(F.lit(1.0), F.concat(f.key.cast("string"), tail), space, method) for f in group
     ]
 
 
@@ -80,14 +90,37 @@ def vector_entries(
 def as_map(*groups: list[Feature]) -> Column:
     """Merge groups into one map; a later feature replaces an earlier one of the same id.
 
-    Features with a null id or value are left out.
+    Features with a null id or value are left out. The texts are hashed by one expression
+    over the array of features: an expression per feature makes generated methods too
+    large for the JVM to compile.
     """
-    pairs = [
-        F.when(f.key.isNotNull() & f.value.isNotNull(), F.struct(f.key.alias("k"), f.value.alias("v")))
-        for group in groups
-        for f in group
-    ]
-    return F.map_from_entries(F.array_compact(F.array(*pairs))).cast(FEATURE_MAP)
+    features = [f for group in groups for f in group]
+    methods = {f.method for f in features if f.number is None}
+    if len(methods) > 1:
+        raise ValueError("features of one map must share a hash method")
+    given = any(f.number is not None for f in features)
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def entry(f: Feature) -> Column:
+        fields = [f.value.alias("v")]
+        if methods:
+            space = f.space or Namespace("given", 1)
+            fields += [(no_text if f.text is None else f.text).alias("t"),
+                       F.lit(space.size).cast("bigint").alias("size"),
+                       F.lit(space.offset).cast("bigint").alias("offset")]
+        if given:
+            fields.append((no_number if f.number is None else f.number).alias("number"))
+        return F.struct(*fields)
+
+    def keyed(e: Column) -> Column:
+        keys = [e["number"]] if given else []
+        if methods:
+            keys.append(F.pmod(text_hash(e["t"], next(iter(methods))), e["size"]) + e["offset"])
+        return F.struct((F.coalesce(*keys) if len(keys) > 1 else keys[0]).alias("k"), e["v"].alias("v"))
+
+    pairs = F.transform(F.array(*[entry(f) for f in features]), keyed)
+    present = F.filter(pairs, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    return F.map_from_entries(present).cast(FEATURE_MAP)
 
 
 def merged(*maps: str | Column) -> Column:

@@ -39,29 +39,43 @@ def keep_after_sightings(
     return seen.where(place >= F.col("__from")).drop("__from")
 
 
-def sketch_cells(feature: str | Column, depth: int, width: int, hashes) -> list[Column]:
-    """The cell of each of ``depth`` rows of a ``width``-wide sketch that a feature falls in."""
-    feature = F.col(feature) if isinstance(feature, str) else feature
-    return [
-        F.lit(i * width).cast("bigint")
-        + F.pmod(hashes(F.concat_ws(":", F.lit(str(i)), feature.cast("string"))), F.lit(width).cast("bigint"))
+def hash_pair(feature: Column) -> tuple[Column, Column]:
+    return F.xxhash64(feature), F.xxhash64(feature, F.lit(1))
+
+
+def with_sketch_cells(
+    rows: DataFrame, feature: str, depth: int, width: int, hashes=hash_pair
+) -> DataFrame:
+    """Add ``__cells``: where a feature falls in each of ``depth`` rows of a ``width``-wide sketch.
+
+    All rows derive from two hashes: the i-th is the first plus i times the second. The
+    hashes get columns of their own so that they are computed once per row.
+    """
+    wide = F.lit(width).cast("bigint")
+    first, second = hashes(F.col(feature))
+    hashed = rows.withColumn("__h1", F.pmod(first, wide)).withColumn("__h2", F.pmod(second, wide))
+    cells = [
+        F.lit(i * width).cast("bigint") + (F.col("__h1") + F.col("__h2") * i) % wide
         for i in range(depth)
     ]
+    return hashed.withColumn("__cells", F.array(*cells)).drop("__h1", "__h2")
 
 
 def count_min_table(
-    rows: DataFrame, feature: str = "feature", depth: int = 4, width: int = 4096, hashes=F.xxhash64
+    rows: DataFrame, feature: str = "feature", depth: int = 4, width: int = 4096, hashes=hash_pair
 ) -> DataFrame:
     """(cell, n): a count-min sketch of at most ``depth * width`` rows."""
-    cells = F.array(*sketch_cells(feature, depth, width, hashes))
-    return rows.select(F.explode(cells).alias("cell")).groupBy("cell").agg(
+    # The outer form keeps Spark from adding a filter on the array's size, which would
+    # compute the hashes a second time. The array is never empty.
+    cells = with_sketch_cells(rows.where(F.col(feature).isNotNull()), feature, depth, width, hashes)
+    return cells.select(F.explode_outer("__cells").alias("cell")).groupBy("cell").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def count_min_estimate(
     rows: DataFrame, table: DataFrame, feature: str = "feature", depth: int = 4,
-    width: int = 4096, hashes=F.xxhash64, name: str = "estimate",
+    width: int = 4096, hashes=hash_pair, name: str = "estimate",
 ) -> DataFrame:
     """Add the sketch's count of each row's feature, never below the true count.
 
@@ -75,17 +89,15 @@ def count_min_estimate(
         .agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
         .select(F.col("c.n"))
     )
-    lookups = [
-        F.element_at(dense.scalar(), (c + F.lit(1)).cast("int"))
-        for c in sketch_cells(feature, depth, width, hashes)
-    ]
-    estimate = F.least(*lookups) if len(lookups) > 1 else lookups[0]
-    return rows.withColumn(name, estimate)
+    cells = with_sketch_cells(rows, feature, depth, width, hashes)
+    lookups = [F.get(dense.scalar(), F.col("__cells")[i].cast("int")) for i in range(depth)]
+    estimate = F.least(*lookups) if depth > 1 else lookups[0]
+    return cells.withColumn(name, estimate).drop("__cells")
 
 
 def keep_frequent_approx(
     rows: DataFrame, at_least: int, feature: str = "feature", depth: int = 4, width: int = 4096,
-    hashes=F.xxhash64,
+    hashes=hash_pair,
 ) -> DataFrame:
     """Rows whose feature's sketch count reaches ``at_least``; may keep a rarer one."""
     table = count_min_table(rows, feature, depth, width, hashes)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # size, which is what makes the list of them safe to broadcast.
 HEAVY_ROWS = 1_000_000
 HEAVY_SHARE = 0.0001
+# Keys are counted on one row in SAMPLE_EVERY, told by a hash of the row's id, so both
+# sides of the join see the same heavy keys. Which keys are sliced changes no result.
+SAMPLE_EVERY = 64
 # A stored lookup is broadcast up to this many rows and this many bytes of text.
 BROADCAST_ROWS = 500_000
 BROADCAST_TEXT = 32 << 20
@@ -17,13 +20,17 @@ BROADCAST_TEXT = 32 << 20
 
 def heavy_keys(
     counts: DataFrame, on: list[str], n: str = "n", heavy_rows: int = HEAVY_ROWS,
-    heavy_share: float = HEAVY_SHARE,
+    heavy_share: float = HEAVY_SHARE, scale: int = 1,
 ) -> DataFrame:
-    """Heavy keys of a (keys, n) table with the number of slices each is to be cut into."""
+    """Heavy keys of a (keys, n) table with the number of slices each is to be cut into.
+
+    ``scale`` is how many rows each counted row stands for.
+    """
     total = counts.agg(F.sum(n))
+    rows = F.col(n) * F.lit(scale)
     return counts.where(
-        (F.col(n) > F.lit(heavy_rows)) & (F.col(n) > total.scalar() * F.lit(heavy_share))
-    ).select(*on, F.ceil(F.col(n) / F.lit(heavy_rows)).cast("bigint").alias("__slices"))
+        (rows > F.lit(heavy_rows)) & (F.col(n) > total.scalar() * F.lit(heavy_share))
+    ).select(*on, F.ceil(rows / F.lit(heavy_rows)).cast("bigint").alias("__slices"))
 
 
 def attach(
@@ -35,24 +42,31 @@ def attach(
     counts: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
     heavy_share: float = HEAVY_SHARE,
+    sample_every: int = SAMPLE_EVERY,
 ) -> DataFrame:
     """Join ``lookup`` (one row per key) to ``rows``, cutting heavy keys into slices.
 
     Rows of a heavy key are dealt over its slices by a hash of ``spread`` (columns that
     tell rows apart, so a recomputed task deals them alike), and the one lookup row of
     that key is repeated per slice. Other keys keep a single slice. ``counts`` may hand
-    in (keys, n) when the number of rows per key is already known.
+    in (keys, n) when the number of rows per key is already known; otherwise keys are
+    counted on a sample, which reads the rows' source again but little else.
     """
-    if counts is None:
-        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    heavy = F.broadcast(heavy_keys(counts, on, "n", heavy_rows, heavy_share))
     deal = F.xxhash64(*spread)
+    scale = 1
+    if counts is None:
+        some = rows.where(F.pmod(deal, F.lit(sample_every).cast("bigint")) == 0)
+        counts = some.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        scale = sample_every
+    heavy = F.broadcast(heavy_keys(counts, on, "n", heavy_rows, heavy_share, scale))
     null_key = F.lit(False)
     for key in on:
         null_key = null_key | F.col(key).isNull()
-    # A null key never matches, so its rows may go anywhere.
-    slice_no = F.when(null_key, deal).otherwise(
-        F.pmod(deal, F.coalesce("__slices", F.lit(1).cast("bigint")))
+    # A null key never matches, so its rows may go anywhere. Slices are dealt by another
+    # hash than the sample.
+    dealt = F.xxhash64(deal, F.lit(1))
+    slice_no = F.when(null_key, dealt).otherwise(
+        F.pmod(dealt, F.coalesce("__slices", F.lit(1).cast("bigint")))
     )
     left = rows.join(heavy, on, "left").withColumn("__slice", slice_no).drop("__slices")
     last = F.coalesce("__slices", F.lit(1).cast("bigint")) - F.lit(1).cast("bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.hashing import text_hash
 from ...functions.identity import NOT_AN_APP, UNKNOWN_DEVICE, with_identity
 from ...session import configure
+from ...sources.logs import spread_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +71,7 @@ def sql_bucket(text: str, size: int, offset: int = 0) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the code ``k`` of ``props`` and the decile ``v`` of ``value``."""
-    return with_codes(table(spark, sf_dir, "events"))
+    return with_codes(spread_out(table(spark, sf_dir, "events"), "event_id"))
 
 
 def with_codes(rows: DataFrame) -> DataFrame:

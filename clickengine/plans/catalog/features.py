@@ -14,11 +14,12 @@ from ...operators.counts import count_by, past_rate
 from ...operators.skew import attach_stored
 from ...operators.topics import user_topics, with_default_topics
 from ...session import cut_lineage
+from ...sources.logs import spread_out
 from ...sources.examples import libsvm_line, parse_libsvm, unwrap_envelope
 from .. import feature_sets as sets
 from .. import prepare
 from .base import (
-    RAW_SQL, clean, events, md5_hash, query, r6, raw_log, sql6, sql_bucket, sql_hash, table,
+    RAW_SQL, clean, events, query, r6, raw_log, sql6, sql_bucket, sql_hash, table,
 )
 from .preparation import PREPARED_SQL, PREVIOUS_DAY_SQL, VECTORS_SQL, WITH_LOG, prepared, user_vectors
 
@@ -32,7 +33,7 @@ HOUR_SPACE = Namespace("hour", 1000000, 4000000)
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem")
+    return spread_out(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 def _line_texts_sql() -> list[str]:
@@ -335,7 +336,7 @@ TOKENS_SQL = """tokens AS (SELECT doc_id, place, feature FROM (
 def tokens(spark, sf_dir):
     """Every word of every document with its place."""
     words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
-    return table(spark, sf_dir, "documents").select(
+    return spread_out(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.posexplode(words).alias("place", "feature")
     ).where(F.col("feature") != "").withColumn("place", F.col("place").cast("bigint"))
 
@@ -364,11 +365,19 @@ def rare_filter_progressive(spark, sf_dir):
 DEPTH, WIDTH = 4, 8192
 
 
+def md5_pair(feature):
+    def part(start):
+        return F.conv(F.substring(F.md5(feature), start, 8), 16, 10).cast("bigint")
+
+    return part(1), part(9)
+
+
 def _sketch_sql() -> str:
     words = "words AS (SELECT feature, count(*) AS n FROM tokens GROUP BY feature)"
+    first, second = (f"CAST('0x' || substr(md5(feature), {i}, 8) AS BIGINT) % {WIDTH}" for i in (1, 9))
     cells = ", ".join(
-        f"c{i} AS (SELECT feature, sum(n) OVER (PARTITION BY "
-        f"{sql_hash(f'''{repr(f'{i}:')} || feature''')} % {WIDTH}) AS n FROM words)" for i in range(DEPTH))
+        f"c{i} AS (SELECT feature, sum(n) OVER (PARTITION BY ({first} + {i} * ({second})) % {WIDTH}) AS n "
+        f"FROM words)" for i in range(DEPTH))
     joins = " ".join(f"JOIN c{i} USING (feature)" for i in range(DEPTH))
     least = ", ".join(f"c{i}.n" for i in range(DEPTH))
     return f"""WITH {TOKENS_SQL}, {words}, {cells},
@@ -379,7 +388,7 @@ def _sketch_sql() -> str:
 @query("rare_filter_count_min", _sketch_sql())
 def rare_filter_count_min(spark, sf_dir):
     return _per_doc(frequency.keep_frequent_approx(
-        tokens(spark, sf_dir), 10, depth=DEPTH, width=WIDTH, hashes=md5_hash))
+        tokens(spark, sf_dir), 10, depth=DEPTH, width=WIDTH, hashes=md5_pair))
 
 
 # --- text forms -------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ...operators.ordering import every_k, with_dense_index
 from ...operators.shards import shard_step
 from ...session import cut_lineage, new_folder
 from ...sources.examples import score_line
+from ...sources.logs import spread_out
 from ...sources.store import StateStore
 from .. import training
 from ..scoring import score
@@ -61,7 +62,7 @@ def to_examples(base):
                         Namespace(name, size, offset), MD5)
         for name, text, size, offset in INDICATORS
     ]
-    number = [feat.Feature(F.lit(VALUE_FEATURE).cast("bigint"), F.col("value") / 100)]
+    number = [feat.numbered(VALUE_FEATURE, F.col("value") / 100)]
     return base.select(
         F.col("event_id").alias("example_id"), F.col("event_id").alias("seq"),
         F.floor((F.dayofmonth("ts") - 1) / 6).cast("bigint").alias("batch"),
@@ -485,7 +486,7 @@ def score_submission(spark, sf_dir):
     ))
     features = F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0))))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+    docs = spread_out(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("example_id"), "label", features.alias("features"))
     state = cut_lineage(steps.ftrl_step(
         st.empty_state(spark), docs.where(F.col("label").isNotNull()), WORD_CONFIG))

@@ -24,7 +24,7 @@ def parse_libsvm(df: DataFrame, column: str = "line") -> DataFrame:
     them; of a repeated index the last value holds. A line that does not parse keeps
     null features and ``valid`` false.
     """
-    parts = F.split(F.trim(F.col(column)), " +")
+    parts = F.col("__parts")
     pairs = F.transform(
         F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda p: F.struct(
@@ -32,14 +32,21 @@ def parse_libsvm(df: DataFrame, column: str = "line") -> DataFrame:
             _number(F.get(F.split(p, ":"), F.lit(1)), "double").alias("v"),
         ),
     )
-    label = _number(F.get(parts, F.lit(0)), "int")
-    sound = label.isNotNull() & F.forall(pairs, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
-    valid = F.coalesce(sound, F.lit(False))
-    return df.select(
-        "*",
-        F.when(valid, label).alias("label"),
-        F.when(valid, F.map_from_entries(pairs)).cast(FEATURE_MAP).alias("features"),
-        valid.alias("valid"),
+    sound = F.col("__label").isNotNull() & F.forall(
+        "__pairs", lambda e: e["k"].isNotNull() & e["v"].isNotNull()
+    )
+    # Columns of their own, so that a line is taken apart once.
+    staged = (
+        df.withColumn("__parts", F.split(F.trim(F.col(column)), " +"))
+        .withColumn("__label", _number(F.get(parts, F.lit(0)), "int"))
+        .withColumn("__pairs", pairs)
+        .withColumn("valid", F.coalesce(sound, F.lit(False)))
+    )
+    return staged.select(
+        *df.columns,
+        F.when(F.col("valid"), F.col("__label")).alias("label"),
+        F.when(F.col("valid"), F.map_from_entries("__pairs")).cast(FEATURE_MAP).alias("features"),
+        "valid",
     )
 
 

@@ -25,7 +25,7 @@ def spark(tmp_path_factory):
 
 
 # Settings that make almost every key of a small fixture a heavy one.
-HEAVY = {"heavy_rows": 3, "heavy_share": 0.0}
+HEAVY = {"heavy_rows": 3, "heavy_share": 0.0, "sample_every": 1}
 
 
 @pytest.fixture

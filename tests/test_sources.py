@@ -103,10 +103,15 @@ def test_written_lines_and_scores(spark, tmp_path):
 
 
 def test_later_feature_group_wins(spark):
-    one = [feat.Feature(F.lit(5), F.lit(1.0)), feat.Feature(F.lit(6), F.lit(1.0))]
-    two = [feat.Feature(F.lit(5), F.lit(9.0)), feat.Feature(F.lit(None).cast("bigint"), F.lit(1.0))]
+    one = [feat.numbered(5, F.lit(1.0)), feat.numbered(6, F.lit(1.0))]
+    two = [feat.numbered(5, F.lit(9.0)), feat.numbered(7, F.lit(None).cast("double"))]
     got = spark.range(1).select(feat.as_map(one, two).alias("m")).first()["m"]
     assert got == {5: 9.0, 6: 1.0}
+    space = feat.Namespace("s", 1, 20)
+    texts = feat.indicators([F.lit("a"), F.lit(None).cast("string")], space)
+    later = feat.named_values({"b": F.lit(3.0)}, space)
+    got = spark.range(1).select(feat.as_map(one, texts, later).alias("m")).first()["m"]
+    assert got == {5: 1.0, 6: 1.0, 20: 3.0}
 
 
 def test_samples_and_shards(spark):
