@@ -18,13 +18,24 @@ PROB_CEILING = 0.999999999999
 
 @dataclass(frozen=True)
 class FtrlConfig:
-    """Hyper-parameters; ``sigma_sign=+1`` flips the published sign of the sigma term."""
+    """Hyper-parameters; ``sigma_sign=+1`` flips the published sign of the sigma term.
+
+    ``square`` says what a mini-batch adds to ``n``: the squares of each ``example``'s
+    gradient, or the square of the whole ``batch``'s gradient. Both are the published
+    update for batches of one. The second keeps large batches from overshooting: a batch
+    of B like examples moves z by B gradients, but n by only B squares of the first kind.
+    """
 
     alpha: float = 5.0
     beta: float = 1.0
     l1: float = 0.0
     l2: float = 0.0
     sigma_sign: int = -1
+    square: str = "example"
+
+    def __post_init__(self):
+        if self.square not in ("example", "batch"):
+            raise ValueError("square must be 'example' or 'batch'")
 
     def columns(self) -> "Rates":
         return Rates(*(F.lit(float(v)) for v in (self.alpha, self.beta, self.l1, self.l2)),

@@ -27,16 +27,38 @@ def keep_after_sightings(
     feature before the shuffle, so a feature with most of the rows costs no more than
     another. The rows are then compared with the place of their feature's k-th sighting.
     """
-    place = F.struct(*order)
-    by_feature = Window.partitionBy(feature).orderBy(*order)
-    kth = (
-        rows.select(feature, *order)
-        .withColumn("__rank", F.row_number().over(by_feature))
-        .where(F.col("__rank") == at_least)
-        .select(feature, place.alias("__from"))
-    )
+    kth = kth_sighting(rows, at_least, order, feature)
     seen = attach(rows, kth, [feature], order, "inner", **heavy)
-    return seen.where(place >= F.col("__from")).drop("__from")
+    return seen.where(F.struct(*order) >= F.col("__from")).drop("__from")
+
+
+def kth_sighting(rows: DataFrame, k: int, order: list[str], feature: str) -> DataFrame:
+    """(feature, __from): the place in ``order`` of each feature's k-th row."""
+    by_feature = Window.partitionBy(feature).orderBy(*order)
+    ranked = rows.select(feature, *order).withColumn("__rank", F.row_number().over(by_feature))
+    return ranked.where(F.col("__rank") == k).select(feature, F.struct(*order).alias("__from"))
+
+
+def thin_examples(examples: DataFrame, at_least: int, progressive: bool = True, **heavy) -> DataFrame:
+    """Examples (example_id, seq, label, features, ...) without the rare features of the batch.
+
+    A feature stays from its ``at_least``-th sighting on, or, if not ``progressive``,
+    wherever it has that many sightings in the whole batch. An example keeps its row when
+    all its features go.
+    """
+    others = [c for c in examples.columns if c != "features"]
+    rows = examples.select(*others, F.explode_outer("features").alias("feature", "value"))
+    known = rows.where(F.col("feature").isNotNull())
+    if progressive:
+        kept = kth_sighting(known, at_least, ["seq", "example_id"], "feature")
+        stays = F.struct("seq", "example_id") >= F.col("__from")
+    else:
+        kept = count_by(known, ["feature"]).where(F.col("n") >= at_least).select("feature", "n")
+        stays = F.col("n").isNotNull()
+    marked = attach(rows, kept, ["feature"], ["example_id"], **heavy)
+    # The list holds at most what the example's own row held before.
+    entry = F.when(stays, F.struct("feature", "value"))
+    return marked.groupBy(*others).agg(F.map_from_entries(F.collect_list(entry)).alias("features"))
 
 
 def hash_pair(feature: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from ..functions.logistic import FtrlConfig
 from .features import exploded
 from .inorder import Cell, advance, counted
 from .sampling import with_shard
-from .skew import attach
+from .skew import attach, attach_stored
 from .state import average_shards
 
 DEFAULT_SHARDS = 8
@@ -55,12 +55,13 @@ def _in_order(config: FtrlConfig):
 
 def train_shards(
     state: DataFrame, examples: DataFrame, config: FtrlConfig, shards: int = DEFAULT_SHARDS,
-    **heavy,
+    stored: bool = False, **heavy,
 ) -> DataFrame:
     """(shard, feature, w, z, p_new, n_new, g_new) of examples with a ``seq`` order.
 
     Spark joins each example to the state of its own features first, so a task gets the
-    slice of the model its shard touches and reads its examples as a stream.
+    slice of the model its shard touches and reads its examples as a stream. ``stored``
+    says that the state lies in storage, so that a small one is broadcast.
     """
     rows = exploded(with_shard(examples, "example_id", shards), ["shard", "seq", "example_id", "label"])
     known = state.select("feature", "z", "p_count", "n_count")
@@ -69,8 +70,9 @@ def train_shards(
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("z", "p_count", "n_count")],
     )
     # The lists gather again what one example row held before it was exploded.
+    join = attach_stored if stored else attach
     ready = (
-        attach(rows.where(F.col("feature").isNotNull()), known, ["feature"], ["example_id"], **heavy)
+        join(rows.where(F.col("feature").isNotNull()), known, ["feature"], ["example_id"], **heavy)
         .groupBy("shard", "seq", "example_id", "label")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         .repartition(shards, "shard")

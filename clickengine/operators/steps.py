@@ -31,6 +31,14 @@ def _rates(config: L.FtrlConfig | list[L.FtrlConfig]) -> L.Rates:
     return L.Rates(*(pick(f) for f in ("alpha", "beta", "l1", "l2", "sigma_sign")))
 
 
+def _squares(config: L.FtrlConfig | list[L.FtrlConfig]) -> Column:
+    whole = F.col("g") * F.col("g")
+    if isinstance(config, L.FtrlConfig):
+        return whole if config.square == "batch" else F.col("q")
+    ids = [i for i, c in enumerate(config) if c.square == "batch"]
+    return F.when(F.col("config_id").isin(ids), whole).otherwise(F.col("q")) if ids else F.col("q")
+
+
 def per_config(examples: DataFrame, configs: list[L.FtrlConfig]) -> DataFrame:
     """Repeat each example per configuration, numbered by ``config_id``."""
     return examples.withColumn(
@@ -133,9 +141,10 @@ def ftrl_step(
         "n_count", F.col("n_count") + F.col("n_new")
     )
     seen = F.col("g").isNotNull()
-    grown = (
-        L.counted_n(F.col("p_count"), F.col("n_count")) if counted else F.col("n") + F.col("q")
-    )
+    if counted:
+        grown = L.counted_n(F.col("p_count"), F.col("n_count"))
+    else:
+        grown = F.col("n") + _squares(config)
     moved = counts.withColumn("__n", F.when(seen, grown).otherwise(F.col("n"))).withColumn(
         "__z",
         F.when(

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from ...functions.binning import heavy_user, log_bin
 from ...functions.hashing import Namespace, bucket
 from ...functions.identity import with_identity
-from ...functions.times import with_time_columns
 from ...operators import features as feat
 from ...operators import frequency
-from ...operators.counts import count_by, past_rate
-from ...operators.skew import attach_stored
+from ...operators.counts import count_by
 from ...operators.topics import user_topics, with_default_topics
-from ...session import cut_lineage
 from ...sources.logs import spread_out
 from ...sources.examples import libsvm_line, parse_libsvm, unwrap_envelope
 from .. import feature_sets as sets
@@ -214,18 +211,14 @@ def count_feature_set(spark, sf_dir):
     return _set_rows(log, sets.count_features(MD5))
 
 
-RATE_KEYS = {"C14": "c14_rate", "C17": "c17_rate", "pub_id": "pub_id_rate",
-             "pub_category": "pub_category_rate"}
-
-
 def _rate_ctes() -> str:
     ctes = [
         f"""r{i} AS (SELECT {key}, dt, CAST(sum(p) OVER w AS DOUBLE) / sum(a) OVER w AS {name}
         FROM (SELECT {key}, dt, count(*) AS a, sum(CAST(click AS BIGINT)) AS p FROM clean GROUP BY ALL)
         WINDOW w AS (PARTITION BY {key} ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-        for i, (key, name) in enumerate(RATE_KEYS.items())
+        for i, (key, name) in enumerate(prepare.RATED_KEYS.items())
     ]
-    joins = " ".join(f"LEFT JOIN r{i} USING ({key}, dt)" for i, key in enumerate(RATE_KEYS))
+    joins = " ".join(f"LEFT JOIN r{i} USING ({key}, dt)" for i, key in enumerate(prepare.RATED_KEYS))
     return f"{', '.join(ctes)}, rated AS (SELECT * FROM clean {joins})"
 
 
@@ -253,18 +246,9 @@ def _rate_set_sql() -> str:
     ])
 
 
-def rated_log(spark, sf_dir):
-    rows = with_time_columns(clean(spark, sf_dir))
-    log = rows
-    for key, name in RATE_KEYS.items():
-        rates = cut_lineage(past_rate(rows, [key], "dt", "click", name).drop("past_rows"))
-        log = attach_stored(log, rates, [key, "dt"], ["id"])
-    return log
-
-
 @query("rate_feature_set", _rate_set_sql())
 def rate_feature_set(spark, sf_dir):
-    return _set_rows(rated_log(spark, sf_dir), sets.rate_features(MD5))
+    return _set_rows(prepare.prepare_with_rates(clean(spark, sf_dir)), sets.rate_features(MD5))
 
 
 def _topic_log(spark, sf_dir):

@@ -9,9 +9,12 @@ from ..functions.hashing import text_hash
 from ..functions.identity import IMPRESSION_PARTS, composite_key, with_identity
 from ..functions.times import packed_hour_of_day, with_time_columns
 from ..operators.bags import PIECE_TOKENS, bag_runs, bag_text, set_signature
-from ..operators.counts import available_periods, user_history, with_previous_available
-from ..operators.skew import attach
+from ..operators.counts import (
+    available_periods, past_rate, user_history, with_previous_available,
+)
+from ..operators.skew import attach, attach_stored
 from ..operators.topics import user_topics, with_topics
+from ..session import cut_lineage
 from ..sources.logs import union_aligned
 
 
@@ -95,6 +98,25 @@ def prepare_with_day_counts(log: DataFrame, stored: bool = True, **heavy) -> Dat
     return rows.where(F.col("d") > parts.agg(F.min("d")).scalar())
 
 
+# Key columns whose past click rate is joined, with the name of the rate.
+RATED_KEYS = {"C14": "c14_rate", "C17": "c17_rate", "pub_id": "pub_id_rate",
+              "pub_category": "pub_category_rate"}
+
+
+def prepare_with_rates(log: DataFrame, **heavy) -> DataFrame:
+    """A cleaned log with each key's click rate over all earlier days, or null.
+
+    The rates have one row per key and day and are stored first, so that the log is not
+    shuffled for the short ones.
+    """
+    timed = with_time_columns(log)
+    rows = timed
+    for key, name in RATED_KEYS.items():
+        rates = cut_lineage(past_rate(timed, [key], "dt", "click", name).drop("past_rows"))
+        rows = attach_stored(rows, rates, [key, "dt"], ["id"], **heavy)
+    return rows
+
+
 def prepare_with_topics(log: DataFrame, topics: DataFrame | None = None, **settings) -> DataFrame:
     """A cleaned log with each user's topics; users without topics are dropped."""
     return with_topics(log, user_topics(log, **settings) if topics is None else topics, ["id"])

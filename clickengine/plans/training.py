@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.logistic import FtrlConfig
 from ..operators.metrics import evaluate
+from ..operators.ordering import with_dense_index
 from ..operators.sampling import by_hash
-from ..operators.shards import DEFAULT_SHARDS, shard_step
+from ..operators.shards import shard_count, shard_step
 from ..operators.state import empty_state
 from ..operators.steps import ftrl_step, validate
 from ..sources.store import StateStore
@@ -29,11 +30,11 @@ def counted_minibatch(state: DataFrame, batch: DataFrame, config: FtrlConfig) ->
     return ftrl_step(state, batch, config, counted=True, stored=True)
 
 
-def sharded(shards: int = DEFAULT_SHARDS) -> Step:
-    """In-order training per shard, averaged."""
+def sharded(shards: int | None = None) -> Step:
+    """In-order training per shard, averaged; the batch's size sets the number if none is given."""
 
     def step(state: DataFrame, batch: DataFrame, config: FtrlConfig) -> DataFrame:
-        return shard_step(state, batch, config, shards)
+        return shard_step(state, batch, config, shards or shard_count(batch), stored=True)
 
     return step
 
@@ -79,20 +80,28 @@ def ordered_batches(
     return values[:take] if take >= 0 else values[take:]
 
 
+def batches_of(examples: DataFrame, rows: int) -> DataFrame:
+    """Add ``batch``: consecutive examples in order of ``seq``, ``rows`` to a batch."""
+    indexed = with_dense_index(examples, ["seq", "example_id"], "__idx")
+    return indexed.withColumn("batch", F.floor(F.col("__idx") / rows)).drop("__idx")
+
+
 def train_series(
     store: StateStore, examples: DataFrame, column: str, config: FtrlConfig,
     step: Step = minibatch, batches: Iterable | None = None, sample_ratio: float = 1.0,
-    start: DataFrame | None = None,
+    start: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """One model version per value of ``column``, in order.
 
     Each batch is a filter on the batch column, which prunes to one partition when the
-    examples come from a table partitioned by it.
+    examples come from a table partitioned by it. ``thin`` may drop features of a batch.
     """
     for version, value in enumerate(
         ordered_batches(examples, column) if batches is None else batches, start=1
     ):
         batch = examples.where(F.col(column) == F.lit(value))
+        if thin is not None and not store.has(version):
+            batch = thin(batch)
         train_batch(store, version, batch, config, step, sample_ratio, start, str(value))
 
 

@@ -53,6 +53,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).parquet(path)
+
+
 def read_hour(spark: SparkSession, path: str, hour: int | str) -> DataFrame:
     """One hour partition; the ``hour`` column stays and other partitions are not listed for data."""
     return spark.read.parquet(path).where(F.col("hour") == int(hour))

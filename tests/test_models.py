@@ -89,6 +89,20 @@ def test_batches_equal_the_plain_update(spark, heavy, counted, sign):
         assert close(as_dict(second, "z", "n", "p_count", "n_count"), plain_dict(want))
 
 
+def test_square_of_the_batch_gradient(spark):
+    """Both kinds agree on one example; on many equal ones the second does not overshoot."""
+    rows = [(1, {1: 1.0})] * 400
+    weights = {}
+    for kind in ("example", "batch"):
+        c = L.FtrlConfig(alpha=1.0, square=kind)
+        one = steps.ftrl_step(st.empty_state(spark), make(spark, rows[:1]), c)
+        many = steps.ftrl_step(st.empty_state(spark), make(spark, rows), c)
+        weights[kind] = as_dict(one, "w")[1][0], as_dict(many, "w")[1][0]
+    assert weights["example"][0] == weights["batch"][0] == pytest.approx(1 / 3)
+    assert weights["example"][1] == pytest.approx(200 / 11)
+    assert weights["batch"][1] == pytest.approx(200 / 201)
+
+
 def test_batches_of_one_are_the_sequential_update(spark):
     rows = clicks(6)
     s = st.empty_state(spark)
@@ -104,7 +118,7 @@ def test_example_without_features_scores_half(spark):
 
 
 def test_grid_equals_models_trained_alone(spark):
-    grid = [CONFIG, replace(CONFIG, alpha=0.1, l1=0.0), replace(CONFIG, beta=3.0, sigma_sign=1)]
+    grid = [CONFIG, replace(CONFIG, alpha=0.1, l1=0.0), replace(CONFIG, beta=3.0, sigma_sign=1, square="batch")]
     rows = steps.per_config(make(spark, clicks()), grid)
     both = st.empty_state(spark, {"config_id": "bigint"})
     for _ in range(2):
