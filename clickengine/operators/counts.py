@@ -29,13 +29,15 @@ def with_previous_hour(
 ) -> DataFrame:
     """Add the number of rows of the same key in the hour before; null when there were none.
 
-    ``ts`` must be the start of the hour. The counts of an hour serve twice: shifted by
-    one window they are the lookup, unshifted they tell which (key, hour) is heavy.
+    ``ts`` must be the start of the hour, so it is the window's start already. The counts
+    of an hour serve twice: shifted by one window they are the lookup, unshifted they
+    tell which (key, hour) is heavy.
     """
-    counts = hour_counts(df, keys, ts)
-    lookup = counts.select(*keys, F.col("window_end").alias(ts), F.col("n").alias(name))
-    now = counts.select(*keys, F.col("window_start").alias(ts), "n")
-    return attach(df, lookup, [*keys, ts], spread, counts=now, **heavy)
+    counts = count_by(df, [*keys, ts])
+    lookup = counts.select(
+        *keys, (F.col(ts) + F.expr("INTERVAL 1 HOUR")).alias(ts), F.col("n").alias(name)
+    )
+    return attach(df, lookup, [*keys, ts], spread, counts=counts, **heavy)
 
 
 def with_previous_day(
@@ -55,7 +57,7 @@ def user_history(df: DataFrame, key: str, ts: str = "date_time") -> DataFrame:
     exactly one hour or one day back, so a log needs a single join to get both. A key's
     window holds one row per hour of log, however many rows the key has.
     """
-    hourly = df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"))
+    hourly = df.dropna(subset=[key, ts]).groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"))
     numbered = hourly.withColumn("__hour", F.floor(F.unix_timestamp(ts) / 3600)).withColumn(
         "__day", F.floor(F.unix_timestamp(ts) / 86400)
     )

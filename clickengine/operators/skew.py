@@ -54,10 +54,14 @@ def attach(
     """
     deal = F.xxhash64(*spread)
     scale = 1
+    # Keys are cleared of nulls up front, as the join would do, so that the counts and
+    # their total come out as one plan and Spark computes them once.
     if counts is None:
         some = rows.where(F.pmod(deal, F.lit(sample_every).cast("bigint")) == 0)
-        counts = some.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        counts = some.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
         scale = sample_every
+    else:
+        counts = counts.dropna(subset=on)
     heavy = F.broadcast(heavy_keys(counts, on, "n", heavy_rows, heavy_share, scale))
     null_key = F.lit(False)
     for key in on:

@@ -103,8 +103,10 @@ def gradients(
     keys = keys or []
     rows = weighted_rows(examples, weights, keys, ["example_id", "label"], **heavy)
     one_example = Window.partitionBy(*keys, "example_id")
-    margin = F.sum(F.col("w") * F.col("value")).over(one_example)
-    scored = rows.withColumn("prob", L.clipped(L.sigmoid(margin))).where(F.col("feature").isNotNull())
+    summed = rows.withColumn("margin", F.sum(F.col("w") * F.col("value")).over(one_example))
+    scored = summed.where(F.col("feature").isNotNull()).withColumn(
+        "prob", L.clipped(L.sigmoid(F.col("margin")))
+    )
     g = L.gradient(F.col("label"), F.col("prob"), F.col("value"))
     label = F.col("label").cast("double")
     return scored.groupBy(*keys, "feature").agg(
