@@ -55,12 +55,10 @@ def small_log(spark):
 def test_prepared_log_does_not_depend_on_slicing(spark, heavy):
     plain, sliced = prepare.prepare_log(small_log(spark)), prepare.prepare_log(small_log(spark), **heavy)
     assert plain.count() == 24 and rows_of(plain) == rows_of(sliced, *plain.columns)
-    for stored in (True, False):
-        counted = prepare.prepare_with_day_counts(small_log(spark), stored=stored, **heavy)
-        assert counted.count() == 16
-        assert rows_of(counted, "id", *prepare.COUNTED_KEYS.values(), "user_count", "user_hour_count") == rows_of(
-            prepare.prepare_with_day_counts(small_log(spark)), "id", *prepare.COUNTED_KEYS.values(),
-            "user_count", "user_hour_count")
+    columns = ["id", *prepare.COUNTED_KEYS.values(), "user_count", "user_hour_count"]
+    whole = rows_of(prepare.prepare_with_day_counts(small_log(spark)), *columns)
+    counted = prepare.prepare_with_day_counts(small_log(spark), stored=False, **heavy)
+    assert len(whole) == 16 and rows_of(counted, *columns) == whole
 
 
 def test_feature_sets_stay_in_their_ranges(spark):
