@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,31 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the library relies on to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark application.
+
+    The driver may have found it through its own ``sys.path``, which workers do not share.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_clickengine_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    out.write(full, os.path.join(name, os.path.relpath(full, here)))
+    context.addPyFile(path)
+    context._clickengine_shipped = True
+
+
 def build_session(app: str = "clickengine", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
