@@ -136,7 +136,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) ->
     rare = F.slice(F.filter(_strings(w for w, _ in by_word), lambda w: F.array_contains("present", w)), 1, RARE_WORDS)
     rows = rows.select("*", F.array_intersect("words", _strings(w for w, _ in by_word)).alias("present"))
     rows = rows.select("row", "doc_id", "words", rare.alias("rare"), base_places().alias("base"))
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    # Joined once per document, and only where some indexed word stands.
+    rows = rows.select("*", F.when(
+        F.size("rare") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("spaced"))
     nothing = F.array().cast("array<struct<word:string,at:int>>")
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
@@ -149,9 +151,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) ->
         F.array_min(F.transform("base", lambda b: b["at"])).cast("bigint").alias("first_word"),
         F.array_max(F.transform("base", lambda b: b["at"])).cast("bigint").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))).alias("base_list"),
-        F.when(F.size("rare") > 0, F.filter(
-            _strings(phrases), lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" ")))
-        )).alias("phrases"),
+        F.array_compact(F.array(*[
+            F.when(F.contains("spaced", F.lit(f" {p} ")), F.lit(p)) for p in phrases
+        ])).alias("phrases"),
         F.when(F.size("rare") > 0, hits).otherwise(nothing).alias("hits"),
     )
     facts = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_list"]
