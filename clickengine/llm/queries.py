@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, licenses, pieces, quality
+from . import chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, templates
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,42 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     )
 
 
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = personal.find(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in personal.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    """Benchmark items found in documents."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_minmax_dedup")
+def op5(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles are similar."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    """Importance weight, drawn key and verdict of every document."""
+    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_chat_format")
 def op7(spark, sf_dir):
     """Digests of every conversation, read back from its formatted segments."""
@@ -70,7 +106,20 @@ def op7(spark, sf_dir):
     return chat.read_back(chat.format_segments(turns.unionByName(planted)))
 
 
+@query("op8_line_templates")
+def op8(spark, sf_dir):
+    """Every document without the lines whose template recurs, and how many went."""
+    docs = templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query("op9_license_scan")
 def op9(spark, sf_dir):
     """Places of the base phrases, license labels and score of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_score")
+def op10(spark, sf_dir):
+    """Unigram base and partial-matching score of every document."""
+    return ppm.score(table(spark, sf_dir, "documents"))
