@@ -19,7 +19,7 @@ from ..sources.store import StateStore
 from . import feature_sets as sets
 from . import prepare
 from .scoring import score
-from .training import Step, batches_of, ordered_batches, sharded, train_series
+from .training import Step, batches_of, chosen, ordered_batches, sharded, train_series
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,7 @@ RECIPES = {
 }
 CATEGORY_CONFIG = FtrlConfig(alpha=10, beta=1, l1=2)
 CATEGORY_ROWS = 1_000_000
+SHARDS = 8
 
 
 def ingest(spark: SparkSession, csv: str, path: str, labelled: bool = True,
@@ -82,26 +83,38 @@ def build_topic_tables(
 
 
 def train_by_hour(
-    spark: SparkSession, path: str, model: str, recipe: Recipe, step: Step = sharded(),
-    method: str = "xxhash64",
+    spark: SparkSession, path: str, model: str, recipe: Recipe, step: Step = sharded(SHARDS),
+    method: str = "xxhash64", keep: int | None = None,
 ) -> StateStore:
-    """One model version per hour of a prepared table."""
-    table = logs.read_table(spark, path).where(F.col("click").isNotNull())
-    hours = ordered_batches(table, "hour", recipe.skip, recipe.take)
+    """One model version per hour of a prepared table; hours learned before are left out.
+
+    Hours are listed from the table's partitions, of which those without a labelled row at
+    the end are not counted.
+    """
+    whole = logs.read_table(spark, path)
+    table = whole.where(F.col("click").isNotNull())
+    listed = ordered_batches(whole, "hour")
+    while listed and table.where(F.col("hour") == F.lit(listed[-1])).isEmpty():
+        listed.pop()
+    hours = chosen(listed, recipe.skip, recipe.take)
     sampled = by_hash(table, F.xxhash64("id"), recipe.sample) if recipe.sample < 1 else table
     examples = sets.to_examples(sampled, recipe.features(method), carry=["hour"])
     k = recipe.min_sightings
-    store = StateStore(spark, model)
+    store = StateStore(spark, model, keep)
     train_series(store, examples, "hour", recipe.config, step, hours,
-                 thin=None if k is None else lambda batch: thin_examples(batch, k))
+                 thin=None if k is None else lambda batch: thin_examples(batch, k),
+                 source=path, partitioned=True)
     return store
 
 
 def train_by_rows(
     spark: SparkSession, path: str, topics: str, model: str, config: FtrlConfig = CATEGORY_CONFIG,
-    rows: int = CATEGORY_ROWS, step: Step = sharded(), method: str = "xxhash64",
+    rows: int = CATEGORY_ROWS, step: Step = sharded(SHARDS), method: str = "xxhash64",
 ) -> StateStore:
-    """One model version per ``rows`` rows of a log, in order of hour and id."""
+    """One model version per ``rows`` rows of a log, in order of hour and id.
+
+    Every call learns from all rows of the log it is given.
+    """
     log = prepare.clean_log([logs.read_table(spark, path)])
     wide = with_default_topics(log, logs.read_table(spark, topics), ["id"])
     examples = sets.to_examples(wide, sets.category_features(method), carry=["hour"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -61,8 +62,8 @@ def build_session(app: str = "clickengine", master: str | None = None, **conf) -
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a folder of its own; a cluster session
-    without it is refused, since a driver-local folder would lose data there.
+    A session whose executors are threads of the driver gets a folder of its own without the
+    setting; any other is refused, since a driver-local folder would lose data there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -72,7 +73,7 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="clickengine-")
     spark.sparkContext.setCheckpointDir(root)
@@ -84,6 +85,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever Spark can write."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and forget its lineage."""
     shared_root(df.sparkSession)

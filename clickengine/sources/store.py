@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import nonzero_count
+from ..session import remove_folder
 
 
 class StateStore:
     """State tables ``state/version=k`` with a row in ``meta/version=k`` written last.
 
-    A version counts as there once its meta row is. Writing a version again replaces it,
-    so a repeated batch leaves one result.
+    A version counts as there once its meta row is, which also names the batch it learned
+    from and that batch's source. ``keep`` bounds how many state tables stay; meta and
+    metrics stay for all versions.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+        if keep is not None and keep < 1:
+            raise ValueError("at least the last version has to stay")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
 
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/version={version}"
@@ -35,19 +40,27 @@ class StateStore:
         meta = self._read("meta")
         return None if meta is None else meta.agg(F.max("version")).first()[0]
 
-    def has(self, version: int) -> bool:
+    def learned(self, source: str, batch: str) -> bool:
+        """Whether a version has learned from this batch of this source."""
         meta = self._read("meta")
-        return meta is not None and not meta.where(F.col("version") == version).isEmpty()
+        return meta is not None and not meta.where(
+            (F.col("source") == source) & (F.col("batch_name") == batch)
+        ).isEmpty()
 
-    def save(self, version: int, state: DataFrame, **settings) -> DataFrame:
+    def save(
+        self, version: int, state: DataFrame, source: str = "", batch: str = "", **settings
+    ) -> DataFrame:
         """Write a version and read it back, without the lineage that led to it."""
         path = self._path("state", version)
         state.write.mode("overwrite").parquet(path)
         written = self.spark.read.schema(state.schema).parquet(path)
         meta = nonzero_count(written).select(
-            "nonzero", *[F.lit(v).alias(k) for k, v in settings.items()]
+            "nonzero", F.lit(source).alias("source"), F.lit(batch).alias("batch_name"),
+            *[F.lit(v).alias(k) for k, v in settings.items()],
         )
         meta.write.mode("overwrite").parquet(self._path("meta", version))
+        if self.keep is not None and version > self.keep:
+            remove_folder(self.spark, self._path("state", version - self.keep))
         return written
 
     def load(self, version: int | None = None) -> DataFrame:

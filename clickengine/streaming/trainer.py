@@ -27,6 +27,8 @@ def parse_stream(values: DataFrame) -> DataFrame:
     """
     if "example_id" not in values.columns:
         values = values.withColumn("example_id", F.monotonically_increasing_id())
+    if "seq" not in values.columns:
+        values = values.withColumn("seq", F.col("example_id"))
     return parse_libsvm(unwrap_envelope(values))
 
 
@@ -36,12 +38,12 @@ def start_trainer(
 ) -> StreamingQuery:
     """Train on each micro-batch of (example_id, label, features).
 
-    The model version is the batch id plus one. A batch that Spark delivers again after a
-    failure finds its version stored and changes nothing.
+    A batch is told by the stream's checkpoint and its id there, so one that Spark delivers
+    again after a failure changes nothing, and a new stream goes on from the last version.
     """
 
     def learn(batch: DataFrame, batch_id: int) -> None:
-        train_batch(store, batch_id + 1, batch, config, step, sample_ratio)
+        train_batch(store, batch, config, step, sample_ratio, source=checkpoint, batch_name=str(batch_id))
 
     writer = examples.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint)
     return triggered(writer, seconds).start()
@@ -57,7 +59,8 @@ def start_text_trainer(
         parsed = parse_stream(batch).persist()
         try:
             rejected(parsed, ["value"]).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-            train_batch(store, batch_id + 1, accepted(parsed), config, step, sample_ratio)
+            train_batch(store, accepted(parsed), config, step, sample_ratio,
+                        source=checkpoint, batch_name=str(batch_id))
         finally:
             parsed.unpersist()
 
