@@ -1,76 +1,28 @@
-"""Per-key bags of items, as run lengths, as text and as a signature."""
+"""Per-key bags of items: as counts and as a signature."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import attach
-
-# Tokens one text row may hold. Longer bags come in several pieces.
-PIECE_TOKENS = 100_000
-
 
 def bag_runs(df: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item, n): the whole bag, combined before the shuffle."""
-    return df.groupBy(key, item).agg(F.count(F.lit(1)).alias("n"))
-
-
-def bag_pieces(
-    runs: DataFrame, key: str, item: str, piece_tokens: int = PIECE_TOKENS, **heavy
-) -> DataFrame:
-    """(key, piece, pieces, run): runs cut to ``piece_tokens`` copies and dealt over pieces.
+    """(key, item, n): the whole bag, combined before the shuffle.
 
-    A key with up to ``piece_tokens`` tokens has the single piece 0. A longer bag gets as
-    many pieces as its size asks for, so neither a row nor a task holds all of it.
+    A row per key and item, so a bag of any size has the same form.
     """
-    limit = F.lit(piece_tokens).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    sizes = runs.groupBy(key).agg(F.sum("n").alias("__tokens"))
-    sized = attach(runs, sizes, [key], [item], **heavy)
-    parts = sized.withColumn(
-        "__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - one) / limit)))
-    )
-    copies = F.least(limit, F.col("n") - F.col("__part") * limit)
-    pieces = F.ceil(F.col("__tokens") / limit).cast("bigint")
-    return parts.select(
-        key,
-        F.pmod(F.xxhash64(item, "__part"), pieces).alias("piece"),
-        pieces.alias("pieces"),
-        F.struct(F.col(item).alias("item"), copies.cast("int").alias("copies")).alias("run"),
-    )
-
-
-def _tokens() -> Column:
-    """Sorted tokens of one piece, each repeated as often as its run says."""
-    runs = F.array_sort(F.collect_list("run"))
-    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["item"], r["copies"])))
-
-
-def bag_tokens(runs: DataFrame, key: str, item: str, piece_tokens: int = PIECE_TOKENS,
-               **heavy) -> DataFrame:
-    """(key, piece, pieces, tokens) with duplicates kept."""
-    pieces = bag_pieces(runs, key, item, piece_tokens, **heavy)
-    return pieces.groupBy(key, "piece", "pieces").agg(_tokens().alias("tokens"))
+    return df.where(F.col(item).isNotNull()).groupBy(key, item).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bag_text(
-    df: DataFrame, key: str, item: str, keep_duplicates: bool, name: str = "bag",
-    piece_tokens: int = PIECE_TOKENS, **heavy,
-) -> DataFrame:
-    """(key, piece, pieces, text): a key's bag or set of items, sorted, joined by spaces."""
-    runs = bag_runs(df.where(F.col(item).isNotNull()), key, item)
-    if not keep_duplicates:
-        runs = runs.withColumn("n", F.lit(1).cast("bigint"))
-    return bag_tokens(runs, key, item, piece_tokens, **heavy).select(
-        key, "piece", "pieces", F.concat_ws(" ", "tokens").alias(name)
-    )
+def bag_set(df: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item): the distinct items of each key."""
+    return df.where(F.col(item).isNotNull()).select(key, item).distinct()
 
 
-def set_signature(runs: DataFrame, key: str, item_hash: Column, name: str = "bag_id") -> DataFrame:
-    """One long per key that is equal for equal sets of items.
+def set_signature(items: DataFrame, key: str, item_hash: Column, name: str = "bag_id") -> DataFrame:
+    """One long per key that is equal for equal sets of (key, item).
 
     The exclusive or of the item hashes combines before the shuffle and needs constant
     room, so it can stand for the set of a key that holds any share of the data.
     """
-    return runs.groupBy(key).agg(F.bit_xor(item_hash).alias(name))
+    return items.groupBy(key).agg(F.bit_xor(item_hash).alias(name))

@@ -76,7 +76,7 @@ def available_periods(df: DataFrame, period: str) -> DataFrame:
 
     One row per calendar day or hour, whatever the number of log rows; a hundred years of
     hours are under a million rows. That is why the window may be global and the table
-    may be broadcast.
+    may be broadcast; ``period`` must be such a column.
     """
     order = Window.orderBy(period)
     return df.select(period).distinct().select(
@@ -107,7 +107,7 @@ def with_previous_available(
         *on, F.col("following").alias(period), F.col("n").alias(name)
     )
     if stored:
-        return attach_stored(df, cut_lineage(lookup), [*on, period], spread, **heavy)
+        return attach_stored(df, cut_lineage(lookup), [*on, period], spread, counts=counts, **heavy)
     return attach(df, lookup, [*on, period], spread, counts=counts, **heavy)
 
 
@@ -129,15 +129,6 @@ def past_rate(df: DataFrame, keys: list[str], dt: str, label: str, name: str = "
     )
 
 
-def with_past_rate(
-    df: DataFrame, keys: list[str], spread: list[str], dt: str, label: str, name: str, **heavy
-) -> DataFrame:
-    """Add ``past_rate`` of the row's key and day."""
-    rates = past_rate(df, keys, dt, label, name).drop("past_rows")
-    counts = count_by(df, [*keys, dt])
-    return attach(df, rates, [*keys, dt], spread, counts=counts, **heavy)
-
-
 def distinct_sorted(df: DataFrame, column: str, prefix: int | None = None) -> DataFrame:
     """Distinct values in ascending order, optionally of the first ``prefix`` characters."""
     value = F.col(column)

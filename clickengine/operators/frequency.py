@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,63 +67,58 @@ def hash_pair(feature: Column) -> tuple[Column, Column]:
     return F.xxhash64(feature), F.xxhash64(feature, F.lit(1))
 
 
-def with_sketch_cells(
-    rows: DataFrame, feature: str, depth: int, width: int, hashes=hash_pair
-) -> DataFrame:
-    """Add ``__cells``: where a feature falls in each of ``depth`` rows of a ``width``-wide sketch.
+def sketch_size(total: int, over: float, miss: float = 0.01) -> tuple[int, int]:
+    """(depth, width) of a count-min sketch of ``total`` sightings whose counts exceed the
+    true ones by more than ``over`` with a probability of at most ``miss``."""
+    return max(1, math.ceil(math.log(1 / miss))), max(1, math.ceil(math.e * total / over))
+
 
-    All rows derive from two hashes: the i-th is the first plus i times the second. The
-    hashes get columns of their own so that they are computed once per row.
+def _cells(features: DataFrame, feature: str, depth: int, width: int, hashes) -> DataFrame:
+    """``features`` with a row per ``cell`` that the feature falls in, one in each of ``depth`` rows.
+
+    All rows of the sketch derive from two hashes: the i-th is the first plus i times the second.
     """
     wide = F.lit(width).cast("bigint")
     first, second = hashes(F.col(feature))
-    hashed = rows.withColumn("__h1", F.pmod(first, wide)).withColumn("__h2", F.pmod(second, wide))
-    cells = [
-        F.lit(i * width).cast("bigint") + (F.col("__h1") + F.col("__h2") * i) % wide
-        for i in range(depth)
-    ]
-    return hashed.withColumn("__cells", F.array(*cells)).drop("__h1", "__h2")
+    hashed = features.withColumn("__h1", F.pmod(first, wide)).withColumn("__h2", F.pmod(second, wide))
+    row = F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.lit(depth - 1).cast("bigint")))
+    cell = F.col("__row") * wide + (F.col("__h1") + F.col("__h2") * F.col("__row")) % wide
+    return hashed.withColumn("__row", row).withColumn("cell", cell).drop("__h1", "__h2", "__row")
 
 
 def count_min_table(
-    rows: DataFrame, feature: str = "feature", depth: int = 4, width: int = 4096, hashes=hash_pair
+    rows: DataFrame, feature: str, depth: int, width: int, hashes=hash_pair
 ) -> DataFrame:
-    """(cell, n): a count-min sketch of at most ``depth * width`` rows."""
-    # The outer form keeps Spark from adding a filter on the array's size, which would
-    # compute the hashes a second time. The array is never empty.
-    cells = with_sketch_cells(rows.where(F.col(feature).isNotNull()), feature, depth, width, hashes)
-    return cells.select(F.explode_outer("__cells").alias("cell")).groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """(cell, n): a count-min sketch of at most ``depth * width`` rows. Sightings are added up
+    per feature before they reach the cells."""
+    counts = count_by(rows.where(F.col(feature).isNotNull()), [feature], "__n")
+    return _cells(counts, feature, depth, width, hashes).groupBy("cell").agg(F.sum("__n").alias("n"))
 
 
 def count_min_estimate(
-    rows: DataFrame, table: DataFrame, feature: str = "feature", depth: int = 4,
-    width: int = 4096, hashes=hash_pair, name: str = "estimate",
+    features: DataFrame, table: DataFrame, feature: str, depth: int, width: int, hashes=hash_pair,
+    name: str = "estimate",
 ) -> DataFrame:
-    """Add the sketch's count of each row's feature, never below the true count.
+    """(feature, estimate) of distinct features: the sketch's count, never below the true one.
 
-    The table has ``depth * width`` cells whatever the data, so it travels as one array
-    and the rows themselves are not shuffled.
+    The sketch is joined as the table it is, whatever its size.
     """
-    spark = rows.sparkSession
-    dense = (
-        spark.range(depth * width).withColumnRenamed("id", "cell")
-        .join(table, "cell", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
-        .select(F.col("c.n"))
-    )
-    cells = with_sketch_cells(rows, feature, depth, width, hashes)
-    lookups = [F.get(dense.scalar(), F.col("__cells")[i].cast("int")) for i in range(depth)]
-    estimate = F.least(*lookups) if depth > 1 else lookups[0]
-    return cells.withColumn(name, estimate).drop("__cells")
+    cells = _cells(features.select(feature).where(F.col(feature).isNotNull()).distinct(), feature, depth, width, hashes)
+    return cells.join(table, "cell", "left").groupBy(feature).agg(F.min(F.coalesce("n", F.lit(0))).alias(name))
 
 
 def keep_frequent_approx(
-    rows: DataFrame, at_least: int, feature: str = "feature", depth: int = 4, width: int = 4096,
-    hashes=hash_pair,
+    rows: DataFrame, at_least: int, spread: list[str], feature: str = "feature",
+    over: float | None = None, miss: float = 0.01, hashes=hash_pair, **heavy,
 ) -> DataFrame:
-    """Rows whose feature's sketch count reaches ``at_least``; may keep a rarer one."""
+    """Rows whose feature's sketch count reaches ``at_least``.
+
+    No frequent feature goes; a rarer one stays with a probability of at most ``miss`` if it is
+    ``over`` (half of ``at_least`` by default) sightings short. The sketch grows with the rows.
+    """
+    total = rows.where(F.col(feature).isNotNull()).count()
+    depth, width = sketch_size(total, at_least / 2 if over is None else over, miss)
     table = count_min_table(rows, feature, depth, width, hashes)
     estimated = count_min_estimate(rows, table, feature, depth, width, hashes, "__estimate")
-    return estimated.where(F.col("__estimate") >= at_least).drop("__estimate")
+    frequent = estimated.where(F.col("__estimate") >= at_least).select(feature)
+    return attach(rows, frequent, [feature], spread, "inner", **heavy)

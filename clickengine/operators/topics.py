@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bags import PIECE_TOKENS, bag_text
+from ..functions.hashing import text_hash
+from ..session import new_folder
+from .bags import bag_runs
 from .skew import attach
 
 TOPICS = 10
 
 
-def term_frequencies(
-    bags: DataFrame, text: str = "bag", num_features: int = 1 << 18
+def term_counts(
+    runs: DataFrame, key: str, item: str, num_features: int = 1 << 18, method: str = "xxhash64"
 ) -> DataFrame:
-    """Tokens of ``text`` in ``words`` and their hashed counts in ``features``."""
-    words = Tokenizer(inputCol=text, outputCol="words").transform(bags)
-    return HashingTF(inputCol="words", outputCol="features", numFeatures=num_features).transform(words)
+    """(key, bucket, n): the lower-case items of each bag (key, item, n) hashed to buckets.
+
+    At most ``num_features`` rows per key, whatever the size of its bag.
+    """
+    bucket = F.pmod(text_hash(F.lower(F.col(item)), method), F.lit(num_features).cast("bigint"))
+    return runs.groupBy(key, bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+
+
+def term_vectors(counts: DataFrame, key: str, num_features: int = 1 << 18) -> DataFrame:
+    """(key, features): one sparse vector per key."""
+
+    def vector(entries) -> SparseVector:
+        return SparseVector(num_features, [(e["bucket"], float(e["n"])) for e in entries])
+
+    entries = F.array_sort(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "n")))
+    return counts.groupBy(key).agg(entries.alias("__e")).select(
+        key, F.udf(vector, VectorUDT())("__e").alias("features")
+    )
 
 
 def fit_topics(tf: DataFrame, k: int = TOPICS, iterations: int = 10, seed: int = 1) -> LDAModel:
@@ -27,36 +44,22 @@ def fit_topics(tf: DataFrame, k: int = TOPICS, iterations: int = 10, seed: int =
 
 
 def topic_shares(model: LDAModel, tf: DataFrame, key: str) -> DataFrame:
-    """(key, topics): the mean over the key's pieces, weighted by their tokens.
-
-    Nearly every key is one piece, for which this is the model's own answer.
-    """
-    scored = model.transform(tf).select(
-        key, vector_to_array("topicDistribution").alias("t"),
-        F.size("words").cast("double").alias("size"),
-    )
-    k = model.getK()
-    sums = scored.groupBy(key).agg(
-        F.sum("size").alias("size"),
-        *[F.sum(F.col("t")[i] * F.col("size")).alias(f"t{i}") for i in range(k)],
-    )
-    return sums.select(
-        key, F.array(*[F.try_divide(F.col(f"t{i}"), F.col("size")) for i in range(k)]).alias("topics")
-    )
+    """(key, topics): the shares of the topics in each key's vector."""
+    return model.transform(tf).select(key, vector_to_array("topicDistribution").alias("topics"))
 
 
 def user_topics(
     log: DataFrame, key: str = "user_id", item: str = "pub_id", num_features: int = 1 << 18,
-    iterations: int = 10, seed: int = 1, piece_tokens: int = PIECE_TOKENS,
+    iterations: int = 10, seed: int = 1,
 ) -> DataFrame:
-    """(key, topics) from the bag of each key's items, duplicates kept."""
-    bags = bag_text(log, key, item, True, piece_tokens=piece_tokens)
-    tf = term_frequencies(bags, num_features=num_features).persist()
-    try:
-        model = fit_topics(tf, iterations=iterations, seed=seed)
-    finally:
-        tf.unpersist()
-    return topic_shares(model, tf, key)
+    """(key, topics) from the bag of each key's items, duplicates kept.
+
+    The vectors are stored, as fitting reads them once per iteration.
+    """
+    path = new_folder(log.sparkSession, "terms")
+    term_vectors(term_counts(bag_runs(log, key, item), key, item, num_features), key, num_features).write.parquet(path)
+    tf = log.sparkSession.read.parquet(path)
+    return topic_shares(fit_topics(tf, iterations=iterations, seed=seed), tf, key)
 
 
 def with_topics(log: DataFrame, topics: DataFrame, spread: list[str], key: str = "user_id",
@@ -71,5 +74,3 @@ def with_default_topics(log: DataFrame, topics: DataFrame, spread: list[str], ke
     return attach(log, topics, [key], spread, **heavy).withColumn(
         "topics", F.coalesce("topics", F.array_repeat(F.lit(0.0), size))
     )
-
-

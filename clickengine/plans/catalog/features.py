@@ -9,8 +9,9 @@ from ...functions.hashing import Namespace, bucket
 from ...functions.identity import with_identity
 from ...operators import features as feat
 from ...operators import frequency
+from ...operators.bags import bag_runs
 from ...operators.counts import count_by
-from ...operators.topics import user_topics, with_default_topics
+from ...operators.topics import term_counts, user_topics, with_default_topics
 from ...sources.logs import spread_out
 from ...sources.examples import libsvm_line, parse_libsvm, unwrap_envelope
 from .. import feature_sets as sets
@@ -346,7 +347,8 @@ def rare_filter_progressive(spark, sf_dir):
     return _per_doc(frequency.keep_after_sightings(tokens(spark, sf_dir), 10, ["doc_id", "place"]))
 
 
-DEPTH, WIDTH = 4, 8192
+OVER, MISS = 5, 0.01
+DEPTH = frequency.sketch_size(1, OVER, MISS)[0]
 
 
 def md5_pair(feature):
@@ -357,22 +359,37 @@ def md5_pair(feature):
 
 
 def _sketch_sql() -> str:
-    words = "words AS (SELECT feature, count(*) AS n FROM tokens GROUP BY feature)"
-    first, second = (f"CAST('0x' || substr(md5(feature), {i}, 8) AS BIGINT) % {WIDTH}" for i in (1, 9))
-    cells = ", ".join(
-        f"c{i} AS (SELECT feature, sum(n) OVER (PARTITION BY ({first} + {i} * ({second})) % {WIDTH}) AS n "
-        f"FROM words)" for i in range(DEPTH))
-    joins = " ".join(f"JOIN c{i} USING (feature)" for i in range(DEPTH))
-    least = ", ".join(f"c{i}.n" for i in range(DEPTH))
-    return f"""WITH {TOKENS_SQL}, {words}, {cells},
-      kept AS (SELECT * FROM tokens JOIN (SELECT feature, least({least}) AS estimate FROM words {joins})
-        USING (feature) WHERE estimate >= 10) {PER_DOC}"""
-
-
-@query("rare_filter_count_min", _sketch_sql())
+    """CTE estimates: (feature, n, estimate) with the sketch's own cells."""
+    first, second = (f"CAST('0x' || substr(md5(feature), {i}, 8) AS BIGINT) % width" for i in (1, 9))
+    return f"""WITH {TOKENS_SQL}, words AS (SELECT feature, count(*) AS n FROM tokens GROUP BY feature),
+      size AS (SELECT CAST(ceil(exp(1.0::DOUBLE) * sum(n) / {OVER}) AS BIGINT) AS width FROM words),
+      cells AS (SELECT feature, n, r * width + ({first} + r * ({second})) % width AS cell
+        FROM words, size, (SELECT unnest(range({DEPTH})) AS r)),
+      sketch AS (SELECT cell, sum(n) AS n FROM cells GROUP BY cell),
+      estimates AS (SELECT feature, any_value(cells.n) AS n, min(sketch.n) AS estimate
+        FROM cells JOIN sketch USING (cell) GROUP BY feature)"""
+
+
+@query("rare_filter_count_min", f"""{_sketch_sql()}, kept AS (SELECT * FROM tokens
+  JOIN (SELECT feature FROM estimates WHERE estimate >= 10) USING (feature)) {PER_DOC}""")
 def rare_filter_count_min(spark, sf_dir):
     return _per_doc(frequency.keep_frequent_approx(
-        tokens(spark, sf_dir), 10, depth=DEPTH, width=WIDTH, hashes=md5_pair))
+        tokens(spark, sf_dir), 10, ["doc_id", "place"], over=OVER, miss=MISS, hashes=md5_pair))
+
+
+@query("sketch_within_bound", f"""WITH {TOKENS_SQL} SELECT count(DISTINCT feature) AS features,
+  0::BIGINT AS too_low, true AS within_bound FROM tokens""")
+def sketch_within_bound(spark, sf_dir):
+    """The sketch against true counts: none too low, and at most ``MISS`` of them over by more than ``OVER``."""
+    rows = tokens(spark, sf_dir)
+    depth, width = frequency.sketch_size(rows.count(), OVER, MISS)
+    sketch = frequency.count_min_table(rows, "feature", depth, width)
+    estimated = frequency.count_min_estimate(rows, sketch, "feature", depth, width)
+    both = estimated.join(count_by(rows, ["feature"]), "feature")
+    return both.agg(
+        F.count(F.lit(1)).alias("features"), F.count_if(F.col("estimate") < F.col("n")).alias("too_low"),
+        (F.count_if(F.col("estimate") > F.col("n") + OVER) <= F.count(F.lit(1)) * MISS).alias("within_bound"),
+    )
 
 
 # --- text forms -------------------------------------------------------------------------
@@ -425,8 +442,23 @@ def envelope_unwrap(spark, sf_dir):
     return parsed.select("event_id", "valid", "label", r6(total, "total"))
 
 
-@query("topic_distribution")
+TERM_BUCKETS = 4096
+
+
+@query("term_counts", WITH_LOG + f"""SELECT user_id, {sql_hash('lower(C14)')} % {TERM_BUCKETS} AS bucket,
+  count(*) AS n FROM clean GROUP BY ALL""")
+def term_counts_by_user(spark, sf_dir):
+    """Hashed counts of the ads (``C14``) each user was shown."""
+    return term_counts(bag_runs(clean(spark, sf_dir), "user_id", "C14"), "user_id", "C14", TERM_BUCKETS, MD5)
+
+
+@query("topic_distribution", WITH_LOG + """SELECT DISTINCT user_id, 10::BIGINT AS shares,
+  1.0::DOUBLE AS total FROM clean""")
 def topic_distribution(spark, sf_dir):
-    """Topics of users from the ads (``C14``) they were shown."""
-    topics = user_topics(clean(spark, sf_dir), item="C14", num_features=4096)
-    return topics.select("user_id", *[r6(F.col("topics")[i], f"t{i}") for i in range(10)])
+    """Topics of users from the ads they were shown: shares between 0 and 1 that add up to 1."""
+    topics = user_topics(clean(spark, sf_dir), item="C14", num_features=TERM_BUCKETS)
+    proper = F.filter("topics", lambda t: (t >= 0) & (t <= 1))
+    return topics.select(
+        "user_id", F.size(proper).cast("bigint").alias("shares"),
+        r6(F.aggregate("topics", F.lit(0.0), lambda a, t: a + t), "total"),
+    )

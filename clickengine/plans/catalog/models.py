@@ -150,8 +150,16 @@ def state_out(state):
     return state.select("feature", *[r6(c) for c in st.STATE_COLUMNS])
 
 
-def trained(spark, sf_dir, **how):
-    """The state after one step over the first two batches."""
+ALL_ROWS = "SELECT * FROM ex"
+
+
+def trained(spark, sf_dir):
+    """The state after one step over all events."""
+    return steps.ftrl_step(st.empty_state(spark), examples(spark, sf_dir), CONFIG)
+
+
+def first_step(spark, sf_dir, **how):
+    """The state after one step over the first two batches, for queries that go on from there."""
     first = examples(spark, sf_dir).where(F.col("batch") < 2)
     return steps.ftrl_step(st.empty_state(spark), first, CONFIG, **how)
 
@@ -161,7 +169,7 @@ def scored(spark, sf_dir):
     return steps.validate(examples(spark, sf_dir), trained(spark, sf_dir), carry=["seq"])
 
 
-SCORED_SQL = chain_sql([FIRST_HALF]) + "," + scored_sql("scored", "SELECT feature, w FROM s1")
+SCORED_SQL = chain_sql([ALL_ROWS]) + "," + scored_sql("scored", "SELECT feature, w FROM s1")
 
 
 # --- scoring ----------------------------------------------------------------------------
@@ -188,7 +196,7 @@ def log_loss(spark, sf_dir):
 # --- steps ------------------------------------------------------------------------------
 
 
-@query("gradient_by_feature", WITH_EX + chain_sql([FIRST_HALF]) + "," + sums_sql(
+@query("gradient_by_feature", WITH_EX + chain_sql([ALL_ROWS]) + "," + sums_sql(
     "x", "SELECT * FROM ex", "SELECT feature, w FROM s1") +
     f" SELECT feature, {sql6('g')}, {sql6('q')} FROM gx")
 def gradient_by_feature(spark, sf_dir):
@@ -203,7 +211,7 @@ def ftrl_one_batch(spark, sf_dir):
 
 @query("ftrl_two_batches", WITH_EX + chain_sql([FIRST_HALF, SECOND_HALF]) + f" SELECT {STATE_SQL} FROM s2")
 def ftrl_two_batches(spark, sf_dir):
-    first = cut_lineage(trained(spark, sf_dir))
+    first = cut_lineage(first_step(spark, sf_dir))
     second = examples(spark, sf_dir).where(F.col("batch") >= 2)
     return state_out(steps.ftrl_step(first, second, CONFIG, stored=True))
 
@@ -211,7 +219,7 @@ def ftrl_two_batches(spark, sf_dir):
 @query("ftrl_approx_batch",
        WITH_EX + chain_sql([FIRST_HALF, SECOND_HALF], counted=True) + f" SELECT {STATE_SQL} FROM s2")
 def ftrl_approx_batch(spark, sf_dir):
-    first = cut_lineage(trained(spark, sf_dir, counted=True))
+    first = cut_lineage(first_step(spark, sf_dir, counted=True))
     second = examples(spark, sf_dir).where(F.col("batch") >= 2)
     return state_out(steps.ftrl_step(first, second, CONFIG, counted=True, stored=True))
 
@@ -261,7 +269,7 @@ def count_merge(spark, sf_dir):
 def state_upsert(spark, sf_dir):
     later = examples(spark, sf_dir).where(F.col("batch") >= 2)
     update = steps.ftrl_step(st.empty_state(spark), later, CONFIG)
-    return state_out(st.upsert(trained(spark, sf_dir), update))
+    return state_out(st.upsert(first_step(spark, sf_dir), update))
 
 
 def _average_sql() -> str:
@@ -292,7 +300,7 @@ def shard_average(spark, sf_dir):
         st.empty_state(spark, {"shard": "bigint"}), later, CONFIG, keys=["shard"], counted=True
     ).select("shard", "feature", "w", "z", F.col("p_count").alias("p_new"),
              F.col("n_count").alias("n_new"), F.col("g_sum").alias("g_new"))
-    merged = st.average_shards(trained(spark, sf_dir, counted=True), own, SHARDS)
+    merged = st.average_shards(first_step(spark, sf_dir, counted=True), own, SHARDS)
     return merged.select("feature", r6("w"), r6("z"), r6("p_count"), r6("n_count"))
 
 
@@ -323,7 +331,7 @@ def _looked_up():
     return [VALUE_FEATURE, 1]
 
 
-@query("weight_lookup", WITH_EX + chain_sql([FIRST_HALF]) + f""" SELECT feature, {sql6('w')} FROM s1
+@query("weight_lookup", WITH_EX + chain_sql([ALL_ROWS]) + f""" SELECT feature, {sql6('w')} FROM s1
   WHERE feature IN ({', '.join(map(str, _looked_up()))})""")
 def weight_lookup(spark, sf_dir):
     return st.weight_of(trained(spark, sf_dir), _looked_up()).select("feature", r6("w"))
@@ -335,7 +343,7 @@ def weight_lookup(spark, sf_dir):
     f" SELECT {STATE_SQL} FROM s2")
 def warm_start(spark, sf_dir):
     """Train on from given z and label counts; the rates are seeded from the counts."""
-    given = trained(spark, sf_dir).select("feature", "z", "p_count", "n_count")
+    given = first_step(spark, sf_dir).select("feature", "z", "p_count", "n_count")
     later = examples(spark, sf_dir).where(F.col("batch") >= 2)
     return state_out(steps.ftrl_step(cut_lineage(st.seeded_state(given)), later, CONFIG,
                                      counted=True, stored=True))

@@ -11,7 +11,7 @@ from ...functions.times import (
     with_time_columns,
 )
 from ...operators import counts
-from ...operators.bags import bag_text
+from ...operators.bags import bag_runs, bag_set
 from ...operators.sampling import by_hash
 from ...operators.topics import with_default_topics, with_topics
 from ...sources.logs import union_aligned
@@ -141,16 +141,15 @@ def past_rate_by_key(spark, sf_dir):
     return rates.select("C14", F.col("dt").cast("string").alias("dt"), "past_rows", r6("rate"))
 
 
-@query("user_bag", WITH_LOG + """SELECT user_id, string_agg(pub_id, ' ' ORDER BY pub_id) AS pub
-  FROM clean GROUP BY user_id""")
+@query("user_bag", WITH_LOG + """SELECT user_id, pub_id, count(*) AS n
+  FROM clean WHERE pub_id IS NOT NULL GROUP BY ALL""")
 def user_bag(spark, sf_dir):
-    return bag_text(clean(spark, sf_dir), "user_id", "pub_id", True, "pub").select("user_id", "pub")
+    return bag_runs(clean(spark, sf_dir), "user_id", "pub_id")
 
 
-@query("user_set_bag", WITH_LOG + """SELECT user_id, string_agg(pub_id, ' ' ORDER BY pub_id) AS pub
-  FROM (SELECT DISTINCT user_id, pub_id FROM clean) GROUP BY user_id""")
+@query("user_set_bag", WITH_LOG + "SELECT DISTINCT user_id, pub_id FROM clean WHERE pub_id IS NOT NULL")
 def user_set_bag(spark, sf_dir):
-    return bag_text(clean(spark, sf_dir), "user_id", "pub_id", False, "pub").select("user_id", "pub")
+    return bag_set(clean(spark, sf_dir), "user_id", "pub_id")
 
 
 @query("bag_signature", WITH_LOG + f"""SELECT user_id, bit_xor({sql_hash('pub_id')}) AS bag_id
@@ -269,8 +268,7 @@ def previous_day_counts(spark, sf_dir):
 
 
 PREPARED_SQL = f"""{HOUR_AGO}, {DAY_AGO},
-  bags AS (SELECT user_id, bit_xor({sql_hash('pub_id')}) AS bag_id,
-      string_agg(pub_id, ' ' ORDER BY pub_id) AS pub
+  bags AS (SELECT user_id, bit_xor({sql_hash('pub_id')}) AS bag_id
     FROM (SELECT DISTINCT user_id, pub_id FROM clean) GROUP BY user_id),
   prepared AS (SELECT * FROM clean LEFT JOIN bags USING (user_id)
     LEFT JOIN hc USING (user_id, date_time) LEFT JOIN dc USING (user_id, dt))"""
@@ -281,24 +279,31 @@ def prepared(spark, sf_dir):
 
 
 @query("prepared_log", WITH_LOG + f""", {PREPARED_SQL} SELECT id, click, user_id, pub_id, pub_domain,
-  pub_category, C1, impression, {sql_ts('date_time')}, CAST(dt AS VARCHAR) AS dt, bag_id, pub,
+  pub_category, C1, impression, {sql_ts('date_time')}, CAST(dt AS VARCHAR) AS dt, bag_id,
   CAST(hour_count AS BIGINT) AS hour_count, CAST(day_count AS BIGINT) AS day_count FROM prepared""")
 def prepared_log(spark, sf_dir):
     return prepared(spark, sf_dir).select(
         "id", "click", "user_id", "pub_id", "pub_domain", "pub_category", "C1", "impression",
-        text_ts("date_time"), F.col("dt").cast("string").alias("dt"), "bag_id", "pub",
+        text_ts("date_time"), F.col("dt").cast("string").alias("dt"), "bag_id",
         "hour_count", "day_count",
     )
 
 
-# Stand-in for a table of user vectors: every other user has one.
-VECTORS_SQL = "vectors AS (SELECT vec_id * 2 AS user_id, embedding FROM embeddings)"
+# Stand-in for a table of user topics: every other user has a vector, whose entries are
+# dealt over ten topics by their place and added up.
+VECTORS_SQL = "vectors AS (SELECT vec_id * 2 AS user_id, [" + ", ".join(
+    f"list_sum(list_transform(generate_series({i + 1}, len(embedding), 10), lambda j: CAST(embedding[j] AS DOUBLE)))"
+    for i in range(10)) + "] AS embedding FROM embeddings)"
 
 
 def user_vectors(spark, sf_dir, size: int = 10):
-    entries = F.transform(F.slice("embedding", 1, size), lambda x: x.cast("double"))
+    def topic(i):
+        places = F.sequence(F.lit(i + 1), F.size("embedding"), F.lit(size))
+        entries = F.transform(places, lambda j: F.element_at("embedding", j).cast("double"))
+        return F.aggregate(entries, F.lit(0.0), lambda a, x: a + x)
+
     return table(spark, sf_dir, "embeddings").select(
-        (F.col("vec_id") * 2).alias("user_id"), entries.alias("topics")
+        (F.col("vec_id") * 2).alias("user_id"), F.array(*[topic(i) for i in range(size)]).alias("topics")
     )
 
 

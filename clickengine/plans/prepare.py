@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import text_hash
 from ..functions.identity import IMPRESSION_PARTS, composite_key, with_identity
 from ..functions.times import packed_hour_of_day, with_time_columns
-from ..operators.bags import PIECE_TOKENS, bag_runs, bag_text, set_signature
-from ..operators.counts import (
-    available_periods, past_rate, user_history, with_previous_available,
-)
+from ..operators.bags import bag_set, set_signature
+from ..operators.counts import available_periods, past_rate, user_history
 from ..operators.skew import attach, attach_stored
 from ..operators.topics import user_topics, with_topics
-from ..session import cut_lineage
+from ..session import cut_lineage, new_folder
 from ..sources.logs import union_aligned
 
 
@@ -23,36 +21,41 @@ def clean_log(tables: list[DataFrame]) -> DataFrame:
     return with_identity(union_aligned(tables))
 
 
-def user_bags(log: DataFrame, method: str = "xxhash64", piece_tokens: int = PIECE_TOKENS) -> DataFrame:
-    """(user_id, bag_id, pub): the set of a user's publishers as a signature and as text.
+def user_bags(log: DataFrame, method: str = "xxhash64") -> DataFrame:
+    """(user_id, bag_id): the set of a user's publishers as a signature.
 
-    ``bag_id`` is there for every user. ``pub`` is null for a set that is too long for
-    one row; ``bag_text`` gives such a set in pieces.
+    The publishers themselves are ``bag_set(log, "user_id", "pub_id")``, a table of its own.
     """
-    pairs = log.select("user_id", "pub_id").where(F.col("pub_id").isNotNull())
-    signatures = set_signature(
-        bag_runs(pairs, "user_id", "pub_id"), "user_id", text_hash(F.col("pub_id"), method)
-    )
-    texts = bag_text(pairs, "user_id", "pub_id", False, "pub", piece_tokens)
-    whole = texts.where(F.col("pieces") == 1).select("user_id", "pub")
-    return signatures.join(whole, "user_id", "left")
+    pairs = bag_set(log, "user_id", "pub_id")
+    return set_signature(pairs, "user_id", text_hash(F.col("pub_id"), method))
 
 
 def prepare_log(log: DataFrame, method: str = "xxhash64", **heavy) -> DataFrame:
     """A cleaned log with impression key, user bag, and previous hour and day counts.
 
     Bag and counts meet on the user first, on tables of one row per user and hour; the
-    log rows themselves are joined once.
+    log rows themselves are joined once. A row whose hour does not parse has no counts and, as the
+    bag is the user's alone, still gets its bag.
     """
     rows = with_time_columns(log).withColumn("impression", composite_key()).drop(*IMPRESSION_PARTS)
+    hourly = rows.where(F.col("user_id").isNotNull())
     history = user_history(rows, "user_id")
-    lookup = history.join(user_bags(rows, method), "user_id", "left")
-    return attach(
-        rows, lookup.drop("n"), ["user_id", "date_time"], ["id"],
-        counts=history.select("user_id", "date_time", "n"), **heavy,
+    no_hour = hourly.where(F.col("date_time").isNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "user_id", F.lit(NO_HOUR).cast("timestamp").alias("date_time"), "n",
+        F.lit(None).cast("bigint").alias("hour_count"), F.lit(None).cast("bigint").alias("day_count"),
     )
+    lookup = history.unionByName(no_hour).join(user_bags(rows, method), "user_id", "left").withColumnRenamed(
+        "date_time", "__hour")
+    keyed = rows.withColumn("__hour", F.coalesce("date_time", F.lit(NO_HOUR).cast("timestamp")))
+    return attach(
+        keyed, lookup.drop("n"), ["user_id", "__hour"], ["id"],
+        counts=lookup.select("user_id", "__hour", "n"), **heavy,
+    ).drop("__hour")
 
 
+# Stands for an hour that does not parse, in joins only.
+NO_HOUR = "1900-01-01 00:00:00"
+
 # Key columns whose previous-day counts are joined, with the name of the count.
 COUNTED_KEYS = {
     "C14": "c14_count", "C17": "c17_count", "pub_id": "pub_id_count",
@@ -60,42 +63,55 @@ COUNTED_KEYS = {
 }
 
 
-def user_day_history(log: DataFrame) -> DataFrame:
-    """(user_id, d, h, n, user_count, user_hour_count): the user's rows on the last day
-    that has log, in all and at the same hour, for each hour the user appears in.
+def day_history(log: DataFrame) -> DataFrame:
+    """Counts of the last day that has log, for all counted keys, from one scan of ``log`` (d, h, keys).
 
-    Days are numbered without gaps, so the last available day is one step back in a
-    window. A user's window holds at most 24 rows per day.
+    (kind, key, h, d, n, before, before_hour): ``kind`` names the key column. One aggregate over
+    grouping sets counts every key per day, users per hour and the days themselves. Days are
+    numbered without gaps, so the last available day is one step back in a window; a window holds
+    one row per day, a user's 24.
     """
-    hourly = log.groupBy("user_id", "d", "h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = hourly.join(F.broadcast(available_periods(log, "d").select("d", "rank")), "d")
-    day_before = Window.partitionBy("user_id").orderBy("rank").rangeBetween(-1, -1)
-    same_hour = Window.partitionBy("user_id", "h").orderBy("rank").rangeBetween(-1, -1)
-    return ranked.select(
-        "user_id", "d", "h", "n",
-        F.sum("n").over(day_before).alias("user_count"),
-        F.sum("n").over(same_hour).alias("user_hour_count"),
+    kinds = [*COUNTED_KEYS, "user_id"]
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key"),
+                 (F.col("h") if k == "user_id" else F.lit(None).cast("string")).alias("h"))
+        for k in kinds
+    ])
+    counted = log.select("d", F.explode(cells).alias("c")).groupBy("c.kind", "c.key", "c.h", "d").agg(
+        F.count(F.lit(1)).alias("n"))
+    ranked = counted.where(F.col("key").isNotNull())
+    day_before = Window.partitionBy("kind", "key").orderBy("rank").rangeBetween(-1, -1)
+    same_hour = Window.partitionBy("kind", "key", "h").orderBy("rank").rangeBetween(-1, -1)
+    days = available_periods(counted.where(F.col("kind") == kinds[0]), "d")
+    return ranked.join(F.broadcast(days.select("d", "rank")), "d").select(
+        "kind", "key", "h", "d", "n", "rank",
+        F.sum("n").over(day_before).alias("before"), F.sum("n").over(same_hour).alias("before_hour"),
     )
 
 
-def prepare_with_day_counts(log: DataFrame, stored: bool = True, **heavy) -> DataFrame:
+def prepare_with_day_counts(log: DataFrame, **heavy) -> DataFrame:
     """A cleaned log with the counts of the previous available day for five keys.
 
-    Rows of the first day are left out, as they have no day before. Publisher and ad
-    counts are short tables, measured and broadcast; the user counts take one join.
+    Rows of the first day are left out, as they have no day before. All counts come from one
+    aggregate that is stored, so the log is read twice: for the counts, and to be joined.
     """
     parts = log.withColumn("d", F.substring(F.col("hour").cast("string"), 1, 6)).withColumn(
         "h", packed_hour_of_day("hour")
     )
-    history = user_day_history(parts)
+    path = new_folder(log.sparkSession, "day-counts")
+    day_history(parts).write.partitionBy("kind").parquet(path)
+    history = log.sparkSession.read.parquet(path)
     rows = parts
     for key, name in COUNTED_KEYS.items():
-        rows = with_previous_available(rows, [key], ["id"], "d", name, stored=stored, **heavy)
-    rows = attach(
-        rows, history.drop("n"), ["user_id", "d", "h"], ["id"],
-        counts=history.select("user_id", "d", "h", "n"), **heavy,
-    )
-    return rows.where(F.col("d") > parts.agg(F.min("d")).scalar())
+        lookup = history.where(F.col("kind") == key).select(
+            F.col("key").alias(key), "d", F.col("before").alias(name))
+        rows = attach_stored(rows, lookup, [key, "d"], ["id"], **heavy)
+    users = history.where(F.col("kind") == "user_id").select(
+        F.col("key").alias("user_id"), "d", "h", "n",
+        F.col("before").alias("user_count"), F.col("before_hour").alias("user_hour_count"))
+    rows = attach(rows, users.drop("n"), ["user_id", "d", "h"], ["id"], counts=users.select("user_id", "d", "h", "n"), **heavy)
+    first = history.agg(F.min("d"))
+    return rows.where(F.col("d") > first.scalar())
 
 
 # Key columns whose past click rate is joined, with the name of the rate.

@@ -12,21 +12,10 @@ def visits(spark):
     return spark.createDataFrame(rows, "user string, pub string")
 
 
-def test_text(spark):
-    bag = bags.bag_text(visits(spark), "user", "pub", True).where("user <> 'hot'")
-    assert rows_of(bag, "user", "piece", "pieces", "bag") == [("a", 0, 1, "w x x"), ("b", 0, 1, "x")]
-    names = bags.bag_text(visits(spark), "user", "pub", False).where("user = 'a'")
-    assert rows_of(names, "bag") == [("w x",)]
-
-
-def test_a_long_bag_comes_whole_in_pieces(spark, heavy):
-    pieces = bags.bag_text(visits(spark), "user", "pub", True, piece_tokens=10, **heavy)
-    hot = pieces.where("user = 'hot'").collect()
-    assert len(hot) > 3 and all(r["pieces"] == 10 for r in hot)
-    together = Counter(t for r in hot for t in r["bag"].split())
-    want = Counter(r["pub"] for r in visits(spark).where("user = 'hot'").collect())
-    assert together == want
-    assert rows_of(pieces.where("user = 'a'"), "bag") == [("w x x",)]
+def test_bag_is_rows_whatever_its_size(spark):
+    got = Counter({(r["user"], r["pub"]): r["n"] for r in bags.bag_runs(visits(spark), "user", "pub").collect()})
+    assert got == Counter((r["user"], r["pub"]) for r in visits(spark).collect() if r["pub"] is not None)
+    assert rows_of(bags.bag_set(visits(spark), "user", "pub").where("user <> 'hot'")) == [("a", "w"), ("a", "x"), ("b", "x")]
 
 
 def test_signature_depends_on_the_set_only(spark):

@@ -35,10 +35,13 @@ def test_kth_sighting_is_cut_before_the_shuffle(spark):
 
 def test_sketch_never_counts_too_little(spark):
     rows = sightings(spark)
-    table = frequency.count_min_table(rows, depth=3, width=4)
+    table = frequency.count_min_table(rows, "feature", depth=3, width=4)
     assert table.count() <= 12
-    estimated = frequency.count_min_estimate(rows, table, depth=3, width=4)
-    low = dict(rows_of(estimated.groupBy("feature").agg(F.min("estimate"))))
+    low = dict(rows_of(frequency.count_min_estimate(rows, table, "feature", depth=3, width=4)))
     assert all(low[f] >= n for f, n in {1: 2, 2: 3, 3: 4, 9: 100}.items())
-    wide = frequency.keep_frequent_approx(rows, 3, depth=4, width=4096)
-    assert count(wide) == {2: 3, 3: 4, 9: 100}
+
+
+def test_sketch_grows_with_the_rows_and_filters(spark, heavy):
+    assert frequency.sketch_size(1000, 5) == (5, 544) and frequency.sketch_size(2000, 5)[1] == 1088
+    for how in ({}, heavy):
+        assert count(frequency.keep_frequent_approx(sightings(spark), 3, ["seq"], **how)) == {2: 3, 3: 4, 9: 100}

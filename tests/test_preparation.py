@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from test_sources import line
 
 from clickengine.functions import binning, identity, times
-from clickengine.operators import topics
+from clickengine.operators import bags, topics
 from clickengine.plans import feature_sets as sets
 from clickengine.plans import prepare
 from clickengine.sources.logs import LABELLED_COLUMNS
@@ -57,7 +57,7 @@ def test_prepared_log_does_not_depend_on_slicing(spark, heavy):
     assert plain.count() == 24 and rows_of(plain) == rows_of(sliced, *plain.columns)
     columns = ["id", *prepare.COUNTED_KEYS.values(), "user_count", "user_hour_count"]
     whole = rows_of(prepare.prepare_with_day_counts(small_log(spark)), *columns)
-    counted = prepare.prepare_with_day_counts(small_log(spark), stored=False, **heavy)
+    counted = prepare.prepare_with_day_counts(small_log(spark), **heavy)
     assert len(whole) == 16 and rows_of(counted, *columns) == whole
 
 
@@ -87,8 +87,16 @@ def test_topics(spark):
     assert sets.to_examples(wide, sets.topic_features()).count() == 24
 
 
-def test_topics_of_a_long_bag_are_the_mean_of_its_pieces(spark):
-    log = small_log(spark)
-    whole = {r[0]: r[1] for r in topics.user_topics(log, item="C14", num_features=64, iterations=2).collect()}
-    cut = topics.user_topics(log, item="C14", num_features=64, iterations=2, piece_tokens=3).collect()
-    assert {r[0] for r in cut} == set(whole) and all(abs(sum(r[1]) - 1) < 1e-6 for r in cut)
+def test_term_counts_are_one_row_per_user_and_bucket(spark):
+    runs = bags.bag_runs(small_log(spark), "user_id", "C14")
+    counts = topics.term_counts(runs, "user_id", "C14", num_features=2)
+    assert counts.agg(F.sum("n")).first()[0] == 24 and counts.count() <= 6
+    vectors = topics.term_vectors(counts, "user_id", num_features=2).collect()
+    assert sum(v["features"].toArray().sum() for v in vectors) == 24
+
+
+def test_a_row_without_hour_keeps_its_bag(spark):
+    rows = [{"id": "1", "device_id": "d", "hour": "14102100", "app_id": "a", "click": "0", "C14": "1", "C17": "1"},
+            {"id": "2", "device_id": "d", "hour": "junk", "app_id": "a", "click": "0", "C14": "1", "C17": "1"}]
+    got = prepare.prepare_log(identity.with_identity(raw(spark, rows))).orderBy("id").collect()
+    assert got[0]["bag_id"] == got[1]["bag_id"] is not None and got[1]["hour_count"] is None
