@@ -1,36 +1,18 @@
-"""One example of the in-order update, for the few places where rows must follow each other."""
+"""The in-order update of one model, for the few places where rows must follow each other."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+
+import numpy as np
 
 from ..functions.logistic import PROB_CEILING, PROB_FLOOR, FtrlConfig
 
 _LARGEST_EXPONENT = 709.0  # exp of more overflows a double
 
 
-def counted(p: float, n: float) -> float:
-    return p * n / (p + n) if p + n > 0 else 0.0
-
-
-@dataclass
-class Cell:
-    """One feature's state while its examples pass."""
-
-    z: float = 0.0
-    n: float = 0.0
-    p_count: float = 0.0
-    n_count: float = 0.0
-    p_new: float = 0.0
-    n_new: float = 0.0
-    g_new: float = 0.0
-
-    def weight(self, c: FtrlConfig) -> float:
-        if abs(self.z) <= c.l1:
-            return 0.0
-        rate = 1.0 / ((c.beta + math.sqrt(self.n)) / c.alpha + c.l2)
-        return -rate * (self.z - math.copysign(c.l1, self.z))
+def counted(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.divide(p * n, p + n, out=np.zeros_like(p), where=p + n > 0)
 
 
 def probability(margin: float) -> float:
@@ -40,21 +22,58 @@ def probability(margin: float) -> float:
     return PROB_CEILING if prob == 1.0 else prob
 
 
-def advance(
-    active: list[tuple[Cell, float]], label: int, config: FtrlConfig, count_only: bool
-) -> None:
-    """Move the cells of one example's features by that example."""
-    weights = [cell.weight(config) for cell, _ in active]
-    diff = probability(sum(w * v for w, (_, v) in zip(weights, active))) - label
-    for w, (cell, value) in zip(weights, active):
-        g = diff * value
-        if label:
-            cell.p_count += 1.0
-            cell.p_new += 1.0
-        else:
-            cell.n_count += 1.0
-            cell.n_new += 1.0
-        n = counted(cell.p_count, cell.n_count) if count_only else cell.n + g * g
-        cell.z += g + config.sigma_sign * (math.sqrt(n) - math.sqrt(cell.n)) / config.alpha * w
-        cell.n = n
-        cell.g_new += g
+class Model:
+    """The features that a run of examples meets, as columns of one array.
+
+    Rows of ``cells``: z, n, p_count, n_count, p_new, n_new, g_new.
+    """
+
+    Z, N, P, M, P_NEW, M_NEW, G_NEW = range(7)
+
+    def __init__(self, config: FtrlConfig, count_only: bool):
+        self.config, self.count_only = config, count_only
+        self.slot: dict[int, int] = {}
+        self.cells = np.zeros((7, 64))
+        self.steps = 0
+
+    def slots(self, ids: np.ndarray, start: list[np.ndarray]) -> np.ndarray:
+        """Places of the features; new ones start from z, n, p_count and n_count as given."""
+        out = np.empty(len(ids), np.int64)
+        for k, f in enumerate(ids.tolist()):
+            s = self.slot.get(f)
+            if s is None:
+                s = self.slot[f] = len(self.slot)
+                if s == self.cells.shape[1]:
+                    self.cells = np.concatenate([self.cells, np.zeros_like(self.cells)], axis=1)
+                self.cells[:4, s] = [column[k] for column in start]
+            out[k] = s
+        return out
+
+    def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        c = self.config
+        rate = 1.0 / ((c.beta + np.sqrt(n)) / c.alpha + c.l2)
+        return np.where(np.abs(z) <= c.l1, 0.0, -rate * (z - np.copysign(c.l1, z)))
+
+    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
+        """Move the cells of one example's features by that example."""
+        self.steps += 1
+        cells = self.cells[:, slots]
+        z, n = cells[self.Z], cells[self.N]
+        w = self.weights(z, n)
+        g = (probability(float(w @ values)) - label) * values
+        cells[self.P if label else self.M] += 1.0
+        cells[self.P_NEW if label else self.M_NEW] += 1.0
+        grown = counted(cells[self.P], cells[self.M]) if self.count_only else n + g * g
+        cells[self.Z] = z + g + self.config.sigma_sign * (np.sqrt(grown) - np.sqrt(n)) / self.config.alpha * w
+        cells[self.N] = grown
+        cells[self.G_NEW] += g
+        self.cells[:, slots] = cells
+
+    def rows(self) -> dict[str, np.ndarray]:
+        """feature, w, z, n, p_new, n_new, g_new of all features met."""
+        cells = self.cells[:, :len(self.slot)]
+        return {
+            "feature": np.fromiter(self.slot, np.int64, len(self.slot)),
+            "w": self.weights(cells[self.Z], cells[self.N]), "z": cells[self.Z], "n": cells[self.N],
+            "p_new": cells[self.P_NEW], "n_new": cells[self.M_NEW], "g_new": cells[self.G_NEW],
+        }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import text_hash
+
 _STEPS = 1_000_000
 
 
@@ -19,6 +21,9 @@ def by_hash(df: DataFrame, key_hash: Column, fraction: float) -> DataFrame:
     return df.where(F.pmod(key_hash, F.lit(_STEPS).cast("bigint")) < limit)
 
 
-def with_shard(df: DataFrame, key: str, shards: int, name: str = "shard") -> DataFrame:
+def with_shard(
+    df: DataFrame, key: str, shards: int, name: str = "shard", method: str = "xxhash64"
+) -> DataFrame:
     """A shard number per row that depends on the row's key alone."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(shards).cast("bigint")).cast("int"))
+    number = F.xxhash64(key) if method == "xxhash64" else text_hash(F.col(key).cast("string"), method)
+    return df.withColumn(name, F.pmod(number, F.lit(shards).cast("bigint")).cast("int"))

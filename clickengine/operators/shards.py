@@ -2,84 +2,115 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logistic import FtrlConfig
 from .features import exploded
-from .inorder import Cell, advance, counted
+from .inorder import Model, counted
 from .sampling import with_shard
 from .skew import attach, attach_stored
 from .state import average_shards
 
 DEFAULT_SHARDS = 8
-ROWS_PER_SHARD = 2_000_000
-_TRAINED = ("shard int, feature bigint, w double, z double, "
-            "p_new double, n_new double, g_new double")
+_COLUMNS = ["feature", "w", "z", "n", "p_new", "n_new", "g_new"]
 
 
-def shard_count(examples: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> int:
-    """Enough shards for the data, and never fewer than the default."""
-    return max(DEFAULT_SHARDS, math.ceil(examples.count() / rows_per_shard))
+def partition_keys(spark, count: int) -> list[int]:
+    """Numbers of which the k-th falls in the k-th of ``count`` hash partitions.
 
-
-def _in_order(config: FtrlConfig):
-    """The update of one shard; it holds the features it met, not the examples."""
+    Dealing rows by a shard's own number would put several shards in one task and leave others idle.
+    """
+    found: dict[int, int] = {}
+    tried = 0
+    while len(found) < count:
+        more = spark.range(tried, tried + 64 * count).select(
+            "id", F.pmod(F.hash("id"), F.lit(count)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
+        for r in more.collect():
+            found.setdefault(r["at"], r["id"])
+        tried += 64 * count
+    return [found[k] for k in range(count)]
+
+
+def _in_order(groups: list[str], config: FtrlConfig, count_only: bool):
+    """The update of the groups that stream by; it holds one group's features, not its examples."""
+
+    def finished(key: tuple, model: Model) -> pd.DataFrame:
+        out = pd.DataFrame(model.rows())
+        for name, value in zip(groups, key):
+            out[name] = value
+        return out[[*groups, *_COLUMNS]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: dict[int, Cell] = {}
-        shard = None
+        now, model = None, None
         for frame in frames:
-            shard = int(frame["shard"].iloc[0])
-            for label, entries in zip(frame["label"], frame["entries"]):
-                active = []
-                for e in entries:
-                    cell = met.get(e["feature"])
-                    if cell is None:
-                        p, n = e["p_count"], e["n_count"]
-                        cell = met[e["feature"]] = Cell(e["z"], counted(p, n), p, n)
-                    active.append((cell, e["value"]))
-                advance(active, int(label), config, count_only=True)
-        if met:
-            yield pd.DataFrame(
-                [(shard, f, c.weight(config), c.z, c.p_new, c.n_new, c.g_new) for f, c in met.items()],
-                columns=["shard", "feature", "w", "z", "p_new", "n_new", "g_new"],
-            )
+            keys = zip(*(frame[g] for g in groups))
+            columns = (frame[c] for c in ("label", "ids", "vals", "z", "n", "p", "m"))
+            for key, label, ids, values, z, n, p, m in zip(keys, *columns):
+                if key != now:
+                    if model is not None:
+                        yield finished(now, model)
+                    now, model = key, Model(config, count_only)
+                p, m = np.asarray(p, float), np.asarray(m, float)
+                start = [np.asarray(z, float), counted(p, m) if count_only else np.asarray(n, float), p, m]
+                slots = model.slots(np.asarray(ids, np.int64), start)
+                model.learn(slots, np.asarray(values, float), int(label))
+        if model is not None:
+            yield finished(now, model)
 
     return run
 
 
-def train_shards(
-    state: DataFrame, examples: DataFrame, config: FtrlConfig, shards: int = DEFAULT_SHARDS,
-    stored: bool = False, **heavy,
+def train_in_order(
+    state: DataFrame, rows: DataFrame, config: FtrlConfig, groups: dict[str, str], parts: int,
+    known_by: list[str] | None = None, count_only: bool = True, stored: bool = False, **heavy,
 ) -> DataFrame:
-    """(shard, feature, w, z, p_new, n_new, g_new) of examples with a ``seq`` order.
-
-    Spark joins each example to the state of its own features first, so a task gets the
-    slice of the model its shard touches and reads its examples as a stream. ``stored``
-    says that the state lies in storage, so that a small one is broadcast.
+    """(groups, feature, w, z, n, p_new, n_new, g_new): every group of ``rows`` learns by itself,
+    in order of ``seq``, whatever the size of the blocks its rows come in.
+
+    ``groups`` are the columns and their types, ``known_by`` those of them that ``state`` is told
+    apart by. The first group column numbers the tasks, 0 to ``parts`` - 1. Spark joins each
+    example to the state of its own features first, so a task gets the slice of the
+    model its group touches and reads its examples as a stream. ``stored`` says that the state
+    lies in storage, so that a small one is broadcast.
     """
-    rows = exploded(with_shard(examples, "example_id", shards), ["shard", "seq", "example_id", "label"])
-    known = state.select("feature", "z", "p_count", "n_count")
-    entry = F.struct(
-        "feature", "value",
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("z", "p_count", "n_count")],
-    )
-    # The lists gather again what one example row held before it was exploded.
+    names, known_by = list(groups), known_by or []
+    columns = ["z", "n", "p_count", "n_count"]
+    flat = exploded(rows, [*names, "seq", "example_id", "label"])
+    entry = F.struct("feature", "value", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
     join = attach_stored if stored else attach
+    # The lists gather again what one example row held before it was exploded.
     ready = (
-        join(rows.where(F.col("feature").isNotNull()), known, ["feature"], ["example_id"], **heavy)
-        .groupBy("shard", "seq", "example_id", "label")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "seq", "example_id")
-        .select("shard", "label", "entries")
+        join(flat.where(F.col("feature").isNotNull()), state.select(*known_by, "feature", *columns),
+             [*known_by, "feature"], ["example_id"], **heavy)
+        .groupBy(*names, "seq", "example_id", "label")
+        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
     )
-    return ready.groupBy("shard").applyInPandas(_in_order(config), _TRAINED)
+    keys = partition_keys(rows.sparkSession, parts)
+    task = F.element_at(F.array(*[F.lit(k).cast("bigint") for k in keys]), F.col(names[0]).cast("int") + 1)
+    ready = (
+        ready.withColumn("__task", task).repartition(parts, "__task")
+        .sortWithinPartitions(*names, "seq", "example_id")
+        .select(*names, "label", F.col("e.feature").alias("ids"), F.col("e.value").alias("vals"),
+                F.col("e.z").alias("z"), F.col("e.n").alias("n"),
+                F.col("e.p_count").alias("p"), F.col("e.n_count").alias("m"))
+    )
+    schema = ", ".join([f"{g} {t}" for g, t in groups.items()]
+                       + ["feature bigint", *[f"{c} double" for c in _COLUMNS[1:]]])
+    return ready.mapInPandas(_in_order(names, config, count_only), schema)
+
+
+def train_shards(
+    state: DataFrame, examples: DataFrame, config: FtrlConfig, shards: int = DEFAULT_SHARDS,
+    stored: bool = False, method: str = "xxhash64", **heavy,
+) -> DataFrame:
+    """(shard, feature, w, z, p_new, n_new, g_new) of examples with a ``seq`` order, a task per shard."""
+    rows = with_shard(examples, "example_id", shards, method=method)
+    return train_in_order(state, rows, config, {"shard": "int"}, shards, stored=stored, **heavy)
 
 
 def shard_step(

@@ -18,7 +18,7 @@ from ...sources.logs import spread_out
 from ...sources.store import StateStore
 from .. import training
 from ..scoring import score
-from .base import RAW_SQL, events, query, r6, sql6, sql_bucket, table
+from .base import RAW_SQL, events, query, r6, sql6, sql_bucket, sql_hash, table
 from .features import TOKENS_SQL
 
 MD5 = "md5"
@@ -304,13 +304,71 @@ def shard_average(spark, sf_dir):
     return merged.select("feature", r6("w"), r6("z"), r6("p_count"), r6("n_count"))
 
 
-@query("shard_train")
+# A few features per event, for updates that SQL has to follow one example at a time:
+# always, by code, by hour, and the value.
+SMALL = 7
+SMALL_SQL = f"""small AS (SELECT event_id AS example_id, CAST(event_type = 'purchase' AS BIGINT) AS label,
+    's' || CAST(k % 4 AS VARCHAR) AS segment, {sql_hash("CAST(event_id AS VARCHAR)")} % {SHARDS} AS shard,
+    [1.0::DOUBLE, CASE WHEN k % 3 = 0 THEN 1.0 END, CASE WHEN k % 3 = 1 THEN 1.0 END, CASE WHEN k % 3 = 2 THEN 1.0 END,
+     CASE WHEN hour(ts) < 12 THEN 1.0 END, CASE WHEN hour(ts) >= 12 THEN 1.0 END, value / 100]::DOUBLE[] AS x FROM raw)"""
+
+
+def small_examples(base):
+    one = F.lit(1.0)
+    code = (F.col("k") % 3 + 1).cast("bigint")
+    half = (4 + (F.hour("ts") >= 12).cast("bigint")).cast("bigint")
+    features = F.map_from_arrays(
+        F.array(F.lit(0).cast("bigint"), code, half, F.lit(SMALL - 1).cast("bigint")),
+        F.array(one, one, one, (F.col("value") / 100).cast("double")))
+    return base.select(
+        F.col("event_id").alias("example_id"), F.col("event_id").alias("seq"),
+        (F.col("event_type") == "purchase").cast("bigint").alias("label"),
+        F.concat(F.lit("s"), (F.col("k") % 4).cast("string")).alias("segment"), features.alias("features"))
+
+
+def in_order_sql(by: list[str], counted: bool, c: L.FtrlConfig = CONFIG) -> str:
+    """CTE learned: (by, feature, w, z, n, p, m, g) after each group's examples, one by one."""
+    keys = ", ".join(by)
+    places = f"range(1, {SMALL + 1})"
+
+    def each(expr: str) -> str:
+        return f"list_transform({places}, lambda j: {expr})"
+
+    w = _w("z[j]", "n[j]", c)
+    new_n = "CASE WHEN p[j] + m[j] > 0 THEN p[j] * m[j] / (p[j] + m[j]) ELSE 0.0 END" if counted else "n[j] + d * x[j] * d * x[j]"
+    start = f"list_transform({places}, lambda j: 0.0::DOUBLE)"
+    return f"""{SMALL_SQL},
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY example_id) AS i FROM small),
+  run AS (SELECT DISTINCT {keys}, 0::BIGINT AS i, {start} AS z, {start} AS n, {start} AS p, {start} AS m,
+      {start} AS g, {start} AS seen FROM small
+    UNION ALL
+    SELECT {keys}, i, {each(f'CASE WHEN x[j] IS NULL THEN z[j] ELSE z[j] + d * x[j] + {c.sigma_sign} * (sqrt(n2[j]) - sqrt(n[j])) / {c.alpha} * w[j] END')},
+      n2, p, m, {each('CASE WHEN x[j] IS NULL THEN g[j] ELSE g[j] + d * x[j] END')},
+      {each('CASE WHEN x[j] IS NULL THEN seen[j] ELSE 1.0 END')}
+    FROM (SELECT *, {each(f'CASE WHEN x[j] IS NULL THEN n[j] ELSE {new_n} END')} AS n2
+      FROM (SELECT *, {_clip(f"list_sum({each('CASE WHEN x[j] IS NULL THEN 0.0 ELSE w[j] * x[j] END')})")} - label AS d
+        FROM (SELECT {', '.join(f'r.{k}' for k in by)}, r.i, r.label, r.x, z, n, g, seen, {each(w)} AS w,
+            {each('CASE WHEN r.x[j] IS NULL THEN p[j] ELSE p[j] + r.label END')} AS p,
+            {each('CASE WHEN r.x[j] IS NULL THEN m[j] ELSE m[j] + 1 - r.label END')} AS m
+          FROM run JOIN numbered r ON {' AND '.join(f'run.{k} = r.{k}' for k in by)} AND run.i + 1 = r.i)))),
+  last AS (SELECT * FROM run QUALIFY i = max(i) OVER (PARTITION BY {keys})),
+  learned AS (SELECT {keys}, i AS steps, j - 1 AS feature, {w} AS w, z[j] AS z, n[j] AS n, p[j] AS p, m[j] AS m, g[j] AS g
+    FROM last, (SELECT unnest({places}) AS j) WHERE seen[j] > 0)"""
+
+
+def _shard_sql() -> str:
+    return f"""WITH RECURSIVE {RAW_SQL}, {in_order_sql(['shard'], True)},
+  summed AS (SELECT feature, avg(w) AS w, avg(z) AS z, sum(p) AS p_count, sum(m) AS n_count, sum(g) AS g_sum
+    FROM learned GROUP BY feature),
+  merged AS (SELECT *, p_count * n_count / (p_count + n_count) AS n FROM summed)
+  SELECT {STATE_SQL} FROM merged"""
+
+
+@query("shard_train", _shard_sql())
 def shard_train(spark, sf_dir):
-    """In-order training per shard over all events, averaged; two batches."""
-    rows = examples(spark, sf_dir)
-    first = cut_lineage(shard_step(
-        st.empty_state(spark), rows.where(F.col("batch") < 2), CONFIG, SHARDS))
-    return state_out(shard_step(first, rows.where(F.col("batch") >= 2), CONFIG, SHARDS))
+    """In-order training per shard over all events, averaged."""
+    rows = small_examples(events(spark, sf_dir))
+    return state_out(shard_step(st.empty_state(spark), rows, CONFIG, SHARDS, method=MD5))
 
 
 def _grid_sql() -> str:

@@ -11,14 +11,23 @@ from ...sources.store import StateStore
 from ...sources.streams import file_parquet
 from ...streaming import hourly, keyed, trainer
 from .. import training
-from .base import RAW_SQL, ORACLES, events, query, r6, sql_ts, text_ts, with_codes
-from .models import CONFIG, SHARDS, state_out, to_examples
+from .base import RAW_SQL, ORACLES, events, query, r6, sql6, sql_ts, text_ts, with_codes
+from .models import (
+    BATCHES, CONFIG, MD5, SHARDS, STATE_SQL, WITH_EX, batch_sql, chain_sql, in_order_sql, small_examples,
+    state_out, to_examples,
+)
 
 HOURS_SQL = f"""SELECT user_id, {sql_ts("date_trunc('hour', ts)", 'window_start')},
   {sql_ts("date_trunc('hour', ts) + INTERVAL 1 HOUR", 'window_end')}, count(*) AS n
   FROM events GROUP BY user_id, date_trunc('hour', ts)"""
 
 
+def _resume_sql() -> str:
+    last = f"SELECT * FROM ex WHERE batch >= {BATCHES - 1}"
+    chain = chain_sql([*[batch_sql(i) for i in range(BATCHES - 1)], last])
+    return WITH_EX + chain + f" SELECT {STATE_SQL} FROM s{BATCHES}"
+
+
 def event_stream(spark, sf_dir):
     return with_codes(file_parquet(spark, sf_dir, "events.parquet"))
 
@@ -93,28 +102,56 @@ def stream_envelopes(spark, sf_dir):
     return state_out(store.load())
 
 
-@query("stream_shard_train")
+@query("stream_shard_train", ORACLES["shard_train"])
 def stream_shard_train(spark, sf_dir):
     """In-order training per shard on each micro-batch, averaged."""
     folder = new_folder(spark, "stream-shards")
     store = StateStore(spark, f"{folder}/model")
     trainer.start_trainer(
-        to_examples(event_stream(spark, sf_dir)), store, CONFIG, f"{folder}/checkpoint",
-        step=training.sharded(SHARDS), seconds=None,
+        small_examples(event_stream(spark, sf_dir)), store, CONFIG, f"{folder}/checkpoint",
+        step=training.sharded(SHARDS, MD5), seconds=None,
     ).awaitTermination()
     return state_out(store.load())
 
 
-@query("stream_keyed_state")
+@query("stream_shard_envelopes", ORACLES["shard_train"])
+def stream_shard_envelopes(spark, sf_dir):
+    """The same examples sent as LIBSVM lines in JSON envelopes."""
+    folder = new_folder(spark, "stream-shard-text")
+    lines = small_examples(event_stream(spark, sf_dir)).select(
+        "example_id", F.to_json(F.struct(libsvm_line().alias("payload"))).alias("value")
+    )
+    store = StateStore(spark, f"{folder}/model")
+    trainer.start_text_trainer(
+        lines, store, f"{folder}/rejects", CONFIG, f"{folder}/checkpoint",
+        step=training.sharded(SHARDS, MD5), seconds=None,
+    ).awaitTermination()
+    return state_out(store.load())
+
+
+@query("stream_keyed_state", f"""WITH RECURSIVE {RAW_SQL}, {in_order_sql(['shard', 'segment'], False)},
+  steps AS (SELECT segment, CAST(count(*) AS BIGINT) AS steps FROM small GROUP BY segment)
+  SELECT segment, feature, any_value(steps.steps) AS steps, {sql6('avg(w)', 'w')}
+  FROM learned JOIN steps USING (segment) GROUP BY segment, feature""")
 def stream_keyed_state(spark, sf_dir):
-    """One model per segment of codes, held in the stream's state."""
+    """One model per segment of codes, folded in order and kept as a state table."""
     folder = new_folder(spark, "stream-keyed")
-    rows = to_examples(event_stream(spark, sf_dir)).withColumn(
-        "segment", F.concat(F.lit("s"), (F.col("k") % 4).cast("string"))
-    )
-    models = keyed.keyed_models(rows, "segment", CONFIG, SHARDS)
-    keyed.start_publishing(models, f"{folder}/updates", f"{folder}/checkpoint", seconds=None).awaitTermination()
-    updates = spark.read.parquet(f"{folder}/updates")
-    merged = keyed.merged_models(updates, "segment")
-    rows = attach(merged, keyed.model_steps(updates, "segment"), ["segment"], ["feature"], "inner")
-    return rows.select("segment", "steps", "feature", r6("w"))
+    store = StateStore(spark, f"{folder}/model")
+    keyed.start_keyed_trainer(
+        small_examples(event_stream(spark, sf_dir)), "segment", store, CONFIG, f"{folder}/checkpoint", SHARDS,
+        method=MD5, seconds=None,
+    ).awaitTermination()
+    return keyed.published(store, "segment").select("segment", "feature", "steps", r6("w"))
+
+
+@query("resume_training", _resume_sql())
+def resume_training(spark, sf_dir):
+    """Two series on one store, then a stream onto it: no batch is left out."""
+    folder = new_folder(spark, "resume")
+    store = StateStore(spark, f"{folder}/model", keep=2)
+    rows = to_examples(events(spark, sf_dir))
+    training.train_series(store, rows.where(F.col("batch") < 2), "batch", CONFIG, source="first")
+    training.train_series(store, rows.where(F.col("batch").isin(2, 3)), "batch", CONFIG, source="second")
+    stream = to_examples(event_stream(spark, sf_dir)).where(F.col("batch") >= 4)
+    trainer.start_trainer(stream, store, CONFIG, f"{folder}/checkpoint", seconds=None).awaitTermination()
+    return state_out(store.load())

@@ -34,12 +34,12 @@ def counted_minibatch(state: DataFrame, batch: DataFrame, config: FtrlConfig) ->
     return ftrl_step(state, batch, config, counted=True, stored=True)
 
 
-def sharded(shards: int) -> Step:
+def sharded(shards: int, method: str = "xxhash64") -> Step:
     """In-order training per shard, averaged. The model depends on the number of shards, which
     is therefore given, kept in ``meta``, and the same for any amount of data."""
 
     def step(state: DataFrame, batch: DataFrame, config: FtrlConfig) -> DataFrame:
-        return shard_step(state, batch, config, shards, stored=True)
+        return shard_step(state, batch, config, shards, stored=True, method=method)
 
     step.settings = {"shards": shards}
     return step

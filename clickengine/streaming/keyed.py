@@ -1,93 +1,83 @@
-"""One running model per key, held in the stream's own state."""
+"""One running model per key, kept in a versioned state table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.logistic import FtrlConfig
-from ..operators.inorder import Cell, advance
 from ..operators.sampling import with_shard
+from ..operators.shards import train_in_order
+from ..operators.skew import attach
+from ..operators.state import empty_state, upsert
+from ..sources.store import StateStore
 from .trainer import triggered
 
-_STATE = "steps bigint, features array<bigint>, z array<double>, n array<double>"
-
 
-def keyed_models(
-    examples: DataFrame, key: str, config: FtrlConfig, shards: int = 8, key_type: str = "string"
+def keyed_step(
+    state: DataFrame, examples: DataFrame, key: str, config: FtrlConfig, shards: int,
+    key_type: str = "string", method: str = "xxhash64", stored: bool = False,
 ) -> DataFrame:
-    """Streaming (key, shard, steps, feature, w, z): the features each update touched.
+    """The state (shard, key, feature, ...) after each key's models learned their examples.
 
-    ``examples`` have ``key``, ``seq``, ``example_id``, ``label`` and ``features``. A key's
-    rows are dealt over ``shards`` models, as one key may hold most of the stream, and
-    ``merged_models`` averages them. Rows are folded one after another, ordered by ``seq``
-    within each block Spark hands over. Group state is bounded by the feature ids in use.
+    A key's rows are dealt over ``shards`` models, as one key may hold most of the stream, and
+    each is folded one after another in order of ``seq``. The state is rows, so neither a
+    key's features nor its examples have to fit one place.
     """
-
-    def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            steps, features, zs, ns = state.get
-            met = {int(f): Cell(float(z), float(n)) for f, z, n in zip(features, zs, ns)}
-        else:
-            steps, met = 0, {}
-        touched: set[int] = set()
-        for frame in frames:
-            ordered = frame.sort_values(["seq", "example_id"])
-            for label, features, values in zip(ordered["label"], ordered["ids"], ordered["vals"]):
-                active = [(met.setdefault(int(f), Cell()), float(v)) for f, v in zip(features, values)]
-                advance(active, int(label), config, count_only=False)
-                touched.update(int(f) for f in features)
-                steps += 1
-        ids = list(met)
-        state.update((steps, ids, [met[f].z for f in ids], [met[f].n for f in ids]))
-        yield pd.DataFrame(
-            [(*group, steps, f, met[f].weight(config), met[f].z) for f in touched],
-            columns=[key, "shard", "steps", "feature", "w", "z"],
-        )
-
-    flat = with_shard(examples, "example_id", shards).select(
-        key, "shard", "seq", "example_id", "label",
-        F.map_keys("features").alias("ids"), F.map_values("features").alias("vals"),
-    )
-    return flat.groupBy(key, "shard").applyInPandasWithState(
-        update,
-        outputStructType=f"{key} {key_type}, shard int, steps bigint, feature bigint, w double, z double",
-        stateStructType=_STATE,
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+    rows = with_shard(examples, "example_id", shards, method=method)
+    learned = train_in_order(
+        state, rows, config, {"shard": "int", key: key_type}, shards, ["shard", key], count_only=False, stored=stored)
+    old = state.select("shard", key, "feature", F.col("p_count").alias("__p"), F.col("n_count").alias("__m"),
+                       F.col("g_sum").alias("__g"))
+    grown = learned.join(old, ["shard", key, "feature"], "left").select(
+        "shard", key, "feature", "w", "z", "n",
+        (F.coalesce("__p", F.lit(0.0)) + F.col("p_new")).alias("p_count"),
+        (F.coalesce("__m", F.lit(0.0)) + F.col("n_new")).alias("n_count"),
+        (F.coalesce("__g", F.lit(0.0)) + F.col("g_new")).alias("g_sum"),
     )
+    return upsert(state, grown, ["shard", key])
 
 
-def start_publishing(
-    models: DataFrame, path: str, checkpoint: str, seconds: float | None = 1
+def start_keyed_trainer(
+    examples: DataFrame, key: str, store: StateStore, config: FtrlConfig, checkpoint: str,
+    shards: int = 8, key_type: str = "string", method: str = "xxhash64", seconds: float | None = 1,
 ) -> StreamingQuery:
-    """Write the weights each batch changed, and the steps behind them, under ``path/batch=<id>``."""
+    """Learn from each micro-batch of (``key``, seq, example_id, label, features).
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    The state after the batch and the examples of each key in it are stored as a new version; a
+    batch that Spark delivers again changes nothing.
+    """
 
-    writer = (
-        models.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-    )
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        if store.learned(checkpoint, str(batch_id)):
+            return
+        before = store.latest()
+        version = (before or 0) + 1
+        first = empty_state(store.spark, {"shard": "int", key: key_type})
+        state = store.load(before) if before is not None else first
+        batch = batch.persist()
+        try:
+            store.save_metrics(version, batch.groupBy(key).agg(F.count(F.lit(1)).alias("steps")))
+            after = keyed_step(state, batch, key, config, shards, key_type, method, stored=before is not None)
+            store.save(version, after, checkpoint, str(batch_id), shards=shards)
+        finally:
+            batch.unpersist()
+
+    writer = examples.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint)
     return triggered(writer, seconds).start()
 
 
-def merged_models(updates: DataFrame, key: str) -> DataFrame:
-    """(key, feature, w): the last update of each shard, averaged per feature.
+def merged_models(state: DataFrame, key: str) -> DataFrame:
+    """(key, feature, w): the weights of a key's shards, averaged per feature over those that met it."""
+    return state.groupBy(key, "feature").agg(F.avg("w").alias("w"))
 
-    ``updates`` is the stream's output; ``steps`` only grows, so the largest is the last.
-    """
-    last = updates.groupBy(key, "shard", "feature").agg(F.max_by("w", "steps").alias("w"))
-    return last.groupBy(key, "feature").agg(F.avg("w").alias("w"))
+
+def model_steps(store: StateStore, key: str) -> DataFrame:
+    """(key, steps): examples learned from so far."""
+    return store.metrics().groupBy(key).agg(F.sum("steps").alias("steps"))
 
 
-def model_steps(updates: DataFrame, key: str) -> DataFrame:
-    """(key, steps): examples learned from, over all shards of a key."""
-    last = updates.groupBy(key, "shard").agg(F.max("steps").alias("steps"))
-    return last.groupBy(key).agg(F.sum("steps").alias("steps"))
+def published(store: StateStore, key: str) -> DataFrame:
+    """(key, feature, w, steps): what a batch publishes."""
+    return attach(merged_models(store.load(), key), model_steps(store, key), [key], ["feature"], "inner")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickengine.functions import logistic as L
 from clickengine.operators import metrics, state as st, steps
-from clickengine.operators.shards import shard_count, shard_step, train_shards
+from clickengine.operators.shards import partition_keys, shard_step, train_shards
 
 CONFIG = L.FtrlConfig(alpha=0.7, beta=1.0, l1=0.3, l2=0.1)
 
@@ -221,9 +221,23 @@ def test_result_does_not_depend_on_the_order_rows_arrive_in(spark):
     assert rows_of(a) == rows_of(b)
 
 
-def test_shard_count_grows_with_the_data(spark):
-    rows = make(spark, clicks(50))
-    assert shard_count(rows) == 8 and shard_count(rows, rows_per_shard=5) == 10
+def test_every_shard_has_a_task_of_its_own(spark):
+    keys = partition_keys(spark, 8)
+    parts = spark.createDataFrame([(k,) for k in keys], "k long").repartition(8, "k").select(F.spark_partition_id())
+    assert sorted(r[0] for r in parts.collect()) == list(range(8))
+
+
+@pytest.mark.parametrize("block", ["10", "10000"])
+def test_order_does_not_depend_on_the_blocks_rows_come_in(spark, block):
+    rows = clicks(200)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", block)
+    try:
+        got = as_dict(train_shards(st.empty_state(spark), make(spark, rows).orderBy(F.desc("seq")), CONFIG, 1), "z")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = plain.sequential({}, rows, CONFIG, True)
+    assert close(got, {f: (v["z"],) for f, v in want.items()})
 
 
 scored_rows = hs.lists(hs.tuples(hs.integers(0, 1), hs.floats(0.001, 0.999), hs.floats(0, 5)),

@@ -1,5 +1,8 @@
 import json
+import os
 import shutil
+import subprocess
+import sys
 
 import plain
 import pytest
@@ -165,20 +168,55 @@ def test_text_stream_keeps_equal_lines_apart_and_rejects_bad_ones(spark, tmp_pat
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 2
 
 
-def test_keyed_models_fold_rows_in_order_over_batches(spark, tmp_path):
+def test_text_stream_learns_in_shards(spark, tmp_path):
+    lines = [json.dumps({"payload": f"{y} " + " ".join(f"{k}:{v}" for k, v in x.items())}) for y, x in clicks(30)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    store = StateStore(spark, str(tmp_path / "model"))
+    trainer.start_text_trainer(
+        file_text(spark, str(tmp_path / "in")), store, str(tmp_path / "rejects"), CONFIG,
+        str(tmp_path / "checkpoint"), step=training.sharded(1), seconds=None).awaitTermination()
+    want = plain.sequential({}, clicks(30), CONFIG, True)
+    assert close(as_dict(store.load(), "z", "n"), {f: (v["z"], v["n"]) for f, v in want.items()})
+
+
+@pytest.mark.parametrize("block", ["3", "10000"])
+def test_keyed_models_fold_rows_in_order_over_batches(spark, tmp_path, block):
     rows = clicks(40)
     examples = numbered(spark, rows, 20).withColumn("segment", F.concat(F.lit("s"), F.col("seq") % 2))
     folder = str(tmp_path / "in")
     write_parts(spark, folder, examples.orderBy(F.desc("seq")), [0, 1])
-    models = keyed.keyed_models(file_parquet(spark, folder, "*.parquet", 1), "segment", CONFIG, shards=1)
-    keyed.start_publishing(models, str(tmp_path / "out"), str(tmp_path / "cp"), seconds=None).awaitTermination()
-    updates = spark.read.parquet(str(tmp_path / "out"))
-    merged = keyed.merged_models(updates, "segment")
+    store = StateStore(spark, str(tmp_path / "model"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", block)
+    try:
+        keyed.start_keyed_trainer(file_parquet(spark, folder, "*.parquet", 1), "segment", store, CONFIG,
+                                  str(tmp_path / "cp"), shards=1, seconds=None).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    merged = keyed.merged_models(store.load(), "segment")
     for s in (0, 1):
         want = plain.sequential({}, [r for i, r in enumerate(rows) if i % 2 == s], CONFIG)
         got = as_dict(merged.where(f"segment = 's{s}'"), "w")
         assert close(got, {f: (plain.weight(v["z"], v["n"], CONFIG),) for f, v in want.items()})
-    assert rows_of(keyed.model_steps(updates, "segment")) == [("s0", 20), ("s1", 20)]
+    assert rows_of(keyed.model_steps(store, "segment")) == [("s0", 20), ("s1", 20)]
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    """A driver that knows the package through its own path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").getOrCreate()
+print("ROWS", entry.queries()["shard_train"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 7" in out.stdout, out.stderr[-2000:]
 
 
 def events(spark):
