@@ -44,7 +44,7 @@ class FtrlConfig:
 
 @dataclass(frozen=True)
 class Rates:
-    """The same hyper-parameters as columns: literals, or columns of a grid."""
+    """The same hyper-parameters as columns."""
 
     alpha: Column
     beta: Column
@@ -52,10 +52,6 @@ class Rates:
     l2: Column
     sigma_sign: Column
 
-    @staticmethod
-    def from_grid() -> "Rates":
-        return Rates(*(F.col(c) for c in ("alpha", "beta", "l1", "l2", "sigma_sign")))
-
 
 def sigmoid(margin: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))

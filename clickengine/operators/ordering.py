@@ -7,24 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import new_folder
 
 # monotonically_increasing_id puts the partition number above this bit.
 _PARTITION_SHIFT = 33
+# Windows a block is long: one row in so many is there twice.
+BLOCK_SIZES = 16
 
 
 def with_dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Number the rows 0, 1, 2, ... in ``order`` (which must tell all rows apart).
 
-    Rows are range-partitioned and sorted, then checkpointed so that both uses below see
-    the same partitions. A row's number is its place in its partition plus the rows of
-    the partitions before it; that running sum covers one row per partition.
+    Rows are range-partitioned, sorted and written with their place, so that both uses below
+    see the same partitions; keep only columns that are used later. A row's number is its place in its
+    partition plus the rows of the partitions before it; that running sum covers one row per partition.
     """
-    ranged = cut_lineage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-    )
+    path = new_folder(df.sparkSession, "ordered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "__id", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     part = F.shiftright("__id", _PARTITION_SHIFT)
     placed = ranged.withColumn("__part", part).withColumn(
         "__place", F.col("__id") - F.shiftleft("__part", _PARTITION_SHIFT)
@@ -47,13 +48,15 @@ def rolling_sums(
 ) -> DataFrame:
     """Sum each expression over the last ``size`` rows up to and including the row.
 
-    ``idx`` must be dense. Rows are cut into blocks of ``size``; every row also visits the
-    next block, so a block and its forerunner hold every window that ends in the block.
+    ``idx`` must be dense. Rows are cut into blocks of ``BLOCK_SIZES`` times ``size``; the last
+    ``size`` rows of a block also visit the next one, which then holds every window that ends in it.
     The sum is a running total minus the running total ``size`` rows earlier.
     """
-    block = F.floor(F.col(idx) / size)
+    length = size * BLOCK_SIZES
+    block = F.floor(F.col(idx) / length)
+    visits = F.when(F.col(idx) % length >= length - size, F.array(block, block + 1)).otherwise(F.array(block))
     rows = indexed.select("*", *[c.alias(f"__{k}") for k, c in sums.items()]).withColumn(
-        "__block", F.explode(F.array(block, block + 1))
+        "__block", F.explode(visits)
     )
     up_to_here = (
         Window.partitionBy("__block").orderBy(idx)

@@ -39,11 +39,33 @@ def _squares(config: L.FtrlConfig | list[L.FtrlConfig]) -> Column:
     return F.when(F.col("config_id").isin(ids), whole).otherwise(F.col("q")) if ids else F.col("q")
 
 
-def per_config(examples: DataFrame, configs: list[L.FtrlConfig]) -> DataFrame:
-    """Repeat each example per configuration, numbered by ``config_id``."""
-    return examples.withColumn(
-        "config_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(len(configs))]))
-    )
+def grid_gradients(
+    examples: DataFrame, weights: DataFrame, configs: list[L.FtrlConfig], stored: bool = False, **heavy
+) -> DataFrame:
+    """(config_id, feature, g, q, p_new, n_new) of all models over the same examples.
+
+    ``weights`` are (config_id, feature, w). Every feature brings the weights of all
+    models at once, so examples are shuffled once, whatever the number of models; a row per model
+    only comes up behind the sums per feature.
+    """
+    ids = range(len(configs))
+    wide = weights.groupBy("feature").agg(
+        *[F.sum(F.when(F.col("config_id") == i, F.col("w"))).alias(f"__w{i}") for i in ids])
+    join = attach_stored if stored else attach
+    rows = join(exploded(examples, ["example_id", "label"]), wide, ["feature"], ["example_id"], **heavy)
+    one_example = Window.partitionBy("example_id")
+    summed = rows.select("feature", "value", "label", *[
+        F.sum(F.coalesce(f"__w{i}", F.lit(0.0)) * F.col("value")).over(one_example).alias(f"__m{i}") for i in ids])
+    summed = summed.where(F.col("feature").isNotNull())
+    g = [L.gradient(F.col("label"), L.clipped(L.sigmoid(F.col(f"__m{i}"))), F.col("value")) for i in ids]
+    label = F.col("label").cast("double")
+    sums = summed.groupBy("feature").agg(
+        *[F.sum(g[i]).alias(f"__g{i}") for i in ids], *[F.sum(g[i] * g[i]).alias(f"__q{i}") for i in ids],
+        F.sum(label).alias("p_new"), F.sum(1.0 - label).alias("n_new"))
+    each = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("config_id"), F.col(f"__g{i}").alias("g"), F.col(f"__q{i}").alias("q"))
+        for i in ids])
+    return sums.select("feature", "p_new", "n_new", F.inline(each))
 
 
 def weighted_rows(
@@ -116,7 +138,9 @@ def gradients(
 
 
 def current_weights(state: DataFrame, rates: L.Rates, keys: list[str]) -> DataFrame:
-    return state.select(*keys, "feature", L.weight(F.col("z"), F.col("n"), rates).alias("w"))
+    """Weights other than zero; a missing one counts as zero."""
+    weights = state.select(*keys, "feature", L.weight(F.col("z"), F.col("n"), rates).alias("w"))
+    return weights.where(F.col("w") != 0.0)
 
 
 def ftrl_step(
@@ -126,14 +150,18 @@ def ftrl_step(
     """The state after one mini-batch.
 
     ``counted`` estimates the squared-gradient sum from label counts. With a list of
-    configurations, ``examples`` and ``state`` carry ``config_id`` (see ``per_config``)
-    and all models advance in the same job.
+    configurations, ``state`` carries ``config_id`` and all models advance in the same job,
+    over the same examples.
     """
-    keys = [*(keys or [])]
-    if not isinstance(config, L.FtrlConfig) and "config_id" not in keys:
-        keys.insert(0, "config_id")
     rates = _rates(config)
-    sums = gradients(examples, current_weights(state, rates, keys), keys, **heavy)
+    if isinstance(config, L.FtrlConfig):
+        keys = [*(keys or [])]
+        sums = gradients(examples, current_weights(state, rates, keys), keys, **heavy)
+    else:
+        if keys:
+            raise ValueError("a grid of configurations has no further model keys")
+        keys = ["config_id"]
+        sums = grid_gradients(examples, current_weights(state, rates, keys), config, **heavy)
     on = [*keys, "feature"]
     joined = state.select(*on, *STATE_COLUMNS).join(sums, on, "full_outer").select(
         *on, "g", "q",

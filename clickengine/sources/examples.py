@@ -21,8 +21,8 @@ def parse_libsvm(df: DataFrame, column: str = "line") -> DataFrame:
     """Add ``label``, ``features`` and ``valid``.
 
     Indices count from 0 and may come in any order, with any number of spaces between
-    them; of a repeated index the last value holds. A line that does not parse keeps
-    null features and ``valid`` false.
+    them; of a repeated index the last value holds. A line that does not parse, or whose
+    label is neither 0 nor 1, keeps null features and ``valid`` false.
     """
     parts = F.col("__parts")
     pairs = F.transform(
@@ -32,7 +32,7 @@ def parse_libsvm(df: DataFrame, column: str = "line") -> DataFrame:
             _number(F.get(F.split(p, ":"), F.lit(1)), "double").alias("v"),
         ),
     )
-    sound = F.col("__label").isNotNull() & F.forall(
+    sound = F.col("__label").isin(0, 1) & F.forall(
         "__pairs", lambda e: e["k"].isNotNull() & e["v"].isNotNull()
     )
     # Columns of their own, so that a line is taken apart once.

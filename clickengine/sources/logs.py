@@ -43,10 +43,11 @@ def spread_out(scan: DataFrame, row_id: str) -> DataFrame:
     """Deal the rows of a scan that cannot be split over all cores, by a hash of their id.
 
     One gzip file, or one small Parquet file, is one task, and so would be all that
-    follows it up to the first shuffle. A scan with enough tasks is left as it is.
+    follows it up to the first shuffle. A scan of several splits is left as it is.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, row_id) if scan.rdd.getNumPartitions() < cores else scan
+    if scan.rdd.getNumPartitions() > 1:
+        return scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, row_id)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -119,7 +119,7 @@ def test_example_without_features_scores_half(spark):
 
 def test_grid_equals_models_trained_alone(spark):
     grid = [CONFIG, replace(CONFIG, alpha=0.1, l1=0.0), replace(CONFIG, beta=3.0, sigma_sign=1, square="batch")]
-    rows = steps.per_config(make(spark, clicks()), grid)
+    rows = make(spark, clicks())
     both = st.empty_state(spark, {"config_id": "bigint"})
     for _ in range(2):
         both = steps.ftrl_step(both, rows, grid)
