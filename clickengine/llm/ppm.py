@@ -1,19 +1,17 @@
 """Language-model scores by prediction by partial matching, beside a smoothed unigram base.
 
-A trie of byte contexts up to ``ORDER`` (3) bytes is counted over the training documents as a table of
-byte n-grams. The probability of a byte is found from the longest context down: a symbol seen
+A trie of byte contexts up to ``ORDER`` (2) bytes is counted over the training documents: at most 256 ** 3 nodes, whatever the
+corpus. The probability of a byte is found from the longest context down: a symbol seen
 in a context with T occurrences of D different symbols has count / (T + D), else an escape costs
 D / (T + D) and the next shorter context is used without the symbols of the longer one; after
 the empty context, the bytes never seen share the rest evenly. Since a context's symbols are also symbols of
 each shorter one, exclusion only subtracts: the counts left in the shorter context are T less the
-counts it gives the excluded symbols, a number kept per context. So a model is a few joins over
-distinct n-grams, and a text's code length is the sum of its n-grams' values. A text starts after ``ORDER``
-zero bytes and ends without a symbol of its own.
+counts it gives the excluded symbols. The finished trie thus gives each n-gram one code length, and a text's is the
+sum over its bytes. A text starts after ``ORDER`` zero bytes and ends without a symbol of its own.
 
-Texts are dealt into blocks. What is gathered of a block is one row per distinct word and n-gram with its
-training count; these rows are counted, given their values by joins on the word or n-gram, and
-come back to the block as its dictionary. No vocabulary is ever held whole by one task
-or the driver.
+Word counts grow with the corpus and are never held whole by one task or the driver. The ``HOT`` most frequent words are
+known to every task; all other words of a text go through a join with the table of counts and
+come back as a sum per document.
 
 Null and empty texts have one token, the end, and a model score of 0. Texts are read whole; repeated
 rows, also of one doc_id, are learned from and scored each. Null ids count as not held out. An empty
@@ -26,18 +24,20 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_folder
-from .common import bound_batches, id_text, offsets_of, texts_of
+from .common import bound_batches, id_text, map_batches, offsets_of, texts_of
+from .components import stored
 
-ORDER = 3
-BLOCK_BYTES = 8 << 20
-DENSE = 1 << 24
+ORDER = 2
+HOT = 1 << 18
+# Words that a task gathers before it sends their counts on.
+GATHER = 200_000
+# Bytes whose n-grams are looked at together.
+CHUNK = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,9 +54,9 @@ def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(pad.join([b"", *texts]), np.uint8)
     if not lengths.sum():
-        return np.zeros(0, np.uint32), lengths
-    pairs = raw[:-1].astype(np.uint32) << 8 | raw[1:]
-    codes = pairs[:-2] << 16 | pairs[2:]
+        return np.zeros(0, np.int32), lengths
+    raw = raw.astype(np.int32)
+    codes = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     keep = np.ones(len(raw), bool)
     starts = offsets_of(lengths + ORDER)[:-1]
     for k in range(ORDER):
@@ -64,196 +64,135 @@ def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep[ORDER:]], lengths
 
 
-class GramIndex:
-    """Places of n-grams in a small range, by the two halves that occur; exact for any bytes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.high = np.zeros(1 << 16, np.int64)
-        self.low = np.zeros(1 << 16, np.int64)
-        highs = np.flatnonzero(np.bincount(codes >> 16, minlength=1 << 16))
-        lows = np.flatnonzero(np.bincount(codes & 0xFFFF, minlength=1 << 16))
-        self.n_low = len(lows)
-        self.size = len(highs) * len(lows)
-        self.high[highs] = np.arange(len(highs)) * len(lows)
-        self.low[lows] = np.arange(len(lows))
-        self.highs, self.lows = highs, lows
-
-    def place(self, codes: np.ndarray) -> np.ndarray:
-        return self.high[codes >> 16] + self.low[codes & 0xFFFF]
-
-    def code(self, places: np.ndarray) -> np.ndarray:
-        return self.highs[places // self.n_low].astype(np.int64) << 16 | self.lows[places % self.n_low]
-
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, some at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
-def count_grams(codes: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams with the number of their occurrences under ``learn``."""
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    index = GramIndex(codes)
-    if index.size <= DENSE:
-        place = index.place(codes)
-        there = np.flatnonzero(np.bincount(place, minlength=index.size))
-        return index.code(there), np.bincount(place[learn], minlength=index.size)[there]
-    grams, inverse = np.unique(codes, return_inverse=True)
-    return grams.astype(np.int64), np.bincount(inverse[learn], minlength=len(grams))
 
+def trie_counts(docs: DataFrame) -> DataFrame:
+    """(word, gram, n): counts of the words and the n-grams of the rows that are not held out."""
+    bound_batches(docs.sparkSession)
 
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, word or gram, n) of the blocks that stream by, in order of blocks."""
-    block, texts, learn, size = None, [], [], 0
+    def words_batch(words: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())],
+            names=["word", "gram", "n"])
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        others: set[bytes] = set()
-        for t, train in zip(texts, learn):
-            if train:
+        grams = np.zeros(256 ** (ORDER + 1), np.int64)  # pages are taken as they are touched
+        for batch in batches:
+            texts = [_bytes_of(t) for t in texts_of(batch.column("text"))]
+            for t in texts:
                 words.update(t.lower().split())
-            else:
-                others.update(t.lower().split())
-        others.difference_update(words)
-        keys = [*words, *others]
-        n = [*words.values()] + [0] * len(others)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), block), pa.int64()), pa.array(keys, pa.binary()),
-             pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int64())], names=["block", "word", "gram", "n"])
-        codes, lengths = gram_codes(texts)
-        grams, counts = count_grams(codes, np.repeat(np.array(learn, bool), lengths))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(grams), block), pa.int64()), pa.nulls(len(grams), pa.binary()),
-             pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], names=["block", "word", "gram", "n"])
-
-    for batch in batches:
-        rows = zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch.column("text")))
-        for b, held, text in rows:
-            if texts and (b != block or size > 2 * BLOCK_BYTES):
-                yield from out()
-                texts, learn, size = [], [], 0
-            block = b
-            texts.append(_bytes_of(text))
-            learn.append(not held)
-            size += len(texts[-1])
-    if texts:
-        yield from out()
-
-
-def gram_values(grams: DataFrame) -> DataFrame:
-    """log10 of the model's probability for each distinct n-gram; ``n`` is its training count."""
-    seen = grams.where(F.col("n") > 0)
-    counts, contexts = {ORDER: seen.select("gram", "n")}, {}
-    for k in range(ORDER - 1, -1, -1):
-        below = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        counts[k] = counts[k + 1].groupBy(below.alias("gram")).agg(F.sum("n").alias("n"))
-    for k in range(ORDER, -1, -1):
-        table = counts[k].withColumn("shorter", F.lit(0).cast("bigint"))
-        if k:
-            below = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-            short = counts[k - 1].select(F.col("gram").alias("sub"), F.col("n").alias("sub_n"))
-            table = counts[k].withColumn("sub", below).join(short, "sub").withColumn("shorter", F.col("sub_n"))
-        contexts[k] = table.groupBy(F.shiftright("gram", 8).alias(f"ctx{k}")).agg(
-            F.sum("n").alias(f"t{k}"), F.count(F.lit(1)).alias(f"d{k}"), F.sum("shorter").alias(f"e{k}"))
-    out = grams.select("gram", F.col("n").alias(f"n{ORDER}"))
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            below = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-            out = out.withColumn("sub", below).join(
-                _small(counts[k].select(F.col("gram").alias("sub"), F.col("n").alias(f"n{k}")), k), "sub", "left").drop("sub")
-        context = F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8)
-        out = out.withColumn(f"ctx{k}", context).join(_small(contexts[k], k - 1), f"ctx{k}", "left").drop(f"ctx{k}")
-    zero = F.lit(0.0)
-    value = F.lit(0.0)
-    found = F.lit(False)
-    for k in range(ORDER, -1, -1):
-        above_e = F.coalesce(F.col(f"e{k + 1}"), F.lit(0)) if k < ORDER else F.lit(0)
-        above_d = F.coalesce(F.col(f"d{k + 1}"), F.lit(0)) if k < ORDER else F.lit(0)
-        d = F.coalesce(F.col(f"d{k}"), F.lit(0)) - above_d
-        both = F.coalesce(F.col(f"t{k}"), F.lit(0)) - above_e + d
-        here = F.coalesce(F.col(f"n{k}"), F.lit(0)) > 0
-        step = F.when(found, zero).when(here, F.log10(F.col(f"n{k}") / both)).when(
-            d > 0, F.log10(d / both)).otherwise(zero)
-        value, found = value + step, found | here
-    value = value + F.when(found, zero).otherwise(-F.log10(F.lit(256) - F.coalesce("d0", F.lit(0))))
-    return out.select("gram", value.alias("value"))
-
-
-def _small(table: DataFrame, order: int) -> DataFrame:
-    """n-grams of ``order`` + 1 bytes: up to 65,536 rows of two bytes at most are broadcast."""
-    return F.broadcast(table) if order <= 1 else table
-
-
-def _score_block(key, docs, values):
-    words = values.column("word")
-    is_word = words.is_valid().to_numpy()
-    value = values.column("value").to_numpy()
-    known = values.column("known").to_numpy(zero_copy_only=False)
-    word_value = dict(zip(words.filter(pa.array(is_word)).to_pylist(), zip(value[is_word].tolist(), known[is_word].tolist())))
-    grams = values.column("gram").filter(pa.array(~is_word)).to_numpy().astype(np.int64)
-    by = np.argsort(grams)
-    grams, gram_value = grams[by], value[~is_word][by]
-    index = GramIndex(grams) if len(grams) else None
-    dense = index is not None and index.size <= DENSE
-    if dense:
-        lookup = np.zeros(index.size)
-        lookup[index.place(grams)] = gram_value
-    texts = [_bytes_of(t) for t in texts_of(docs.column("text"))]
-    n_tokens, n_known, base, score = [], [], [], []
-    for t in texts:
-        found = [word_value[w] for w in t.lower().split()]
-        n_tokens.append(len(found))
-        n_known.append(sum(k for _, k in found))
-        base.append(math.fsum(v for v, _ in found))
-        codes, _ = gram_codes([t])
-        if not len(codes):
-            score.append(0.0)
-        elif dense:
-            score.append(float(lookup[index.place(codes)].sum()))
-        else:
-            score.append(float(gram_value[np.searchsorted(grams, codes)].sum()))
-    return pa.table({
-        "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-        "n_words": pa.array(n_tokens, pa.int64()), "n_known_words": pa.array(n_known, pa.int64()),
-        "word_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
-    })
+            for some in chunks(texts):
+                seen, n = np.unique(gram_codes(some)[0], return_counts=True)
+                grams[seen] += n
+            if len(words) > GATHER:
+                yield words_batch(words)
+                words = Counter()
+        yield words_batch(words)
+        seen = np.flatnonzero(grams)
+        for at in range(0, len(seen), 1 << 16):
+            part = seen[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(part), pa.binary()), pa.array(part, pa.int32()), pa.array(grams[part], pa.int64())],
+                names=["word", "gram", "n"])
+
+    learned = docs.where(~F.col("held_out")).select("text")
+    return learned.mapInArrow(run, "word binary, gram int, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+
+
+def code_lengths(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability for every possible n-gram (256 ** 3 numbers)."""
+    trie = np.zeros((256, 256, 256), np.int64)
+    trie.reshape(-1)[grams] = counts
+    n1 = trie.sum(axis=0)
+    n0 = n1.sum(axis=0)
+    t1, d1, e1 = n1.sum(axis=1), (n1 > 0).sum(axis=1), ((n1 > 0) * n0).sum(axis=1)
+    t0, d0 = n0.sum(), (n0 > 0).sum()
+    never = -math.log10(256 - d0) if d0 < 256 else 0.0
+
+    def step(n, total, different):
+        """Value of a symbol here, and of the escape, where counts are left."""
+        both = np.maximum(total + different, 1)
+        with np.errstate(divide="ignore"):
+            return np.log10(n / both), np.where(different > 0, np.log10(np.maximum(different, 1) / both), 0.0)
+
+    symbol0, escape0 = step(n0[None, :], (t0 - e1)[:, None], (d0 - d1)[:, None])
+    after1 = np.where(n0[None, :] > 0, symbol0, escape0 + never)
+    out = np.empty((256, 256, 256), np.float32)
+    for first in range(256):
+        n2 = trie[first]
+        seen = n2 > 0
+        t2, d2, e2 = n2.sum(axis=1), seen.sum(axis=1), (seen * n1).sum(axis=1)
+        symbol2, escape2 = step(n2, t2[:, None], d2[:, None])
+        symbol1, escape1 = step(n1, (t1 - e2)[:, None], (d1 - d2)[:, None])
+        out[first] = np.where(seen, symbol2, escape2 + np.where(n1 > 0, symbol1, escape1 + after1))
+    return out.reshape(-1)
 
 
 def score(docs: DataFrame, is_held_out: Column | None = None) -> DataFrame:
     """Base and model score of every document, learned from the documents that are not held out."""
     spark: SparkSession = docs.sparkSession
-    bound_batches(spark)
-    rows = id_text(docs)
     held = held_out(F.col("doc_id")) if is_held_out is None else is_held_out
-    rows = rows.withColumn("held_out", held)
-    total, n_train, n_docs = rows.agg(
-        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(~F.col("held_out"), 1)), F.count(F.lit(1)),
-    ).first()
-    blocks = max(1, math.ceil(max(total / BLOCK_BYTES, n_docs / 1e6)))
-    # Rows are dealt by their place in the input, so that no id or text can fill a block.
-    place = F.xxhash64(F.monotonically_increasing_id())
-    rows = rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("bigint")).repartition(blocks, "block")
-    folder = new_folder(spark, "lm")
-    rows.sortWithinPartitions("block").mapInArrow(_symbols, "block bigint, word binary, gram bigint, n bigint").write.parquet(
-        f"{folder}/symbols")
-    symbols = spark.read.parquet(f"{folder}/symbols")
-    words = symbols.where(F.col("word").isNotNull()).select("block", "word", "n")
-    grams = symbols.where(F.col("gram").isNotNull()).select("block", "gram", "n")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    gram_values(grams.groupBy("gram").agg(F.sum("n").alias("n"))).write.parquet(f"{folder}/grams")
-    n_words, n_kinds = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    tokens = n_words + n_train
-    kinds = n_kinds + (n_train > 0)
+    rows = id_text(docs).withColumn("held_out", held)
+    counts = stored(trie_counts(rows), "counts")
+    n_train = rows.where(~F.col("held_out")).count()
+    grams = counts.where(F.col("gram").isNotNull()).select("gram", "n").toArrow()  # 256 ** 3 rows at most
+    words = counts.where(F.col("word").isNotNull()).select("word", "n")
+    n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens, kinds = n_words + n_train, n_kinds + (n_train > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
-    dictionary = words.drop("n").join(counts, "word").select(
-        "block", "word", F.lit(None).cast("bigint").alias("gram"),
-        (F.log10(F.col("c") + 0.5) - F.lit(floor)).alias("value"), (F.col("c") > 0).alias("known"),
-    ).unionByName(grams.drop("n").join(spark.read.parquet(f"{folder}/grams"), "gram").select(
-        "block", F.lit(None).cast("binary").alias("word"), "gram", "value", F.lit(False).alias("known")))
-    scored = rows.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(
-        _score_block, "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, "
-                      "word_score double, score double")
-    end = math.log10(n_train + 0.5) - floor
-    return scored.select(
-        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("n_known_words") + F.lit(int(n_train > 0)).cast("bigint")).alias("n_known"),
+    hot = words.orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+    known = dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + 0.5).tolist()))
+    shared = spark.sparkContext.broadcast(
+        (known, code_lengths(grams.column("gram").to_numpy(), grams.column("n").to_numpy())))
+    end = math.log10(n_train + 0.5)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, table = shared.value
+        texts = [_bytes_of(t) for t in texts_of(batch.column("text"))]
+        n_tokens, n_hot, hot_sum, cold = [], [], [], []
+        for t in texts:
+            found = t.lower().split()
+            values = [v for v in map(known.get, found) if v is not None]
+            n_tokens.append(len(found) + 1)
+            n_hot.append(len(values))
+            hot_sum.append(math.fsum(values))
+            cold.append([w for w in found if w not in known] if len(values) < len(found) else [])
+        scores = []
+        for some in chunks(texts):
+            codes, lengths = gram_codes(some)
+            sums = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
+            at = offsets_of(lengths)
+            scores.append(sums[at[1:]] - sums[at[:-1]])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("place"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()),
+             pa.array(n_hot, pa.int64()), pa.array(hot_sum, pa.float64()), pa.array(np.concatenate(scores), pa.float64()),
+             pa.array(cold, pa.list_(pa.binary()))],
+            names=["place", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "cold"])
+
+    scored = stored(map_batches(
+        rows.withColumn("place", F.monotonically_increasing_id()), run,
+        "place bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, hot_sum double, score double, "
+        "cold array<binary>"), "scored")
+    cold = scored.select("place", F.explode("cold").alias("word")).join(words, "word", "left")
+    rest = cold.groupBy("place").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("cold_sum"), F.count("n").alias("n_cold"))
+    known_end = F.lit(int(n_train > 0)).cast("bigint")
+    return scored.drop("cold").join(rest, "place", "left").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("n_hot") + F.coalesce("n_cold", F.lit(0)) + known_end).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("word_score") + F.lit(end)).alias("base_score"), "score",
+        (F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        "score",
     )
