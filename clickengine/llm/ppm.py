@@ -9,7 +9,7 @@ each shorter one, exclusion only subtracts: the counts left in the shorter conte
 counts it gives the excluded symbols. The finished trie thus gives each n-gram one code length, and a text's is the
 sum over its bytes. A text starts after ``ORDER`` zero bytes and ends without a symbol of its own.
 
-Word counts grow with the corpus and are never held whole by one task or the driver. The ``HOT`` most frequent words are
+Word counts grow with the corpus and are never held whole by one task or the driver. The most frequent words, ``HOT`` at most, are
 known to every task; all other words of a text go through a join with the table of counts and
 come back as a sum per document.
 
@@ -140,6 +140,23 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _level() -> Column:
+    """Eighths of a doubling of the count."""
+    return F.floor(F.log2(F.col("n")) * 8).cast("int")
+
+
+def hot_level(words: DataFrame, most: int = HOT) -> int:
+    """The lowest level of counts from which on there are at most ``most`` words."""
+    levels = words.groupBy(_level().alias("level")).count().collect()  # a few hundred, whatever the counts
+    found, lowest = 0, 8 * 64
+    for row in sorted(levels, key=lambda r: -r["level"]):
+        found += row["count"]
+        if found > most:
+            break
+        lowest = row["level"]
+    return lowest
+
+
 def score(docs: DataFrame, is_held_out: Column | None = None) -> DataFrame:
     """Base and model score of every document, learned from the documents that are not held out."""
     spark: SparkSession = docs.sparkSession
@@ -152,7 +169,7 @@ def score(docs: DataFrame, is_held_out: Column | None = None) -> DataFrame:
     n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = n_words + n_train, n_kinds + (n_train > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
-    hot = words.orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+    hot = words.where(_level() >= hot_level(words)).toArrow()  # HOT rows at most
     known = dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + 0.5).tolist()))
     shared = spark.sparkContext.broadcast(
         (known, code_lengths(grams.column("gram").to_numpy(), grams.column("n").to_numpy())))
