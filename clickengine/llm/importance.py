@@ -9,7 +9,7 @@ largest sums are the sample: drawing k without replacement in proportion to the
 k is the share of target rows among labelled rows times the number of documents.
 
 The model has ``BUCKETS`` entries, a fixed size; raw counts cover all documents, target counts
-at most ``LABELLED`` labelled documents, chosen by a hash of the id. The k-th largest sum is found by
+about ``LABELLED`` labelled documents at most, chosen by a hash of the id. The k-th largest sum is found by
 counting over ever finer ranges, without a global sort.
 
 Null and empty texts have no n-grams and a weight of 0 before the Gumbel number. Rows of equal sum are taken by
@@ -110,10 +110,12 @@ def weigh(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
     ).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("good").alias("good"))
     n, good = marks.agg(F.count(F.lit(1)), F.count(F.when(F.col("good"), 1))).first()
     share = good / n if n else 1.0
-    # A bounded choice by a hash of the id; partitions send their first ``labelled`` ids at most.
-    chosen = marks.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id")
+    # A choice by a hash of the id, of about ``labelled`` ids at most.
+    part = int(min(1.0, labelled / max(good, 1)) * (1 << 20))
+    chosen = marks.where("good").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).select("doc_id")
     raw = bucket_counts(rows)
-    target = bucket_counts(rows.join(chosen, "doc_id", "left_semi"))
+    # About ``labelled`` ids of eight bytes at most, so texts stay where they are.
+    target = bucket_counts(rows.join(F.broadcast(chosen), "doc_id", "left_semi"))
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target).astype(np.float32))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
