@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 
 
+# Tasks that write an intermediate table, per core of the cluster. Many small files cost more than they hold.
+FILES_PER_CORE = 4
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` written to the shared folder and read again: lineage ends there.
+
+    A task writes several partitions of the shuffle before it, one after another, into one file.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
