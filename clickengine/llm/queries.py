@@ -82,7 +82,7 @@ def op4(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_minmax_dedup")
+@query("op5_minmax_dedup", minmax.sql(4))
 def op5(spark, sf_dir):
     """Components of documents whose sets of 4-word shingles are similar."""
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), size=4)
@@ -94,7 +94,7 @@ def op6(spark, sf_dir):
     return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op7_chat_format")
+@query("op7_chat_format", chat.sql())
 def op7(spark, sf_dir):
     """Digests of every conversation, read back from its formatted segments."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -113,7 +113,7 @@ def op8(spark, sf_dir):
     return docs.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-@query("op9_license_scan")
+@query("op9_license_scan", licenses.sql())
 def op9(spark, sf_dir):
     """Places of the base phrases, license labels and score of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
