@@ -6,12 +6,12 @@ costs half the hash evaluations. Bands of ``BAND`` values give the buckets: at s
 two sets share none of the 32 buckets once in twenty million pairs.
 
 1. Documents with the same set form a class at once (equal 64-bit set digests); only classes go on.
-2. Each bucket's classes are compared with the bucket's smallest class: candidate links are
-   checked on signatures (60 % of the values, 5 deviations below 0.8), then on the full
-   shingle sets, and linked classes become components.
-3. In buckets that still hold several components, every pair of different components is compared by
-   signature inside the task, in blocks of ``BLOCK`` rows; only pairs that agree are passed on and
-   checked on full sets. So no link found by the buckets is left out, and no group's pairs are listed.
+2. ``STARS`` times, each bucket's classes are compared with one class of the bucket, another each time:
+   candidate links are checked on signatures (60 % of the values, 5 deviations below 0.8), then on the
+   full shingle sets, and linked classes become components. Buckets of one component are done.
+3. In buckets that still hold several components, every class outside the largest is compared with all
+   others inside the task, in blocks of ``BLOCK`` classes: first by signature, which leaves the classes that agree
+   with one of another component, then these on full sets. Only the few links that join components leave a task. So no link found by the buckets is left out, and no group's pairs are listed.
 
 Null and empty texts have the empty set, link with nothing and are components of their own. Texts
 with fewer words than a shingle have their whole sequence as one shingle. Texts are read whole.
@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, map_batches, offsets_of, texts_of
+from .common import bound_batches, id_text, map_batches, offsets_of, spread_rows, texts_of
 from .components import components, stored
 
 PERMUTATIONS = 64
 BAND = 4
 AGREE = 0.6
 BLOCK = 512
+STARS = 3
 SIMILAR = (80, 100)
 
 _SEED = np.random.default_rng(20_240_607)
@@ -51,13 +52,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def shingles(words: list, size: int) -> set:
-    """The distinct shingles themselves."""
-    if len(words) < size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(size))))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -124,7 +118,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             at = offsets_of(counts)
             for k, row in enumerate(full):
                 own = hashes[at[row]:at[row + 1]]
-                node[row] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                node[row] = digest(own)
                 bands[row] = keys[k]
                 low[row] = short[k].tobytes()
         return pa.RecordBatch.from_arrays(
@@ -151,47 +145,43 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "low_a", "low_b"), run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, hashes): the full shingle set of each class in ``nodes``, as sorted 64-bit hashes."""
     wanted = nodes.join(classes.select("node", "key"), "node")
     keyed = id_text(docs).select(_key(F.col("doc_id")).alias("key"), "text")
-    # An id may be that of several texts; each is given as a pair's text and the right one told by its digest.
-    texts = keyed.join(wanted, "key").select("node", "text")
-    texts = stored(_of_node(texts, size), "texts")
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
-        for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch.column("b").to_pylist(), texts_of(batch.column("text_a")),
-                                         texts_of(batch.column("text_b"))):
-                if b != last:
-                    last, kept = b, shingles(words_of(text_b), size)
-                own = shingles(words_of(text_a), size)
-                common = len(own & kept)
-                keep.append(common * similar[1] >= (len(own) + len(kept) - common) * similar[0])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, counts = shingle_hashes(texts_of(batch.column("text")), size)
+        at = offsets_of(counts)
+        own = [hashes[at[k]:at[k + 1]] for k in range(batch.num_rows)]
+        # An id may be that of several texts; the right one is told by its digest.
+        keep = [digest(h) == node for h, node in zip(own, batch.column("node").to_pylist())]
+        out = pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "hashes"])
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    found = map_batches(keyed.join(wanted, "key").select("node", "text"), run, "node bigint, hashes binary")
+    return found.dropDuplicates(["node"])
 
-    bound_batches(docs.sparkSession)
-    return rows.mapInArrow(run, "a bigint, b bigint")
 
+def digest(hashes: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def _of_node(texts: DataFrame, size: int) -> DataFrame:
-    """One text per class: a row counts only if its set has the class's digest."""
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, counts = shingle_hashes(texts_of(batch.column("text")), size)
-        at = offsets_of(counts)
-        keep = [
-            int.from_bytes(hashlib.blake2b(hashes[at[k]:at[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) == node
-            for k, node in enumerate(batch.column("node").to_pylist())
-        ]
-        return batch.filter(pa.array(keep, pa.bool_()))
+        keep = []
+        for raw_a, raw_b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+            a, b = np.frombuffer(raw_a, np.uint64), np.frombuffer(raw_b, np.uint64)
+            common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+            keep.append(common * similar[1] >= (len(a) + len(b) - common) * similar[0])
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(texts, run, "node bigint, text string").groupBy("node").agg(F.min("text").alias("text"))
+    return map_batches(rows, run, "a bigint, b bigint")
 
 
 def _key(doc_id: Column) -> Column:
@@ -199,58 +189,133 @@ def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit((1 << 63) - 1).cast("bigint"))
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """Agreeing pairs of different components within buckets, block against block."""
+def _links_within(group: list[tuple], similar: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between the components of one group (two blocks of a bucket), as few as join them.
+
+    Every class outside the largest component is compared with all classes of other components
+    on full sets, by counting common shingles over an index of the group.
+    """
+    label = np.array([g[5] for g in group])
+    if (label == label[0]).all():
+        return []
+    across = group[0][1] != group[0][2]
+    side = np.array([g[3] for g in group])
+    sets = [np.frombuffer(g[6], np.uint64) for g in group]
+    sizes = np.array([len(x) for x in sets])
+    at = offsets_of(sizes)
+    _, entry = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(entry, kind="stable")
+    owner = np.repeat(np.arange(len(group)), sizes)[by]
+    starts = offsets_of(np.bincount(entry))
+    names, n = np.unique(label, return_counts=True)
+    largest = names[n.argmax()]
+    out = []
+    for i in np.flatnonzero(label != largest):
+        mine = entry[at[i]:at[i + 1]]
+        lists = owner[spread_rows(starts[mine], starts[mine + 1] - starts[mine])]
+        common = np.bincount(lists, minlength=len(group))
+        link = common * similar[1] >= (sizes + sizes[i] - common) * similar[0]
+        link &= label != label[i]
+        if across:
+            link &= side != side[i]
+        for j in np.flatnonzero(link):
+            if label[j] != label[i]:
+                out.append((group[i][4], group[j][4]))
+                label[label == label[i]] = label[j]
+    return out
+
+
+def _block_pairs(rows: DataFrame, carry: str) -> DataFrame:
+    """(bucket, lo, hi, own, node, component, carry) by bucket and pair of blocks.
+
+    A bucket of more than ``BLOCK`` classes is cut into blocks, every two of which meet in a
+    task, so a task holds two blocks at a time.
+    """
     counted = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = counted.withColumn("blocks", blocks).withColumn(
+    dealt = counted.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        "own", "node", "component", "size", "low",
+        "own", "node", "component", carry,
     )
-    parts = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "component")
-
-    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
-        lo, hi = group[0][1], group[0][2]
-        component = np.array([g[5] for g in group])
-        if (component == component[0]).all():
-            return []
-        low = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
-        side = np.array([g[3] for g in group])
-        node = [g[4] for g in group]
-        # All but the largest component against all that stand behind them.
-        names, sizes = np.unique(component, return_counts=True)
-        largest = names[sizes.argmax()]
-        rank = np.where(component == largest, len(group), np.arange(len(group)))
-        out = []
-        for i in np.flatnonzero(component != largest):
-            others = np.flatnonzero((component != component[i]) & (rank > rank[i]) & ((side != side[i]) | (lo == hi)))
-            if len(others):
-                agree = (low[others] == low[i]).mean(axis=1) >= AGREE
-                out += [(node[i], node[j]) for j in others[agree]]
-        return out
+    bound_batches(rows.sparkSession)
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], work, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each (bucket, lo, hi) that streams by, all of whose results are bigint."""
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    group: list[tuple] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group and row[:3] != group[0][:3]:
+                out += work(group)
+                group = []
+            group.append(row)
+        yield made(out)
+    if group:
+        yield made(work(group))
+
+
+def _agreeing_across(group: list[tuple]) -> list[tuple[int, int, int]]:
+    """(bucket, node, component) of the classes whose signature agrees with one of another component."""
+    label = np.array([g[5] for g in group])
+    if (label == label[0]).all():
+        return []
+    low = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1)
+    names, n = np.unique(label, return_counts=True)
+    found = np.zeros(len(group), bool)
+    for i in np.flatnonzero(label != names[n.argmax()]):
+        others = label != label[i]
+        others[others] = (low[others] == low[i]).mean(axis=1) >= AGREE
+        found |= others
+        found[i] |= others.any()
+    return [(group[i][0], group[i][4], group[i][5]) for i in np.flatnonzero(found)]
+
+
+def likely_rows(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, node, component, low) that may have a link to another component in their bucket."""
+    names = ["bucket", "node", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_group(batches, _agreeing_across, names)
+
+    return _block_pairs(rows, "low").mapInArrow(run, "bucket bigint, node bigint, component bigint").distinct()
+
+
+def exhaustive_links(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): links between different components within buckets, from rows (bucket, node, component, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs(group)
-                    group = []
-                group.append(row)
-            yield _pairs(out)
-        if group:
-            yield _pairs(pairs(group))
+        return _by_group(batches, lambda group: _links_within(group, similar), ["a", "b"])
 
-    return parts.mapInArrow(run, "a bigint, b bigint")
+    return _block_pairs(rows, "hashes").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def star_pairs(rows: DataFrame, classes: DataFrame, turn: int, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): each bucket's classes with its centre, another one each turn, where signatures agree."""
+    order = F.xxhash64("node", F.lit(turn))
+    centres = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("m")).select(
+        "bucket", F.col("m.node").alias("b"), F.col("m.component").alias("own"))
+    stars = rows.join(centres, "bucket").where(F.col("component") != F.col("own")).select(
+        F.col("node").alias("a"), "b").distinct()
+    facts = classes.select("node", "size", "low")
+    stars = stars.join(facts.toDF("a", "size_a", "low_a"), "a").join(facts.toDF("b", "size_b", "low_b"), "b")
+    return _agreeing(stars.where(_close_sizes(F.col("size_a"), F.col("size_b"), similar)))
+
+
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with the components of now."""
+    named = rows.select("bucket", "node").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+        F.col("x") < F.col("y")).select("bucket")
+    return named.join(several, "bucket").select("bucket", "node", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -261,27 +326,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: tuple[int, int] = S
             F.min(F.struct("key", "n_shingles", "bands", "low")).alias("m")
         ).select("node", "m.key", F.col("m.n_shingles").alias("size"), "m.bands", "m.low"), "classes",
     )
-    members = classes.select(F.posexplode("bands").alias("band", "value"), "node", "size").select(
-        F.xxhash64("band", "value").alias("bucket"), "node", "size")
-    centres = members.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where(
-        F.col("b") < F.col("last")).select("bucket", "b")
-    shared = stored(members.join(centres, "bucket"), "buckets")
-    facts_a = classes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("low").alias("low_a"))
-    facts_b = classes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("low").alias("low_b"))
-    stars = shared.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
-    stars = stars.join(facts_a, "a").join(facts_b, "b").where(
-        _close_sizes(F.col("size_a"), F.col("size_b"), similar))
-    links = stored(confirmed(stored(_agreeing(stars), "stars"), classes, docs, size, similar), "links")
-    labels = components(links)
-    named = shared.select("bucket", "node", "size").join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+    members = classes.select(F.posexplode("bands").alias("band", "value"), "node").select(
+        F.xxhash64("band", "value").alias("bucket"), "node")
+    several = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(
         F.col("x") < F.col("y")).select("bucket")
-    open_rows = named.join(several, "bucket").join(classes.select("node", "low"), "node")
-    pairs = _open_pairs(open_rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(facts_a.drop("low_a"), "a").join(facts_b.drop("low_b"), "b").where(
-        _close_sizes(F.col("size_a"), F.col("size_b"), similar)).select("a", "b")
-    more = stored(confirmed(stored(pairs, "pairs"), classes, docs, size, similar), "links")
+    open_rows = stored(members.join(several, "bucket").withColumn("component", F.col("node")), "buckets")
+    # Texts are read and moved once more, for the classes that share a bucket with another one.
+    sets = stored(sets_of(open_rows.select("node").distinct(), classes, docs, size), "sets")
+    links = None
+    for turn in range(STARS):
+        pairs = stored(star_pairs(open_rows, classes, turn, similar), "stars")
+        found = stored(confirmed(pairs, sets, similar), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        open_rows = stored(still_open(open_rows, labels), "buckets")
+    likely = likely_rows(open_rows.join(classes.select("node", "low"), "node"))
+    more = stored(exhaustive_links(likely.join(sets, "node").select(
+        "bucket", "node", "component", "hashes"), similar), "links")
     labels = components(links.unionByName(more))
     named = classes.select("node", "key").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -292,5 +353,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: tuple[int, int] = S
         F.when(F.col("first") < (1 << 63) - 1, F.col("first")))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def sql(size: int = 4, similar: tuple[int, int] = SIMILAR) -> str:
+    """The same components in SQL, from all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {size - 2}), lambda i: array_to_string(words[i:i + {size - 1}], ' ')) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE {similar[1]} * c >= {similar[0]} * (x.n + y.n - c)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
