@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 
 
-# Tasks that write an intermediate table, per core of the cluster. Many small files cost more than they hold.
-FILES_PER_CORE = 4
+# An intermediate table is written by a quarter of the shuffle's partitions, or by so many tasks per core
+# where that is more. Many small files cost more than they hold.
+FILES_PER_CORE = 8
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -19,7 +20,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(FILES_PER_CORE * cores, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    df.coalesce(tasks).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
