@@ -7,9 +7,10 @@ variable. A leaf with over ``LEAF_LINES`` different lines is parsed deeper, by i
 tokens, and where that is not enough lines must be equal; so a task never holds more than one such leaf.
 Places are compared by one byte per token, at up to ``PLACES`` places spread over the line.
 
-A template recurs when at least ``MIN_DOCUMENTS`` documents hold it that are made of other text otherwise: a document
-whose other lines are mostly (``COPY_SHARE`` of their tokens) found elsewhere too is a copy, a matter of
-document dedup, and neither counts nor loses lines. Of a recurring template the first line (smallest
+A template recurs when at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG`` tokens, which chance does not
+repeat) hold it that are made of other text otherwise: a document whose other lines are for the most part
+(``COPY_SHARE`` of their tokens) found elsewhere too is a copy, a matter of document dedup, and neither counts
+nor loses lines. Of a recurring template the first line (smallest
 doc_id, then place) stays, all others are dropped.
 
 Null and empty texts have no lines to drop. Rows with equal id and text count as one document and are treated alike.
@@ -38,7 +39,8 @@ LEAF_LINES = 2000
 PLACES = 32
 SIMILARITY = 0.8
 MIN_DOCUMENTS = 3
-COPY_SHARE = 0.75
+LONG = 50
+COPY_SHARE = 0.5
 
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _LAST = (1 << 63) - 1
@@ -159,12 +161,14 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     totals = rows.groupBy("doc").agg(F.sum("tokens").alias("all"))
     found = shared.groupBy("doc").agg(F.sum("tokens").alias("found"))
     held = shared.groupBy("doc", "template").agg(
-        F.sum("tokens").alias("own"), F.min(F.struct("key", "doc", "line_no")).alias("first"))
+        F.sum("tokens").alias("own"), F.max("tokens").alias("length"),
+        F.min(F.struct("key", "doc", "line_no")).alias("first"))
     # Repeated rows count their tokens several times over on both sides of the ratio.
     held = held.join(found.join(totals, "doc"), "doc").withColumn(
         "free", F.col("found") - F.col("own") < COPY_SHARE * (F.col("all") - F.col("own")))
     recurring = held.groupBy("template").agg(
-        F.count(F.when(F.col("free"), 1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= MIN_DOCUMENTS)
+        F.count(F.when(F.col("free"), 1)).alias("n"), F.max("length").alias("length"), F.min("first").alias("first")
+    ).where((F.col("n") >= MIN_DOCUMENTS) | ((F.col("n") >= 2) & (F.col("length") >= LONG)))
     losing = held.where("free").select("doc", "template").join(recurring.select("template", "first"), "template")
     return shared.select("doc", "key", "line_no", "template").join(losing, ["doc", "template"]).where(
         F.struct("key", "doc", "line_no") != F.col("first")).select("doc", "line_no")
