@@ -118,17 +118,36 @@ def validate(
     )
 
 
-def gradients(
-    examples: DataFrame, weights: DataFrame, keys: list[str] | None = None, **heavy
+def margin_rows(
+    examples: DataFrame, state: DataFrame, config: L.FtrlConfig, stored: bool = False, **heavy
 ) -> DataFrame:
-    """(keys, feature, g, q, p_new, n_new): sums of gradient, its square and label counts."""
-    keys = keys or []
-    rows = weighted_rows(examples, weights, keys, ["example_id", "label"], **heavy)
-    one_example = Window.partitionBy(*keys, "example_id")
-    summed = rows.withColumn("margin", F.sum(F.col("w") * F.col("value")).over(one_example))
-    scored = summed.where(F.col("feature").isNotNull()).withColumn(
-        "prob", L.clipped(L.sigmoid(F.col("margin")))
-    )
+    """Exploded labelled examples with the margin under the published weights and under those that
+    z and n give, from one join: what validating and learning from a batch have in common."""
+    weights = state.select("feature", "w", L.weight(F.col("z"), F.col("n"), config.columns()).alias("__now"))
+    weights = weights.where((F.col("w") != 0.0) | (F.col("__now") != 0.0))
+    join = attach_stored if stored else attach
+    rows = join(exploded(examples, ["example_id", "label"]), weights, ["feature"], ["example_id"], **heavy)
+    one_example = Window.partitionBy("example_id")
+
+    def margin(w: str) -> Column:
+        total = F.sum(F.coalesce(w, F.lit(0.0)) * F.col("value")).over(one_example)
+        return F.coalesce(total, F.lit(0.0))
+
+    return rows.select(
+        "example_id", "label", "feature", "value", margin("w").alias("published"), margin("__now").alias("margin"))
+
+
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """(example_id, label, prob, loss) of the examples in ``margin_rows``, under the published weights."""
+    examples = rows.groupBy("example_id", "label").agg(F.first("published").alias("margin"))
+    prob = L.sigmoid(F.col("margin"))
+    return examples.select(
+        "example_id", "label", prob.alias("prob"), L.log_loss(F.col("label"), L.clipped(prob)).alias("loss"))
+
+
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, g, q, p_new, n_new) of exploded rows with their example's ``margin``."""
+    scored = rows.where(F.col("feature").isNotNull()).withColumn("prob", L.clipped(L.sigmoid(F.col("margin"))))
     g = L.gradient(F.col("label"), F.col("prob"), F.col("value"))
     label = F.col("label").cast("double")
     return scored.groupBy(*keys, "feature").agg(
@@ -137,6 +156,16 @@ def gradients(
     )
 
 
+def gradients(
+    examples: DataFrame, weights: DataFrame, keys: list[str] | None = None, **heavy
+) -> DataFrame:
+    """(keys, feature, g, q, p_new, n_new): sums of gradient, its square and label counts."""
+    keys = keys or []
+    rows = weighted_rows(examples, weights, keys, ["example_id", "label"], **heavy)
+    one_example = Window.partitionBy(*keys, "example_id")
+    return _sums(rows.withColumn("margin", F.sum(F.col("w") * F.col("value")).over(one_example)), keys)
+
+
 def current_weights(state: DataFrame, rates: L.Rates, keys: list[str]) -> DataFrame:
     """Weights other than zero; a missing one counts as zero."""
     weights = state.select(*keys, "feature", L.weight(F.col("z"), F.col("n"), rates).alias("w"))
@@ -162,6 +191,20 @@ def ftrl_step(
             raise ValueError("a grid of configurations has no further model keys")
         keys = ["config_id"]
         sums = grid_gradients(examples, current_weights(state, rates, keys), config, **heavy)
+    return _advanced(state, sums, config, keys, counted)
+
+
+def step_from_rows(
+    state: DataFrame, rows: DataFrame, config: L.FtrlConfig, counted: bool = False
+) -> DataFrame:
+    """``ftrl_step`` over a batch whose ``margin_rows`` are there already."""
+    return _advanced(state, _sums(rows, []), config, [], counted)
+
+
+def _advanced(
+    state: DataFrame, sums: DataFrame, config: L.FtrlConfig | list[L.FtrlConfig], keys: list[str], counted: bool
+) -> DataFrame:
+    rates = _rates(config)
     on = [*keys, "feature"]
     joined = state.select(*on, *STATE_COLUMNS).join(sums, on, "full_outer").select(
         *on, "g", "q",

@@ -13,6 +13,7 @@ from ..functions.times import day_range
 from ..operators.frequency import thin_examples
 from ..operators.sampling import by_hash
 from ..operators.topics import with_default_topics
+from ..session import scratch
 from ..sources import logs
 from ..sources.examples import write_scores
 from ..sources.store import StateStore
@@ -59,17 +60,20 @@ def _logs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def build_bag_table(spark: SparkSession, paths: list[str], out: str, **heavy) -> None:
     """Labelled and unlabelled logs together, with bags and lagged counts."""
-    logs.replace_hours(prepare.prepare_log(_logs(spark, paths), **heavy), out)
+    with scratch(spark):
+        logs.replace_hours(prepare.prepare_log(_logs(spark, paths), **heavy), out)
 
 
 def build_count_table(spark: SparkSession, paths: list[str], out: str, **heavy) -> None:
     """Logs with the counts of the previous day that has log."""
-    logs.replace_hours(prepare.prepare_with_day_counts(_logs(spark, paths), **heavy), out)
+    with scratch(spark):
+        logs.replace_hours(prepare.prepare_with_day_counts(_logs(spark, paths), **heavy), out)
 
 
 def build_rate_table(spark: SparkSession, paths: list[str], out: str, **heavy) -> None:
     """Logs with past click rates."""
-    logs.replace_hours(prepare.prepare_with_rates(_logs(spark, paths), **heavy), out)
+    with scratch(spark):
+        logs.replace_hours(prepare.prepare_with_rates(_logs(spark, paths), **heavy), out)
 
 
 def build_topic_tables(
@@ -77,8 +81,8 @@ def build_topic_tables(
 ) -> None:
     """User topics learned from one day, and the logs of users that have topics."""
     log = _logs(spark, paths)
-    topics = prepare.user_topics(log.where(day_range(day)), **settings)
-    logs.write_table(topics, topics_out, "overwrite")
+    with scratch(spark):
+        logs.write_table(prepare.user_topics(log.where(day_range(day)), **settings), topics_out, "overwrite")
     logs.replace_hours(prepare.prepare_with_topics(log, logs.read_table(spark, topics_out)), out)
 
 
@@ -120,7 +124,8 @@ def train_by_rows(
     examples = sets.to_examples(wide, sets.category_features(method), carry=["hour"])
     ordered = examples.withColumn("seq", F.struct(F.col("hour").cast("int"), F.col("example_id")))
     store = StateStore(spark, model)
-    train_series(store, batches_of(ordered, rows), "batch", config, step)
+    with scratch(spark):
+        train_series(store, batches_of(ordered, rows), "batch", config, step)
     return store
 
 

@@ -12,7 +12,7 @@ from ..operators.bags import bag_set, set_signature
 from ..operators.counts import available_periods, past_rate, user_history
 from ..operators.skew import attach, attach_stored
 from ..operators.topics import user_topics, with_topics
-from ..session import cut_lineage, new_folder
+from ..session import new_folder
 from ..sources.logs import union_aligned
 
 
@@ -66,8 +66,8 @@ COUNTED_KEYS = {
 def day_history(log: DataFrame) -> DataFrame:
     """Counts of the last day that has log, for all counted keys, from one scan of ``log`` (d, h, keys).
 
-    (kind, key, h, d, n, before, before_hour): ``kind`` names the key column. One aggregate over
-    grouping sets counts every key per day, users per hour and the days themselves. Days are
+    (kind, key, h, d, n, before, before_hour): ``kind`` names the key column. One aggregate
+    counts every key per day, and users per hour. Days are
     numbered without gaps, so the last available day is one step back in a window; a window holds
     one row per day, a user's 24.
     """
@@ -128,7 +128,9 @@ def prepare_with_rates(log: DataFrame, **heavy) -> DataFrame:
     timed = with_time_columns(log)
     rows = timed
     for key, name in RATED_KEYS.items():
-        rates = cut_lineage(past_rate(timed, [key], "dt", "click", name).drop("past_rows"))
+        path = new_folder(log.sparkSession, "rates")
+        past_rate(timed, [key], "dt", "click", name).drop("past_rows").write.parquet(path)
+        rates = log.sparkSession.read.parquet(path)
         rows = attach_stored(rows, rates, [key, "dt"], ["id"], **heavy)
     return rows
 

@@ -15,7 +15,7 @@ from ..operators.ordering import with_dense_index
 from ..operators.sampling import by_hash
 from ..operators.shards import shard_step
 from ..operators.state import empty_state
-from ..operators.steps import ftrl_step, validate
+from ..operators.steps import ftrl_step, margin_rows, scored_rows, step_from_rows, validate
 from ..session import new_folder, remove_folder
 from ..sources.store import StateStore
 
@@ -34,6 +34,10 @@ def counted_minibatch(state: DataFrame, batch: DataFrame, config: FtrlConfig) ->
     return ftrl_step(state, batch, config, counted=True, stored=True)
 
 
+# Steps that can start from the rows that validation has made, and whether they count.
+FROM_ROWS = {minibatch: False, counted_minibatch: True}
+
+
 def sharded(shards: int, method: str = "xxhash64") -> Step:
     """In-order training per shard, averaged. The model depends on the number of shards, which
     is therefore given, kept in ``meta``, and the same for any amount of data."""
@@ -67,16 +71,19 @@ def train_batch(
     state = store.load(before) if before is not None else start
     if state is None:
         state = empty_state(spark)
-    batch = batch.persist()
+    # One join with the state serves validating and learning where the step allows it.
+    shared = step in FROM_ROWS
+    kept = (margin_rows(batch, state, config, stored=True) if shared else batch).persist()
     try:
-        sample = batch if sample_ratio >= 1.0 else by_hash(batch, F.xxhash64("example_id"), sample_ratio)
-        scored = validate(sample, state, stored=True)
+        sample = kept if sample_ratio >= 1.0 else by_hash(kept, F.xxhash64("example_id"), sample_ratio)
+        scored = scored_rows(sample) if shared else validate(sample, state, stored=True)
         metrics = evaluate(scored).withColumn("batch", F.lit(batch_name))
         store.save_metrics(version, metrics)
-        store.save(version, step(state, batch, config), source, batch_name, steps=version,
+        after = step_from_rows(state, kept, config, FROM_ROWS[step]) if shared else step(state, kept, config)
+        store.save(version, after, source, batch_name, steps=version,
                    **{"shards": 0, **getattr(step, "settings", {})}, **asdict(config))
     finally:
-        batch.unpersist()
+        kept.unpersist()
 
 
 def ordered_batches(
