@@ -135,7 +135,11 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) ->
     rows = with_words(docs)
     rare = F.slice(F.filter(_strings(w for w, _ in by_word), lambda w: F.array_contains("present", w)), 1, RARE_WORDS)
     rows = rows.select("*", F.array_intersect("words", _strings(w for w, _ in by_word)).alias("present"))
-    rows = rows.select("row", "doc_id", "words", rare.alias("rare"), base_places().alias("base"))
+    # ``present`` is used twice, so that it is a column of its own and not worked out per indexed word.
+    rows = rows.select(
+        "row", "doc_id", "words", base_places().alias("base"),
+        F.when(F.size("present") > 0, rare).otherwise(F.array().cast("array<string>")).alias("rare"),
+    )
     # Joined once per document, and only where some indexed word stands.
     rows = rows.select("*", F.when(
         F.size("rare") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("spaced"))
@@ -186,3 +190,51 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) ->
         F.array_join(F.array_sort(F.array_union("base_list", "found")), ",").alias("labels"),
         F.round(F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0)), 6).alias("score"),
     )
+
+
+def sql(templates: dict[str, tuple[str, str]] = TEMPLATES) -> str:
+    """The same result in SQL, word by word."""
+
+    def values(rows) -> str:
+        return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+
+    notices = values((label, w, i) for label, (notice, _) in templates.items() for i, w in enumerate(notice.split()))
+    phrases = values((label, phrase) for label, (_, phrase) in templates.items())
+    stands = " UNION ALL ".join(
+        f"SELECT a.rid, a.spot, '{label}' AS label FROM spots a " + " ".join(
+            f"JOIN spots s{k} ON s{k}.rid = a.rid AND s{k}.spot = a.spot + {k} AND s{k}.word = '{p}'"
+            for k, p in enumerate(phrase.split()) if k
+        ) + f" WHERE a.word = '{phrase.split()[0]}'"
+        for phrase, label in BASE_PHRASES.items())
+    return rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split(regexp_replace(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM documents),
+spots AS MATERIALIZED (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS spot FROM w),
+tpl(label, word, position) AS (VALUES {notices}), keys(label, phrase) AS (VALUES {phrases}),
+freq AS (SELECT word, count(DISTINCT rid) AS df FROM spots WHERE word IN (SELECT word FROM tpl) GROUP BY word),
+weighed AS (SELECT tpl.*, ln((SELECT count(*) + 1 FROM w)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf
+  FROM tpl LEFT JOIN freq USING (word)),
+ranked AS (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY idf DESC, word) AS r,
+  count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT label, word, idf FROM weighed)),
+listed AS (SELECT weighed.* FROM weighed JOIN ranked USING (label, word) WHERE r <= greatest({LEAST_INDEXED}, n // 2)),
+totals AS (SELECT label, sum(idf) AS total FROM listed GROUP BY label),
+rare AS (SELECT rid, word FROM (SELECT DISTINCT rid, word, idf FROM spots JOIN listed USING (word))
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) <= {RARE_WORDS}),
+held AS (SELECT rid, label FROM w, keys WHERE rid IN (SELECT rid FROM rare)
+  AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')),
+sought AS (SELECT rid, label, sum(idf) AS sought FROM rare JOIN listed USING (word) GROUP BY ALL),
+starts AS (SELECT rid, label, spot - position AS start, sum(idf) AS agreed
+  FROM rare JOIN spots USING (rid, word) JOIN listed USING (word) JOIN held USING (rid, label) GROUP BY ALL),
+accepted AS (SELECT rid, label, max(agreed / total) AS best FROM starts JOIN sought USING (rid, label) JOIN totals USING (label)
+  WHERE agreed >= sought * {ACCEPT} - 1e-9 GROUP BY ALL),
+base AS ({stands}),
+summed AS (SELECT rid, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM accepted) GROUP BY rid),
+bests AS (SELECT rid, max(best) AS best FROM accepted GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(least(coalesce(best, 0.0::DOUBLE), 1.0::DOUBLE), 6) AS score
+FROM w LEFT JOIN summed USING (rid) LEFT JOIN every USING (rid) LEFT JOIN bests USING (rid)"""
