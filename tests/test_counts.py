@@ -54,8 +54,11 @@ def test_user_history_equals_the_separate_joins(spark):
 
 def test_user_day_history(spark):
     rows = log(spark).select("id", "user_id", F.substring("hour", 1, 6).alias("d"),
-                             F.substring("hour", 7, 2).alias("h"))
-    history = prepare.user_day_history(rows)
-    assert rows_of(history, "d", "h", "n", "user_count", "user_hour_count") == [
+                             F.substring("hour", 7, 2).alias("h"),
+                             *[F.lit("x").alias(k) for k in prepare.COUNTED_KEYS])
+    history = prepare.day_history(rows)
+    keyed = history.where("kind = 'C14'")
+    assert rows_of(keyed, "key", "d", "n", "before") == [("x", "240101", 3, None), ("x", "240102", 2, 3)]
+    assert rows_of(history.where("kind = 'user_id'"), "d", "h", "n", "before", "before_hour") == [
         ("240101", "22", 1, None, None), ("240101", "23", 2, None, None),
         ("240102", "00", 1, 3, None), ("240102", "23", 1, 3, 2)]
