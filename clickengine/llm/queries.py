@@ -122,4 +122,4 @@ def op9(spark, sf_dir):
 @query("op10_lm_score")
 def op10(spark, sf_dir):
     """Unigram base and partial-matching score of every document."""
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(table(spark, sf_dir, "documents"), order=3)

@@ -274,6 +274,40 @@ def test_scores_by_hand(spark, edge_docs, monkeypatch, hot):
             assert r["score"] == pytest.approx(sum(code(b[i - 2:i], b[i]) for i in range(2, len(b))), rel=1e-5, abs=1e-5)
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 2000, 0])
+def test_contexts_of_three_bytes_by_hand(spark, edge_docs, monkeypatch, cells):
+    monkeypatch.setattr(ppm, "CELLS", cells)
+    rng = random.Random(17)
+    rows = [(i, text_of(rng, rng.randrange(30)) + rng.choice(["", " é", "\n\tzz", " Q"])) for i in range(60)]
+    rows += [(1000 + i, r["text"] or "") for i, r in enumerate(edge_docs.where("doc_id is null or doc_id <> 5").collect())]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
+    trie = [defaultdict(Counter) for _ in range(4)]
+    for d, t in rows:
+        b = b"\0\0\0" + t.encode()
+        for i in range(3, len(b) if not held[d] else 0):
+            for k in range(4):
+                trie[k][b[i - k:i]][b[i]] += 1
+
+    def code(context, symbol):
+        out, gone = 0.0, set()
+        for k in (3, 2, 1, 0):
+            seen = trie[k].get(context[3 - k:], {})
+            left = {s: n for s, n in seen.items() if s not in gone}
+            both = sum(left.values()) + len(left)
+            if symbol in left:
+                return out + math.log10(left[symbol] / both)
+            if left:
+                out += math.log10(len(left) / both)
+            gone |= set(seen)
+        return out - math.log10(256 - len(trie[0][b""]))
+
+    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(rows, DOC), order=3).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        b = b"\0\0\0" + t.encode()
+        assert got[d] == pytest.approx(sum(code(b[i - 3:i], b[i]) for i in range(3, len(b))), rel=1e-5, abs=1e-4)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(3)
     grams = np.unique(rng.integers(0, 1 << 24, 400) & 0x070F1F)
