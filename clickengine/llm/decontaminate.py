@@ -4,9 +4,11 @@ Words are hashed into ``FEATURES`` features, weighted by the IDF that all docume
 benchmark (items of up to ``PASSAGE`` words, longer ones in overlapping passages) form a TF-IDF
 matrix A, whose leading ``RANK`` right singular vectors come from a distributed randomised SVD: partitions
 add up A'(AZ) for a random Z, ``POWER`` times, and the driver only orthonormalises the features x rank
-basis. Every passage of every document (``PASSAGE`` words, half overlapping) is projected on that space, and its
-cosine with each item's passages gives the candidates. A candidate counts when the item's words
-and the document's words around the passage have a longest common subsequence of at least ``LCS_SHARE`` of the item
+basis. What that space keeps of an item shrinks as the items grow in number, so no cosine decides: an index of the
+rarer half of each item's words gives, per document, every item that can pass the answer check below, and no
+other. The passages of such a document (``PASSAGE`` words, half overlapping) are projected on the space and tried by
+falling cosine with the item's passages, all of them around which enough of its rarer words stand. An item counts when its words
+and the document's words around a passage have a longest common subsequence of at least ``LCS_SHARE`` of the item
 within ``STRETCH`` times its length, and the answer check holds: at least ``ANSWER_SHARE`` of
 the rarer half of the item's words, which carry its answer, stand there too. So changed, left out or added words do not hide an item.
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, map_batches, offsets_of, texts_of
+from .common import bound_batches, id_text, map_batches, offsets_of, spread_rows, texts_of
 
 FEATURES = 1 << 16
 RANK = 128
@@ -36,7 +38,6 @@ OVERSAMPLE = 8
 POWER = 2
 PASSAGE = 48
 HALF = PASSAGE // 2
-COSINE = 0.2
 LCS_SHARE = 0.7
 STRETCH = 1.5
 ANSWER_SHARE = 0.5
@@ -221,6 +222,25 @@ class Items:
                 self.owner.append(k)
         self.owner = np.array(self.owner, np.int64)
         self.vectors = np.array(vectors, np.float32).reshape(len(vectors), basis.shape[1])
+        self.first = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
+        # Items by the features of their answers; words of one item that share a feature count one each.
+        self.needed = np.array([ANSWER_SHARE * len(a) for a in self.answers])
+        self.sought = [np.unique(Features()(a), return_counts=True) for a in self.answers]
+        holders = [np.full(len(f), k) for k, (f, _) in enumerate(self.sought)]
+        postings = [np.concatenate(c) if c else np.zeros(0, np.int64)
+                    for c in ([f for f, _ in self.sought], holders, [n for _, n in self.sought])]
+        by = np.argsort(postings[0], kind="stable")
+        self.holder, self.weight = postings[1][by], postings[2][by]
+        self.postings = np.bincount(postings[0], minlength=FEATURES)
+        self.start = offsets_of(self.postings)[:-1]
+
+    def possible(self, features: np.ndarray) -> np.ndarray:
+        """The items of which the features of a document hold enough of the answer."""
+        here = np.unique(features[self.postings[features] > 0])
+        if not len(here):
+            return here
+        at = spread_rows(self.start[here], self.postings[here])
+        return np.flatnonzero(np.bincount(self.holder[at], self.weight[at], len(self.ids)) >= self.needed)
 
     def holds(self, k: int, region: list[bytes]) -> int:
         """Length of the common subsequence if the item is there, else 0."""
@@ -233,9 +253,38 @@ class Items:
 
 def search(words: list[bytes], features: np.ndarray, space: Projection, items: Items) -> dict[int, tuple[float, int]]:
     """Items found in one document: (cosine, common words) by item."""
-    n = len(words)
-    halves = np.arange(0, n, HALF)
     found: dict[int, tuple[float, int]] = {}
+    possible = items.possible(features)
+    if not len(possible):
+        return found
+    by = np.argsort(features, kind="stable")
+    ordered = features[by]
+    sums = None
+    for k in possible.tolist():
+        length = len(items.words[k])
+        left, right = (np.searchsorted(ordered, items.sought[k][0], side) for side in ("left", "right"))
+        hits = np.sort(by[spread_rows(left, right - left)])
+        starts = np.arange(max(1, math.ceil(len(words) / HALF) - 1)) * HALF
+        there = np.searchsorted(hits, starts + PASSAGE + length) - np.searchsorted(hits, starts - length)
+        near = np.flatnonzero(there * items.sought[k][1].max() >= items.needed[k])
+        if not len(near):
+            continue
+        if sums is None:
+            sums = project(features, space)
+        cosine = (sums[near] @ items.vectors[items.first[k]:items.first[k + 1]].T).max(axis=1)
+        for i in np.argsort(-cosine, kind="stable").tolist():
+            start = int(starts[near[i]])
+            common = items.holds(k, words[max(0, start - length):start + PASSAGE + length])
+            if common and (k not in found or common > found[k][1]):
+                found[k] = (float(cosine[i]), common)
+                if common == length:
+                    break
+    return found
+
+
+def project(features: np.ndarray, space: Projection) -> np.ndarray:
+    """The passages of a document in latent space."""
+    halves = np.arange(0, len(features), HALF)
     sums = np.zeros((len(halves), space.matrix.shape[1]), np.float32)
     norms = np.add.reduceat(space.square[features], halves)
     rows = space.row[features]
@@ -247,20 +296,7 @@ def search(words: list[bytes], features: np.ndarray, space: Projection, items: I
         sums[half[first]] += np.add.reduceat(space.matrix[rows[part]], first, axis=0)
     if len(halves) > 1:
         sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
-    sums /= np.sqrt(np.maximum(norms, 1e-12))[:, None]
-    for at in range(0, len(sums), 4096):
-        cosine = sums[at:at + 4096] @ items.vectors.T
-        for p, v in zip(*np.nonzero(cosine >= COSINE)):
-            k = int(items.owner[v])
-            length = len(items.words[k])
-            start = (at + int(p)) * HALF
-            region = words[max(0, start - length):start + PASSAGE + length]
-            if k in found and found[k][1] == length:
-                continue
-            common = items.holds(k, region)
-            if common and (k not in found or common > found[k][1]):
-                found[k] = (float(cosine[p, v]), common)
-    return found
+    return sums / np.sqrt(np.maximum(norms, 1e-12))[:, None]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:

@@ -226,6 +226,27 @@ def test_items_are_found_whole_and_paraphrased(spark, edge_docs):
     assert clean.count() == docs.count() - len(want)
 
 
+def test_items_are_found_whatever_their_number(spark, monkeypatch):
+    """A space of few directions keeps little of each item, as the full one does of very many."""
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    rng = random.Random(15)
+
+    def strange(n):
+        return [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('klmnp')}{rng.choice('aeiou')}{rng.randrange(30)}" for _ in range(n)]
+
+    items = [(i, " ".join(strange(rng.randrange(6, 60)))) for i in range(300)]
+    rows = []
+    for d in range(300):
+        text, item = strange(200), items[d][1].split()
+        if d % 2:  # a fifth of the words changed, but none of the item's first ones
+            for i in range(len(item) // 5):
+                item[5 * i + 4] = "changed"
+        text[d % 200:d % 200] = item
+        rows.append((d, " ".join(text)))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} >= {(d, d) for d in range(300)}
+
+
 # --- language model ---------------------------------------------------------------------
 
 
