@@ -8,9 +8,10 @@ tokens, and where that is not enough lines must be equal; so a task never holds
 Places are compared by one byte per token, at up to ``PLACES`` places spread over the line.
 
 A template recurs when at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG`` tokens, which chance does not
-repeat) hold it that are made of other text otherwise: a document whose other lines are for the most part
-(``COPY_SHARE`` of their tokens) found elsewhere too is a copy, a matter of document dedup, and neither counts
-nor loses lines. Of a recurring template the first line (smallest
+repeat) hold it that are no copies. A document is a copy, a matter of document dedup, when it has other lines and one
+and the same other document holds them too, at least ``COPY_SHARE`` of their tokens (sought among the documents
+that are first or last, by their hash, to hold a line) or each in its place. Copies neither count nor lose lines; a
+document with no other lines counts. Of a recurring template the first line (smallest
 doc_id, then place) stays, all others are dropped.
 
 Null and empty texts have no lines to drop. Rows with equal id and text count as one document and are treated alike.
@@ -40,7 +41,7 @@ PLACES = 32
 SIMILARITY = 0.8
 MIN_DOCUMENTS = 3
 LONG = 50
-COPY_SHARE = 0.5
+COPY_SHARE = 0.8  # as near-duplicates
 
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _LAST = (1 << 63) - 1
@@ -156,16 +157,27 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     rows = stored(rows, "templates")
     # Only templates of several documents are of interest from here on.
     spread = rows.groupBy("template").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where(
-        F.col("a") != F.col("b")).select("template")
+        F.col("a") != F.col("b"))
     shared = stored(rows.join(spread, "template"), "shared")
-    totals = rows.groupBy("doc").agg(F.sum("tokens").alias("all"))
-    found = shared.groupBy("doc").agg(F.sum("tokens").alias("found"))
+    # The same for any number of repeated rows.
+    line = F.xxhash64("template", "line_no")
+    total = F.floor(F.sum(F.shiftright(line, 32)) / F.count(line))
+    totals = stored(rows.groupBy("doc").agg(
+        F.sum("tokens").alias("all"), F.xxhash64(F.min(line), F.max(line), total).alias("digest")), "totals")
+    twins = totals.groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where(
+        F.col("a") != F.col("b")).select("digest", F.lit(True).alias("twin"))
+    partners = shared.select("doc", "tokens", F.explode(F.array("a", "b")).alias("partner")).where(
+        F.col("doc") != F.col("partner")).groupBy("doc", "partner").agg(F.sum("tokens").alias("common"))
+    partners = partners.groupBy("doc").agg(F.max(F.struct("common", "partner")).alias("most")).select("doc", "most.*")
+    facts = partners.join(totals, "doc").join(twins, "digest", "left").drop("digest")
     held = shared.groupBy("doc", "template").agg(
         F.sum("tokens").alias("own"), F.max("tokens").alias("length"),
-        F.min(F.struct("key", "doc", "line_no")).alias("first"))
+        F.min(F.struct("key", "doc", "line_no")).alias("first"), F.min("a").alias("a"), F.min("b").alias("b"))
     # Repeated rows count their tokens several times over on both sides of the ratio.
-    held = held.join(found.join(totals, "doc"), "doc").withColumn(
-        "free", F.col("found") - F.col("own") < COPY_SHARE * (F.col("all") - F.col("own")))
+    others = F.col("all") - F.col("own")
+    common = F.col("common") - F.when(F.col("partner").isin(F.col("a"), F.col("b")), F.col("own")).otherwise(0)
+    held = held.join(facts, "doc").withColumn("free", (others == 0) | (
+        F.col("twin").isNull() & (common < COPY_SHARE * others - 1e-9)))
     recurring = held.groupBy("template").agg(
         F.count(F.when(F.col("free"), 1)).alias("n"), F.max("length").alias("length"), F.min("first").alias("first")
     ).where((F.col("n") >= MIN_DOCUMENTS) | ((F.col("n") >= 2) & (F.col("length") >= LONG)))

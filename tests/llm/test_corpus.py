@@ -146,6 +146,21 @@ def test_leaves_beyond_the_limit_are_parsed_deeper(spark, monkeypatch):
     assert named.where("line = template").count() == 0
 
 
+def dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    return [r["n_dropped"] for r in templates.drop_recurring_lines(docs).orderBy("doc_id").collect()]
+
+
+def test_pages_of_boilerplate_lose_it(spark):
+    """Only a copy of one other document is spared, and no document for its lines being found here and there."""
+    rng = random.Random(21)
+    first, second = text_of(rng, 60), text_of(rng, 60)
+    pages = [f"{text_of(rng, 40)}\n{first}\n{second}" for _ in range(4)]
+    alone = [text_of(rng, 20) for _ in range(1)] * 4
+    texts = [*pages, *alone, *[text_of(rng, 40) for _ in range(5)]]
+    assert dropped(spark, texts) == [0, 2, 2, 2, 0, 1, 1, 1] + [0] * 5
+
+
 # --- importance resampling ---------------------------------------------------------------
 
 
