@@ -5,7 +5,8 @@ first ``LEADING`` tokens, where tokens with digits count as the variable ``<*>``
 lines that agree in ``SIMILARITY`` of their places make up one template, whose differing places become
 variable. A leaf with over ``LEAF_LINES`` different lines is parsed deeper, by its first ``DEEPER``
 tokens, and where that is not enough lines must be equal; so a task never holds more than one such leaf.
-Places are compared by one byte per token, at up to ``PLACES`` places spread over the line.
+Places are compared by one byte per token, at up to ``PLACES`` places spread over the line. Shorter lines are the same
+template when they are equal.
 
 A template recurs when at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG`` tokens, which chance does not
 repeat) hold it that are no copies. A document is a copy, a matter of document dedup, when it has other lines and one
@@ -69,7 +70,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
             for no, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
                 tokens = _VARIABLE.sub(b"<*>", line).split()
                 n = len(tokens)
+                if not n:
+                    continue
                 if n < MIN_TOKENS:
+                    out.append((doc, key, no, n, None, None, _hash(b" ".join(tokens)), None))
                     continue
                 spots = tokens if n <= PLACES else [tokens[i * n // PLACES] for i in range(PLACES)]
                 places = bytearray()
@@ -93,6 +97,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
 def templates_of(lines: DataFrame) -> DataFrame:
     """(line, template) for the lines that share their leaf with other lines."""
+    lines = lines.where(F.col("leaf").isNotNull())
     # Leaves with one line need no work; of the others, the depth is chosen by their size.
     shared = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where(
         F.col("a") < F.col("b")).select("leaf")

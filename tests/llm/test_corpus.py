@@ -161,6 +161,12 @@ def test_pages_of_boilerplate_lose_it(spark):
     assert dropped(spark, texts) == [0, 2, 2, 2, 0, 1, 1, 1] + [0] * 5
 
 
+def test_short_lines_recur(spark):
+    rng = random.Random(22)
+    texts = [f"Home\n{text_of(rng, 20)}\nAll rights reserved.\nPage {i}\n" for i in range(5)] + [f"Only\n{text_of(rng, 9)}"]
+    assert dropped(spark, texts) == [0, 3, 3, 3, 3, 0]
+
+
 # --- importance resampling ---------------------------------------------------------------
 
 
