@@ -1,12 +1,11 @@
 """Line dedup with a fixed-depth tree of line templates.
 
-A line (between \\n) of at least ``MIN_TOKENS`` tokens goes down the tree by its number of tokens and its
+A line (between \n) of at least ``MIN_TOKENS`` tokens goes down the tree by its number of tokens and its
 first ``LEADING`` tokens, where tokens with digits count as the variable ``<*>``. In a leaf,
 lines that agree in ``SIMILARITY`` of their places make up one template, whose differing places become
-variable. A leaf with over ``LEAF_LINES`` different lines is parsed deeper, by its first ``DEEPER``
-tokens, and where that is not enough lines must be equal; so a task never holds more than one such leaf.
-Places are compared by one byte per token, at up to ``PLACES`` places spread over the line. Shorter lines are the same
-template when they are equal.
+variable. The lines of a leaf with over ``LEAF_LINES`` different ones are dealt into blocks; the templates
+found in the blocks are then compared with each other by the same rule, through an index of their parts. Places
+are compared by one byte per token, all of them. Shorter lines are the same template when they are equal.
 
 A template recurs when at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG`` tokens, which chance does not
 repeat) hold it that are no copies. A document is a copy, a matter of document dedup, when it has other lines and one
@@ -22,6 +21,7 @@ gives an empty result; all columns are kept, ``text`` is rewritten (null stays n
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,9 +36,7 @@ from .components import stored
 
 MIN_TOKENS = 5
 LEADING = 3
-DEEPER = 8
 LEAF_LINES = 2000
-PLACES = 32
 SIMILARITY = 0.8
 MIN_DOCUMENTS = 3
 LONG = 50
@@ -58,7 +56,7 @@ def document_key() -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row per line that goes into the tree: doc, key, line_no, tokens, leaf, deep, line, places."""
+    """A row per line that goes into the tree: doc, key, line_no, tokens, leaf, line, places."""
     rows = docs.select(
         document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("key"), "text")
 
@@ -73,84 +71,108 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 if not n:
                     continue
                 if n < MIN_TOKENS:
-                    out.append((doc, key, no, n, None, None, _hash(b" ".join(tokens)), None))
+                    out.append((doc, key, no, n, None, _hash(b" ".join(tokens)), None))
                     continue
-                spots = tokens if n <= PLACES else [tokens[i * n // PLACES] for i in range(PLACES)]
                 places = bytearray()
-                for t in spots:
+                for t in tokens:
                     b = byte.get(t)
                     if b is None:
                         b = byte[t] = xxhash.xxh3_64_intdigest(t) % 255 + 1
                     places.append(b)
                 size = b"%d " % n
                 out.append((doc, key, no, n, _hash(size + b" ".join(tokens[:LEADING])),
-                            _hash(size + b" ".join(tokens[:DEEPER])), _hash(b" ".join(tokens)), bytes(places)))
-        columns = zip(*out) if out else [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                            _hash(b" ".join(tokens)), bytes(places)))
+        columns = zip(*out) if out else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, kinds)],
-            names=["doc", "key", "line_no", "tokens", "leaf", "deep", "line", "places"])
+            names=["doc", "key", "line_no", "tokens", "leaf", "line", "places"])
 
-    return map_batches(rows, run, "doc bigint, key bigint, line_no int, tokens int, leaf bigint, deep bigint, "
+    return map_batches(rows, run, "doc bigint, key bigint, line_no int, tokens int, leaf bigint, "
                                   "line bigint, places binary")
 
 
-def templates_of(lines: DataFrame) -> DataFrame:
-    """(line, template) for the lines that share their leaf with other lines."""
-    lines = lines.where(F.col("leaf").isNotNull())
-    # Leaves with one line need no work; of the others, the depth is chosen by their size.
-    shared = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where(
-        F.col("a") < F.col("b")).select("leaf")
-    different = stored(
-        lines.join(shared, "leaf").groupBy("leaf", "deep", "line").agg(F.min("places").alias("places")), "leaves")
-    leaves = different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    deep = different.groupBy("leaf", "deep").agg(F.count(F.lit(1)).alias("n_deep"))
-    rows = different.join(leaves, "leaf").join(deep, ["leaf", "deep"])
-    bin_ = F.when(F.col("n") <= LEAF_LINES, F.col("leaf")).when(F.col("n_deep") <= LEAF_LINES, F.col("deep"))
-    rows = rows.withColumn("bin", bin_).where(F.col("bin").isNotNull()).select("bin", "line", "places")
-    bound_batches(lines.sparkSession)
-
-    def grow(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-        if len(group) == 1:
-            return []
-        names: list[int] = []
-        width = len(group[0][2])
-        shapes = np.zeros((len(group), width), np.uint8)
-        out = []
-        for _, line, places in group:
-            own = np.frombuffer(places, np.uint8)
-            if names:
-                # Variable places (0) do not count as agreeing.
-                agree = (shapes[:len(names)] == own).sum(axis=1)
-                best = int(agree.argmax())
-                if agree[best] >= SIMILARITY * width:
-                    shapes[best][shapes[best] != own] = 0
-                    out.append((line, names[best]))
-                    continue
-            shapes[len(names)] = own
-            names.append(line)
-        return out
+def grow(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, bytes | None]]:
+    """(leaf, line, template, shape) of the (leaf, line, places) of one leaf; members of a template have no shape."""
+    width = len(group[0][2])
+    shapes = np.zeros((len(group), width), np.uint8)
+    names: list[int] = []
+    members = []
+    # Two shapes that agree in SIMILARITY of their places are equal in one of the parts at least.
+    edges = np.linspace(LEADING, width, width - math.ceil(SIMILARITY * width - 1e-9) + 2).astype(int).tolist()
+    index: dict[tuple[int, bytes], list[int]] | None = {} if len(group) > LEAF_LINES else None
+    for leaf, line, places in group:
+        own = np.frombuffer(places, np.uint8)
+        if index is None:
+            near = np.arange(len(names))
+        else:
+            parts = [(k, places[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+            near = np.array(sorted({i for part in parts for i in index.get(part, ())}), np.int64)
+        if len(near):
+            # Variable places (0) do not count as agreeing.
+            agree = ((shapes[near] == own) & (own > 0)).sum(axis=1)
+            best = int(near[agree.argmax()])
+            if agree.max() >= SIMILARITY * width:
+                shapes[best][shapes[best] != own] = 0
+                members.append((leaf, line, names[best], None))
+                continue
+        if index is not None:
+            for part in parts:
+                if 0 not in part[1]:
+                    index.setdefault(part, []).append(len(names))
+        shapes[len(names)] = own
+        names.append(line)
+    return members + [(group[0][0], name, name, shape.tobytes()) for name, shape in zip(names, shapes)]
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """``grow`` for every bin of (bin, leaf, line, places)."""
+    bound_batches(rows.sparkSession)
+
+    def named(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else [()] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            names=["leaf", "line", "template", "shape"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes]] = []
+        bin_ = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and (row[0] != group[0][0] or len(row[2]) != len(group[0][2])):
+            out: list[tuple] = []
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                at = (own, row[0], len(row[2]))
+                if group and at != bin_:
                     out += grow(group)
                     group = []
-                group.append(row)
-            yield _named(out)
+                bin_ = at
+                group.append(tuple(row))
+            yield named(out)
         if group:
-            yield _named(grow(group))
+            yield named(grow(group))
 
-    ordered = rows.repartition("bin").sortWithinPartitions("bin", F.length("places"), "line")
-    return ordered.mapInArrow(run, "line bigint, template bigint")
+    ordered = rows.select("bin", "leaf", "line", "places").repartition("bin").sortWithinPartitions(
+        "bin", "leaf", F.length("places"), "line")
+    return ordered.mapInArrow(run, "leaf bigint, line bigint, template bigint, shape binary")
 
 
-def _named(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    line, template = zip(*rows) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(template, pa.int64())], names=["line", "template"])
+def templates_of(lines: DataFrame) -> DataFrame:
+    """(line, template) for the lines that take the template of another line of their leaf."""
+    # Leaves with one line need no work.
+    lines = lines.where(F.col("leaf").isNotNull())
+    shared = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where(
+        F.col("a") < F.col("b")).select("leaf")
+    different = stored(
+        lines.join(shared, "leaf").groupBy("leaf", "line").agg(F.min("places").alias("places")), "leaves")
+    leaves = different.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_LINES).alias("blocks"))
+    block = F.pmod(F.xxhash64("line"), F.col("blocks"))
+    grown = stored(_grown(different.join(leaves, "leaf").withColumn("bin", F.xxhash64("leaf", block))), "grown")
+    large = leaves.where("blocks > 1").select("leaf")
+    found = grown.where(F.col("shape").isNotNull()).join(large, "leaf").select(
+        F.col("leaf").alias("bin"), "leaf", "line", F.col("shape").alias("places"))
+    merged = _grown(found).where("line <> template").select(F.col("line").alias("template"), F.col("template").alias("whole"))
+    return grown.join(merged, "template", "left").select("line", F.coalesce("whole", "template").alias("template")).where(
+        "line <> template")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:

@@ -167,6 +167,24 @@ def test_short_lines_recur(spark):
     assert dropped(spark, texts) == [0, 3, 3, 3, 3, 0]
 
 
+def test_large_leaves_keep_their_templates(spark, monkeypatch):
+    monkeypatch.setattr(templates, "LEAF_LINES", 5)
+    rng = random.Random(23)
+    names = sorted({text_of(rng, 1) + text_of(rng, 1) for _ in range(60)})
+    lines = [f"posted in the forum by {n} on the last day" for n in names] + [f"posted in the {text_of(rng, 6)}" for _ in range(40)]
+    named = templates.templates_of(templates.parsed_lines(spark.createDataFrame(list(enumerate(lines)), DOC))).collect()
+    assert len({r["line"] for r in named}) == len(named) == len(names) - 1 and len({r["template"] for r in named}) == 1
+
+
+def test_long_lines_are_compared_at_all_places(spark):
+    """Lines that differ in every second token but not in those spread evenly."""
+    a = [f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(96)]
+    same = {i * 96 // 32 for i in range(32)} | {0, 1, 2}
+    other = [w if i in same else "q" + w for i, w in enumerate(a)]
+    docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(other))], DOC)
+    assert templates.templates_of(templates.parsed_lines(docs)).count() == 0
+
+
 # --- importance resampling ---------------------------------------------------------------
 
 
