@@ -2,12 +2,13 @@
 
 Every template notice is a sequence of words. The document frequency of all template words is
 counted over all documents; of each template the half with the highest IDF (at least
-``LEAST_INDEXED`` words) goes into the index with its positions. Of a document, the
-``RARE_WORDS`` indexed words with the highest IDF are looked up; every place of such a
+``LEAST_INDEXED`` words) goes into the index with its positions. All indexed words of a document are looked up, so that
+the words of one license do not keep out those of another; every place of such a
 word votes for a start of each template that holds it (place - position), and votes for one start
 are added up by IDF. A template counts when its mandatory key phrase stands in the document and
 the votes for its best start reach ``ACCEPT`` of the best that the looked-up words could give;
-its score is the share of all its indexed IDF that agrees.
+its score is the share of all its indexed IDF that agrees. The SQL looks up the ``RARE_WORDS`` indexed words with the highest IDF
+only, and so agrees for documents with no more of them.
 
 Besides, the places of three plain phrases are listed; their labels always stay.
 
@@ -133,13 +134,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) ->
         "word string, label string, position int, idf double, total double, phrase string",
     ))
     rows = with_words(docs)
-    rare = F.slice(F.filter(_strings(w for w, _ in by_word), lambda w: F.array_contains("present", w)), 1, RARE_WORDS)
-    rows = rows.select("*", F.array_intersect("words", _strings(w for w, _ in by_word)).alias("present"))
-    # ``present`` is used twice, so that it is a column of its own and not worked out per indexed word.
-    rows = rows.select(
-        "row", "doc_id", "words", base_places().alias("base"),
-        F.when(F.size("present") > 0, rare).otherwise(F.array().cast("array<string>")).alias("rare"),
-    )
+    rare = F.array_intersect("words", _strings(w for w, _ in by_word))
+    rows = rows.select("row", "doc_id", "words", base_places().alias("base"), rare.alias("rare"))
     # Joined once per document, and only where some indexed word stands.
     rows = rows.select("*", F.when(
         F.size("rare") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("spaced"))

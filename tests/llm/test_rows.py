@@ -218,6 +218,15 @@ def test_license_scan(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_every_license_of_a_document_is_found(spark):
+    notices = [notice for notice, _ in licenses.TEMPLATES.values()]
+    some = [". ".join(licenses.TEMPLATES[k][0] for k in ("bsd", "mit-text", "apache-2.0")), ". ".join(notices)]
+    docs = spark.createDataFrame(
+        [(i, t) for i, t in enumerate([*some, *notices, *["nothing of the kind"] * 20])], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    assert got[0] == {"bsd", "mit-text", "apache-2.0"} and got[1] == set(licenses.TEMPLATES)
+
+
 # --- chat -------------------------------------------------------------------------------
 
 
