@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, templates
+from . import alignment, chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, templates
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,15 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Unigram base and partial-matching score of every document."""
     return ppm.score(table(spark, sf_dir, "documents"), order=3)
+
+
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    """Tokens, groups and links of every document under a byte-level and a piece vocabulary, and how common the links are."""
+    return alignment.digests(table(spark, sf_dir, "documents"), byte_model(), piece_model())
