@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import alignment, chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, templates
+from . import alignment, chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, secrets, templates
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,21 @@ def byte_model() -> str:
 def op13(spark, sf_dir):
     """Tokens, groups and links of every document under a byte-level and a piece vocabulary, and how common the links are."""
     return alignment.digests(table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
+@query("op11_secret_scan")
+def op11(spark, sf_dir):
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = secrets.find(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(spans: str, kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number("base", k) for k in secrets.KINDS[:3]], F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"), number("spans", "tagged"),
+    )
