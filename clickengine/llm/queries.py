@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import alignment, chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, secrets, templates
+from . import alignment, chat, decontaminate, importance, licenses, minmax, personal, pieces, ppm, quality, ranking, secrets, templates
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op11(spark, sf_dir):
         "doc_id", *[number("base", k) for k in secrets.KINDS[:3]], F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"), number("spans", "tagged"),
     )
+
+
+@query("op12_lexical_search", ranking.SQL)
+def op12(spark, sf_dir):
+    """The 20 best documents for each benchmark item."""
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
