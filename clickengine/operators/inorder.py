@@ -1,79 +1,111 @@
-"""The in-order update of one model, for the few places where rows must follow each other."""
+"""The in-order update of models that learn side by side, for the few places where rows must follow each other."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
 from ..functions.logistic import PROB_CEILING, PROB_FLOOR, FtrlConfig
 
-_LARGEST_EXPONENT = 709.0  # exp of more overflows a double
-
 
 def counted(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.divide(p * n, p + n, out=np.zeros_like(p), where=p + n > 0)
 
 
-def probability(margin: float) -> float:
-    if margin < -_LARGEST_EXPONENT:
-        return PROB_FLOOR
-    prob = 1.0 / (1.0 + math.exp(-margin))
-    return PROB_CEILING if prob == 1.0 else prob
+def probability(margin: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        prob = 1.0 / (1.0 + np.exp(-margin))
+    return np.where(prob == 0.0, PROB_FLOOR, np.where(prob == 1.0, PROB_CEILING, prob))
+
+
+class Ftrl:
+    """FTRL-proximal: cells z and n; n grows by the squared gradient, or follows from the label counts."""
+
+    def __init__(self, from_counts: bool) -> None:
+        self.from_counts = from_counts
+
+    def weights(self, rates: dict, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        rate = 1.0 / ((rates["beta"] + np.sqrt(n)) / rates["alpha"] + rates["l2"])
+        return np.where(np.abs(z) <= rates["l1"], 0.0, -rate * (z - np.copysign(rates["l1"], z)))
+
+    def move(self, rates: dict, cells: np.ndarray, w: np.ndarray, g: np.ndarray, step: int) -> None:
+        z, n = cells[Models.Z], cells[Models.N]
+        grown = counted(cells[Models.P], cells[Models.M]) if self.from_counts else n + g * g
+        cells[Models.Z] = z + g + rates["sigma_sign"] * (np.sqrt(grown) - np.sqrt(n)) / rates["alpha"] * w
+        cells[Models.N] = grown
+
 
+class Descent:
+    """Online gradient descent: the cell z holds the weight itself, the t-th example moves it by 1 / sqrt(t)."""
 
-class Model:
-    """The features that a run of examples meets, as columns of one array.
+    from_counts = False
 
-    Rows of ``cells``: z, n, p_count, n_count, p_new, n_new, g_new.
+    def weights(self, rates: dict, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return z
+
+    def move(self, rates: dict, cells: np.ndarray, w: np.ndarray, g: np.ndarray, step: int) -> None:
+        cells[Models.Z] -= g / np.sqrt(step)
+
+
+EXACT, COUNTED, DESCENT = Ftrl(False), Ftrl(True), Descent()
+Rule = Ftrl | Descent
+
+
+class Models:
+    """The features that a run of examples meets, as one array of cells per model.
+
+    Kinds of ``cells``: z, n, p_count, n_count, p_new, n_new, g_new; the other axes are model and feature.
     """
 
     Z, N, P, M, P_NEW, M_NEW, G_NEW = range(7)
 
-    def __init__(self, config: FtrlConfig, count_only: bool):
-        self.config, self.count_only = config, count_only
+    def __init__(self, configs: list[FtrlConfig], rule: Rule, steps: int = 0):
+        self.rule = rule
+        self.rates = {k: np.array([[float(getattr(c, k))] for c in configs]) for k in ("alpha", "beta", "l1", "l2", "sigma_sign")}
         self.slot: dict[int, int] = {}
-        self.cells = np.zeros((7, 64))
-        self.steps = 0
+        self.cells = np.zeros((7, len(configs), 64))
+        self.steps = steps
+        self.nonzero = np.zeros(len(configs), np.int64)  # more weights other than zero than at the start
 
-    def slots(self, ids: np.ndarray, start: list[np.ndarray]) -> np.ndarray:
-        """Places of the features; new ones start from z, n, p_count and n_count as given."""
+    def slots(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Places of the features; new ones start from (z, n, p_count, n_count) x model x feature as given."""
         out = np.empty(len(ids), np.int64)
         for k, f in enumerate(ids.tolist()):
             s = self.slot.get(f)
             if s is None:
                 s = self.slot[f] = len(self.slot)
-                if s == self.cells.shape[1]:
-                    self.cells = np.concatenate([self.cells, np.zeros_like(self.cells)], axis=1)
-                self.cells[:4, s] = [column[k] for column in start]
+                if s == self.cells.shape[2]:
+                    self.cells = np.concatenate([self.cells, np.zeros_like(self.cells)], axis=2)
+                self.cells[:4, :, s] = start[:, :, k]
             out[k] = s
         return out
 
-    def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        c = self.config
-        rate = 1.0 / ((c.beta + np.sqrt(n)) / c.alpha + c.l2)
-        return np.where(np.abs(z) <= c.l1, 0.0, -rate * (z - np.copysign(c.l1, z)))
-
-    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
-        """Move the cells of one example's features by that example."""
+    def learn(self, slots: np.ndarray, values: np.ndarray, label: int, report: bool = False) -> np.ndarray:
+        """Move the cells of one example's features by that example; each model's margin from before."""
         self.steps += 1
-        cells = self.cells[:, slots]
-        z, n = cells[self.Z], cells[self.N]
-        w = self.weights(z, n)
-        g = (probability(float(w @ values)) - label) * values
+        cells = self.cells[:, :, slots]
+        w = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
+        margin = w @ values
+        g = (probability(margin) - label)[:, None] * values
         cells[self.P if label else self.M] += 1.0
         cells[self.P_NEW if label else self.M_NEW] += 1.0
-        grown = counted(cells[self.P], cells[self.M]) if self.count_only else n + g * g
-        cells[self.Z] = z + g + self.config.sigma_sign * (np.sqrt(grown) - np.sqrt(n)) / self.config.alpha * w
-        cells[self.N] = grown
+        self.rule.move(self.rates, cells, w, g, self.steps)
         cells[self.G_NEW] += g
-        self.cells[:, slots] = cells
+        self.cells[:, :, slots] = cells
+        if report:
+            after = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
+            self.nonzero += np.count_nonzero(after, axis=1) - np.count_nonzero(w, axis=1)
+        return margin
 
     def rows(self) -> dict[str, np.ndarray]:
-        """feature, w, z, n, p_new, n_new, g_new of all features met."""
-        cells = self.cells[:, :len(self.slot)]
+        """config_id, feature, w, z, n, p_new, n_new, g_new of all features met."""
+        n = len(self.slot)
+        cells = self.cells[:, :, :n]
+        models = cells.shape[1]
+        w = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
+        flat = {"w": w, "z": cells[self.Z], "n": cells[self.N], "p_new": cells[self.P_NEW], "n_new": cells[self.M_NEW],
+                "g_new": cells[self.G_NEW]}
         return {
-            "feature": np.fromiter(self.slot, np.int64, len(self.slot)),
-            "w": self.weights(cells[self.Z], cells[self.N]), "z": cells[self.Z], "n": cells[self.N],
-            "p_new": cells[self.P_NEW], "n_new": cells[self.M_NEW], "g_new": cells[self.G_NEW],
+            "config_id": np.repeat(np.arange(models), n),
+            "feature": np.tile(np.fromiter(self.slot, np.int64, n), models),
+            **{k: np.ascontiguousarray(v).reshape(-1) for k, v in flat.items()},
         }

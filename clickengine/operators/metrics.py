@@ -81,3 +81,24 @@ def rolling_metrics(
     base = indexed.select(idx, "example_id", "label", "prob", "loss")
     rolled = rolling_sums(base, size, _parts(threshold), idx)
     return rolled.select(idx, "example_id", *_summary())
+
+
+def reports(
+    scored: DataFrame, every: int, size: int = 1000, by: list[str] | None = None, threshold: float = 0.5
+) -> DataFrame:
+    """(by, step, rows, loss, accuracy, auc, nonzero) at every ``every``-th example, over its last ``size`` ones.
+
+    ``scored`` has (by, step, label, prob, loss, nonzero) with steps 1, 2, ... within each group; rows before the first
+    step that a report needs may be missing. Examples are first added up per ``every`` steps where that divides ``size``, so a window
+    covers a few rows.
+    """
+    by = by or []
+    unit = every if size % every == 0 else 1
+    bucket = F.floor((F.col("step") - 1) / unit).alias("bucket")
+    sums = scored.groupBy(*by, bucket).agg(
+        *[F.sum(c).alias(n) for n, c in _parts(threshold).items()], F.max(F.struct("step", "nonzero")).alias("last"))
+    rolled = rolling_sums(
+        sums.withColumnsRenamed({n: f"own_{n}" for n in _parts(threshold)}), size // unit,
+        {n: F.col(f"own_{n}") for n in _parts(threshold)}, "bucket", by)
+    return rolled.where(F.col("last.step") % every == 0).select(
+        *by, F.col("last.step").alias("step"), F.col("s_rows").alias("rows"), *_summary(), F.col("last.nonzero").alias("nonzero"))

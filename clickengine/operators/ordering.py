@@ -44,11 +44,11 @@ def with_dense_index(df: DataFrame, order: list[str], name: str = "idx") -> Data
 
 
 def rolling_sums(
-    indexed: DataFrame, size: int, sums: dict[str, Column], idx: str = "idx"
+    indexed: DataFrame, size: int, sums: dict[str, Column], idx: str = "idx", by: list[str] | None = None
 ) -> DataFrame:
     """Sum each expression over the last ``size`` rows up to and including the row.
 
-    ``idx`` must be dense. Rows are cut into blocks of ``BLOCK_SIZES`` times ``size``; the last
+    ``idx`` must be dense, within each group of ``by`` if given. Rows are cut into blocks of ``BLOCK_SIZES`` times ``size``; the last
     ``size`` rows of a block also visit the next one, which then holds every window that ends in it.
     The sum is a running total minus the running total ``size`` rows earlier.
     """
@@ -58,11 +58,8 @@ def rolling_sums(
     rows = indexed.select("*", *[c.alias(f"__{k}") for k, c in sums.items()]).withColumn(
         "__block", F.explode(visits)
     )
-    up_to_here = (
-        Window.partitionBy("__block").orderBy(idx)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    in_order = Window.partitionBy("__block").orderBy(idx)
+    in_order = Window.partitionBy(*(by or []), "__block").orderBy(idx)
+    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = rows.select(
         *indexed.columns, "__block", *[F.sum(f"__{k}").over(up_to_here).alias(k) for k in sums]
     )

@@ -11,12 +11,14 @@ from ...functions.hashing import Namespace
 from ...operators import features as feat
 from ...operators import metrics, state as st, steps
 from ...operators.ordering import every_k, with_dense_index
-from ...operators.shards import shard_step
+from ...operators.inorder import DESCENT, EXACT
+from ...operators.sampling import with_shard
+from ...operators.shards import shard_step, train_in_order
 from ...session import cut_lineage, new_folder
 from ...sources.examples import score_line
 from ...sources.logs import spread_out
 from ...sources.store import StateStore
-from .. import training
+from .. import progressive, training
 from ..scoring import score
 from .base import RAW_SQL, events, query, r6, sql6, sql_bucket, sql_hash, table
 from .features import TOKENS_SQL
@@ -326,34 +328,43 @@ def small_examples(base):
         F.concat(F.lit("s"), (F.col("k") % 4).cast("string")).alias("segment"), features.alias("features"))
 
 
-def in_order_sql(by: list[str], counted: bool, c: L.FtrlConfig = CONFIG) -> str:
-    """CTE learned: (by, feature, w, z, n, p, m, g) after each group's examples, one by one."""
+def in_order_sql(by: list[str], counted: bool, c: L.FtrlConfig = CONFIG, tag: str = "", descent: bool = False) -> str:
+    """CTE learned: (by, feature, w, z, n, p, m, g) after each group's examples, one by one; CTE scored: (by, example_id, i, label,
+    margin before the example, weights other than zero after it). ``descent``: z is the weight, moved by 1 / sqrt(i)."""
     keys = ", ".join(by)
     places = f"range(1, {SMALL + 1})"
 
     def each(expr: str) -> str:
         return f"list_transform({places}, lambda j: {expr})"
 
-    w = _w("z[j]", "n[j]", c)
+    w = "z[j]" if descent else _w("z[j]", "n[j]", c)
     new_n = "CASE WHEN p[j] + m[j] > 0 THEN p[j] * m[j] / (p[j] + m[j]) ELSE 0.0 END" if counted else "n[j] + d * x[j] * d * x[j]"
+    new_z = (f"z[j] + d * x[j] + {c.sigma_sign} * (sqrt(n2[j]) - sqrt(n[j])) / {c.alpha} * w[j]" if not descent
+             else "z[j] - d * x[j] / sqrt(i)")
+    if descent:
+        new_n = "n[j]"
     start = f"list_transform({places}, lambda j: 0.0::DOUBLE)"
-    return f"""{SMALL_SQL},
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY example_id) AS i FROM small),
-  run AS (SELECT DISTINCT {keys}, 0::BIGINT AS i, {start} AS z, {start} AS n, {start} AS p, {start} AS m,
-      {start} AS g, {start} AS seen FROM small
+    return f"""{'' if tag else SMALL_SQL + ','}
+  numbered{tag} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY example_id) AS i FROM small),
+  run{tag} AS (SELECT DISTINCT {keys}, 0::BIGINT AS i, 0::BIGINT AS example_id, 0::BIGINT AS label, 0.0::DOUBLE AS margin,
+      {start} AS z, {start} AS n, {start} AS p, {start} AS m, {start} AS g, {start} AS seen FROM small
     UNION ALL
-    SELECT {keys}, i, {each(f'CASE WHEN x[j] IS NULL THEN z[j] ELSE z[j] + d * x[j] + {c.sigma_sign} * (sqrt(n2[j]) - sqrt(n[j])) / {c.alpha} * w[j] END')},
+    SELECT {keys}, i, example_id, label, margin, {each(f'CASE WHEN x[j] IS NULL THEN z[j] ELSE {new_z} END')},
       n2, p, m, {each('CASE WHEN x[j] IS NULL THEN g[j] ELSE g[j] + d * x[j] END')},
       {each('CASE WHEN x[j] IS NULL THEN seen[j] ELSE 1.0 END')}
     FROM (SELECT *, {each(f'CASE WHEN x[j] IS NULL THEN n[j] ELSE {new_n} END')} AS n2
-      FROM (SELECT *, {_clip(f"list_sum({each('CASE WHEN x[j] IS NULL THEN 0.0 ELSE w[j] * x[j] END')})")} - label AS d
-        FROM (SELECT {', '.join(f'r.{k}' for k in by)}, r.i, r.label, r.x, z, n, g, seen, {each(w)} AS w,
+      FROM (SELECT *, {_clip('margin')} - label AS d
+       FROM (SELECT *, list_sum({each('CASE WHEN x[j] IS NULL THEN 0.0 ELSE w[j] * x[j] END')}) AS margin
+        FROM (SELECT {', '.join(f'r.{k}' for k in by)}, r.i, r.example_id, r.label, r.x, z, n, g, seen, {each(w)} AS w,
             {each('CASE WHEN r.x[j] IS NULL THEN p[j] ELSE p[j] + r.label END')} AS p,
             {each('CASE WHEN r.x[j] IS NULL THEN m[j] ELSE m[j] + 1 - r.label END')} AS m
-          FROM run JOIN numbered r ON {' AND '.join(f'run.{k} = r.{k}' for k in by)} AND run.i + 1 = r.i)))),
-  last AS (SELECT * FROM run QUALIFY i = max(i) OVER (PARTITION BY {keys})),
-  learned AS (SELECT {keys}, i AS steps, j - 1 AS feature, {w} AS w, z[j] AS z, n[j] AS n, p[j] AS p, m[j] AS m, g[j] AS g
-    FROM last, (SELECT unnest({places}) AS j) WHERE seen[j] > 0)"""
+          FROM run{tag} run JOIN numbered{tag} r ON {' AND '.join(f'run.{k} = r.{k}' for k in by)} AND run.i + 1 = r.i))))),
+  last{tag} AS (SELECT * FROM run{tag} QUALIFY i = max(i) OVER (PARTITION BY {keys})),
+  learned{tag} AS (SELECT {keys}, i AS steps, j - 1 AS feature, {w} AS w, z[j] AS z, n[j] AS n, p[j] AS p, m[j] AS m, g[j] AS g
+    FROM last{tag}, (SELECT unnest({places}) AS j) WHERE seen[j] > 0),
+  scored{tag} AS MATERIALIZED (SELECT {keys}, example_id, i, label, 1 / (1 + exp(-margin)) AS prob,
+      -label * ln({_clip('margin')}) - (1 - label) * ln(1 - ({_clip('margin')})) AS loss,
+      CAST(list_sum({each(f'CASE WHEN ({w}) <> 0 THEN 1 ELSE 0 END')}) AS BIGINT) AS nonzero FROM run{tag} WHERE i > 0)"""
 
 
 def _shard_sql() -> str:
@@ -385,6 +396,72 @@ def config_grid(spark, sf_dir):
     return out.select("config_id", "feature", r6("w"), r6("z"), r6("n"))
 
 
+def _rolled_sql(source: str, by: str, order: str) -> str:
+    """Loss, accuracy and AUC over the last 1000 rows of each group, for every row."""
+
+    def rate(k: int, label: int) -> str:
+        return (f"coalesce(sum(CAST(prob >= {k} / 10.0::DOUBLE AND label = {label} AS BIGINT)) OVER w "
+                f"/ nullif(sum(CAST(label = {label} AS BIGINT)) OVER w, 0), 0.0)")
+
+    rates = ", ".join(f"{rate(k, 1)} AS t{k}, {rate(k, 0)} AS f{k}" for k in range(11))
+    area = " + ".join(f"(t{k + 1} + t{k}) / 2 * (f{k} - f{k + 1})" for k in range(10))
+    return f"""SELECT *, {area} AS auc FROM (SELECT *, count(*) OVER w AS rows, avg(loss) OVER w AS mean_loss,
+      avg(CAST(CAST(prob >= 0.5 AS BIGINT) = label AS INTEGER)) OVER w AS accuracy, {rates} FROM {source}
+      WINDOW w AS (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))"""
+
+
+REPORT_SQL = f"""WITH RECURSIVE {RAW_SQL}, {in_order_sql(['shard'], True)}, rolled AS ({_rolled_sql('scored', 'shard', 'i')})
+  SELECT CAST(shard AS INTEGER) AS shard, i AS step, rows, {sql6('mean_loss', 'loss')}, {sql6('accuracy')}, {sql6('auc')}, nonzero
+  FROM rolled WHERE i % 100 = 0"""
+
+
+def reports_out(found):
+    return found.select("shard", "step", "rows", r6("loss"), r6("accuracy"), r6("auc"), "nonzero")
+
+
+@query("progressive_in_order", REPORT_SQL)
+def progressive_in_order(spark, sf_dir):
+    """Every event scored by its shard's model just before that learns it; a report over the last 1000 at every 100th."""
+    rows = small_examples(events(spark, sf_dir))
+    _, scored = progressive.progressive_shards(st.empty_state(spark), rows, CONFIG, SHARDS, method=MD5)
+    return reports_out(metrics.reports(scored, 100, 1000, ["shard"]))
+
+
+@query("progressive_rows", f"""WITH RECURSIVE {RAW_SQL}, {in_order_sql(['shard'], False)}
+  SELECT CAST(shard AS INTEGER) AS shard, example_id, i AS step, label, {sql6('prob')}, {sql6('loss')}, nonzero FROM scored""")
+def progressive_rows(spark, sf_dir):
+    """The same with exact squares: every event's probability and loss from before it was learned."""
+    rows = small_examples(events(spark, sf_dir))
+    _, scored = progressive.progressive_shards(st.empty_state(spark), rows, CONFIG, SHARDS, EXACT, MD5)
+    return scored.select("shard", "example_id", "step", "label", r6("prob"), r6("loss"), "nonzero")
+
+
+def _grid_in_order_sql() -> str:
+    chains = ",".join(in_order_sql(["shard"], False, c, tag=f"_{i}") for i, c in enumerate(GRID))
+    learned = " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS config_id, CAST(shard AS INTEGER) AS shard, feature, {sql6('w')}, {sql6('z')}, {sql6('n')} FROM learned_{i}"
+        for i in range(len(GRID)))
+    return f"WITH RECURSIVE {RAW_SQL}, {SMALL_SQL}, {chains} {learned}"
+
+
+@query("config_grid_in_order", _grid_in_order_sql())
+def config_grid_in_order(spark, sf_dir):
+    """Three configurations that learn side by side in one in-order pass."""
+    rows = small_examples(events(spark, sf_dir))
+    learned, _ = progressive.progressive_shards(
+        st.empty_state(spark, {"config_id": "bigint"}), rows, GRID, SHARDS, EXACT, MD5)
+    return learned.select("config_id", "shard", "feature", r6("w"), r6("z"), r6("n"))
+
+
+@query("ogd_in_order", f"""WITH RECURSIVE {RAW_SQL}, {in_order_sql(['shard'], False, descent=True)}
+  SELECT CAST(shard AS INTEGER) AS shard, feature, {sql6('w')} FROM learned""")
+def ogd_in_order(spark, sf_dir):
+    """Gradient descent example by example, the t-th of a shard with rate 1 / sqrt(t)."""
+    rows = with_shard(small_examples(events(spark, sf_dir)), "example_id", SHARDS, method=MD5)
+    learned = train_in_order(st.empty_state(spark), rows, CONFIG, {"shard": "int"}, SHARDS, rule=DESCENT)
+    return learned.select("shard", "feature", r6("w"))
+
+
 def _looked_up():
     return [VALUE_FEATURE, 1]
 

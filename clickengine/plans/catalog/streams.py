@@ -10,11 +10,11 @@ from ...sources.examples import libsvm_line
 from ...sources.store import StateStore
 from ...sources.streams import file_parquet
 from ...streaming import hourly, keyed, trainer
-from .. import training
+from .. import progressive, training
 from .base import RAW_SQL, ORACLES, events, query, r6, sql6, sql_ts, text_ts, with_codes
 from .models import (
-    BATCHES, CONFIG, MD5, SHARDS, STATE_SQL, WITH_EX, batch_sql, chain_sql, in_order_sql, small_examples,
-    state_out, to_examples,
+    BATCHES, CONFIG, MD5, REPORT_SQL, SHARDS, STATE_SQL, WITH_EX, batch_sql, chain_sql, in_order_sql, reports_out,
+    small_examples, state_out, to_examples,
 )
 
 HOURS_SQL = f"""SELECT user_id, {sql_ts("date_trunc('hour', ts)", 'window_start')},
@@ -144,6 +144,17 @@ def stream_keyed_state(spark, sf_dir):
     return keyed.published(store, "segment").select("segment", "feature", "steps", r6("w"))
 
 
+@query("stream_report_every_100", REPORT_SQL)
+def stream_report_every_100(spark, sf_dir):
+    """Events as a stream, each shard in order; a report over its last 1000 examples at every 100th."""
+    folder = new_folder(spark, "stream-reports")
+    store = StateStore(spark, f"{folder}/model")
+    trainer.start_in_order_trainer(
+        small_examples(event_stream(spark, sf_dir)), store, CONFIG, f"{folder}/checkpoint", SHARDS, method=MD5, seconds=None,
+    ).awaitTermination()
+    return reports_out(progressive.report_rows(store))
+
+
 @query("resume_training", _resume_sql())
 def resume_training(spark, sf_dir):
     """Two series on one store, then a stream onto it: no batch is left out."""

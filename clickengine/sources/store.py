@@ -72,6 +72,19 @@ class StateStore:
     def meta(self) -> DataFrame:
         return self._read("meta")
 
+    def save_rows(self, table: str, version: int, rows: DataFrame) -> DataFrame:
+        """Write what else belongs to a version, before the version itself is saved."""
+        path = self._path(table, version)
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def rows(self, table: str, version: int | None = None) -> DataFrame | None:
+        """Rows saved with all versions that count, with the version number, or those of one version."""
+        if version is not None:
+            return self.spark.read.parquet(self._path(table, version))
+        rows = self._read(table)
+        return None if rows is None else rows.where(F.col("version") <= F.lit(self.latest() or 0))
+
     def save_metrics(self, version: int, metrics: DataFrame) -> None:
         metrics.write.mode("overwrite").parquet(self._path("metrics", version))
 

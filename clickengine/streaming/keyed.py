@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.logistic import FtrlConfig
+from ..operators.inorder import EXACT
 from ..operators.sampling import with_shard
 from ..operators.shards import train_in_order
 from ..operators.skew import attach
@@ -27,7 +28,7 @@ def keyed_step(
     """
     rows = with_shard(examples, "example_id", shards, method=method)
     learned = train_in_order(
-        state, rows, config, {"shard": "int", key: key_type}, shards, ["shard", key], count_only=False, stored=stored)
+        state, rows, config, {"shard": "int", key: key_type}, shards, ["shard", key], EXACT, stored)
     old = state.select("shard", key, "feature", F.col("p_count").alias("__p"), F.col("n_count").alias("__m"),
                        F.col("g_sum").alias("__g"))
     grown = learned.join(old, ["shard", key, "feature"], "left").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.logistic import FtrlConfig
+from ..plans.progressive import EVERY, LAST, train_in_order_batch
 from ..plans.training import Step, minibatch, train_batch
 from ..sources.examples import accepted, parse_libsvm, rejected, unwrap_envelope
 from ..sources.store import StateStore
@@ -49,6 +50,19 @@ def start_trainer(
     return triggered(writer, seconds).start()
 
 
+def start_in_order_trainer(
+    examples: DataFrame, store: StateStore, config: FtrlConfig, checkpoint: str, shards: int = 8,
+    every: int = EVERY, last: int = LAST, method: str = "xxhash64", seconds: float | None = 1,
+) -> StreamingQuery:
+    """Learn each micro-batch of (example_id, seq, label, features) in order of arrival, with a report every ``every`` examples."""
+
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        train_in_order_batch(store, batch, config, shards, checkpoint, str(batch_id), every, last, method)
+
+    writer = examples.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint)
+    return triggered(writer, seconds).start()
+
+
 def start_text_trainer(
     values: DataFrame, store: StateStore, rejects: str, config: FtrlConfig, checkpoint: str,
     step: Step = minibatch, sample_ratio: float = 1.0, seconds: float | None = 5,
