@@ -17,6 +17,7 @@ from ...operators.shards import shard_step, train_in_order
 from ...session import cut_lineage, new_folder
 from ...sources.examples import score_line
 from ...sources.logs import spread_out
+from ...sources.deltas import DeltaStore
 from ...sources.store import StateStore
 from .. import progressive, training
 from ..scoring import score
@@ -604,6 +605,41 @@ def progressive_by_batch(spark, sf_dir):
     )
 
 
+def _deltas_sql() -> str:
+    chain = chain_sql([batch_sql(i) for i in range(BATCHES)])
+    return WITH_EX + chain + " " + " UNION ALL ".join(
+        f"SELECT {v}::BIGINT AS version, {STATE_SQL} FROM s{v}" for v in (3, BATCHES))
+
+
+def delta_series(spark, sf_dir, **how):
+    """A series of batches on a store that writes only what a batch touched."""
+    store = DeltaStore(spark, new_folder(spark, "deltas"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), **how)
+    training.train_series(store, examples(spark, sf_dir), "batch", CONFIG)
+    return store
+
+
+@query("state_deltas", _deltas_sql())
+def state_deltas(spark, sf_dir):
+    """The state of a version from before and one from after the deltas were put into a new base."""
+    store = delta_series(spark, sf_dir, compact_every=3, compact_share=BATCHES)
+    states = [state_out(store.load(v)).withColumn("version", F.lit(v).cast("bigint")) for v in (3, BATCHES)]
+    return states[0].unionByName(states[1])
+
+
+def _touched_sql() -> str:
+    chain = chain_sql([batch_sql(i) for i in range(BATCHES)])
+    return WITH_EX + chain + " " + " UNION ALL ".join(
+        f"""SELECT {i + 1}::BIGINT AS version, (SELECT count(DISTINCT feature) FROM ({batch_sql(i)})) AS written,
+  count(*) AS features, count(*) FILTER (w <> 0) AS nonzero FROM s{i + 1}""" for i in range(BATCHES))
+
+
+@query("ftrl_bucketed_batches", _touched_sql())
+def ftrl_bucketed_batches(spark, sf_dir):
+    """Rows that each batch wrote (its features and no others), and the size of the model after it."""
+    meta = delta_series(spark, sf_dir).meta()
+    return meta.select(F.col("version").cast("bigint").alias("version"), "written", "features", "nonzero")
+
+
 # --- scoring a table --------------------------------------------------------------------
 
 WORD_SPACE = Namespace("word", 1 << 20)

@@ -43,12 +43,12 @@ def train_in_order_batch(
     before = store.latest()
     version = (before or 0) + 1
     spark = store.spark
-    state = store.load(before) if before is not None else empty_state(spark) if start is None else start
+    state = store.slice_for(batch, before) if before is not None else empty_state(spark) if start is None else start
     tail = store.rows("tail", before) if before is not None else None
     steps = None if tail is None else tail.groupBy("shard").agg(F.max("step").alias("steps"))
     learned, scored = progressive_shards(
         state, batch, config, shards, method=method, stored=before is not None, steps=steps)
-    held = state.agg(F.count_if(F.col("w") != 0.0)).first()[0]
+    held = store.nonzero(before) if before is not None else state.agg(F.count_if(F.col("w") != 0.0)).first()[0]
     scored = scored.withColumn("nonzero", F.col("nonzero") + F.lit(held))
     recent = scored if tail is None else scored.unionByName(tail)
     newest = Window.partitionBy("shard").orderBy(F.desc("step"))
@@ -58,7 +58,8 @@ def train_in_order_batch(
     found = reports(recent, every, last, ["shard"]).join(F.broadcast(first), "shard").where(F.col("step") >= F.col("first"))
     store.save_rows("reports", version, found.drop("first"))
     store.save_metrics(version, evaluate(scored).withColumn("batch", F.lit(batch_name)))
-    store.save(version, average_shards(state, learned, shards), source, batch_name, steps=version, shards=shards, **asdict(config))
+    store.save_changes(
+        version, state, average_shards(state, learned, shards), source, batch_name, steps=version, shards=shards, **asdict(config))
 
 
 def report_rows(store: StateStore) -> DataFrame:

@@ -68,7 +68,7 @@ def train_batch(
     if store.learned(source, batch_name):
         return
     spark = batch.sparkSession
-    state = store.load(before) if before is not None else start
+    state = store.slice_for(batch, before) if before is not None else start
     if state is None:
         state = empty_state(spark)
     # One join with the state serves validating and learning where the step allows it.
@@ -80,8 +80,8 @@ def train_batch(
         metrics = evaluate(scored).withColumn("batch", F.lit(batch_name))
         store.save_metrics(version, metrics)
         after = step_from_rows(state, kept, config, FROM_ROWS[step]) if shared else step(state, kept, config)
-        store.save(version, after, source, batch_name, steps=version,
-                   **{"shards": 0, **getattr(step, "settings", {})}, **asdict(config))
+        store.save_changes(version, state, after, source, batch_name, steps=version,
+                           **{"shards": 0, **getattr(step, "settings", {})}, **asdict(config))
     finally:
         kept.unpersist()
 

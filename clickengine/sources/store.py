@@ -69,6 +69,19 @@ class StateStore:
             raise ValueError(f"no model state under {self.root}")
         return self.spark.read.parquet(self._path("state", version))
 
+    def slice_for(self, examples: DataFrame, version: int) -> DataFrame:
+        """What of a version's state a batch can touch; here all of it."""
+        return self.load(version)
+
+    def save_changes(
+        self, version: int, before: DataFrame, after: DataFrame, source: str = "", batch: str = "", **settings
+    ) -> DataFrame:
+        """The version in which ``after`` stands for ``before``, which ``slice_for`` gave."""
+        return self.save(version, after, source, batch, **settings)
+
+    def nonzero(self, version: int) -> int:
+        return self.meta().where(F.col("version") == version).first()["nonzero"]
+
     def meta(self) -> DataFrame:
         return self._read("meta")
 
