@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ...operators.skew import attach
 from ...session import new_folder
 from ...sources.examples import libsvm_line
+from ...sources.offsets import ordered_log
 from ...sources.store import StateStore
 from ...sources.streams import file_parquet
-from ...streaming import hourly, keyed, trainer
+from ...streaming import hourly, keyed, stateful, trainer
 from .. import progressive, training
 from .base import RAW_SQL, ORACLES, events, query, r6, sql6, sql_ts, text_ts, with_codes
 from .models import (
@@ -144,6 +145,38 @@ def stream_keyed_state(spark, sf_dir):
     return keyed.published(store, "segment").select("segment", "feature", "steps", r6("w"))
 
 
+@query("stream_state_store", ORACLES["stream_keyed_state"])
+def stream_state_store(spark, sf_dir):
+    """The same with the models in the stream's state store."""
+    folder = new_folder(spark, "stream-store")
+    stateful.start_state_store_trainer(
+        small_examples(event_stream(spark, sf_dir)), "segment", f"{folder}/updates", CONFIG, f"{folder}/checkpoint", SHARDS,
+        method=MD5, seconds=None,
+    ).awaitTermination()
+    return stateful.published(spark, f"{folder}/updates", "segment").select("segment", "feature", "steps", r6("w"))
+
+
+OFFSET_STEP = 4000
+
+
+@query("stream_offsets", f"""SELECT event_id, user_id, value, CAST((event_id - first) // {OFFSET_STEP} AS INTEGER) AS batch
+  FROM events, (SELECT min(event_id) AS first FROM events)""")
+def stream_offsets(spark, sf_dir):
+    """All events through a source with offsets of its own, so many ids to a batch."""
+    folder = new_folder(spark, "stream-offsets")
+    log = ordered_log(spark, f"{sf_dir}/events.parquet", "event_id", OFFSET_STEP, folder)
+    rows = log.select("event_id", "user_id", "value")
+    running = (
+        rows.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={k}"))
+        .option("checkpointLocation", f"{folder}/checkpoint").start()
+    )
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{folder}/rows").select("event_id", "user_id", "value", "batch")
+
+
 @query("stream_report_every_100", REPORT_SQL)
 def stream_report_every_100(spark, sf_dir):
     """Events as a stream, each shard in order; a report over its last 1000 examples at every 100th."""
