@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...functions.binning import heavy_user, log_bin
@@ -11,7 +12,8 @@ from ...operators import features as feat
 from ...operators import frequency
 from ...operators.bags import bag_runs
 from ...operators.counts import count_by
-from ...operators.topics import term_counts, user_topics, with_default_topics
+from ...operators.topics import term_counts, topics_of, user_topics, with_default_topics
+from ...session import new_folder
 from ...sources.logs import spread_out
 from ...sources.examples import libsvm_line, parse_libsvm, unwrap_envelope
 from .. import feature_sets as sets
@@ -377,6 +379,17 @@ def rare_filter_count_min(spark, sf_dir):
         tokens(spark, sf_dir), 10, ["doc_id", "place"], over=OVER, miss=MISS, hashes=md5_pair))
 
 
+@query("sketch_estimates", f"{_sketch_sql()} SELECT feature, n, CAST(estimate AS BIGINT) AS estimate FROM estimates")
+def sketch_estimates(spark, sf_dir):
+    """Every feature's count as the sketch has it, next to the true one."""
+    rows = tokens(spark, sf_dir)
+    depth, width = frequency.sketch_size(rows.count(), OVER, MISS)
+    sketch = frequency.count_min_table(rows, "feature", depth, width, md5_pair)
+    counts = count_by(rows, ["feature"])
+    return frequency.count_min_estimate(counts.select("feature"), sketch, "feature", depth, width, md5_pair).join(counts, "feature").select(
+        "feature", "n", "estimate")
+
+
 @query("sketch_within_bound", f"""WITH {TOKENS_SQL} SELECT count(DISTINCT feature) AS features,
   0::BIGINT AS too_low, true AS within_bound FROM tokens""")
 def sketch_within_bound(spark, sf_dir):
@@ -462,3 +475,22 @@ def topic_distribution(spark, sf_dir):
         "user_id", F.size(proper).cast("bigint").alias("shares"),
         r6(F.aggregate("topics", F.lit(0.0), lambda a, t: a + t), "total"),
     )
+
+
+@query("topic_groups", f"""WITH {RAW_SQL}, seen AS (SELECT user_id, user_id % 2 AS side, count(*) AS n FROM raw GROUP BY ALL)
+  SELECT user_id, side, n, true AS agrees FROM seen""")
+def topic_groups(spark, sf_dir):
+    """Two halves of the users who never see the same item: everyone's largest topic, under the model stored and
+    loaded again, is that of most of the half, and the halves' topics differ."""
+    log = events(spark, sf_dir).withColumn("side", F.col("user_id") % 2).withColumn(
+        "item", F.concat(F.lit("i"), F.col("side").cast("string"), F.lit("-"), (F.col("k") % 7).cast("string")))
+    path = new_folder(spark, "topic-model")
+    user_topics(log, item="item", num_features=TERM_BUCKETS, iterations=30, k=2, method=MD5, model_path=path)
+    shares = topics_of(log, path, item="item", method=MD5)
+    largest = shares.select("user_id", (F.col("user_id") % 2).alias("side"),
+                            (F.array_position("topics", F.array_max("topics")) - 1).alias("topic"))
+    common = largest.groupBy("side").agg(F.mode("topic").alias("usual")).withColumn(
+        "apart", F.count(F.lit(1)).over(Window.partitionBy("usual")) == 1)
+    counts = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return largest.join(F.broadcast(common), "side").join(counts, "user_id").select(
+        "user_id", "side", "n", ((F.col("topic") == F.col("usual")) & F.col("apart")).alias("agrees"))

@@ -119,18 +119,26 @@ RATED_KEYS = {"C14": "c14_rate", "C17": "c17_rate", "pub_id": "pub_id_rate",
               "pub_category": "pub_category_rate"}
 
 
+def rate_history(timed: DataFrame) -> DataFrame:
+    """(kind, key, dt, past_rows, rate) of all rated keys, from one scan of the log; ``kind`` names the key column."""
+    cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in RATED_KEYS])
+    keyed = timed.select("dt", "click", F.explode(cells).alias("c")).select("dt", "click", "c.*")
+    return past_rate(keyed.where(F.col("key").isNotNull()), ["kind", "key"], "dt", "click")
+
+
 def prepare_with_rates(log: DataFrame, **heavy) -> DataFrame:
     """A cleaned log with each key's click rate over all earlier days, or null.
 
-    The rates have one row per key and day and are stored first, so that the log is not
-    shuffled for the short ones.
+    The rates come from one aggregate with a row per key and day, which is stored, so the log is read twice and
+    not shuffled for the short ones.
     """
     timed = with_time_columns(log)
+    path = new_folder(log.sparkSession, "rates")
+    rate_history(timed).drop("past_rows").write.partitionBy("kind").parquet(path)
+    history = log.sparkSession.read.parquet(path)
     rows = timed
     for key, name in RATED_KEYS.items():
-        path = new_folder(log.sparkSession, "rates")
-        past_rate(timed, [key], "dt", "click", name).drop("past_rows").write.parquet(path)
-        rates = log.sparkSession.read.parquet(path)
+        rates = history.where(F.col("kind") == key).select(F.col("key").alias(key), "dt", F.col("rate").alias(name))
         rows = attach_stored(rows, rates, [key, "dt"], ["id"], **heavy)
     return rows
 

@@ -40,14 +40,15 @@ def read_log_csv(
 
 
 def spread_out(scan: DataFrame, row_id: str) -> DataFrame:
-    """Deal the rows of a scan that cannot be split over all cores, by a hash of their id.
+    """Deal the rows of a scan of fewer splits than there are cores, by a hash of their id.
 
-    One gzip file, or one small Parquet file, is one task, and so would be all that
-    follows it up to the first shuffle. A scan of several splits is left as it is.
+    One gzip file, or a Parquet file of one row group (of whose splits one has all rows), is one task, and so would
+    be all that follows it up to the first shuffle. A scan of more splits is left as it is.
     """
-    if scan.rdd.getNumPartitions() > 1:
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, row_id)
+    return scan.repartition(cores, row_id)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 from test_sources import line
 
 from clickengine.functions import binning, identity, times
+from clickengine.functions.times import with_time_columns
 from clickengine.operators import bags, topics
+from clickengine.operators.counts import past_rate
 from clickengine.plans import feature_sets as sets
 from clickengine.plans import prepare
 from clickengine.sources.logs import LABELLED_COLUMNS
@@ -100,3 +102,42 @@ def test_a_row_without_hour_keeps_its_bag(spark):
             {"id": "2", "device_id": "d", "hour": "junk", "app_id": "a", "click": "0", "C14": "1", "C17": "1"}]
     got = prepare.prepare_log(identity.with_identity(raw(spark, rows))).orderBy("id").collect()
     assert got[0]["bag_id"] == got[1]["bag_id"] is not None and got[1]["hour_count"] is None
+
+
+def test_a_stored_topic_model_gives_the_same_shares(spark, tmp_path):
+    log = small_log(spark)
+    path = str(tmp_path / "topics")
+    shares = topics.user_topics(log, item="C14", num_features=64, iterations=3, k=3, model_path=path)
+    again = topics.topics_of(log, path, item="C14")
+    for a, b in zip(shares.orderBy("user_id").collect(), again.orderBy("user_id").collect(), strict=True):
+        assert a.user_id == b.user_id and all(abs(x - y) < 1e-9 for x, y in zip(a.topics, b.topics, strict=True))
+
+
+def test_users_of_disjoint_vocabularies_have_topics_apart(spark):
+    rows = [(f"u{u}", f"w{u % 2}-{(u * 7 + i * i) % 9}") for u in range(60) for i in range(25)]
+    log = spark.createDataFrame(rows, "user_id string, item string")
+    tf = topics.term_vectors(topics.term_counts(bags.bag_runs(log, "user_id", "item"), "user_id", "item", 1024), "user_id", 1024)
+    few, many = (topics.fit_topics(tf, 2, n) for n in (1, 40))
+    # The bound on the likelihood of the data grows with the iterations.
+    assert many.logLikelihood(tf) > few.logLikelihood(tf)
+    largest = {r.user_id: max(range(2), key=lambda k: r.topics[k]) for r in topics.topic_shares(many, tf, "user_id").collect()}
+    sides = [{largest[f"u{u}"] for u in range(60) if u % 2 == side} for side in range(2)]
+    assert all(len(s) == 1 for s in sides) and len(set.union(*sides)) == 2
+
+
+def test_vectors_are_sparse_and_whole(spark):
+    counts = spark.createDataFrame([("a", 5, 2), ("a", 1, 3), ("b", 7, 1)], "user_id string, bucket long, n long")
+    got = {r.user_id: r.features for r in topics.term_vectors(counts, "user_id", 16).collect()}
+    assert got["a"].size == 16 and got["a"].indices.tolist() == [1, 5] and got["a"].values.tolist() == [3.0, 2.0]
+    assert got["b"].indices.tolist() == [7]
+
+
+def test_rates_of_all_keys_come_from_one_scan(spark):
+    log = small_log(spark)
+    wide = prepare.prepare_with_rates(log)
+    timed = with_time_columns(log)
+    for key, name in prepare.RATED_KEYS.items():
+        alone = {(r[key], r["dt"]): r[name] for r in past_rate(timed, [key], "dt", "click", name).collect()}
+        assert all(r[name] == alone[r[key], r["dt"]] for r in wide.collect())
+    plan = prepare.rate_history(timed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
