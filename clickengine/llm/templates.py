@@ -1,11 +1,11 @@
 """Line dedup with a fixed-depth tree of line templates.
 
-A line (between \n) of at least ``MIN_TOKENS`` tokens goes down the tree by its number of tokens and its
-first ``LEADING`` tokens, where tokens with digits count as the variable ``<*>``. In a leaf,
-lines that agree in ``SIMILARITY`` of their places make up one template, whose differing places become
-variable. The lines of a leaf with over ``LEAF_LINES`` different ones are dealt into blocks; the templates
-found in the blocks are then compared with each other by the same rule, through an index of their parts. Places
-are compared by one byte per token, all of them. Shorter lines are the same template when they are equal.
+A line (between \n) goes down the tree by its number of tokens and its first ``LEADING`` tokens, where tokens with digits count as
+the variable ``<*>``. In a leaf, a token is constant at its place if at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG``
+tokens) hold it there, whatever their lines are otherwise; the other places of a line are variable. A line's template is its constant
+tokens, if they are ``SIMILARITY`` of its places, else the line itself. So lines of one template are equal in that share of
+their places, each with each. Lines of fewer than five tokens have no place to vary. Tokens are compared by 64 bits. Leaves
+are tables of (leaf, place, token), counted and joined like any other, so that no leaf has to fit a task and its size changes nothing.
 
 A template recurs when at least ``MIN_DOCUMENTS`` documents (two for lines of ``LONG`` tokens, which chance does not
 repeat) hold it that are no copies. A document is a copy, a matter of document dedup, when it has other lines and one
@@ -23,20 +23,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, texts_of
+from ..operators.skew import attach
+from .common import map_batches, texts_of
 from .components import stored
 
-MIN_TOKENS = 5
 LEADING = 3
-LEAF_LINES = 2000
 SIMILARITY = 0.8
 MIN_DOCUMENTS = 3
 LONG = 50
@@ -44,6 +41,8 @@ COPY_SHARE = 0.8  # as near-duplicates
 
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _LAST = (1 << 63) - 1
+# Lines to parse again are broadcast up to this many, else joined to their documents.
+BROADCAST_LINES = 500_000
 
 
 def _hash(raw: bytes) -> int:
@@ -55,130 +54,89 @@ def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text"))
 
 
+def can_vary(tokens: int) -> bool:
+    """Whether a line of so many tokens may differ in one and still be of the same template."""
+    return math.ceil(SIMILARITY * tokens - 1e-9) < tokens
+
+
+def _tokens(line: bytes) -> list[bytes]:
+    return _VARIABLE.sub(b"<*>", line).split()
+
+
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row per line that goes into the tree: doc, key, line_no, tokens, leaf, line, places."""
+    """A row per line with a token: doc, key, line_no, tokens, leaf (null where nothing can vary), line."""
     rows = docs.select(
         document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("key"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        byte: dict[bytes, int] = {}
         for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(),
                                   texts_of(batch.column("text"))):
             for no, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
-                tokens = _VARIABLE.sub(b"<*>", line).split()
+                tokens = _tokens(line)
                 n = len(tokens)
-                if not n:
-                    continue
-                if n < MIN_TOKENS:
-                    out.append((doc, key, no, n, None, _hash(b" ".join(tokens)), None))
-                    continue
-                places = bytearray()
-                for t in tokens:
-                    b = byte.get(t)
-                    if b is None:
-                        b = byte[t] = xxhash.xxh3_64_intdigest(t) % 255 + 1
-                    places.append(b)
-                size = b"%d " % n
-                out.append((doc, key, no, n, _hash(size + b" ".join(tokens[:LEADING])),
-                            _hash(b" ".join(tokens)), bytes(places)))
-        columns = zip(*out) if out else [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                if n:
+                    leaf = _hash(b"%d " % n + b" ".join(tokens[:LEADING])) if can_vary(n) else None
+                    out.append((doc, key, no, n, leaf, _hash(b" ".join(tokens))))
+        columns = zip(*out) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds)],
-            names=["doc", "key", "line_no", "tokens", "leaf", "line", "places"])
-
-    return map_batches(rows, run, "doc bigint, key bigint, line_no int, tokens int, leaf bigint, "
-                                  "line bigint, places binary")
-
-
-def grow(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, bytes | None]]:
-    """(leaf, line, template, shape) of the (leaf, line, places) of one leaf; members of a template have no shape."""
-    width = len(group[0][2])
-    shapes = np.zeros((len(group), width), np.uint8)
-    names: list[int] = []
-    members = []
-    # Two shapes that agree in SIMILARITY of their places are equal in one of the parts at least.
-    edges = np.linspace(LEADING, width, width - math.ceil(SIMILARITY * width - 1e-9) + 2).astype(int).tolist()
-    index: dict[tuple[int, bytes], list[int]] | None = {} if len(group) > LEAF_LINES else None
-    for leaf, line, places in group:
-        own = np.frombuffer(places, np.uint8)
-        if index is None:
-            near = np.arange(len(names))
-        else:
-            parts = [(k, places[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
-            near = np.array(sorted({i for part in parts for i in index.get(part, ())}), np.int64)
-        if len(near):
-            # Variable places (0) do not count as agreeing.
-            agree = ((shapes[near] == own) & (own > 0)).sum(axis=1)
-            best = int(near[agree.argmax()])
-            if agree.max() >= SIMILARITY * width:
-                shapes[best][shapes[best] != own] = 0
-                members.append((leaf, line, names[best], None))
-                continue
-        if index is not None:
-            for part in parts:
-                if 0 not in part[1]:
-                    index.setdefault(part, []).append(len(names))
-        shapes[len(names)] = own
-        names.append(line)
-    return members + [(group[0][0], name, name, shape.tobytes()) for name, shape in zip(names, shapes)]
-
-
-def _grown(rows: DataFrame) -> DataFrame:
-    """``grow`` for every bin of (bin, leaf, line, places)."""
-    bound_batches(rows.sparkSession)
-
-    def named(out: list[tuple]) -> pa.RecordBatch:
+            [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "key", "line_no", "tokens", "leaf", "line"])
+
+    return map_batches(rows, run, "doc bigint, key bigint, line_no int, tokens int, leaf bigint, line bigint")
+
+
+def leaf_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(leaf, line, holders, places) of the different lines of leaves with more than one: how many documents hold the
+    line, and its tokens behind the leading ones."""
+    leaves = lines.where(F.col("leaf").isNotNull()).groupBy("leaf").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = stored(leaves.where(F.col("a") < F.col("b")).select("leaf", "n"), "leaves")
+    rows = attach(lines.select("doc", "line_no", "leaf", "line"), shared.select("leaf"), ["leaf"], ["doc", "line_no"], "inner",
+                  counts=shared)
+    # Any holder will do to read the line's tokens from.
+    one = stored(rows.groupBy("leaf", "line").agg(
+        F.count_distinct("doc").alias("holders"), F.min(F.struct("doc", "line_no")).alias("at")), "different")
+    wanted = one.groupBy(F.col("at.doc").alias("doc")).agg(
+        F.collect_list(F.struct("at.line_no", "leaf", "line", "holders")).alias("wanted"))
+    if one.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    found = docs.select(document_key().alias("doc"), "text").join(wanted, "doc").select("text", "wanted")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for text, some in zip(texts_of(batch.column("text")), batch.column("wanted").to_pylist()):
+            own = text.encode("utf-8", "replace").split(b"\n")
+            out += [(w["leaf"], w["line"], w["holders"], [_hash(t) for t in _tokens(own[w["line_no"]])[LEADING:]]) for w in some]
         columns = zip(*out) if out else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["leaf", "line", "template", "shape"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, bytes]] = []
-        bin_ = None
-        for batch in batches:
-            out: list[tuple] = []
-            for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                at = (own, row[0], len(row[2]))
-                if group and at != bin_:
-                    out += grow(group)
-                    group = []
-                bin_ = at
-                group.append(tuple(row))
-            yield named(out)
-        if group:
-            yield named(grow(group))
-
-    ordered = rows.select("bin", "leaf", "line", "places").repartition("bin").sortWithinPartitions(
-        "bin", "leaf", F.length("places"), "line")
-    return ordered.mapInArrow(run, "leaf bigint, line bigint, template bigint, shape binary")
-
-
-def templates_of(lines: DataFrame) -> DataFrame:
-    """(line, template) for the lines that take the template of another line of their leaf."""
-    # Leaves with one line need no work.
-    lines = lines.where(F.col("leaf").isNotNull())
-    shared = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where(
-        F.col("a") < F.col("b")).select("leaf")
-    different = stored(
-        lines.join(shared, "leaf").groupBy("leaf", "line").agg(F.min("places").alias("places")), "leaves")
-    leaves = different.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_LINES).alias("blocks"))
-    block = F.pmod(F.xxhash64("line"), F.col("blocks"))
-    grown = stored(_grown(different.join(leaves, "leaf").withColumn("bin", F.xxhash64("leaf", block))), "grown")
-    large = leaves.where("blocks > 1").select("leaf")
-    found = grown.where(F.col("shape").isNotNull()).join(large, "leaf").select(
-        F.col("leaf").alias("bin"), "leaf", "line", F.col("shape").alias("places"))
-    merged = _grown(found).where("line <> template").select(F.col("line").alias("template"), F.col("template").alias("whole"))
-    return grown.join(merged, "template", "left").select("line", F.coalesce("whole", "template").alias("template")).where(
-        "line <> template")
+            [pa.array(c, t) for c, t in zip(columns, kinds)], names=["leaf", "line", "holders", "places"])
+
+    read = map_batches(found, run, "leaf bigint, line bigint, holders bigint, places array<bigint>")
+    # Repeated rows of a document give its lines several times.
+    return read.dropDuplicates(["leaf", "line"])
+
+
+def templates_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, template) for the lines that have a template of constant tokens; all others are their own."""
+    cells = stored(leaf_lines(docs, lines).select(
+        "leaf", "line", "holders", F.size("places").alias("rest"), F.posexplode("places").alias("place", "token")), "cells")
+    held = cells.groupBy("leaf", "place", "token").agg(
+        F.sum("holders").alias("documents"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    need = F.when(F.col("rest") + LEADING >= LONG, F.least(F.lit(2), F.lit(MIN_DOCUMENTS))).otherwise(MIN_DOCUMENTS)
+    constant = stored(held.where(F.col("documents") >= need).select("leaf", "place", "token", "n"), "constant")
+    kept = attach(cells, constant.drop("n"), ["leaf", "place", "token"], ["line"], "inner", counts=constant)
+    shapes = kept.groupBy("leaf", "line").agg(
+        F.max("rest").alias("rest"), F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("place", "token")).alias("shape"))
+    alike = F.col("constants") + LEADING >= SIMILARITY * (F.col("rest") + LEADING) - 1e-9
+    return shapes.where(alike).select("line", F.xxhash64("leaf", "constants", "shape").alias("template"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no) of the lines to drop."""
     lines = stored(parsed_lines(docs), "lines")
-    named = templates_of(lines)
+    named = stored(templates_of(docs, lines), "named")
     rows = lines.select("doc", "key", "line_no", "tokens", "line").join(named, "line", "left").select(
         "doc", "key", "line_no", "tokens", F.coalesce("template", "line").alias("template"))
     rows = stored(rows, "templates")

@@ -137,13 +137,84 @@ def test_recurring_templates_go_but_copies_stay(spark):
             assert got[d]["text"] == text and got[d]["n_dropped"] == 0
 
 
-def test_leaves_beyond_the_limit_are_parsed_deeper(spark, monkeypatch):
-    monkeypatch.setattr(templates, "LEAF_LINES", 5)
-    rng = random.Random(2)
-    lines = [f"user came in from {text_of(rng, 6)} late" for _ in range(40)] + ["user came in from the old town late at last night"] * 3
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], DOC)
-    named = templates.templates_of(templates.parsed_lines(docs))
-    assert named.where("line = template").count() == 0
+def tree_tokens(line):
+    return ["<*>" if any(c in "0123456789" for c in t) else t for t in words_of(line)]
+
+
+def words_of(line):
+    return [w for w in line.replace("\t", " ").split(" ") if w]
+
+
+def templates_by_hand(texts):
+    """Line as tokens -> template, from all lines of a leaf at once."""
+    leaves = defaultdict(lambda: defaultdict(set))
+    for d, text in enumerate(texts):
+        for line in text.split("\n"):
+            t = tuple(tree_tokens(line))
+            if len(t) >= 5:
+                leaves[len(t), t[:3]][t].add(d)
+    out = {}
+    for (n, _), lines in leaves.items():
+        if len(lines) < 2:
+            continue
+        held = Counter((i, w) for t, ds in lines.items() for i, w in enumerate(t) for _ in ds)
+        for t in lines:
+            shape = tuple(w if i < 3 or held[i, w] >= (2 if n >= 50 else 3) else None for i, w in enumerate(t))
+            if sum(w is not None for w in shape) >= 0.8 * n - 1e-9:
+                out[t] = shape
+    return out
+
+
+def named_groups(spark, texts):
+    """Sets of lines (as tokens) that share a template."""
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    named = {r["line"]: r["template"] for r in templates.templates_of(docs, templates.parsed_lines(docs)).collect()}
+    groups = defaultdict(set)
+    for t in {tuple(tree_tokens(x)) for text in texts for x in text.split("\n")}:
+        line = templates._hash(" ".join(t).encode())
+        if line in named:
+            groups[named[line]].add(t)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("n", [10, 400, 5000])
+def test_templates_are_the_same_for_leaves_of_any_size(spark, n):
+    rng = random.Random(n)
+    names = [f"{rng.choice('bcdf')}{rng.choice('aeiou')}x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)]
+    texts = []
+    for i, name in enumerate(names):
+        kind = i % 5
+        if kind < 2:
+            texts.append(f"posted in the forum by {name} on the last day")
+        elif kind == 2:
+            texts.append(f"posted in the {' '.join(rng.choice(names) for _ in range(6))} day")
+        elif kind == 3:
+            texts.append(f"posted in the garden near {rng.choice(names[:4])} at noon with {name}\nposted in the")
+        else:
+            texts.append(" ".join(["a", "b", "c", *rng.choices("pqrstuvw", k=rng.choice((2, 5)))]))
+    want = defaultdict(set)
+    for t, shape in templates_by_hand(texts).items():
+        want[shape].add(t)
+    assert named_groups(spark, texts) == sorted(map(sorted, want.values()))
+    assert any(len(g) >= 0.3 * n for g in want.values())
+
+
+def test_unlike_lines_of_one_leaf_all_stay(spark):
+    """A thousand lines that agree in three of five places."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(1000):
+        x, y = (f"{c}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for c in "xy")
+        texts.append(f"{text_of(rng, 12)}\nthe shop sells {x} {y}\n{text_of(rng, 14)}")
+    assert sum(dropped(spark, texts)) == 0
+
+
+def test_lines_of_edge_documents(spark, edge_docs):
+    docs = edge_docs.withColumn("__id", F.lit(1)).withColumn("template", F.lit("t")).withColumn("place", F.lit(5))
+    docs = docs.unionByName(docs.where("doc_id IS NULL"))
+    rows = templates.drop_recurring_lines(docs).collect()
+    assert len(rows) == docs.count() and all(r["n_dropped"] == 0 for r in rows)
+    assert sorted(r["text"] or "" for r in rows) == sorted(r["text"] or "" for r in docs.collect())
 
 
 def dropped(spark, texts):
@@ -167,22 +238,12 @@ def test_short_lines_recur(spark):
     assert dropped(spark, texts) == [0, 3, 3, 3, 3, 0]
 
 
-def test_large_leaves_keep_their_templates(spark, monkeypatch):
-    monkeypatch.setattr(templates, "LEAF_LINES", 5)
-    rng = random.Random(23)
-    names = sorted({text_of(rng, 1) + text_of(rng, 1) for _ in range(60)})
-    lines = [f"posted in the forum by {n} on the last day" for n in names] + [f"posted in the {text_of(rng, 6)}" for _ in range(40)]
-    named = templates.templates_of(templates.parsed_lines(spark.createDataFrame(list(enumerate(lines)), DOC))).collect()
-    assert len({r["line"] for r in named}) == len(named) == len(names) - 1 and len({r["template"] for r in named}) == 1
-
-
 def test_long_lines_are_compared_at_all_places(spark):
     """Lines that differ in every second token but not in those spread evenly."""
     a = [f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(96)]
     same = {i * 96 // 32 for i in range(32)} | {0, 1, 2}
     other = [w if i in same else "q" + w for i, w in enumerate(a)]
-    docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(other))], DOC)
-    assert templates.templates_of(templates.parsed_lines(docs)).count() == 0
+    assert named_groups(spark, [" ".join(a), " ".join(other)]) == []
 
 
 # --- importance resampling ---------------------------------------------------------------
