@@ -86,12 +86,18 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc bigint, key bigint, line_no int, tokens int, leaf bigint, line bigint")
 
 
+def needed(tokens: Column | str) -> Column:
+    """Documents that make a token constant, or a template recurrent, in lines of so many tokens."""
+    return F.when((F.col(tokens) if isinstance(tokens, str) else tokens) >= LONG, 2).otherwise(MIN_DOCUMENTS)
+
+
 def leaf_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(leaf, line, holders, places) of the different lines of leaves with more than one: how many documents hold the
-    line, and its tokens behind the leading ones."""
+    """(leaf, line, holders, places) of the different lines of leaves that have several and enough of them: how many documents
+    hold the line, and its tokens behind the leading ones."""
     leaves = lines.where(F.col("leaf").isNotNull()).groupBy("leaf").agg(
-        F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = stored(leaves.where(F.col("a") < F.col("b")).select("leaf", "n"), "leaves")
+        F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("tokens"))
+    # With fewer lines than that, no token of the leaf is constant.
+    shared = stored(leaves.where((F.col("a") < F.col("b")) & (F.col("n") >= needed("tokens"))).select("leaf", "n"), "leaves")
     rows = attach(lines.select("doc", "line_no", "leaf", "line"), shared.select("leaf"), ["leaf"], ["doc", "line_no"], "inner",
                   counts=shared)
     # Any holder will do to read the line's tokens from.
@@ -124,8 +130,7 @@ def templates_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
         "leaf", "line", "holders", F.size("places").alias("rest"), F.posexplode("places").alias("place", "token")), "cells")
     held = cells.groupBy("leaf", "place", "token").agg(
         F.sum("holders").alias("documents"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
-    need = F.when(F.col("rest") + LEADING >= LONG, F.least(F.lit(2), F.lit(MIN_DOCUMENTS))).otherwise(MIN_DOCUMENTS)
-    constant = stored(held.where(F.col("documents") >= need).select("leaf", "place", "token", "n"), "constant")
+    constant = stored(held.where(F.col("documents") >= needed(F.col("rest") + LEADING)).select("leaf", "place", "token", "n"), "constant")
     kept = attach(cells, constant.drop("n"), ["leaf", "place", "token"], ["line"], "inner", counts=constant)
     shapes = kept.groupBy("leaf", "line").agg(
         F.max("rest").alias("rest"), F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("place", "token")).alias("shape"))
@@ -165,7 +170,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         F.col("twin").isNull() & (common < COPY_SHARE * others - 1e-9)))
     recurring = held.groupBy("template").agg(
         F.count(F.when(F.col("free"), 1)).alias("n"), F.max("length").alias("length"), F.min("first").alias("first")
-    ).where((F.col("n") >= MIN_DOCUMENTS) | ((F.col("n") >= 2) & (F.col("length") >= LONG)))
+    ).where(F.col("n") >= needed("length"))
     losing = held.where("free").select("doc", "template").join(recurring.select("template", "first"), "template")
     return shared.select("doc", "key", "line_no", "template").join(losing, ["doc", "template"]).where(
         F.struct("key", "doc", "line_no") != F.col("first")).select("doc", "line_no")
