@@ -7,8 +7,7 @@ the words of one license do not keep out those of another; every place of such a
 word votes for a start of each template that holds it (place - position), and votes for one start
 are added up by IDF. A template counts when its mandatory key phrase stands in the document and
 the votes for its best start reach ``ACCEPT`` of the best that the looked-up words could give;
-its score is the share of all its indexed IDF that agrees. The SQL looks up the ``RARE_WORDS`` indexed words with the highest IDF
-only, and so agrees for documents with no more of them.
+its score is the share of all its indexed IDF that agrees. The SQL follows the same rule.
 
 Besides, the places of three plain phrases are listed; their labels always stay.
 
@@ -51,7 +50,6 @@ TEMPLATES = {
 }
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 LEAST_INDEXED = 3
-RARE_WORDS = 8
 ACCEPT = 0.6
 NOT_A_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -215,8 +213,7 @@ ranked AS (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY id
   count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT label, word, idf FROM weighed)),
 listed AS (SELECT weighed.* FROM weighed JOIN ranked USING (label, word) WHERE r <= greatest({LEAST_INDEXED}, n // 2)),
 totals AS (SELECT label, sum(idf) AS total FROM listed GROUP BY label),
-rare AS (SELECT rid, word FROM (SELECT DISTINCT rid, word, idf FROM spots JOIN listed USING (word))
-  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) <= {RARE_WORDS}),
+rare AS (SELECT DISTINCT rid, word FROM spots JOIN listed USING (word)),
 held AS (SELECT rid, label FROM w, keys WHERE rid IN (SELECT rid FROM rare)
   AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')),
 sought AS (SELECT rid, label, sum(idf) AS sought FROM rare JOIN listed USING (word) GROUP BY ALL),
