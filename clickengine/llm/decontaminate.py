@@ -4,12 +4,12 @@ Words are hashed into ``FEATURES`` features, weighted by the IDF that all docume
 benchmark (items of up to ``PASSAGE`` words, longer ones in overlapping passages) form a TF-IDF
 matrix A, whose leading ``RANK`` right singular vectors come from a distributed randomised SVD: partitions
 add up A'(AZ) for a random Z, ``POWER`` times, and the driver only orthonormalises the features x rank
-basis. What that space keeps of an item shrinks as the items grow in number, so no cosine decides: an index of the
-rarer half of each item's words gives, per document, every item that can pass the answer check below, and no
-other. The passages of such a document (``PASSAGE`` words, half overlapping) are projected on the space and tried by
-falling cosine with the item's passages, all of them around which enough of its rarer words stand. An item counts when its words
-and the document's words around a passage have a longest common subsequence of at least ``LCS_SHARE`` of the item
-within ``STRETCH`` times its length, and the answer check holds: at least ``ANSWER_SHARE`` of
+basis. The passages of a document (``PASSAGE`` words, half overlapping) are projected on the space; those with a cosine of at least
+``COSINE`` to one of an item's passages are tried with the item, by falling cosine. Documents that hold too few of the item's answer words
+(below) anywhere are passed over first, which an index of those words tells. What the space keeps of an item shrinks as the items grow in number: items
+of which it keeps too little (``PLANTED``), and short ones, are tried at every passage around which enough of their answer words stand. An item counts
+when its words and the document's words around a passage have a longest common subsequence of at least ``LCS_SHARE`` of the item
+within a stretch of ``STRETCH`` times its length, whichever word that begins at, and the answer check holds: at least ``ANSWER_SHARE`` of
 the rarer half of the item's words, which carry its answer, stand there too. So changed, left out or added words do not hide an item.
 
 Benchmark items are taken in blocks of ``ITEMS_PER_PASS``, so any number of them is
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, id_text, map_batches, offsets_of, spread_rows, texts_of
+from .components import stored
 
 FEATURES = 1 << 16
 RANK = 128
@@ -41,6 +42,10 @@ HALF = PASSAGE // 2
 LCS_SHARE = 0.7
 STRETCH = 1.5
 ANSWER_SHARE = 0.5
+# A passage is tried with the items of at least this cosine. An item is left to the space if that keeps so much of it that a passage
+# with ``PLANTED`` of the item's weight reaches the cosine.
+COSINE = 0.15
+PLANTED = 0.3
 SHORT = 6
 ITEMS_PER_PASS = 10_000
 CHUNK = 1 << 14
@@ -186,25 +191,34 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 
 
 def best_stretch(item: list[bytes], region: list[bytes]) -> int:
-    """Largest LCS of the item with a stretch of the region of at most ``STRETCH`` times its length."""
+    """Largest LCS of the item with a stretch of the region of at most ``STRETCH`` times its length, of all stretches."""
     n = len(item)
-    width = n if n < SHORT else math.ceil(n * STRETCH)
-    step = 1 if n < SHORT else max(1, width // 8)
     if n < SHORT:
         return n if any(region[i:i + n] == item for i in range(len(region) - n + 1)) else 0
-    best = 0
-    for i in range(0, max(1, len(region) - width + step), step):
-        best = max(best, lcs(item, region[i:i + width]))
-        if best == n:
-            break
-    return best
+    width = math.ceil(n * STRETCH)
+    own = set(item)
+    # Words that the item lacks add nothing, so a stretch is as good as the one that begins at its first word of the item, and
+    # no better than its number of such words.
+    known = [0]
+    for w in region:
+        known.append(known[-1] + (w in own))
+    best = math.ceil(LCS_SHARE * n - 1e-9) - 1
+    found = 0
+    for i in range(len(region)):
+        if known[i + 1] > known[i] and known[min(i + width, len(region))] - known[i] > best:
+            common = lcs(item, region[i:i + width])
+            if common > best:
+                best = found = common
+                if best == n:
+                    break
+    return found
 
 
 class Items:
     """A block of benchmark items, ready to be compared with."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, basis: np.ndarray):
-        self.ids, self.words, self.answers, self.owner = [], [], [], []
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, basis: np.ndarray, exact: bool = False):
+        self.ids, self.words, self.answers, self.owner, self.in_space = [], [], [], [], []
         vectors = []
         for item_id, text in rows:
             words = words_of(text)
@@ -215,11 +229,14 @@ class Items:
             self.words.append(words)
             rare = sorted(set(words), key=lambda w: (-idf[xxhash.xxh3_64_intdigest(w) >> 48], w))
             self.answers.append(frozenset(rare[:(len(rare) + 1) // 2]))
+            kept = 1.0
             for p in passages(words):
                 f, w = tfidf(p, idf)
                 v = (w[:, None] * basis[f]).sum(axis=0)
+                kept = min(kept, float(np.linalg.norm(v)))
                 vectors.append(v / max(np.linalg.norm(v), 1e-12))
                 self.owner.append(k)
+            self.in_space.append(not exact and len(words) >= SHORT and PLANTED * kept >= COSINE)
         self.owner = np.array(self.owner, np.int64)
         self.vectors = np.array(vectors, np.float32).reshape(len(vectors), basis.shape[1])
         self.first = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
@@ -259,21 +276,20 @@ def search(words: list[bytes], features: np.ndarray, space: Projection, items: I
         return found
     by = np.argsort(features, kind="stable")
     ordered = features[by]
-    sums = None
+    sums = project(features, space)
     for k in possible.tolist():
         length = len(items.words[k])
-        left, right = (np.searchsorted(ordered, items.sought[k][0], side) for side in ("left", "right"))
-        hits = np.sort(by[spread_rows(left, right - left)])
-        starts = np.arange(max(1, math.ceil(len(words) / HALF) - 1)) * HALF
-        there = np.searchsorted(hits, starts + PASSAGE + length) - np.searchsorted(hits, starts - length)
-        near = np.flatnonzero(there * items.sought[k][1].max() >= items.needed[k])
-        if not len(near):
-            continue
-        if sums is None:
-            sums = project(features, space)
-        cosine = (sums[near] @ items.vectors[items.first[k]:items.first[k + 1]].T).max(axis=1)
-        for i in np.argsort(-cosine, kind="stable").tolist():
-            start = int(starts[near[i]])
+        cosine = (sums @ items.vectors[items.first[k]:items.first[k + 1]].T).max(axis=1)
+        if items.in_space[k]:
+            near = np.flatnonzero(cosine >= COSINE)
+        else:
+            left, right = (np.searchsorted(ordered, items.sought[k][0], side) for side in ("left", "right"))
+            hits = np.sort(by[spread_rows(left, right - left)])
+            starts = np.arange(len(sums)) * HALF
+            there = np.searchsorted(hits, starts + PASSAGE + length) - np.searchsorted(hits, starts - length)
+            near = np.flatnonzero(there * items.sought[k][1].max() >= items.needed[k])
+        for i in near[np.argsort(-cosine[near], kind="stable")].tolist():
+            start = i * HALF
             common = items.holds(k, words[max(0, start - length):start + PASSAGE + length])
             if common and (k not in found or common > found[k][1]):
                 found[k] = (float(cosine[i]), common)
@@ -299,8 +315,11 @@ def project(features: np.ndarray, space: Projection) -> np.ndarray:
     return sums / np.sqrt(np.maximum(norms, 1e-12))[:, None]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, cosine, common_words, item_words) for every item found in a document."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", exact: bool = False) -> DataFrame:
+    """(doc_id, item_id, cosine, common_words, item_words) for every item found in a document.
+
+    ``exact`` tries all passages that the index names, for all items, and asks for no cosine.
+    """
     spark = docs.sparkSession
     rows = id_text(docs)
     items = id_text(benchmark, id_col).withColumnRenamed("doc_id", "item_id")
@@ -312,8 +331,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id")
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         listed = [(r["item_id"], r["text"]) for r in mine.collect()]  # one block
-        held = spark.sparkContext.broadcast(Items(listed, idf, basis))
+        held = spark.sparkContext.broadcast(Items(listed, idf, basis, exact))
         part = _found(rows, shared, held)
+        if blocks > 1:
+            # One block after another, so that the driver and the tasks hold one at a time.
+            part = stored(part, "found")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("common_words", "cosine", "item_words")).alias("m")).select(
         "doc_id", "item_id", F.round("m.cosine", 4).alias("cosine"), "m.common_words", "m.item_words")

@@ -347,6 +347,42 @@ def test_items_are_found_whatever_their_number(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} >= {(d, d) for d in range(300)}
 
 
+def test_the_best_stretch_is_sought_word_by_word():
+    rng = random.Random(6)
+    for _ in range(300):
+        item = [rng.choice("abcdefghij").encode() for _ in range(rng.randrange(6, 20))]
+        region = [rng.choice("abcdefghijklmnopqrst").encode() for _ in range(rng.randrange(0, 60))]
+        if rng.random() < 0.7:
+            at = rng.randrange(len(region) + 1)
+            planted = list(item)
+            for _ in range(rng.randrange(1 + len(item) // 2)):  # spread out by other words
+                planted.insert(rng.randrange(len(planted) + 1), b"zz")
+            region[at:at] = planted
+        width = math.ceil(1.5 * len(item))
+        best = max((decontaminate.lcs(item, region[i:i + width]) for i in range(len(region))), default=0)
+        assert decontaminate.best_stretch(item, region) == (best if best >= math.ceil(0.7 * len(item) - 1e-9) else 0)
+
+
+def test_the_space_decides_what_is_tried(spark, monkeypatch):
+    """Without directions nothing is near; the exact way, and items that the space does not keep, are found all the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+
+    def pairs(**how):
+        return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, **how).collect()}
+
+    exact = pairs(exact=True)
+    assert len(exact) > 20 and pairs() == exact
+    basis = decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: basis(*a) * 0)
+    assert pairs() == pairs(exact=True) == exact  # every item is left to the index
+    monkeypatch.setattr(decontaminate, "PLANTED", math.inf)
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: basis(*a) * 1e-9)
+    monkeypatch.setattr(decontaminate, "COSINE", 0.99)
+    lost = pairs()
+    assert len(lost) < len(exact) and pairs(exact=True) == exact
+
+
 # --- language model ---------------------------------------------------------------------
 
 
