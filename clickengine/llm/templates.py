@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import attach
+from ..operators.skew import attach, attach_stored
 from .common import map_batches, texts_of
 from .components import stored
 
@@ -98,8 +98,8 @@ def leaf_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("tokens"))
     # With fewer lines than that, no token of the leaf is constant.
     shared = stored(leaves.where((F.col("a") < F.col("b")) & (F.col("n") >= needed("tokens"))).select("leaf", "n"), "leaves")
-    rows = attach(lines.select("doc", "line_no", "leaf", "line"), shared.select("leaf"), ["leaf"], ["doc", "line_no"], "inner",
-                  counts=shared)
+    rows = attach_stored(lines.select("doc", "line_no", "leaf", "line"), shared.select("leaf"), ["leaf"], ["doc", "line_no"], "inner",
+                         counts=shared)
     # Any holder will do to read the line's tokens from.
     one = stored(rows.groupBy("leaf", "line").agg(
         F.count_distinct("doc").alias("holders"), F.min(F.struct("doc", "line_no")).alias("at")), "different")
@@ -142,7 +142,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no) of the lines to drop."""
     lines = stored(parsed_lines(docs), "lines")
     named = stored(templates_of(docs, lines), "named")
-    rows = lines.select("doc", "key", "line_no", "tokens", "line").join(named, "line", "left").select(
+    rows = attach_stored(lines.select("doc", "key", "line_no", "tokens", "line"), named, ["line"], ["doc", "line_no"]).select(
         "doc", "key", "line_no", "tokens", F.coalesce("template", "line").alias("template"))
     rows = stored(rows, "templates")
     # Only templates of several documents are of interest from here on.
