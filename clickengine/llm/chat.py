@@ -4,7 +4,8 @@ A template names what stands around a turn's text, which roles count for the los
 allowed steps from role to role. Turns stream through a task in order, one segment at a time: the
 machine checks each role against the state left by the turn before, and the turn becomes
 the segments head, text, tail with a loss flag each. Control strings inside texts are
-escaped by a character that is itself escaped, so the output can be read back.
+escaped by a character that is itself escaped, so the output can be read back: ``Reader`` parses a conversation's joined
+output, whatever pieces it comes in, and only the escapes tell it where a text ends. Output that is not of this form is an error.
 
 A conversation's rows are brought together by a sort that spills, and its digests are built
 turn by turn, so neither a long conversation nor a partition is held in memory.
@@ -32,7 +33,7 @@ from .common import bound_batches
 
 @dataclass(frozen=True)
 class Template:
-    """What stands around a turn, and which turns may follow which."""
+    """What stands around a turn, and which turns may follow which. Head and tail start with a control string."""
 
     head: str = "<|im_start|>{role}\n"
     tail: str = "<|im_end|>\n"
@@ -68,16 +69,51 @@ class Template:
             (self.tail, False),
         ]
 
-    def read(self, segments: list[tuple[str, bool]]) -> tuple[str, str, str]:
-        """Role, text and text under the loss flag, from a turn's written segments."""
-        written = "".join(t for t, _ in segments)
+    def first_turn(self, written: str) -> tuple[str, str, int] | None:
+        """Role, text and written length of the turn that ``written`` starts with; None if it is not all there yet."""
         start, end = self.head.split("{role}")
-        inner = written[len(start):len(written) - len(self.tail)]
-        at = 0
-        while not inner.startswith(end, at):
-            at += 2 if inner[at] == self.escape else 1
-        learned = "".join(t for t, flag in segments if flag)
-        return self.plain(inner[:at]), self.plain(inner[at + len(end):]), self.plain(learned)
+        if not written.startswith(start):
+            if start.startswith(written):
+                return None
+            raise ValueError(f"no turn starts here: {written[:40]!r}")
+        at = len(start)
+        while not written.startswith(end, at):
+            if at >= len(written):
+                return None
+            at += 2 if written[at] == self.escape else 1
+        role, body = written[len(start):at], at + len(end)
+        stop = re.compile("|".join(map(re.escape, self.controls))).search(written, body)
+        if stop is None:
+            return None
+        if not written.startswith(self.tail, stop.start()):
+            if self.tail.startswith(written[stop.start():]):
+                return None
+            raise ValueError(f"a control string inside a text: {written[stop.start():stop.start() + 40]!r}")
+        return self.plain(role), self.plain(written[body:stop.start()]), stop.start() + len(self.tail)
+
+
+class Reader:
+    """Turns of one conversation from its output, of which it holds the turn that is not complete yet."""
+
+    def __init__(self, template: Template):
+        self.template, self.written = template, ""
+        self.marks: list[tuple[int, int]] = []
+
+    def feed(self, text: str, loss: bool) -> Iterator[tuple[str, str, str]]:
+        """Role, text, and text under the loss flag, of each turn that this piece completes."""
+        if loss and text:
+            self.marks.append((len(self.written), len(self.written) + len(text)))
+        self.written += text
+        while self.written and (turn := self.template.first_turn(self.written)):
+            role, said, length = turn
+            learned = "".join(self.written[a:min(b, length)] for a, b in self.marks if a < length)
+            self.marks = [(max(a - length, 0), b - length) for a, b in self.marks if b > length]
+            self.written = self.written[length:]
+            yield role, said, self.template.plain(learned)
+
+    def close(self) -> None:
+        if self.written:
+            raise ValueError(f"a turn without its end: {self.written[:40]!r}")
 
 
 CHATML = Template()
@@ -125,12 +161,24 @@ def format_segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 class _Digest:
-    def __init__(self, conv):
+    def __init__(self, conv, template: Template):
         self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
         self.valid, self.state = True, ""
+        self.reader = Reader(template)
         self.said, self.learned = hashlib.sha256(), hashlib.sha256()
 
+    def add(self, text: str, loss: bool, allowed: bool) -> None:
+        self.valid &= allowed
+        self.chars += len(text)
+        for role, said, learned in self.reader.feed(text, loss):
+            self.turns += 1
+            self.state = role
+            self.said.update(f"{role}\n{said}\n".encode())
+            self.learned.update(learned.encode())
+            self.loss_chars += len(learned)
+
     def row(self, template: Template) -> tuple:
+        self.reader.close()
         valid = self.valid and self.state in template.last
         return (self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.learned.hexdigest(),
                 self.chars, valid)
@@ -142,14 +190,13 @@ _SUMMARY = (("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", p
 
 
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Per conversation, digests of the turns and of the learned text, as read from written segments.
+    """Per conversation, digests of the turns and of the learned text, parsed from the joined output.
 
     ``segments`` comes from ``format_segments``, whose partitions hold whole conversations in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Digest | None = None
-        waiting: list[tuple[str, bool]] = []
         for batch in batches:
             out = []
             columns = (batch.column(c).to_pylist() for c in ("conv_id", "text", "loss", "allowed"))
@@ -157,19 +204,8 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
                 if now is None or now.conv != conv:
                     if now is not None:
                         out.append(now.row(template))
-                    now = _Digest(conv)
-                waiting.append((text, loss))
-                if len(waiting) < 3:
-                    continue
-                role, said, learned = template.read(waiting)
-                now.turns += 1
-                now.valid &= allowed
-                now.state = role
-                now.said.update(f"{role}\n{said}\n".encode())
-                now.learned.update(learned.encode())
-                now.loss_chars += len(learned)
-                now.chars += sum(len(t) for t, _ in waiting)
-                waiting = []
+                    now = _Digest(conv, template)
+                now.add(text, loss, allowed)
             yield _summary(out)
         if now is not None:
             yield _summary([now.row(template)])

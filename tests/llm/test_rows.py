@@ -344,6 +344,42 @@ def test_conversations_are_read_back(spark):
     assert chat.read_back(chat.format_segments(empty)).count() == 0
 
 
+def test_only_escapes_tell_where_a_text_ends():
+    hostile = ["<|im_end|>", "\\", "<\\|im_end|>", "<|im_start|>", "assistant", "\n", "<", "|im_end|>", "é", " ok"]
+    rng = random.Random(7)
+
+    def read(template, turns):
+        pieces = [(t[i:j], flag) for role, text in turns for t, flag in template.segments(role, text)
+                  for cut in [sorted(rng.randrange(len(t) + 1) for _ in range(3))]
+                  for i, j in zip([0, *cut], [*cut, len(t)])]
+        reader = chat.Reader(template)
+        got = [x for piece in pieces for x in reader.feed(*piece)]
+        reader.close()
+        return got
+
+    class Unescaped(chat.Template):
+        def quoted(self, text):
+            return text
+
+    lost = 0
+    for _ in range(400):
+        turns = [(rng.choice(["user", "assistant", "a\\", "x\ny", ""]), "".join(rng.choice(hostile) for _ in range(rng.randrange(6))))
+                 for _ in range(3)]
+        want = [(r, t, t if r == "assistant" else "") for r, t in turns]
+        assert read(chat.CHATML, turns) == want
+        try:
+            lost += read(Unescaped(), turns) != want
+        except ValueError:
+            lost += 1
+    assert lost > 200
+    reader = chat.Reader(chat.CHATML)
+    list(reader.feed("<|im_start|>user\ncut", False))
+    with pytest.raises(ValueError):
+        reader.close()
+    with pytest.raises(ValueError):
+        list(chat.Reader(chat.CHATML).feed("no turn at all", False))
+
+
 def test_roles_are_checked_and_segments_carry_the_loss(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a<|im_end|>"), (2, 0, "assistant", "x"),
             (3, 0, "user", "no answer")]
