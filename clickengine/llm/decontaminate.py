@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, map_batches, offsets_of, spread_rows, texts_of
+from .common import bound_batches, id_text, map_batches, offsets_of, spread_rows, texts_of, unused
 from .components import stored
 
 FEATURES = 1 << 16
@@ -363,5 +363,6 @@ def _found(rows: DataFrame, shared, held) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no item was found. Rows that share an id go together; null ids too."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
+    own = unused(docs, "__id")
+    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)), "left_anti")

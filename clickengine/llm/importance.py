@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, map_batches, offsets_of, texts_of
+from .common import bound_batches, id_text, map_batches, offsets_of, texts_of, unused
 from .components import stored
 
 BUCKETS = 1 << 20
@@ -171,5 +171,6 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
 
 def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """The sampled documents, all their columns. Rows that share an id stay if one of them does."""
-    kept = classify(docs, labels, labelled).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
+    own = unused(docs, "__id")
+    kept = classify(docs, labels, labelled).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)), "left_semi")

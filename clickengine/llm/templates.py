@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import attach, attach_stored
-from .common import map_batches, texts_of
+from .common import map_batches, texts_of, unused
 from .components import stored
 
 LEADING = 3
@@ -178,15 +178,16 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without recurring lines, and with ``n_lines`` and ``n_dropped``."""
-    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias("__drops"))
+    doc, dropped = unused(docs, "__doc"), unused(docs, "__drops")
+    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias(dropped))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], document_key().alias("__doc"))
-    joined = keyed.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], document_key().alias(doc))
+    joined = keyed.join(drops.withColumnRenamed("doc", doc), doc, "left")
     lines = F.split("text", "\n")
-    gone = F.coalesce("__drops", F.array().cast("array<int>"))
+    gone = F.coalesce(dropped, F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
     columns = {c: F.col(f"`{c}`") for c in names}
-    columns["text"] = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns["text"] = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[c.alias(n) for n, c in columns.items()],
         F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("bigint").alias("n_lines"),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +247,25 @@ def test_long_lines_are_compared_at_all_places(spark):
     assert named_groups(spark, [" ".join(a), " ".join(other)]) == []
 
 
+def test_helper_columns_make_way_for_the_documents_own(spark, edge_docs):
+    """Columns named like the operators' own, null ids repeated, and a text of 30,001 words."""
+    names = ["__id", "__doc", "__drops", "___id", "doc", "line_no", "template"]
+    again = edge_docs.where("doc_id IS NULL")
+    docs = edge_docs.unionByName(again).select("*", *[F.lit(n).alias(n) for n in names])
+    plain = docs.select("doc_id", "text")
+    lines = templates.drop_recurring_lines(docs)
+    assert lines.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert rows_of(lines, "doc_id", "text", "n_lines", "n_dropped") == rows_of(
+        templates.drop_recurring_lines(plain), "doc_id", "text", "n_lines", "n_dropped")
+    marks = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "Hello wide world, this is a text of some words.")], "item_id long, text string")
+    for got, want in ((importance.resample(docs, marks), importance.resample(plain, marks)),
+                      (decontaminate.without_benchmark(docs, items), decontaminate.without_benchmark(plain, items))):
+        assert got.columns == docs.columns
+        assert rows_of(got, "doc_id", "text") == rows_of(want, "doc_id", "text")
+        assert {r["__id"] for r in got.select("__id").collect()} <= {"__id"}
+
+
 # --- importance resampling ---------------------------------------------------------------
 
 
@@ -282,6 +302,51 @@ def test_bad_text_is_drawn_less(spark):
     assert kept == sorted(d for d, r in got.items() if r["kept"])
 
 
+def weights_by_hand(texts, good):
+    """Log weights from counts of the n-grams themselves, without buckets."""
+    def grams(text):
+        words = [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+        return Counter(words) + Counter(zip(words, words[1:]))
+
+    raw, target = Counter(), Counter()
+    for i, text in texts:
+        raw += grams(text)
+        if i in good:
+            target += grams(text)
+    share = sum(target.values()) / sum(raw.values())
+    out = {}
+    for i, text in texts:
+        total = 0.0
+        for g, n in grams(text).items():
+            expected = raw[g] * share
+            if abs(target[g] - expected) >= importance.DEVIATIONS * math.sqrt(expected + 1):
+                total += n * math.log((target[g] + importance.SMOOTHING) / (expected + importance.SMOOTHING))
+        out[i] = total
+    return out
+
+
+def test_weights_by_hand(spark, edge_docs):
+    rng = random.Random(12)
+    extra = ("Junk JUNK !! spam", "so and thus", "whereas hence Thus")
+    texts = [(100 + i, " ".join([text_of(rng, rng.randrange(60)), *rng.choices(extra[(100 + i) % 3].split(), k=rng.randrange(40))]))
+             for i in range(300)]
+    texts += [(9, None), (10, ""), (11, " \t "), (12, "naïve CAFÉ café 日本")]
+    good = {i for i, _ in texts if i % 3 == 2}
+    docs = spark.createDataFrame(texts, DOC)
+    marks = spark.createDataFrame([(i, int(i in good), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    weights, share = importance.weigh(docs, marks)
+    got = {r["doc_id"]: r["log_weight"] for r in weights.collect()}
+    want = weights_by_hand(texts, good)
+    assert share == pytest.approx(len(good) / len(texts)) and len(set(want.values())) > 100
+    assert got == {i: pytest.approx(w, rel=1e-4, abs=1e-4) for i, w in want.items()}
+    # Clashing names, nulls, repeated rows and a text of 30,001 words.
+    marks = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    kept = importance.resample(edge_docs, marks)
+    assert kept.columns == edge_docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in importance.classify(edge_docs, marks).where("kept").collect()}
+    assert importance.resample(edge_docs, marks.limit(0)).count() == edge_docs.count()
+
+
 # --- benchmark --------------------------------------------------------------------------
 
 
