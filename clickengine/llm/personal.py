@@ -6,12 +6,10 @@ over characters with CRF transitions, in numpy, on the driver. Most labelled spa
 a form that the patterns do not know, with the labels they had (``altered``): a spelt-out at or dot, other separators,
 no plus sign. Places without a span get dates, versions, prices and the like, labelled as nothing.
 
-A text is read around everything that can belong to such a span: a digit, an @, or an at spelt out before a name
-with a dot (``_TRIGGER``), ``REACH`` characters to both sides; what is near is one region. Windows of
+Every character of every text is read, in pieces of ``PIECE`` characters that overlap. Windows of
 ``WINDOW`` characters overlap by half, each character's tag scores are the mean of its windows' (weighted by the
-distance from their edges), and the CRF decodes each region as a whole. Regions of over ``PIECE``
-characters are decoded in overlapping pieces. A region or piece whose edge lies in a span grows until it does not, so
-there is no limit of length. Found spans are widened to whole words and must pass the exact check of their kind
+distance from their edges), and the CRF decodes each piece as a whole. A piece whose edge lies in a span grows until it
+does not, so there is no limit of length. Found spans are widened to whole words and must pass the exact check of their kind
 (``holds``: parts at most 255, Luhn, 8 to 15 digits, a local part, an at and a dot). Overlapping finds are reconciled over the
 text: base spans come first, then the more probable (ties: the earlier, the longer). So the model only adds
 spans, those with a mean probability per character of ``SURE``.
@@ -40,8 +38,7 @@ TRAIN_PLACES = 4000
 AROUND = 40  # characters on both sides of a place
 WINDOW = 64
 STEP = WINDOW // 2
-REACH = 48
-PIECE = 8192
+PIECE = 4096
 EMBED, HIDDEN, TAGS = 12, 32, 1 + 2 * len(KINDS)
 STEPS = 1200
 SURE = 0.9
@@ -108,21 +105,12 @@ N_CHARS, PAD = 131, 130
 
 
 def regions_of(text: str) -> list[tuple[int, int]]:
-    """Parts of a text around triggers, on the grid of half windows; long ones in overlapping pieces."""
-    merged: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = _on_grid(m.start() - REACH, m.end() + REACH, len(text))
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out = []
-    for a, b in merged:
-        while b - a > PIECE:
-            out.append((a, a + PIECE))
-            a += PIECE - 2 * WINDOW
-        out.append((a, b))
-    return out
+    """The whole text in overlapping pieces, on the grid of half windows."""
+    out, a = [], 0
+    while len(text) - a > PIECE:
+        out.append((a, a + PIECE))
+        a += PIECE - 2 * WINDOW
+    return [*out, (a, len(text))] if text else []
 
 
 def _on_grid(start: int, end: int, n: int) -> tuple[int, int]:
@@ -282,31 +270,67 @@ def train(chars: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int =
     return p
 
 
+def window_scores(p: dict, chars: np.ndarray) -> np.ndarray:
+    """The tag scores of ``emissions`` as (windows, steps, tags), only to read: both directions together, in place.
+
+    Columns are windows. A sigmoid is (tanh(x / 2) + 1) / 2; its halves, and that of the output gate, are in the weights.
+    """
+    h, x = HIDDEN, HIDDEN + EMBED
+    order = np.r_[:2 * h, 3 * h:4 * h, 2 * h:3 * h]  # input, forget, output, candidate
+    half = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)[:, None]
+    own = np.repeat(np.float32([0.5, 1, 1]), (h, EMBED, 1))
+    weights = np.stack([
+        np.concatenate([p[f"w{d}"][EMBED:], p[f"w{d}"][:EMBED], p[f"b{d}"][None]]).T[order] * half * own for d in "fb"])
+    embed = np.ascontiguousarray(p["embed"].T)
+    out = np.empty((len(chars), chars.shape[1], TAGS), np.float32)
+    steps = chars.shape[1]
+    for at in range(0, len(chars), 512):
+        some = np.ascontiguousarray(chars[at:at + 512].T)
+        n = some.shape[1]
+        given = np.ones((2, x + 1, n), np.float32)  # hidden, character, 1
+        given[:, :h] = 0
+        z = np.empty((2, 4 * h, n), np.float32)
+        cell, squashed = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        hidden = np.empty((steps, 2 * h, n), np.float32)
+        for t in range(steps):
+            np.take(embed, some[t], axis=1, out=given[0, h:x], mode="clip")
+            np.take(embed, some[-1 - t], axis=1, out=given[1, h:x], mode="clip")
+            np.matmul(weights, given, out=z)
+            np.tanh(z, out=z)
+            z[:, :3 * h] += 1
+            i, f, o, g = (z[:, k * h:(k + 1) * h] for k in range(4))
+            cell *= f
+            i *= g
+            cell += i
+            cell *= 0.5
+            np.tanh(cell, out=squashed)
+            np.multiply(o, squashed, out=given[:, :h])
+            hidden[t, :h], hidden[-1 - t, h:] = given[0, :h], given[1, :h]
+        out[at:at + n] = ((p["out"].T * np.float32(0.5)) @ hidden + p["out_b"][:, None]).transpose(2, 0, 1)
+    return out
+
+
 def scores_of(p: dict, texts: list[str], parts: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """Tag scores (characters, tags) of parts (text, start, end) on the grid: the mean over the windows of a character."""
-    number: dict[tuple[int, int], int] = {}
+    chars, first = [], [0]
     for k, a, b in parts:
-        for s in range(max(0, a - STEP), b, STEP):
-            number.setdefault((k, s), len(number))
-    windows = list(number)
-    said = np.empty((len(windows), WINDOW, TAGS), np.float32)
-    for at in range(0, len(windows), 1024):
-        some = windows[at:at + 1024]
-        chars = np.full((len(some), WINDOW), PAD)
-        for j, (k, s) in enumerate(some):
-            own = char_ids(texts[k][s:s + WINDOW])
-            chars[j, :len(own)] = own
-        said[at:at + len(some)] = emissions(p, chars)[0].transpose(1, 0, 2)
+        lo = max(0, a - STEP)
+        many = -(-(b - lo) // STEP)
+        codes = np.full((many + 1) * STEP, PAD)
+        own = char_ids(texts[k][lo:lo + len(codes)])
+        codes[:len(own)] = own
+        halves = codes.reshape(-1, STEP)
+        chars.append(np.concatenate([halves[:-1], halves[1:]], axis=1))
+        first.append(first[-1] + many)
+    said = window_scores(p, np.concatenate(chars))
     weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None] / (STEP + 1)
     out = []
-    for k, a, b in parts:
-        blocks = []
-        for s in range(a, b, STEP):
-            here = said[number[k, s]][:STEP]
-            if s >= STEP:
-                here = here * weight[:STEP] + said[number[k, s - STEP]][STEP:] * weight[STEP:]
-            blocks.append(here)
-        out.append(np.concatenate(blocks)[:b - a])
+    for (_, a, b), at, end in zip(parts, first, first[1:]):
+        early, late = said[at:end, :STEP], said[at:end, STEP:]
+        mixed = early[1:] * weight[:STEP] + late[:-1] * weight[STEP:]
+        # Only the first window of a text has none before it.
+        blocks = mixed if a else np.concatenate([early[:1], mixed])
+        out.append(blocks.reshape(-1, TAGS)[:b - a])
     return out
 
 
@@ -314,36 +338,42 @@ def decode(move: np.ndarray, scores: list[np.ndarray]) -> list[tuple[np.ndarray,
     """Best tags (Viterbi) and their probabilities for sequences of any lengths, the longest first."""
     lengths = np.array([len(s) for s in scores])
     steps, n = int(lengths[0]), len(scores)
-    given = np.zeros((steps, n, TAGS), np.float32)
+    given = np.zeros((steps, TAGS, n), np.float32)
     for k, s in enumerate(scores):
-        given[:len(s), k] = s
+        given[:len(s), :, k] = s
     # At step t the first live[t] sequences go on.
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    forward = np.zeros_like(given)
-    backward = np.zeros_like(given)
-    best = given[0].copy()
-    back = np.zeros(given.shape, np.int8)
-    forward[0] = given[0]
+    # Best sums less the largest, and forward sums as shares, so that neither grows with the length.
+    best = given - given.max(axis=1, keepdims=True)
+    ways = np.exp(move).astype(np.float32)
+    forward = np.exp(best)
+    scale = forward.copy()
+    columns = np.ascontiguousarray(move)[:, :, None]
+    forward[0] /= forward[0].sum(axis=0)
     for t in range(1, steps):
         m = live[t]
-        ways = best[:m, :, None] + move
-        back[t, :m] = ways.argmax(axis=1)
-        best[:m] = ways.max(axis=1) + given[t, :m]
-        forward[t, :m] = _log_sum(forward[t - 1, :m, :, None] + move, 1) + given[t, :m]
-    for t in range(steps - 2, -1, -1):
-        m = live[t + 1]
-        backward[t, :m] = _log_sum((backward[t + 1, :m] + given[t + 1, :m])[:, None, :] + move, 2)
-    total = _log_sum(forward[0] + backward[0], 1)
+        now = best[t, :, :m]
+        now += (best[t - 1, :, None, :m] + columns).max(axis=0)
+        now -= now.max(axis=0)
+        share = forward[t, :, :m]
+        share *= ways.T @ forward[t - 1, :, :m]
+        share /= share.sum(axis=0)
     rows = np.arange(n)
     tags = np.zeros((steps, n), np.int64)
-    now = best.argmax(axis=1)
+    sure = np.zeros((steps, n), np.float32)
+    backward = np.ones((TAGS, n), np.float32)
+    into = np.ascontiguousarray(move.T)
     for t in range(steps - 1, -1, -1):
         m = live[t]
-        tags[t, :m] = now[:m]
-        if t:
-            now[:m] = back[t][rows[:m], now[:m]]
-    at = np.arange(steps)[:, None]
-    sure = np.exp(forward[at, rows, tags] + backward[at, rows, tags] - total)
+        on = live[t + 1] if t + 1 < steps else 0
+        if on:
+            back = ways @ (backward[:, :on] * scale[t + 1, :, :on])
+            backward[:, :on] = back / back.max(axis=0)
+            tags[t, :on] = (best[t, :, :on] + into[tags[t + 1, :on]].T).argmax(axis=0)
+        if on < m:
+            tags[t, on:m] = best[t, :, on:m].argmax(axis=0)
+        both = forward[t, :, :m] * backward[:, :m]
+        sure[t, :m] = both[tags[t, :m], rows[:m]] / both.sum(axis=0)
     return [(tags[:m, k], sure[:m, k]) for k, m in enumerate(lengths)]
 
 
@@ -409,7 +439,7 @@ def _longer(found: list[tuple[float, Span]], a: int, b: int, text: str) -> tuple
 
 
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[float, Span]]]:
-    """What the model finds in each text, with its mean probability."""
+    """What the model finds in each text, read from its first character to its last, with its mean probability."""
     out: list[list[tuple[float, Span]]] = [[] for _ in texts]
     waiting = [(k, a, b) for k, t in enumerate(texts) for a, b in regions_of(t)]
     while waiting:
@@ -419,7 +449,7 @@ def model_spans(p: dict, texts: list[str]) -> list[list[tuple[float, Span]]]:
         while at < len(waiting):
             # Sequences of one block together take a bounded number of cells, unless a single one needs more.
             longest = waiting[at][2] - waiting[at][1]
-            some = waiting[at:at + max(1, min(1024, (1 << 17) // longest))]
+            some = waiting[at:at + max(1, min(1024, (1 << 19) // longest))]
             at += len(some)
             for (k, a, b), (tags, sure) in zip(some, decode(p["move"], scores_of(p, texts, some))):
                 found = tagged(tags, sure, a)

@@ -232,6 +232,45 @@ def test_spans_have_no_longest_length(monkeypatch):
         (0, start, start + len(long)), (0, short, short + 10)]
 
 
+def test_every_character_of_every_text_is_read(monkeypatch):
+    """With scores that know the addresses: they are found without a digit, an @ or a spelt-out at in brackets near them."""
+    read = []
+    spans = ("jane at host[.]org", "joe at mail\nhost dot org", "ann-at-site.net")
+    words = "words without any of it, "
+
+    def scores_of(p, texts, parts):
+        out = []
+        for k, a, b in parts:
+            read.append((k, a, b))
+            whole = np.zeros((len(texts[k]), personal.TAGS), np.float32)
+            whole[:, 0] = 30
+            for span in spans:
+                at = texts[k].find(span)
+                if at >= 0:
+                    whole[at:at + len(span)] = 0
+                    whole[at, 1] = whole[at + 1:at + len(span), 2] = 30
+            out.append(whole[a:b])
+        return out
+
+    monkeypatch.setattr(personal, "scores_of", scores_of)
+    model = {"move": np.zeros((personal.TAGS, personal.TAGS), np.float32)}
+    texts = ["", "k", words, words * 900, *[words * n + span + " " + words * 3 for n, span in zip((0, 7, 500), spans)]]
+    found = personal.model_spans(model, texts)
+    for k, text in enumerate(texts):
+        seen = np.zeros(len(text), bool)
+        for _, a, b in (x for x in read if x[0] == k):
+            seen[a:b] = True
+        assert seen.all()
+    assert [sorted({s for _, s in f}) for f in found] == [
+        [], [], [], [], *[[(0, len(words) * n, len(words) * n + len(span))] for n, span in zip((0, 7, 500), spans)]]
+
+
+def test_window_scores_are_the_emissions():
+    p = personal.new_parameters()
+    chars = np.random.default_rng(2).integers(0, personal.N_CHARS, (700, personal.WINDOW))
+    assert personal.window_scores(p, chars) == pytest.approx(personal.emissions(p, chars)[0].transpose(1, 0, 2), abs=1e-5)
+
+
 def test_regions_cover_every_trigger():
     rng = random.Random(8)
     for n in (0, 1, 50, 3000, 40_000):
