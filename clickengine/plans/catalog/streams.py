@@ -157,17 +157,18 @@ def stream_state_store(spark, sf_dir):
 
 
 OFFSET_STEP = 4000
+STEPS_TOGETHER = 250
 
 
 @query("stream_offsets", f"""SELECT event_id, user_id, value, CAST((event_id - first) // {OFFSET_STEP} AS INTEGER) AS batch
   FROM events, (SELECT min(event_id) AS first FROM events)""")
 def stream_offsets(spark, sf_dir):
-    """All events through a source with offsets of its own, so many ids to a batch."""
+    """All events through a source with offsets of its own, so many ids to a step; steps that wait are read together."""
     folder = new_folder(spark, "stream-offsets")
-    log = ordered_log(spark, f"{sf_dir}/events.parquet", "event_id", OFFSET_STEP, folder)
-    rows = log.select("event_id", "user_id", "value")
+    log = ordered_log(spark, f"{sf_dir}/events.parquet", "event_id", OFFSET_STEP, folder, STEPS_TOGETHER, "batch")
+    rows = log.select("event_id", "user_id", "value", "batch")
     running = (
-        rows.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={k}"))
+        rows.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/rows/run={k}"))
         .option("checkpointLocation", f"{folder}/checkpoint").start()
     )
     try:

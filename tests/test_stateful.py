@@ -98,3 +98,28 @@ def test_an_empty_log_has_no_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == 0
+
+
+def test_steps_read_together_are_those_read_one_by_one(spark, tmp_path):
+    """Also behind gaps within a file and between files, and in a reader that starts anew."""
+    path = str(tmp_path / "log")
+    for seqs in (range(3, 30), [*range(31, 44), *range(71, 80)], range(82, 150), range(400, 431)):
+        spark.createDataFrame([(s,) for s in seqs], "seq long").repartition(1).write.mode("append").parquet(path)
+
+    def run(name, together):
+        folder = str(tmp_path / name)
+        log = ordered_log(spark, path, "seq", 10, folder, together, "step")
+        query = log.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/rows/run={k}")).option(
+            "checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        rows = spark.read.parquet(f"{folder}/rows")
+        return rows_of(rows, "seq", "step"), rows.select("run").distinct().count()
+
+    one, many = run("one", 1), run("many", 100)
+    assert one[0] == many[0] and len(one[0]) == 148
+    assert many[1] <= 4 < one[1]
+    spark.range(431, 520).selectExpr("id AS seq").repartition(1).write.mode("append").parquet(path)
+    assert run("one", 1)[0] == run("many", 100)[0]
