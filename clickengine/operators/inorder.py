@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections.abc import Callable
+
 import numpy as np
 
 from ..functions.logistic import PROB_CEILING, PROB_FLOOR, FtrlConfig
@@ -46,14 +50,83 @@ class Descent:
         cells[Models.Z] -= g / np.sqrt(step)
 
 
+def _few_ftrl(cells: array, places: list[int], values: list[float], rates: tuple, label: int, step: int, from_counts: bool) -> tuple[float, int]:
+    """``Models.learn`` of one model for a few different features, number by number: the margin, and how many more weights are other than zero.
+
+    Every operation is that of the arrays, in the same order.
+    """
+    alpha, beta, l1, l2, sign = rates
+    sqrt = math.sqrt
+    weights = []
+    margin = 0.0
+    for at, value in zip(places, values):
+        z = cells[at]
+        if abs(z) <= l1:
+            w = 0.0
+        else:
+            below = (beta + sqrt(cells[at + 1])) / alpha + l2
+            w = -(1.0 / below if below else math.inf) * (z - math.copysign(l1, z))
+        weights.append(w)
+        margin += w * value
+    d = _probability(margin) - label
+    more = 0
+    for at, value, w in zip(places, values, weights):
+        g = d * value
+        kind = at + (Models.P if label else Models.M)
+        cells[kind] += 1.0
+        cells[kind + 2] += 1.0
+        z, n = cells[at], cells[at + 1]
+        if from_counts:
+            p, m = cells[at + 2], cells[at + 3]
+            grown = p * m / (p + m) if p + m > 0 else 0.0
+        else:
+            grown = n + g * g
+        z = z + g + sign * (sqrt(grown) - sqrt(n)) / alpha * w
+        cells[at], cells[at + 1] = z, grown
+        cells[at + 6] += g
+        # A weight is other than zero where z is out of the threshold.
+        more += (not abs(z) <= l1) - (w != 0.0)
+    return margin, more
+
+
+def _few_descent(cells: array, places: list[int], values: list[float], rates: tuple, label: int, step: int, from_counts: bool) -> tuple[float, int]:
+    margin = 0.0
+    for at, value in zip(places, values):
+        margin += cells[at] * value
+    d = _probability(margin) - label
+    root = math.sqrt(step)
+    more = 0
+    for at, value in zip(places, values):
+        g = d * value
+        kind = at + (Models.P if label else Models.M)
+        cells[kind] += 1.0
+        cells[kind + 2] += 1.0
+        w = cells[at]
+        cells[at] = w - g / root
+        cells[at + 6] += g
+        more += (cells[at] != 0.0) - (w != 0.0)
+    return margin, more
+
+
+def _probability(margin: float) -> float:
+    try:
+        prob = 1.0 / (1.0 + math.exp(-margin))
+    except OverflowError:
+        return PROB_FLOOR
+    return PROB_FLOOR if prob == 0.0 else PROB_CEILING if prob == 1.0 else prob
+
+
+# Up to so many cells (features times models) of an example go number by number, which is faster than arrays of them.
+FEW = 64
+
 EXACT, COUNTED, DESCENT = Ftrl(False), Ftrl(True), Descent()
 Rule = Ftrl | Descent
 
 
 class Models:
-    """The features that a run of examples meets, as one array of cells per model.
+    """The features that a run of examples meets, as one flat array of cells: by feature, then model, then kind.
 
-    Kinds of ``cells``: z, n, p_count, n_count, p_new, n_new, g_new; the other axes are model and feature.
+    Kinds of cells: z, n, p_count, n_count, p_new, n_new, g_new.
     """
 
     Z, N, P, M, P_NEW, M_NEW, G_NEW = range(7)
@@ -61,28 +134,58 @@ class Models:
     def __init__(self, configs: list[FtrlConfig], rule: Rule, steps: int = 0):
         self.rule = rule
         self.rates = {k: np.array([[float(getattr(c, k))] for c in configs]) for k in ("alpha", "beta", "l1", "l2", "sigma_sign")}
+        self.each = list(zip(*[v[:, 0].tolist() for v in self.rates.values()]))
+        self.models = len(configs)
+        self.few = FEW // self.models if (self.rates["alpha"] != 0).all() else 0
         self.slot: dict[int, int] = {}
-        self.cells = np.zeros((7, len(configs), 64))
+        self.flat = array("d")
         self.steps = steps
-        self.nonzero = np.zeros(len(configs), np.int64)  # more weights other than zero than at the start
-
-    def slots(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Places of the features; new ones start from (z, n, p_count, n_count) x model x feature as given."""
-        out = np.empty(len(ids), np.int64)
-        for k, f in enumerate(ids.tolist()):
+        self.nonzero = np.zeros(self.models, np.int64)  # more weights other than zero than at the start
+
+    @property
+    def cells(self) -> np.ndarray:
+        """Kind x model x feature, as a view; no feature can be added while it is in use."""
+        if not self.flat:
+            return np.zeros((7, self.models, 0))
+        return np.frombuffer(self.flat).reshape(-1, self.models, 7).transpose(2, 1, 0)
+
+    def slots(self, ids: np.ndarray, start: np.ndarray | Callable[[], np.ndarray]) -> list[int]:
+        """Places of the features; new ones start from (z, n, p_count, n_count) x model x feature, as given or as asked for."""
+        ids = ids.tolist()
+        try:
+            return [self.slot[f] for f in ids]
+        except KeyError:
+            pass
+        if callable(start):
+            start = start()
+        out = []
+        for k, f in enumerate(ids):
             s = self.slot.get(f)
             if s is None:
                 s = self.slot[f] = len(self.slot)
-                if s == self.cells.shape[2]:
-                    self.cells = np.concatenate([self.cells, np.zeros_like(self.cells)], axis=2)
-                self.cells[:4, :, s] = start[:, :, k]
-            out[k] = s
+                new = np.zeros((self.models, 7))
+                new[:, :4] = start[:, :, k].T
+                self.flat.frombytes(new.tobytes())
+            out.append(s)
         return out
 
-    def learn(self, slots: np.ndarray, values: np.ndarray, label: int, report: bool = False) -> np.ndarray:
+    def learn(self, slots: list[int], values: np.ndarray, label: int, report: bool = False) -> np.ndarray:
         """Move the cells of one example's features by that example; each model's margin from before."""
         self.steps += 1
-        cells = self.cells[:, :, slots]
+        # A feature that is there twice moves once, from where both stood.
+        if len(slots) <= self.few and len(set(slots)) == len(slots):
+            width = 7 * self.models
+            given, few = values.tolist(), _few_descent if isinstance(self.rule, Descent) else _few_ftrl
+            margins = []
+            for j, rates in enumerate(self.each):
+                margin, more = few(
+                    self.flat, [s * width + 7 * j for s in slots], given, rates, label, self.steps, self.rule.from_counts)
+                margins.append(margin)
+                if report and more:
+                    self.nonzero[j] += more
+            return np.array(margins)
+        every = self.cells
+        cells = every[:, :, slots]
         w = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
         margin = w @ values
         g = (probability(margin) - label)[:, None] * values
@@ -90,7 +193,7 @@ class Models:
         cells[self.P_NEW if label else self.M_NEW] += 1.0
         self.rule.move(self.rates, cells, w, g, self.steps)
         cells[self.G_NEW] += g
-        self.cells[:, :, slots] = cells
+        every[:, :, slots] = cells
         if report:
             after = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
             self.nonzero += np.count_nonzero(after, axis=1) - np.count_nonzero(w, axis=1)
@@ -98,9 +201,8 @@ class Models:
 
     def rows(self) -> dict[str, np.ndarray]:
         """config_id, feature, w, z, n, p_new, n_new, g_new of all features met."""
-        n = len(self.slot)
-        cells = self.cells[:, :, :n]
-        models = cells.shape[1]
+        n, models = len(self.slot), self.models
+        cells = self.cells
         w = self.rule.weights(self.rates, cells[self.Z], cells[self.N])
         flat = {"w": w, "z": cells[self.Z], "n": cells[self.N], "p_new": cells[self.P_NEW], "n_new": cells[self.M_NEW],
                 "g_new": cells[self.G_NEW]}
