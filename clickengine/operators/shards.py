@@ -56,10 +56,10 @@ def _in_order(groups: list[str], configs: list[FtrlConfig], rule: Rule, report:
             "step": np.repeat(steps, models), "label": np.repeat(labels, models), "margin": np.concatenate(margins),
             "nonzero": np.concatenate(nonzero)}, key)
 
-    def start_of(z, n, p, m) -> np.ndarray:
-        """(z, n, p_count, n_count) x model x feature."""
-        if not len(z):
-            return np.zeros((4, len(configs), 0))
+    def start_of(count: int, z, n, p, m) -> np.ndarray:
+        """(z, n, p_count, n_count) x model x feature; without arrays, no feature has a state."""
+        if z is None or not count:
+            return np.zeros((4, len(configs), count))
         cells = [np.stack(x).T if several else np.asarray(x, float)[None, :] for x in (z, n, p, m)]
         if rule.from_counts:
             cells[1] = counted(cells[2], cells[3])
@@ -79,7 +79,7 @@ def _in_order(groups: list[str], configs: list[FtrlConfig], rule: Rule, report:
                     if models is not None:
                         yield framed(models.rows(), now)
                     now, models = key, Models(configs, rule, int(before))
-                slots = models.slots(np.asarray(ids, np.int64), start_of(z, n, p, m))
+                slots = models.slots(np.asarray(ids, np.int64), lambda: start_of(len(ids), z, n, p, m))
                 margin = models.learn(slots, np.asarray(values, float), int(label), report)
                 if report:
                     seen.append((seq, example, models.steps, label, margin, models.nonzero.copy()))
@@ -127,7 +127,13 @@ def train_in_order(
         state, nothing = _side_by_side(state, known_by, columns, len(configs)), F.array(*[F.lit(0.0)] * len(configs))
     else:
         state, nothing = state.select(*known_by, "feature", *columns), F.lit(0.0)
-    entry = F.struct("feature", "value", *[F.coalesce(c, nothing).alias(c) for c in columns])
+    entry = F.struct("feature", "value", *columns)
+
+    def start(c: str):
+        """An example's cells; null if the state has none of its features, so that a sort need not hold as many zeros."""
+        known = F.exists("e", lambda x: x["z"].isNotNull() | x["n"].isNotNull() | x["p_count"].isNotNull() | x["n_count"].isNotNull())
+        return F.when(known, F.transform("e", lambda x: F.coalesce(x[c], nothing)))
+
     join = attach_stored if stored else attach
     # The lists gather again what one example row held before it was exploded.
     ready = (
@@ -135,6 +141,8 @@ def train_in_order(
         .groupBy(*names, "seq", "example_id", "label")
         .agg(F.array_sort(F.collect_list(F.when(F.col("feature").isNotNull(), entry))).alias("e"))
     )
+    ready = ready.select(*names, "seq", "example_id", "label", F.col("e.feature").alias("ids"), F.col("e.value").alias("vals"),
+                         start("z").alias("z"), start("n").alias("n"), start("p_count").alias("p"), start("n_count").alias("m"))
     before = F.lit(0)
     if steps is not None:
         # A row per group, and there are as many groups as shards.
@@ -146,9 +154,7 @@ def train_in_order(
         ready.withColumn("__task", task).repartition(parts, "__task")
         .sortWithinPartitions(*names, "seq", "example_id")
         .select(*names, "seq", "example_id", before.cast("bigint").alias("before"), "label",
-                F.col("e.feature").alias("ids"), F.col("e.value").alias("vals"),
-                F.col("e.z").alias("z"), F.col("e.n").alias("n"),
-                F.col("e.p_count").alias("p"), F.col("e.n_count").alias("m"))
+                "ids", "vals", "z", "n", "p", "m")
     )
     schema = [f"{g} {t}" for g, t in groups.items()] + ["config_id bigint, feature bigint", *[f"{c} double" for c in _COLUMNS[1:]]]
     if report:
@@ -164,17 +170,17 @@ def learned_and_scored(
     """What ``train_in_order`` learned, and (groups, seq, example_id, label, step, margin, prob, loss, nonzero) of every example
     under the model that had learned the rows before it and not yet this one. One pass, stored, gives both."""
     spark = rows.sparkSession
-    mixed = train_in_order(state, rows, config, groups, parts, report=True, **how).withColumn(
-        "scored", F.col("feature").isNull().cast("int"))
+    mixed = train_in_order(state, rows, config, groups, parts, report=True, **how)
     path = new_folder(spark, "in-order")
-    mixed.write.partitionBy("scored").parquet(path)
+    # In one folder: to write two, Spark would sort all rows of a task first.
+    mixed.write.parquet(path)
     back = spark.read.schema(mixed.schema).parquet(path)
     keys = [*groups, *(["config_id"] if "config_id" in mixed.columns else [])]
     prob = sigmoid(F.col("margin"))
-    scored = back.where("scored = 1").select(
+    scored = back.where("feature IS NULL").select(
         *keys, "seq", "example_id", "label", "step", "margin", prob.alias("prob"),
         log_loss(F.col("label"), clipped(prob)).alias("loss"), "nonzero")
-    return back.where("scored = 0").select(*keys, *_COLUMNS), scored
+    return back.where("feature IS NOT NULL").select(*keys, *_COLUMNS), scored
 
 
 def train_shards(

@@ -1,15 +1,18 @@
 """In-order training with a score of every example before it is learned, against plain Python."""
 
 import math
+from dataclasses import replace
 
+import numpy as np
 import plain
 import pytest
 from conftest import close, rows_of
+from pyspark.sql import functions as F
 from test_models import clicks, make
 
 from clickengine.functions.logistic import FtrlConfig
-from clickengine.operators import metrics, state as st
-from clickengine.operators.inorder import COUNTED, DESCENT, EXACT
+from clickengine.operators import metrics, shards, state as st
+from clickengine.operators.inorder import COUNTED, DESCENT, EXACT, Models
 from clickengine.operators.shards import learned_and_scored, train_in_order
 from clickengine.plans.progressive import progressive_shards, report_rows, train_in_order_batch
 from clickengine.sources.store import StateStore
@@ -111,3 +114,48 @@ def test_reports_of_shards_are_their_own(spark):
         rows.setdefault(r.shard, []).append((r.label, r.prob, r.loss))
     want = {(k, i): v for k, s in rows.items() for i, v in reports_by_hand(s, 20, 40).items()}
     assert close({(r.shard, r.step): (r.rows, r.loss, r.accuracy, r.auc) for r in got.collect()}, want)
+
+
+@pytest.mark.parametrize("rule", [EXACT, COUNTED, DESCENT])
+@pytest.mark.parametrize("configs", [[CONFIG], [CONFIG, replace(CONFIG, l1=0.0), replace(CONFIG, sigma_sign=1)]])
+def test_few_features_learn_as_arrays_of_them_do(rule, configs):
+    rng = np.random.default_rng(3)
+    one, other = Models(configs, rule), Models(configs, rule)
+    assert one.few
+    other.few = 0
+    for i in range(600):
+        ids = rng.integers(0, 40, rng.integers(0, 9)) if i % 50 else np.arange(100)
+        values = rng.normal(size=len(ids)) * rng.choice([0.1, 1, 50, 900], p=[0.5, 0.4, 0.09, 0.01])
+        start = rng.normal(size=(4, len(configs), len(ids))) ** 2
+        margins = [m.learn(m.slots(ids, start), values, i % 2, True) for m in (one, other)]
+        assert margins[0] == pytest.approx(margins[1], rel=1e-6, abs=1e-6)
+    for k, v in one.rows().items():
+        assert v == pytest.approx(other.rows()[k], rel=1e-6, abs=1e-6)
+    assert (one.nonzero == other.nonzero).all() and one.steps == other.steps == 600
+
+
+def test_no_empty_cells_are_sorted(spark):
+    """Examples of which the state has no feature carry no cells; the others all of theirs."""
+    rows = make(spark, clicks(30)).withColumn("shard", F.lit(0))
+    seen = []
+
+    def spied(*how):
+        run = in_order(*how)
+
+        def look(frames):
+            for frame in frames:
+                if frame["z"].notna().any():
+                    raise AssertionError("cells of an empty state")
+                yield from run(iter([frame]))
+        return look
+
+    in_order, shards._in_order = shards._in_order, spied
+    try:
+        seen = shards.train_in_order(st.empty_state(spark), rows, CONFIG, {"shard": "int"}, 1).collect()
+    finally:
+        shards._in_order = in_order
+    assert seen
+    some = spark.createDataFrame([(seen[0]["feature"], 0.0, 0.7, 0.2, 1.0, 2.0, 0.0)], st.empty_state(spark).schema)
+    moved = shards.train_in_order(some, rows, CONFIG, {"shard": "int"}, 1).collect()
+    assert {r["feature"] for r in moved} == {r["feature"] for r in seen}
+    assert {r["feature"]: r["z"] for r in moved} != {r["feature"]: r["z"] for r in seen}
