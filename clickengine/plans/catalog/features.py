@@ -182,7 +182,8 @@ def _bag_set_sql() -> str:
 
 
 def _set_rows(log, features):
-    examples = log.select("id", features.alias("features"))
+    # A row becomes about a hundred. The joins before leave a key's rows together, so they are dealt anew, evenly.
+    examples = log.hint("rebalance").select("id", features.alias("features"))
     return feat.exploded(examples, ["id"]).select("id", "feature", r6("value"))
 
 

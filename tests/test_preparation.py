@@ -141,3 +141,15 @@ def test_rates_of_all_keys_come_from_one_scan(spark):
         assert all(r[name] == alone[r[key], r["dt"]] for r in wide.collect())
     plan = prepare.rate_history(timed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_feature_sets_deal_their_rows_anew(spark):
+    """A row becomes many, so it does not matter in which tasks the rows before were."""
+    from clickengine.operators import features as feat
+    from clickengine.plans.catalog.features import _set_rows
+
+    log = spark.range(50).coalesce(1).selectExpr("CAST(id AS STRING) AS id", "CAST(id AS DOUBLE) AS x")
+    found = _set_rows(log, feat.as_map([feat.numbered(5, F.col("x")), feat.numbered(6, F.col("x"))]))
+    assert "REBALANCE_PARTITIONS" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((int(r["id"]), r["feature"], r["value"]) for r in found.collect()) == [
+        (i, f, float(i)) for i in range(50) for f in (5, 6)]
