@@ -14,7 +14,7 @@ from ...operators.ordering import every_k, with_dense_index
 from ...operators.inorder import DESCENT, EXACT
 from ...operators.sampling import with_shard
 from ...operators.shards import shard_step, train_in_order
-from ...session import cut_lineage, new_folder
+from ...session import cut_lineage, new_folder, stored
 from ...sources.examples import score_line
 from ...sources.logs import spread_out
 from ...sources.deltas import DeltaStore
@@ -665,9 +665,13 @@ def score_submission(spark, sf_dir):
     ))
     features = F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0))))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label"))
-    docs = spread_out(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("example_id"), "label", features.alias("features"))
-    state = cut_lineage(steps.ftrl_step(
-        st.empty_state(spark), docs.where(F.col("label").isNotNull()), WORD_CONFIG))
-    scores = score(docs.where(F.col("label").isNull()).drop("label"), state, stored=True)
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+
+    def dealt(rows):
+        # A row becomes hundreds, and a file's row groups may be fewer than the cores, so rows are dealt evenly before.
+        return rows.hint("rebalance").select(F.col("doc_id").alias("example_id"), "label", features.alias("features"))
+
+    state = stored(steps.ftrl_step(
+        st.empty_state(spark), dealt(texts.where(F.col("label").isNotNull())), WORD_CONFIG, stored=True), "state")
+    scores = score(dealt(texts.where(F.col("label").isNull())).drop("label"), state, stored=True)
     return scores.select(score_line().alias("line"))

@@ -269,3 +269,15 @@ def test_rolling_metrics_equal_the_last_rows(spark):
     for r in metrics.rolling_metrics(df, 10).collect():
         want = plain.metrics(scored[max(0, r["idx"] - 9): r["idx"] + 1])
         assert (r["loss"], r["accuracy"], r["auc"]) == pytest.approx(want)
+
+
+def test_documents_are_dealt_evenly_before_their_words_are_hashed(spark, tmp_path):
+    from clickengine.plans.catalog import QUERIES
+
+    docs = [(i, " ".join(f"w{j % 7}" for j in range(i % 5))) for i in range(40)] + [(None, "w1"), (41, None), (3, "w1 w2")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 40, 2)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    lines = QUERIES["score_submission"](spark, str(tmp_path))
+    assert lines._jdf.queryExecution().executedPlan().toString().count("REBALANCE_PARTITIONS") == 1
+    ids = [row[0].split(",")[0] for row in lines.collect()]
+    assert set(ids) >= {str(i) for i in range(1, 40, 2)}
