@@ -7,17 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .counts import count_by
-from .skew import attach
+from .skew import attach, attach_counted
 
 
 def keep_frequent(
     rows: DataFrame, at_least: int, spread: list[str], feature: str = "feature", **heavy
 ) -> DataFrame:
     """Rows of features that occur at least ``at_least`` times in all of ``rows``."""
-    counts = count_by(rows, [feature])
-    frequent = counts.where(F.col("n") >= at_least).select(feature)
-    return attach(rows, frequent, [feature], spread, "inner", counts=counts, **heavy)
+    counts = frequent_counts(rows, at_least, feature)
+    return attach_counted(rows, counts.select(feature), [feature], spread, counts, **heavy)
+
+
+def frequent_counts(rows: DataFrame, at_least: int, feature: str) -> DataFrame:
+    """(feature, n) of those that occur at least ``at_least`` times, stored."""
+    known = rows.where(F.col(feature).isNotNull())
+    return stored(count_by(known, [feature]).where(F.col("n") >= at_least), "frequent")
 
 
 def keep_after_sightings(
@@ -120,5 +126,5 @@ def keep_frequent_approx(
     depth, width = sketch_size(total, at_least / 2 if over is None else over, miss)
     table = count_min_table(rows, feature, depth, width, hashes)
     estimated = count_min_estimate(rows, table, feature, depth, width, hashes, "__estimate")
-    frequent = estimated.where(F.col("__estimate") >= at_least).select(feature)
-    return attach(rows, frequent, [feature], spread, "inner", **heavy)
+    frequent = stored(estimated.where(F.col("__estimate") >= at_least).withColumnRenamed("__estimate", "n"), "frequent")
+    return attach_counted(rows, frequent.select(feature), [feature], spread, frequent, **heavy)

@@ -101,3 +101,34 @@ def attach_stored(
     if fits_broadcast(lookup, max_rows):
         return rows.join(F.broadcast(lookup), on, how)
     return attach(rows, lookup, on, spread, how, **heavy)
+
+
+def attach_counted(
+    rows: DataFrame, lookup: DataFrame, on: list[str], spread: list[str | Column], counts: DataFrame,
+    max_rows: int = BROADCAST_ROWS, max_text: int = BROADCAST_TEXT, **heavy,
+) -> DataFrame:
+    """Inner ``attach`` for a lookup whose keys lie in storage with their numbers of rows, as ``counts`` (keys, n).
+
+    Of a larger lookup the keys with the most rows are broadcast, as many as ``max_rows`` and ``max_text`` allow, so
+    that only the rows of the others are shuffled.
+    """
+    texts = [F.octet_length(c) for c in on if counts.schema[c].dataType.typeName() == "string"]
+    text = sum((F.sum(F.coalesce(t, F.lit(0))) for t in texts), F.lit(0))
+    # A line per power of two, so that the driver sees some sixty.
+    by_size = counts.groupBy(F.floor(F.log2(F.col("n"))).alias("power")).agg(F.count(F.lit(1)), text)
+    sizes = sorted(by_size.collect(), reverse=True)
+    least, keys, size = None, 0, 0
+    for power, many, letters in sizes:
+        keys, size = keys + many, size + letters
+        if keys > max_rows or size > max_text:
+            break
+        least = power
+    else:
+        return rows.join(F.broadcast(lookup), on)
+    common = F.floor(F.log2(F.col("n"))) >= F.lit(least)
+    often = counts.where(common).select(*on) if least is not None else counts.limit(0).select(*on)
+    others = counts.where(~common) if least is not None else counts
+    near = rows.join(F.broadcast(lookup.join(F.broadcast(often), on)), on)
+    rest = rows.join(F.broadcast(often), on, "left_anti")
+    far = attach(rest, lookup.join(F.broadcast(often), on, "left_anti"), on, spread, "inner", counts=others, **heavy)
+    return near.unionByName(far.select(near.columns))

@@ -324,7 +324,8 @@ TOKENS_SQL = """tokens AS (SELECT doc_id, place, feature FROM (
 def tokens(spark, sf_dir):
     """Every word of every document with its place."""
     words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
-    return spread_out(table(spark, sf_dir, "documents"), "doc_id").select(
+    # A row becomes hundreds, and a file's row groups may be fewer than the cores, so rows are dealt evenly before.
+    return table(spark, sf_dir, "documents").select("doc_id", "text").hint("rebalance").select(
         "doc_id", F.posexplode(words).alias("place", "feature")
     ).where(F.col("feature") != "").withColumn("place", F.col("place").cast("bigint"))
 
