@@ -35,8 +35,8 @@ def keep_after_sightings(
     feature before the shuffle, so a feature with most of the rows costs no more than
     another. The rows are then compared with the place of their feature's k-th sighting.
     """
-    kth = kth_sighting(rows, at_least, order, feature)
-    seen = attach(rows, kth, [feature], order, "inner", **heavy)
+    kth = kth_sighting(rows.where(F.col(feature).isNotNull()), at_least, order, feature)
+    seen = attach_counted(rows, kth, [feature], order, frequent_counts(rows, at_least, feature), **heavy)
     return seen.where(F.struct(*order) >= F.col("__from")).drop("__from")
 
 
