@@ -427,3 +427,15 @@ def test_roles_are_checked_and_segments_carry_the_loss(spark):
     assert [r["text"] for r in segments.where("conv_id = 1 and loss").collect()] == ["a<\\|im_end|>"]
     whole = "".join(r["text"] for r in segments.where("conv_id = 1").orderBy("place").collect())
     assert whole.endswith("<|im_start|>assistant\na<\\|im_end|><|im_end|>\n") and whole.count("<|im_end|>") == 3
+
+
+def test_window_scores_are_products_of_one_core_and_those_of_the_trained_model():
+    from clickengine.llm import personal
+
+    # Larger products are dealt over threads, whose waiting took as much CPU time again.
+    assert personal.HIDDEN * (personal.HIDDEN + personal.EMBED + 1) * personal.COLUMNS <= 1 << 18
+    p = {k: v * 2 for k, v in personal.new_parameters().items()}
+    chars = np.random.default_rng(0).integers(0, personal.N_CHARS, (personal.COLUMNS + 7, personal.WINDOW))
+    said = personal.window_scores(p, chars)
+    assert np.abs(said - personal.emissions(p, chars)[0].transpose(1, 0, 2)).max() < 1e-3
+    assert np.isfinite(personal.window_scores({k: v * 1000 for k, v in p.items()}, chars)).all()
