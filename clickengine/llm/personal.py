@@ -6,9 +6,10 @@ over characters with CRF transitions, in numpy, on the driver. Most labelled spa
 a form that the patterns do not know, with the labels they had (``altered``): a spelt-out at or dot, other separators,
 no plus sign. Places without a span get dates, versions, prices and the like, labelled as nothing.
 
-Every character of every text is read, in pieces of ``PIECE`` characters that overlap. Windows of
-``WINDOW`` characters overlap by half, each character's tag scores are the mean of its windows' (weighted by the
-distance from their edges), and the CRF decodes each piece as a whole. A piece whose edge lies in a span grows until it
+Every character of every text is read by both directions, in pieces of ``PIECE`` characters that overlap. Windows of
+``READ`` characters share ``STEP`` with the next, whose tag scores are the mean of both (weighted by the distance from
+their edges), and the CRF decodes each piece as a whole, unless bounds say that only "none" can win in it (``none_wins``;
+the tags are the same). A piece whose edge lies in a span grows until it
 does not, so there is no limit of length. Found spans are widened to whole words and must pass the exact check of their kind
 (``holds``: parts at most 255, Luhn, 8 to 15 digits, a local part, an at and a dot). Overlapping finds are reconciled over the
 text: base spans come first, then the more probable (ties: the earlier, the longer). So the model only adds
@@ -38,11 +39,13 @@ TRAIN_PLACES = 4000
 AROUND = 40  # characters on both sides of a place
 WINDOW = 64
 STEP = WINDOW // 2
-COLUMNS = 180  # windows side by side
+READ = 256  # a window in reading; two of them share STEP characters
+COLUMNS, SIDE = 180, 2  # windows side by side
 PIECE = 4096
 EMBED, HIDDEN, TAGS = 12, 32, 1 + 2 * len(KINDS)
 STEPS = 1200
 SURE = 0.9
+CELLS = 1 << 19  # characters read, or decoded, side by side
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -274,75 +277,140 @@ def train(chars: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int =
 def window_scores(p: dict, chars: np.ndarray) -> np.ndarray:
     """The tag scores of ``emissions`` as (windows, steps, tags), only to read: both directions together, in place.
 
-    Columns are windows, ``COLUMNS`` at a time: products that small stay on one core. A sigmoid is 1 / (1 + exp(-x)), tanh(x) is twice
-    that of 2x less 1; the factors -1 and -2 are in the weights.
+    Columns are windows, ``SIDE`` blocks of up to ``COLUMNS`` side by side: products that small stay on one core. A sigmoid is
+    (1 + tanh(x / 2)) / 2; cells and hidden states are kept doubled, the factors are in the weights.
     """
     h, x = HIDDEN, HIDDEN + EMBED
     order = np.r_[:2 * h, 3 * h:4 * h, 2 * h:3 * h]  # input, forget, output, candidate
-    factor = np.repeat(np.float32([-1, -1, -1, -2]), h)[:, None]
-    weights = np.stack([
-        np.concatenate([p[f"w{d}"][EMBED:], p[f"w{d}"][:EMBED], p[f"b{d}"][None]]).T[order] * factor for d in "fb"])
-    weights = weights.reshape(2, 4, h, x + 1)
-    embed = np.ascontiguousarray(p["embed"].T)
-    out = np.empty((len(chars), chars.shape[1], TAGS), np.float32)
-    steps = chars.shape[1]
-    with np.errstate(over="ignore"):  # exp of a large number: its sigmoid is 0
-        for at in range(0, len(chars), COLUMNS):
-            some = np.ascontiguousarray(chars[at:at + COLUMNS].T)
-            n = some.shape[1]
-            given = np.ones((2, 1, x + 1, n), np.float32)  # hidden, character, 1
-            given[:, :, :h] = 0
-            z = np.empty((2, 4, h, n), np.float32)
-            cell, squashed = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
-            hidden = np.empty((steps, 2 * h, n), np.float32)
-            for t in range(steps):
-                np.take(embed, some[t], axis=1, out=given[0, 0, h:x], mode="clip")
-                np.take(embed, some[-1 - t], axis=1, out=given[1, 0, h:x], mode="clip")
-                np.matmul(weights, given, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.divide(1, z, out=z)
-                i, f, o, g = (z[:, k] for k in range(4))
-                g *= 2
-                g -= 1
-                cell *= f
-                i *= g
-                cell += i
-                np.multiply(cell, -2, out=squashed)
-                np.exp(squashed, out=squashed)
-                squashed += 1
-                np.divide(2, squashed, out=squashed)
-                squashed -= 1
-                np.multiply(o, squashed, out=given[:, 0, :h])
-                hidden[t, :h], hidden[-1 - t, h:] = given[0, 0, :h], given[1, 0, :h]
-            out[at:at + n] = (p["out"].T @ hidden + p["out_b"][:, None]).transpose(2, 0, 1)
+    factor = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)[:, None]
+    weights = np.stack([np.concatenate([p[f"w{d}"][EMBED:] / 2, p[f"w{d}"][:EMBED], p[f"b{d}"][None]]).T[order] * factor for d in "fb"])
+    weights = weights[:, None].astype(np.float32)
+    read = np.ascontiguousarray((p["out"] / 2).reshape(2, 1, h, TAGS).transpose(0, 1, 3, 2), np.float32)
+    embed = np.ascontiguousarray(p["embed"].T, np.float32)
+    many, steps = chars.shape
+    out = np.empty((many, steps, TAGS), np.float32)
+    for at in range(0, many, SIDE * COLUMNS):
+        some = chars[at:at + SIDE * COLUMNS]
+        n = len(some)
+        blocks = -(-n // COLUMNS)
+        per = -(-n // blocks)
+        ids = np.full((steps, blocks * per), PAD)
+        ids[:, :n] = some.T
+        ids = ids.reshape(steps, blocks, per)
+        given = np.ones((2, blocks, x + 1, per), np.float32)  # hidden, character, 1
+        given[:, :, :h] = 0
+        hidden, letter = given[:, :, :h], given[:, :, h:x]
+        z = np.empty((2, blocks, 4 * h, per), np.float32)
+        gates, (i, f, o, g) = z[:, :, :3 * h], (z[:, :, k * h:(k + 1) * h] for k in range(4))
+        cell, squashed = np.zeros((2, blocks, h, per), np.float32), np.empty((2, blocks, h, per), np.float32)
+        said = np.empty((steps, 2, blocks, TAGS, per), np.float32)
+        for t in range(steps):
+            for k in range(blocks):
+                np.take(embed, ids[t, k], axis=1, out=letter[0, k], mode="clip")
+                np.take(embed, ids[-1 - t, k], axis=1, out=letter[1, k], mode="clip")
+            np.matmul(weights, given, out=z)
+            np.tanh(z, out=z)
+            gates += 1
+            f *= 0.5
+            cell *= f
+            i *= g
+            cell += i
+            np.multiply(cell, 0.5, out=squashed)
+            np.tanh(squashed, out=squashed)
+            np.multiply(o, squashed, out=hidden)
+            np.matmul(read, hidden, out=said[t])
+        both = said[:, 0] + said[::-1, 1] + p["out_b"][:, None]
+        out[at:at + n] = both.transpose(1, 3, 0, 2).reshape(blocks * per, steps, TAGS)[:n]
     return out
 
 
+def windows_of(n: int, a: int, b: int) -> tuple[int, int]:
+    """The first window that has a character of ``a`` to ``b`` of a text of n characters, and the one after the last."""
+    first, r = divmod(a, READ - STEP)
+    last = max(0, -(-(n - READ) // (READ - STEP)))
+    return min(first - (first > 0 and r < STEP), last), min((b - 1) // (READ - STEP), last) + 1
+
+
 def scores_of(p: dict, texts: list[str], parts: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """Tag scores (characters, tags) of parts (text, start, end) on the grid: the mean over the windows of a character."""
-    chars, first = [], [0]
-    for k, a, b in parts:
-        lo = max(0, a - STEP)
-        many = -(-(b - lo) // STEP)
-        codes = np.full((many + 1) * STEP, PAD)
-        own = char_ids(texts[k][lo:lo + len(codes)])
-        codes[:len(own)] = own
-        halves = codes.reshape(-1, STEP)
-        chars.append(np.concatenate([halves[:-1], halves[1:]], axis=1))
-        first.append(first[-1] + many)
-    said = window_scores(p, np.concatenate(chars))
-    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None] / (STEP + 1)
-    out = []
-    for (_, a, b), at, end in zip(parts, first, first[1:]):
-        early, late = said[at:end, :STEP], said[at:end, STEP:]
-        mixed = early[1:] * weight[:STEP] + late[:-1] * weight[STEP:]
-        # Only the first window of a text has none before it.
-        blocks = mixed if a else np.concatenate([early[:1], mixed])
-        out.append(blocks.reshape(-1, TAGS)[:b - a])
+    """Tag scores (characters, tags) of parts (text, start, end): the mean over the windows of a character."""
+    # A text of one window gets a shorter one where that holds it.
+    by_length: dict[int, list[tuple[int, int, int]]] = {}
+    for at, (k, a, b) in enumerate(parts):
+        n = len(texts[k])
+        by_length.setdefault(min(READ, -(-n // WINDOW) * WINDOW), []).append((at, *windows_of(n, a, b)))
+    rise = ((np.arange(STEP, dtype=np.float32) + 1) / (STEP + 1))[:, None]
+    out: list[np.ndarray] = [np.empty((0, TAGS), np.float32)] * len(parts)
+    for length, rows in by_length.items():
+        chars = np.full((sum(last - first for _, first, last in rows), length), PAD)
+        line = 0
+        for at, first, last in rows:
+            lo = first * (READ - STEP)
+            codes = char_ids(texts[parts[at][0]][lo:(last - 1) * (READ - STEP) + length])
+            for w in range(last - first):
+                own = codes[w * (READ - STEP):w * (READ - STEP) + length]
+                chars[line, :len(own)] = own
+                line += 1
+        said = window_scores(p, chars)
+        line = 0
+        for at, first, last in rows:
+            mine = said[line:line + last - first]
+            line += last - first
+            # Windows share their last and first characters, whose scores pass from the one's to the other's.
+            if len(mine) > 1:
+                mine[1:, :STEP] *= rise
+                mine[1:, :STEP] += mine[:-1, READ - STEP:] * rise[::-1]
+            whole = np.concatenate([mine[:, :READ - STEP].reshape(-1, TAGS), mine[-1, READ - STEP:]])
+            _, a, b = parts[at]
+            lo = first * (READ - STEP)
+            out[at] = whole[a - lo:b - lo]
     return out
 
 
+def detours(move: np.ndarray) -> tuple[float, float, float, float, float]:
+    """Bounds of what other tags for some places in a row change in the sum of moves, against "none" at all of them.
+
+    ``each`` per move within, ``enter`` and ``leave`` for those from and to none, ``first`` and ``last`` instead of these at the ends of
+    a sequence. A height of each tag is added to the moves from it and taken from those to it, which leaves a way's sum as it is but for
+    its ends, so that ``each`` is about the largest mean of moves in a circle.
+    """
+    change = move.astype(float) - float(move[0, 0])
+    inner = change[1:, 1:]
+
+    def heights(each: float) -> np.ndarray | None:
+        """Heights that leave no move above ``each``, if there are any (with the largest move there are)."""
+        u = np.zeros(len(inner))
+        for _ in range(len(inner) + 1):
+            higher = np.maximum(u, (inner - each + u[:, None]).max(axis=0))
+            if np.array_equal(higher, u):
+                return u
+            u = higher
+        return None
+
+    low, each = float(inner.min()) - 1, float(inner.max())
+    for _ in range(20):
+        mid = (low + each) / 2
+        low, each = (mid, each) if heights(mid) is None else (low, mid)
+    u = heights(each)
+    each = float((inner + u[:, None] - u).max())
+    return each, float((change[0, 1:] - u).max()), float((change[1:, 0] + u).max()), float(-u.min()), float(u.max())
+
+
+def none_wins(ways: tuple[float, float, float, float, float], scores: np.ndarray) -> bool:
+    """Whether the best tags of a sequence are sure to be "none" from end to end, by the bounds of ``detours``."""
+    each, enter, leave, first, last = ways
+    columns = scores.T
+    lead = columns[1].copy()
+    for column in columns[2:]:
+        np.maximum(lead, column, out=lead)
+    lead -= columns[0]
+    sums = np.zeros(len(lead) + 1)
+    np.cumsum(lead + each, out=sums[1:])
+    lowest = np.minimum.accumulate(sums[:-1])
+    most = max((sums[1:] - lowest).max() + enter + leave, sums[1:].max() + first + leave,
+               sums[-1] - lowest[-1] + enter + last, sums[-1] + first + last)
+    return bool(most - each < -0.01)  # the rest is for rounding
+
+
 def decode(move: np.ndarray, scores: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Best tags (Viterbi) and their probabilities for sequences of any lengths, the longest first."""
     lengths = np.array([len(s) for s in scores])
@@ -450,23 +518,32 @@ def _longer(found: list[tuple[float, Span]], a: int, b: int, text: str) -> tuple
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[float, Span]]]:
     """What the model finds in each text, read from its first character to its last, with its mean probability."""
     out: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    ways = detours(p["move"])
     waiting = [(k, a, b) for k, t in enumerate(texts) for a, b in regions_of(t)]
     while waiting:
         waiting.sort(key=lambda x: (x[1] - x[2], x))
         grown: list[tuple[int, int, int]] = []
-        at = 0
+        at, undecided, said = 0, [], []
         while at < len(waiting):
             # Sequences of one block together take a bounded number of cells, unless a single one needs more.
             longest = waiting[at][2] - waiting[at][1]
-            some = waiting[at:at + max(1, min(1024, (1 << 19) // longest))]
+            some = waiting[at:at + max(1, min(1024, CELLS // longest))]
             at += len(some)
-            for (k, a, b), (tags, sure) in zip(some, decode(p["move"], scores_of(p, texts, some))):
+            for part, scores in zip(some, scores_of(p, texts, some)):
+                if not none_wins(ways, scores):
+                    undecided.append(part)
+                    said.append(scores)
+            # Still the longest first, as the decoder wants them; few at a time would cost it as much as many.
+            if at < len(waiting) and (not said or len(said) * len(said[0]) < CELLS):
+                continue
+            for (k, a, b), (tags, sure) in zip(undecided, decode(p["move"], said) if said else []):
                 found = tagged(tags, sure, a)
                 longer = _longer(found, a, b, texts[k])
                 if longer:
                     grown.append((k, *longer))
                 else:
                     out[k] += found
+            undecided, said = [], []
         waiting = []
         for k, a, b in sorted(grown):
             if waiting and waiting[-1][0] == k and a <= waiting[-1][2]:

@@ -271,6 +271,51 @@ def test_window_scores_are_the_emissions():
     assert personal.window_scores(p, chars) == pytest.approx(personal.emissions(p, chars)[0].transpose(1, 0, 2), abs=1e-5)
 
 
+def test_windows_in_reading_overlap_little_and_cover_any_length(monkeypatch):
+    p = personal.new_parameters()
+    kernel, read = personal.window_scores, []
+
+    def window_scores(p, chars):
+        read.append(chars.size)
+        return kernel(p, chars)
+
+    monkeypatch.setattr(personal, "window_scores", window_scores)
+    rng = random.Random(6)
+    for n in (1, 5, 64, 65, 200, 255, 256, 257, 479, 480, 481, 1000):
+        text = "".join(rng.choice("ab 1.@") for _ in range(n))
+        whole = personal.scores_of(p, [text], [(0, 0, n)])[0]
+        assert whole.shape == (n, personal.TAGS)
+        # The first window read alone says the same of what it does not share.
+        chars = np.full((1, 256 if n > 192 else -(-n // 64) * 64), personal.PAD)
+        chars[0, :min(n, 256)] = personal.char_ids(text[:256])
+        assert whole[:min(n, 224)] == pytest.approx(personal.emissions(p, chars)[0][:min(n, 224), 0], abs=1e-5)
+        for a in range(0, n, 32):
+            assert personal.scores_of(p, [text], [(0, a, min(n, a + 96))])[0] == pytest.approx(whole[a:a + 96], abs=1e-5)
+    read.clear()
+    texts = ["k" * 4000] * 20 + ["short"] * 20
+    personal.scores_of(p, texts, [(k, 0, len(t)) for k, t in enumerate(texts)])
+    assert sum(read) < 1.25 * sum(map(len, texts))
+
+
+def test_sequences_left_undecoded_have_no_other_tag_than_none():
+    rng = np.random.default_rng(9)
+    left = other = 0
+    for _ in range(300):
+        move = (rng.standard_normal((personal.TAGS, personal.TAGS)) * rng.choice((0.2, 1, 3))).astype(np.float32)
+        move[0, 0] += rng.choice((0, 2))
+        ways = personal.detours(move)
+        scores = rng.standard_normal((int(rng.integers(1, 9)), personal.TAGS)).astype(np.float32)
+        scores[:, 0] += rng.choice((0, 1, 2, 4))
+        if rng.random() < 0.5:
+            scores[rng.integers(len(scores)), rng.integers(1, personal.TAGS)] += rng.choice((1, 3))
+        tags = personal.decode(move, [scores])[0][0]
+        none = personal.none_wins(ways, scores)
+        assert not (none and tags.any())
+        left += none
+        other += bool(tags.any())
+    assert left > 50 and other > 50
+
+
 def test_regions_cover_every_trigger():
     rng = random.Random(8)
     for n in (0, 1, 50, 3000, 40_000):
