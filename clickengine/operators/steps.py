@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logistic as L
 from .features import exploded
-from .skew import attach, attach_stored
+from .skew import BROADCAST_ROWS, attach, attach_stored, fits_broadcast
 from .state import STATE_COLUMNS
 
 
@@ -119,14 +119,18 @@ def validate(
 
 
 def margin_rows(
-    examples: DataFrame, state: DataFrame, config: L.FtrlConfig, stored: bool = False, **heavy
+    examples: DataFrame, state: DataFrame, config: L.FtrlConfig, stored: bool = False,
+    max_rows: int = BROADCAST_ROWS, **heavy,
 ) -> DataFrame:
     """Exploded labelled examples with the margin under the published weights and under those that
     z and n give, from one join: what validating and learning from a batch have in common."""
     weights = state.select("feature", "w", L.weight(F.col("z"), F.col("n"), config.columns()).alias("__now"))
     weights = weights.where((F.col("w") != 0.0) | (F.col("__now") != 0.0))
-    join = attach_stored if stored else attach
-    rows = join(exploded(examples, ["example_id", "label"]), weights, ["feature"], ["example_id"], **heavy)
+    if stored and fits_broadcast(weights, max_rows):
+        # Dealt by example before an example becomes many rows, as the join leaves them where they are.
+        rows = exploded(examples.repartition("example_id"), ["example_id", "label"]).join(F.broadcast(weights), "feature", "left")
+    else:
+        rows = attach(exploded(examples, ["example_id", "label"]), weights, ["feature"], ["example_id"], **heavy)
     one_example = Window.partitionBy("example_id")
 
     def margin(w: str) -> Column:

@@ -244,3 +244,21 @@ def test_hourly_counts_over_batches(spark, tmp_path, late):
     assert got == (whole[1:] if late == "1 hour" else whole)
     lookup = hourly.previous_hour_lookup(counts, ["user"], "hour", "hour_count")
     assert ("v", "03 03", 1) in rows_of(lookup, "user", F.date_format("hour", "dd HH"), "hour_count")
+
+
+def test_margins_of_a_batch_shuffle_its_examples_and_not_their_features(spark, tmp_path):
+    """With a small stored model: one exchange, below the step from an example to its rows."""
+    from clickengine.operators import steps
+
+    rows = make(spark, clicks(30))
+    store = StateStore(spark, str(tmp_path))
+    training.train_batch(store, rows, CONFIG)
+    near = steps.margin_rows(rows, store.load(), CONFIG, stored=True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Window") < plan.index("Generate") < plan.index("Exchange hashpartitioning(example_id")
+    far = steps.margin_rows(rows, store.load(), CONFIG, stored=True, max_rows=0)
+    key = lambda r: (r["example_id"], r["feature"] or 0)
+    one, other = sorted(near.collect(), key=key), sorted(far.collect(), key=key)
+    assert [key(r) for r in one] == [key(r) for r in other]
+    assert [r["margin"] for r in one] == pytest.approx([r["margin"] for r in other], abs=1e-12)
