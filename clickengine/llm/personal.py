@@ -40,7 +40,7 @@ AROUND = 40  # characters on both sides of a place
 WINDOW = 64
 STEP = WINDOW // 2
 READ = 256  # a window in reading; two of them share STEP characters
-COLUMNS, SIDE = 180, 2  # windows side by side
+COLUMNS, SIDE = 160, 3  # windows side by side
 PIECE = 4096
 EMBED, HIDDEN, TAGS = 12, 32, 1 + 2 * len(KINDS)
 STEPS = 1200
