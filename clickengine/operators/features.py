@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import Namespace, bucket, text_hash
+from ..functions.hashing import Namespace, bucket, md5_numbers, text_hash
 
 FEATURE_MAP = "map<bigint,double>"
 
@@ -92,13 +94,15 @@ def as_map(*groups: list[Feature]) -> Column:
 
     Features with a null id or value are left out. The texts are hashed by one expression
     over the array of features: an expression per feature makes generated methods too
-    large for the JVM to compile.
+    large for the JVM to compile. Under md5 whole batches are hashed side by side.
     """
     features = [f for group in groups for f in group]
     methods = {f.method for f in features if f.number is None}
     if len(methods) > 1:
         raise ValueError("features of one map must share a hash method")
     given = any(f.number is not None for f in features)
+    if methods == {"md5"} and not given:
+        return _md5_map(features)
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
 
     def entry(f: Feature) -> Column:
@@ -123,6 +127,45 @@ def as_map(*groups: list[Feature]) -> Column:
     return F.map_from_entries(present).cast(FEATURE_MAP)
 
 
+def _md5_map(features: list[Feature]) -> Column:
+    """``as_map`` of texts under md5."""
+    spaces = [(f.space.size, f.space.offset) for f in features]
+
+    @F.arrow_udf(FEATURE_MAP)
+    def hashed(texts: pa.Array, values: pa.Array) -> pa.Array:
+        return last_wins(texts.flatten(), values.flatten(), spaces)
+
+    return hashed(F.array(*[f.text for f in features]), F.array(*[f.value.cast("double") for f in features]))
+
+
+def last_wins(texts: pa.Array, values: pa.Array, spaces: list[tuple[int, int]]) -> pa.Array:
+    """Maps of rows of ``len(spaces)`` texts and values each, one row after another.
+
+    An id stands where it came first, with the value that came last.
+    """
+    sizes, offsets = np.array(spaces, np.int64).T
+    many = len(spaces)
+    keys = md5_numbers(texts).reshape(-1, many) % sizes + offsets
+    present = ~(np.asarray(texts.is_null()) | np.asarray(values.is_null())).reshape(-1, many)
+    # Id and place in one number; of an id's places the first says where it stands, the last has the value.
+    bits = many.bit_length()
+    nowhere = np.int64(np.iinfo(np.int64).max)
+    sorted_ = np.sort(np.where(present, (keys << bits) | np.arange(many), nowhere), axis=1)
+    own, places = sorted_ >> bits, sorted_ & ((1 << bits) - 1)
+    begins, ends = np.ones((2, *own.shape), bool)
+    begins[:, 1:] = ends[:, :-1] = own[:, 1:] != own[:, :-1]
+    begins &= sorted_ != nowhere
+    ends &= sorted_ != nowhere
+    lines, first, last = np.nonzero(begins)[0], places[begins], places[ends]
+    spots = np.full(own.size, -1)
+    spots[lines * many + first] = np.arange(len(lines))
+    order = spots[spots >= 0]
+    lengths = np.zeros(len(own) + 1, np.int32)
+    np.cumsum(begins.sum(axis=1), out=lengths[1:])
+    chosen = values.take(pa.array((lines * many + last)[order]))
+    return pa.MapArray.from_arrays(pa.array(lengths), pa.array(own[begins][order]), chosen)
+
+
 def merged(*maps: str | Column) -> Column:
     """Merge map columns; the later map wins. Needs the LAST_WIN map key policy."""
     return F.map_concat(*maps)

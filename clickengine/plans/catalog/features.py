@@ -181,10 +181,10 @@ def _bag_set_sql() -> str:
     ])
 
 
-def _set_rows(log, features):
+def _set_rows(log, features, value=None):
     # A row becomes about a hundred. The joins before leave a key's rows together, so they are dealt anew, evenly.
     examples = log.hint("rebalance").select("id", features.alias("features"))
-    return feat.exploded(examples, ["id"]).select("id", "feature", r6("value"))
+    return feat.exploded(examples, ["id"]).select("id", "feature", r6("value") if value is None else value)
 
 
 @query("bag_feature_set", _bag_set_sql())
@@ -261,7 +261,8 @@ def _topic_log(spark, sf_dir):
         "number", F.substring(F.col("device_ip"), 3, 20).cast("bigint")
     )
     vectors = user_vectors(spark, sf_dir).withColumnRenamed("user_id", "number")
-    return with_default_topics(log, vectors, ["id"], key="number")
+    # Rounded here, as every topic becomes several features.
+    return with_default_topics(log, vectors, ["id"], key="number").withColumn("topics", F.transform("topics", lambda t: r6(t)))
 
 
 TOPIC_LOG_SQL = f"""{VECTORS_SQL}, topical AS (SELECT clean.*,
@@ -296,7 +297,7 @@ def _topic_set_sql() -> str:
 
 @query("topic_feature_set", _topic_set_sql())
 def topic_feature_set(spark, sf_dir):
-    return _set_rows(_topic_log(spark, sf_dir), sets.topic_features(MD5))
+    return _set_rows(_topic_log(spark, sf_dir), sets.topic_features(MD5), "value")
 
 
 def _category_set_sql() -> str:
@@ -310,7 +311,7 @@ def _category_set_sql() -> str:
 
 @query("category_feature_set", _category_set_sql())
 def category_feature_set(spark, sf_dir):
-    return _set_rows(_topic_log(spark, sf_dir), sets.category_features(MD5))
+    return _set_rows(_topic_log(spark, sf_dir), sets.category_features(MD5), "value")
 
 
 # --- rare features ----------------------------------------------------------------------

@@ -153,3 +153,11 @@ def test_feature_sets_deal_their_rows_anew(spark):
     assert "REBALANCE_PARTITIONS" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((int(r["id"]), r["feature"], r["value"]) for r in found.collect()) == [
         (i, f, float(i)) for i in range(50) for f in (5, 6)]
+
+
+def test_topics_are_rounded_before_they_become_many_features(spark):
+    """Ten roundings a row, not one for each of the exploded features."""
+    from clickengine.plans.catalog.features import topic_feature_set
+
+    plan = topic_feature_set(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == 1 and "round(value" not in plan and "conv(" not in plan

@@ -125,3 +125,43 @@ def test_samples_and_shards(spark):
     assert rows_of(shards) == rows_of(with_shard(rows.repartition(5), "id", 8))
     sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
     assert len(sizes) == 8 and min(sizes) > 1000
+
+
+def test_md5_of_many_texts_at_once_is_that_of_each(spark):
+    """Texts around the edges of md5's blocks, enough of them to be hashed side by side, and nulls."""
+    import pyarrow as pa
+
+    from clickengine.functions.hashing import md5_numbers, text_hash
+
+    texts = [("é€😀" + "x" * 130)[k % 3:k % 131] + str(k) for k in range(3000)] + ["", None, "y" * 5000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    alone = [r["h"] for r in rows.select("k", text_hash(F.col("t"), "md5").alias("h")).orderBy("k").collect()]
+    for cut in (0, 1, 2990):
+        got = md5_numbers(pa.array([*texts, "after"]).slice(cut, len(texts) - cut)).tolist()
+        assert [None if t is None else n for t, n in zip(texts[cut:], got)] == alone[cut:]
+    assert md5_numbers(pa.array([], pa.string())).tolist() == []
+
+
+def test_md5_features_are_hashed_in_batches_with_the_same_maps(spark):
+    """Ids of a narrow range collide: an id stays where it came first, with the last value; nulls are left out."""
+    from clickengine.functions.hashing import Namespace, bucket
+
+    spaces = [Namespace("narrow", 5), Namespace("wide", 1000, 5)]
+    rows = spark.range(600).selectExpr(
+        "id", "IF(id % 7 = 0, NULL, concat('é', id)) AS a", "CAST(id % 10 AS STRING) AS b",
+        "IF(id % 3 = 0, NULL, id / 3) AS x", "array(id / 4, NULL, CAST('NaN' AS DOUBLE)) AS v")
+    texts = [F.col("a"), F.concat(F.lit("b-"), F.col("b")), F.col("b")]
+    group = feat.vector_entries("v", 4, spaces[0], method="md5")
+    groups = [group, feat.indicators(texts, spaces[0], "md5"), feat.indicators(texts, spaces[1], "md5"),
+              feat.crossed_values(feat.named_values({"x": F.col("x")}, spaces[1], "md5"), texts, spaces[0], "md5")]
+    made = rows.select("id", feat.as_map(*groups).alias("m"))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    pairs = [(f.value, bucket(f.text, f.space, "md5")) for g in groups for f in g]
+    plain = rows.select("id", F.array(*[F.struct(k.alias("k"), v.cast("double").alias("v")) for v, k in pairs]).alias("p"))
+    entries = made.select("id", F.map_entries("m").alias("m"))
+    for got, want in zip(entries.orderBy("id").collect(), plain.orderBy("id").collect()):
+        expected: dict[int, float] = {}
+        for k, v in want["p"]:
+            if k is not None and v is not None:
+                expected[k] = v
+        assert repr([tuple(e) for e in got["m"]]) == repr(list(expected.items()))
