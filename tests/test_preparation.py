@@ -155,9 +155,18 @@ def test_feature_sets_deal_their_rows_anew(spark):
         (i, f, float(i)) for i in range(50) for f in (5, 6)]
 
 
-def test_topics_are_rounded_before_they_become_many_features(spark):
+def test_topics_are_rounded_before_they_become_many_features(spark, tmp_path):
     """Ten roundings a row, not one for each of the exploded features."""
     from clickengine.plans.catalog.features import topic_feature_set
 
-    plan = topic_feature_set(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.range(40).selectExpr(
+        "id AS event_id", "TIMESTAMP '2014-10-21 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts", "id % 6 AS user_id", "'view' AS event_type",
+        "id * 1.7D AS value", "concat('{\"k\": ', id, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2).selectExpr(
+        "id AS vec_id", "transform(sequence(0, 19), i -> CAST((i + id) / 7 AS FLOAT)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = topic_feature_set(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("round(") == 1 and "round(value" not in plan and "conv(" not in plan
+    rows = made.collect()
+    assert len({r["id"] for r in rows}) == 40 and all(r["value"] == round(r["value"], 6) for r in rows)
+    assert {r["value"] for r in rows} > {0.0, 1.0}
